@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.language import op9_language
+from ledgerloom.llm.quality import op5_quality
 from ledgerloom.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op5_quality": op5_quality,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
