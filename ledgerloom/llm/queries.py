@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.chat import OP3_SQL, op3_chat
 from ledgerloom.llm.language import op9_language
 from ledgerloom.llm.quality import op5_quality
 from ledgerloom.llm.toxicity import op1_toxicity
@@ -14,8 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op3_chat": op3_chat,
     "op5_quality": op5_quality,
     "op9_language": op9_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": OP3_SQL,
+}
