@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.chat import OP3_SQL, op3_chat
 from ledgerloom.llm.language import op9_language
 from ledgerloom.llm.mixing import op8_mixing
+from ledgerloom.llm.packing import op4_packing
 from ledgerloom.llm.quality import op5_quality
 from ledgerloom.llm.toxicity import op1_toxicity
 
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
+    "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
