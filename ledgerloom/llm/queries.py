@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.chat import OP3_SQL, op3_chat
 from ledgerloom.llm.language import op9_language
 from ledgerloom.llm.mixing import op8_mixing
+from ledgerloom.llm.neighbours import op7_neighbours
 from ledgerloom.llm.packing import op4_packing
 from ledgerloom.llm.quality import op5_quality
 from ledgerloom.llm.toxicity import op1_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
 }
