@@ -10,6 +10,7 @@ from ledgerloom.llm.chat import OP3_SQL, op3_chat
 from ledgerloom.llm.language import op9_language
 from ledgerloom.llm.mixing import op8_mixing
 from ledgerloom.llm.neighbours import op7_neighbours
+from ledgerloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from ledgerloom.llm.packing import op4_packing
 from ledgerloom.llm.quality import op5_quality
 from ledgerloom.llm.toxicity import op1_toxicity
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
@@ -27,5 +29,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": OP2_SQL,
     "op3_chat": OP3_SQL,
 }
