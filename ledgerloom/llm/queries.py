@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.chat import OP3_SQL, op3_chat
+from ledgerloom.llm.fingerprints import op6_fingerprints
 from ledgerloom.llm.language import op9_language
 from ledgerloom.llm.mixing import op8_mixing
 from ledgerloom.llm.neighbours import op7_neighbours
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat": op3_chat,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
+    "op6_fingerprints": op6_fingerprints,
     "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
