@@ -252,6 +252,17 @@ def near_duplicates(
     )
 
 
+def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of every component: that with the smallest id. Ids name documents; repeated
+    rows count once, rows with a null id all stay."""
+    found = near_duplicates(docs, words=words, percent=percent)
+    told = found.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if told["n"] > told["ids"]:
+        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' components under links of Jaccard similarity 0.9 or more on three-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)

@@ -14,6 +14,7 @@ from ledgerloom.llm.neighbours import op7_neighbours
 from ledgerloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from ledgerloom.llm.packing import op4_packing
 from ledgerloom.llm.quality import op5_quality
+from ledgerloom.llm.secrets import op10_secrets
 from ledgerloom.llm.toxicity import op1_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op7_neighbours": op7_neighbours,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
