@@ -8,16 +8,17 @@ same bound (summed minima of the query and the box's upper corner). What is left
 on the sets.
 
 One tree over everything would be one task, so the points are first dealt out without
-losing a link. Two sets of at most u shingles with the wanted similarity differ in at most r
-shingles. Of m = r + 1 + s groups at least s + 1 then hold the same shingles in both. Each document
-therefore gets one key per non-empty group (size class, group, digest of its shingles there),
-and, if s + 1 or more groups are empty, one key per choice of s + 1 of these. Linked documents
-share a key. Documents that share keys, directly or by others, form a candidate cluster
-(connected components of a star per key, so the number of edges is linear), and each
-cluster has its own tree. A cluster beyond ``unit_shingles`` is split into parts, and every pair
-of parts is a task with a tree of its own. Inside a task a breadth-first search compares a document
-only with those not yet reached, so copies are never expanded into all pairs; tasks return a
-component label per document.
+losing a link. Two sets of a and b shingles with the wanted similarity t differ in at most
+r = (a + b) (1 - t) / (1 + t) shingles, so of m groups at least m - r hold the same shingles in
+both. A group's key is its size class, its number and the digest of its shingles. In a fixed order
+of all keys (groups with more shingles first, as these are shared least by chance) the first
+r + 1 keys of both then have one in common, and only these are emitted: about an
+eighth as many as shingles at 0.9, a third at 0.8. Documents that share keys, directly or by
+others, form a candidate cluster (connected components of a star per key, so the number
+of edges is linear), and each cluster has its own tree. A cluster beyond ``unit_shingles`` is
+split into parts, and every pair of parts is a task with a tree of its own. Inside a task a
+breadth-first search compares a document only with those not yet reached, so copies are
+never expanded into all pairs; tasks return a component label per document.
 
 Equal sets (copies) are one node throughout. Nothing is dropped or capped.
 
@@ -31,11 +32,10 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, table
@@ -50,22 +50,12 @@ BROADCAST_ROWS = 500_000
 # --- dealing out -------------------------------------------------------------------------------
 
 
-def size_classes(most: int = 1 << 31) -> list[int]:
-    """Lower bounds of the size classes, about 1.5 apart."""
-    out = [1]
-    while out[-1] < most:
-        out.append(out[-1] + max(1, out[-1] // 2))
-    return out
-
-
-CLASSES = np.array(size_classes(), np.int64)
+CLASSES = 1 << np.arange(33, dtype=np.int64)  # lower bounds of the size classes
 
 
-def class_groups(c: int, percent: int) -> tuple[int, int]:
-    """(r, s) of a size class: differing shingles at most, and the spare groups."""
-    most = int(CLASSES[c + 1]) - 1
-    r = 2 * most * (100 - percent) // (100 + percent)
-    return r, 1 + r // 8
+def most_differing(a: int, b: int, percent: int) -> int:
+    """Shingles in which sets of a and b differ at most if they are similar enough."""
+    return (a + b) * (100 - percent) // (100 + percent)
 
 
 def join_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
@@ -76,20 +66,18 @@ def join_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
     for c in (own, own + 1):
         if c != own and n * 100 < int(CLASSES[c]) * percent:
             break
-        r, s = class_groups(c, percent)
+        top = int(CLASSES[c + 1]) - 1
+        r = most_differing(n, min(top, n * 100 // percent), percent)
         if r == 0:  # only equal sets are similar enough
             continue
-        m = r + 1 + s
+        most = most_differing(top, top, percent)
+        m = most + 1 + most // 4
         group = (hashes % np.uint64(m)).astype(np.int64)
         digest = np.zeros(m, np.uint64)
         np.add.at(digest, group, mix(hashes))
-        filled = np.bincount(group, minlength=m) > 0
-        place = mix((np.arange(m, dtype=np.uint64) << np.uint64(8)) + np.uint64(c + 1))
-        out.append(mix(digest[filled] ^ place[filled]))
-        empty = np.flatnonzero(~filled)
-        if len(empty) > s:
-            chosen = np.array(list(combinations(empty.tolist(), s + 1)), np.int64)
-            out.append(mix(place[chosen].sum(axis=1, dtype=np.uint64) + np.uint64(0x1B873593)))
+        size = np.bincount(group, minlength=m)
+        key = mix(digest ^ mix((np.arange(m, dtype=np.uint64) << np.uint64(8)) + np.uint64(c + 1)))
+        out.append(key[np.lexsort((key, -size))[: r + 1]])
     return out
 
 
@@ -197,10 +185,10 @@ def near_duplicates(
     rows = materialise(texts.mapInPandas(sketch, "id long, n long, node long, keys array<long>"), "ngram-sketch")
     nodes = materialise(rows.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "ngram-nodes")
 
-    # A star per key; a document that shares no key has no edge. min() per key is combined before the shuffle.
+    # A star per key: its smallest node is tied to the others. A node without a shared key has no edge.
     keyed = rows.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w").select("key", "v")
-    edges = keyed.join(hubs, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    hub = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edges = keyed.select(F.col("node").alias("u"), hub.alias("v")).where("u <> v").distinct()
     clusters = connected_components(edges, "ngram-clusters").select("node", F.col("label").alias("cluster"))
     clusters = materialise(clusters.join(nodes, "node"), "ngram-members")
 
