@@ -141,7 +141,7 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     return LanguageModel(
         langs,
         {r["gram"]: i for i, r in enumerate(kept["w"])},
-        np.array([centred("w", r["by"]) for r in kept["w"]]).reshape(-1, len(langs)),
+        np.array([centred("w", r["by"]) for r in kept["w"]]).reshape(len(kept["w"]), len(langs)),
         {r["gram"]: centred("g", r["by"]) for r in kept["g"]},
     )
 
