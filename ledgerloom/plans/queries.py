@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators import address as A
+from ledgerloom.operators import captions as CA
 from ledgerloom.operators import classify as C
 from ledgerloom.operators import evaluate as E
 from ledgerloom.operators import fields as FI
@@ -303,3 +305,35 @@ def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.coalesce((gap >= 0.5).cast("int"), F.lit(0))
     groups = f.withColumn("cut", cut).withColumn("g", F.sum("cut").over(w))
     return groups.groupBy("packet_id", "g").agg(F.count("*").alias("n"), F.min("i").alias("first_i"), F.max("level").alias("top_level"))
+
+
+CAPTIONS = {
+    "vendor_name": ["legal name", "name of enterprise", "company name"], "gst_number": ["gstin", "gst number", "registration number"], "pan": ["pan", "permanent account number"],
+    "city": ["city", "town"], "state": ["state"],
+}
+
+
+def caption_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions, some misspelt, before the derived vendors' values: best caption and the value after it."""
+    v = vendors(spark, sf_dir)
+    lines = F.array(
+        F.concat(F.lit("Legal Name: "), "vendor_name"), F.lit("GSTIN"), F.concat(F.lit("Permanent Acc0unt Number - "), F.coalesce("pan", F.lit(""))), F.concat(F.lit("City of "), "city"),
+        F.concat(F.lit("Stale: "), "state"), F.concat(F.lit("Registration Nurnber|"), F.coalesce("gst_number", F.lit("none"))),
+    )
+    spans = v.select("packet_id", F.posexplode(lines).alias("span_id", "text"))
+    hits = CA.caption_hits(spans, CAPTIONS, {"pan": "[A-Z]{5}[0-9]{4}[A-Z]"})
+    return hits.select("packet_id", "span_id", F.col("field").alias("field_name"), "caption", F.round("similarity", 6).alias("similarity"), "rest")
+
+
+def address_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combined addresses of suppliers; states, cities and PINs come from the nation table."""
+    nation = table(spark, sf_dir, "nation")
+    states = nation.select(T.lookup_key(F.concat(F.lit("State "), F.col("n_nationkey"))).alias("key"), F.concat(F.lit("State "), F.col("n_nationkey")).alias("state"))
+    cities = nation.select(T.lookup_key(F.concat(F.lit("Town"), F.col("n_nationkey"))).alias("key"))
+    pins = nation.select((F.lit(500000) + F.col("n_nationkey")).cast("string").alias("pin"), F.concat(F.lit("State "), F.col("n_nationkey")).alias("state"), F.concat(F.lit("District "), F.col("n_nationkey")).alias("district"))
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    address = F.concat(
+        F.lit("Plot "), k, F.lit(", Park Lane"), F.when(k % 3 == 0, F.concat(F.lit(", TOWN"), n)).otherwise(""), F.when(k % 5 == 0, F.concat(F.lit(", District "), n)).otherwise(""),
+        F.when(k % 2 == 0, F.concat(F.lit(", STATE "), n)).otherwise(""), F.when(k % 7 != 0, F.concat(F.lit(" - "), F.lit(500000) + (n + k % 4) % 25)).otherwise(", India"),
+    )
+    return A.resolve(table(spark, sf_dir, "supplier").select(k.alias("id"), address.alias("address")), states, cities, pins)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lookup_key
-from ledgerloom.operators import address, evaluate, fields, layout, records, validate
+from ledgerloom.operators import address, captions, evaluate, fields, layout, records, validate
 from ledgerloom.sources import lookups, spans
 from ledgerloom.streaming import landing
 
@@ -106,3 +106,33 @@ def test_landing_stream(spark, tmp_path):
     stream = landing.landing_spans(spark, str(tmp_path / "in"))
     landing.run_batches(stream, lambda df: df.groupBy("packet_id").count(), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {(r["packet_id"], r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("p1", 2), ("p2", 2)}
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_common_length_against_the_plain_programme():
+    words = ["", "a", "legal name", "lega1 narne", "permanent account number", "abcabcabc" * 9, "ünïcode"]
+    assert all(captions.common(a, b) == lcs(a, b) for a in words for b in words)
+
+
+def test_caption_hits(spark):
+    texts = ["Legal Name: Acme Ltd", "GSTIN", "State of mind", "Flat No. 302", "City - Pune", "PAN ABCDE1234F", "Legai Name", ""]
+    spans = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "span_id int, text string")
+    known = {"name": ["Legal Name", "Name"], "gst": ["GSTIN"], "state": ["State"], "flat": ["Flat No"], "city": ["City"], "pan": ["PAN"]}
+    got = {(r["span_id"], r["field"]): (r["caption"], r["rest"]) for r in captions.caption_hits(spans, known, {"pan": "[A-Z]{5}[0-9]{4}[A-Z]"}).collect()}
+    assert got == {(0, "name"): ("legal name", "Acme Ltd"), (1, "gst"): ("gstin", ""), (4, "city"): ("city", "Pune"), (5, "pan"): ("pan", "ABCDE1234F"), (6, "name"): ("legal name", "")}
+
+
+def test_fragment_tier(spark):
+    tiers = {"landmark": {"head": ["near"]}, "thoroughfare": {"tail": ["road"]}, "estate_zone": {"any": ["industrial area"]}}
+    df = spark.createDataFrame([("Near Old Road",), ("Park ROAD.",), ("Bawana Industrial Area 2",), ("Kondli",)], "x string")
+    got = [r[0] for r in df.select(captions.fragment_tier(F.col("x"), tiers, ["estate_zone", "landmark", "thoroughfare"])).collect()]
+    assert got == ["landmark", "thoroughfare", "estate_zone", "unknown"]
