@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lookup_key
+from ledgerloom.operators.captions import fragment_tier
 
 # Country words, and words that rule a segment out as a guessed city.
 COUNTRY_WORDS = ("india", "bharat", "in", "ind")
@@ -40,9 +41,12 @@ def city_case(x: Column) -> Column:
     return F.when((x == F.upper(x)) | (x == F.lower(x)), F.initcap(F.lower(x))).otherwise(x)
 
 
-def resolve(addresses: DataFrame, states: DataFrame, cities: DataFrame, pins: DataFrame | None = None) -> DataFrame:
+def resolve(
+    addresses: DataFrame, states: DataFrame, cities: DataFrame, pins: DataFrame | None = None, tiers: dict | None = None, priority: list[str] | None = None
+) -> DataFrame:
     """(id, address) to (id, address_1, city, state, pin_code, confidence). ``states`` has (key, state), ``cities``
-    (key), ``pins`` (pin, state, district); without PINs nothing is inferred from them."""
+    (key), ``pins`` (pin, state, district); without PINs nothing is inferred from them. With a keyword table
+    (``tiers`` and their ``priority``) a segment of premises or a street is never guessed to be the city."""
     base = addresses.select("id", without_country(segments(F.col("address"))).alias("raw"))
     hit = F.coalesce(F.array_min(F.transform("raw", lambda s, i: F.when(s.rlike(PIN), i))), F.lit(-1))
     pin = F.when(F.col("hit") >= 0, F.regexp_extract(F.get("raw", F.col("hit")), PIN, 1)).otherwise("")
@@ -78,6 +82,8 @@ def resolve(addresses: DataFrame, states: DataFrame, cities: DataFrame, pins: Da
     by_district = F.when(district.isNotNull(), places(lambda t: same_place(t["s"], district)))
     end = F.get("rest", F.size("rest") - 1)["s"]
     plain = ~F.lower(end).isin(*NOT_CITY) & ~end.rlike(r"\A[0-9]+\z") & ~F.arrays_overlap(F.split(F.lower(end), r"\s+"), F.array(*map(F.lit, NOT_CITY)))
+    if tiers:
+        plain = plain & fragment_tier(end, tiers, priority or list(tiers)).isin("unknown", "locality", "village_po")
     state_city = x.join(cities.select(F.col("key").alias("state_key")), lookup_key(F.col("state")) == F.col("state_key"), "left")
     x = state_city.withColumn("chosen", F.coalesce(named, by_district))
     state_is_city = (F.col("state") != "") & F.col("state_key").isNotNull()

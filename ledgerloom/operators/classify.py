@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import strip
+from ledgerloom.functions.text import clean_label, similarity, strip
 
 FILENAME_WEIGHT, CONTENT_WEIGHT, LEAST_SCORE, FIRST_PAGES = 1.0, 2.0, 1.0, 3
 
@@ -53,3 +55,45 @@ def onboarding(packets: DataFrame, status: dict[str, Column]) -> DataFrame:
 
 def band(score: Column) -> Column:
     return F.when(score >= 0.8, "good").when(score >= 0.6, "warn").otherwise("bad")
+
+
+CAPTION_SUFFIX, LEAK_WORDS, LEAK_CHARS, LEAK_RATIO = r"(?i)\bif any\b\W*\z", 8, 8, 88.0
+
+
+def caption_leak(value: Column, captions: list[str], lead_words: list[str], class_words: list[str]) -> Column:
+    """Whether a value is a form's own caption: an "if any" ending, a class word, a caption's first word in a short
+    value, or close likeness to a known caption."""
+    clean = clean_label(value)
+    words = F.split(clean, " ")
+    like = F.lit(False)
+    for c in captions:
+        if len(c) >= LEAK_CHARS:
+            like = like | (similarity(clean, F.lit(c), LEAK_RATIO) >= LEAK_RATIO) | F.contains(F.lit(c), clean)
+    lead = F.get(words, F.lit(0)).isin(*lead_words) & (F.size(words) <= LEAK_WORDS)
+    return (clean != "") & (value.rlike(CAPTION_SUFFIX) | clean.isin(*class_words) | lead | ((F.length(clean) >= LEAK_CHARS) & like))
+
+
+def best_text(value: Column, alternatives: Column, leak: Callable[[Column], Column]) -> Column:
+    """struct<value, replaced>: the first of the value and its alternatives that is no caption leak, else empty."""
+    options = F.filter(F.concat(F.array(F.coalesce(value, F.lit(""))), F.coalesce(alternatives, F.array().cast("array<string>"))), lambda v: F.coalesce(v, F.lit("")) != "")
+    good = F.filter(F.transform(options, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda o: ~leak(o["v"]))
+    first = F.get(good, F.lit(0))
+    return F.struct(F.coalesce(first["v"], F.lit("")).alias("value"), F.coalesce(first["i"] > 0, F.lit(False)).alias("replaced"))
+
+
+def review_names(flags: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(packet_id, needs_review): form names of flagged fields, each once, in the order of the flags; unmapped ones go."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    own = flags.withColumn("name", F.try_element_at(known, F.col("field"))).where("name is not null")
+    return own.groupBy("packet_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("stage", "name")))["name"]).alias("needs_review"))
+
+
+def compare_rows(results: DataFrame, review: DataFrame) -> DataFrame:
+    """Rows of the compare view: every field with its band and whether it needs review."""
+    flagged = review.select("packet_id", "field").distinct().withColumn("needs_review", F.lit(True))
+    return results.join(flagged, ["packet_id", "field"], "left").withColumn("needs_review", F.coalesce("needs_review", F.lit(False))).withColumn("band", band(F.col("confidence")))
+
+
+def company_url(base: str, company: Column, entity: str) -> Column:
+    """OData address of a company's entity set; quotes are doubled."""
+    return F.concat(F.lit(f"{base.rstrip('/')}/Company('"), F.replace(company, F.lit("'"), F.lit("''")), F.lit(f"')/{entity}"))

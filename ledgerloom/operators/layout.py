@@ -103,3 +103,56 @@ def page_trust(pages: DataFrame) -> DataFrame:
         cover >= 0.5, F.concat(F.lit("scanned_page(image_coverage="), F.bround(cover * 100, 0).cast("int").cast("string"), F.lit("%)"))
     )
     return pages.withColumn("image_coverage", cover).withColumn("ocr_reason", reason).withColumn("method", F.when(reason.isNull(), "pdf_text").otherwise("ocr"))
+
+
+def row_separator(above: str, row: str) -> str:
+    """Between wrapped rows: a comma where the row above is itself a comma list and neither edge is punctuation."""
+    bare = above.rstrip()[-1:] not in ",;:-" and row.lstrip()[:1] not in ",;:-"
+    return ", " if above.count(",") >= 2 and bare else " "
+
+
+def continued_values(spans: DataFrame, max_gap: float = 1.2, max_row_gap: float = 1.6, indent: float = 2.0) -> DataFrame:
+    """The whole value that begins at each span marked ``start``: (doc_id, page, span_id, value).
+
+    ``spans`` has span_id, text, line, label_like, start and the box. A value goes on over spans to its right until a wide
+    gap or a caption, then over rows below that keep its left edge and follow closely. The walk stops at the first
+    row that does not fit, so it is a fold over one page's lines; pages are the parallel units and small."""
+
+    def walk(row: pd.DataFrame, from_x: float, unit: float) -> tuple[list[str], float]:
+        """Texts of a row from its first span on, and where they end."""
+        parts, end = [row.text.iloc[0]], row.x2.iloc[0]
+        for text, x1, x2, like in zip(row.text[1:], row.x1[1:], row.x2[1:], row.label_like[1:], strict=True):
+            if x1 <= from_x:
+                continue
+            if (x1 - end) / unit > max_gap or like:
+                break
+            parts.append(text)
+            end = x2
+        return parts, end
+
+    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["line", "x1", "span_id"], kind="stable").reset_index(drop=True)
+        heights = (pdf.y2 - pdf.y1)[(pdf.y2 - pdf.y1) > 0]
+        usual = float(heights.median()) if len(heights) else 1.0
+        rows = [g.reset_index(drop=True) for _, g in pdf.groupby("line", sort=True)]
+        boxes = [(g.y1.min(), g.y2.max()) for g in rows]
+        out = []
+        for s in pdf[pdf.start].itertuples():
+            unit = (s.y2 - s.y1) if s.y2 > s.y1 else usual
+            own = rows[next(i for i, g in enumerate(rows) if s.line == g.line.iloc[0])]
+            first = own[own.span_id == s.span_id]
+            text = " ".join(walk(pd.concat([first, own[own.x1 > s.x1]]), s.x1, unit)[0])
+            value, above, bottom, centre = text, text, s.y2, (s.y1 + s.y2) / 2
+            for g, (top, low) in zip(rows, boxes, strict=True):
+                if (top + low) / 2 <= centre:
+                    continue
+                begin = g[g.x1 <= s.x1 + indent * unit].head(1)
+                if (top - bottom) / unit > max_row_gap or not len(begin) or abs(begin.x1.iloc[0] - s.x1) > indent * unit or begin.label_like.iloc[0]:
+                    break
+                text = " ".join(walk(pd.concat([begin, g[g.x1 > begin.x1.iloc[0]]]), begin.x1.iloc[0], unit)[0])
+                value += row_separator(above, text) + text
+                above, bottom, centre = text, low, (top + low) / 2
+            out.append((s.doc_id, s.page, s.span_id, value))
+        return pd.DataFrame(out, columns=["doc_id", "page", "span_id", "value"])
+
+    return spans.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, span_id long, value string")

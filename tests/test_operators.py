@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lookup_key
-from ledgerloom.operators import address, captions, evaluate, fields, layout, records, validate
+from ledgerloom.operators import address, captions, classify, evaluate, fields, layout, records, validate
 from ledgerloom.sources import lookups, spans
 from ledgerloom.streaming import landing
 
@@ -136,3 +136,34 @@ def test_fragment_tier(spark):
     df = spark.createDataFrame([("Near Old Road",), ("Park ROAD.",), ("Bawana Industrial Area 2",), ("Kondli",)], "x string")
     got = [r[0] for r in df.select(captions.fragment_tier(F.col("x"), tiers, ["estate_zone", "landmark", "thoroughfare"])).collect()]
     assert got == ["landmark", "thoroughfare", "estate_zone", "unknown"]
+
+
+def test_continued_values(spark):
+    rows = [  # span, text, line, label_like, start, x1, y1
+        (1, "Address", 0, True, False, 0.0, 0.0), (2, "Flat 3, Block C,", 0, False, True, 100.0, 0.0), (3, "3rd Floor, Park", 0, False, False, 185.0, 0.0), (4, "far away", 0, False, False, 400.0, 0.0),
+        (5, "Sector 18", 1, False, False, 102.0, 11.0), (6, "Pune", 2, False, False, 100.0, 22.0), (7, "PAN", 3, True, False, 100.0, 33.0), (8, "x", 4, False, False, 100.0, 44.0),
+    ]
+    df = spark.createDataFrame([(1, 1, i, t, n, like, s, x, y, x + 5 * len(t), y + 10) for i, t, n, like, s, x, y in rows], "doc_id long, page int, span_id long, text string, line int, label_like boolean, start boolean, x1 double, y1 double, x2 double, y2 double")
+    assert [tuple(r) for r in layout.continued_values(df).collect()] == [(1, 1, 2, "Flat 3, Block C, 3rd Floor, Park, Sector 18 Pune")]
+
+
+def test_caption_leaks_give_way_to_alternatives(spark):
+    leak = lambda v: classify.caption_leak(v, ["address of principal place of business"], ["address", "legal"], ["small", "micro"])
+    rows = [("Small", ["Acme Ltd"]), ("Trade Name, if any", ["Micro", "Bolt Co"]), ("Address of Principal Place of", []), ("Acme", ["x"]), ("Address of the long lane where many people went by bus today", None), (None, None)]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, r struct<v:string, a:array<string>>")
+    got = [(r[0]["value"], r[0]["replaced"]) for r in df.orderBy("i").select(classify.best_text(F.col("r.v"), F.col("r.a"), leak)).collect()]
+    assert got == [("Acme Ltd", True), ("Bolt Co", True), ("", False), ("Acme", False), ("Address of the long lane where many people went by bus today", False), ("", False)]
+
+
+def test_review_names_and_url(spark):
+    flags = spark.createDataFrame([(1, "pan", 3), (1, "email", 2), (1, "pan", 4), (1, "zz", 1)], "packet_id int, field string, stage int")
+    assert classify.review_names(flags, {"pan": "pan_number", "email": "email"}).first()["needs_review"] == ["email", "pan_number"]
+    assert spark.range(1).select(classify.company_url("http://h/", F.lit("O'Neil"), "VendorCard")).first()[0] == "http://h/Company('O''Neil')/VendorCard"
+
+
+def test_premises_are_no_city(spark):
+    states = spark.createDataFrame([("punjab", "Punjab")], "key string, state string")
+    cities = spark.createDataFrame([("mohali",)], "key string")
+    df = spark.createDataFrame([(1, "Hall 2, Metro Logistics Park, Punjab"), (2, "Hall 2, Barville, Punjab")], "id long, address string")
+    got = {r["id"]: r["city"] for r in address.resolve(df, states, cities, tiers={"estate_zone": {"tail": ["park"]}}).collect()}
+    assert got == {1: "", 2: "Barville"}
