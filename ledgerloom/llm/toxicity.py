@@ -188,7 +188,8 @@ def train(
     odds = F.log((F.col("n1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n0 + 1.0))
     stats = stats.where("f >= 0").withColumn("odds", odds)
     z_score = F.abs("odds") / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
-    chosen = {r["f"]: abs(r["odds"]) for r in stats.where(F.col("n0") + F.col("n1") >= min_docs).orderBy(z_score.desc(), "f").limit(max_features).collect()}
+    most = min(max_features, max(200, 3 * min(n0, n1)))  # few examples cannot carry many weights
+    chosen = {r["f"]: abs(r["odds"]) for r in stats.where(F.col("n0") + F.col("n1") >= min_docs).orderBy(z_score.desc(), "f").limit(most).collect()}
     # The terms themselves always have weights, else the penalty would have nothing to hold down.
     for term in (t for g in identity_terms for t in g):
         chosen.setdefault(zlib.crc32(term.encode()) % DIMS, 0.1)
