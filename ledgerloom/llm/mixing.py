@@ -11,7 +11,7 @@ Every document is kept, once. When a source has no blocks left, a new phase
 begins, in which the sources that remain share the slots by their weights.
 
 Only DataFrame functions are used. A hot source is numbered in ranges of its hash (some
-thousand rows each), so that no task gets a whole source; the plan has one row per
+hundred rows each), so that no task gets a whole source; the plan has one row per
 source and is broadcast only up to ``BROADCAST_SOURCES`` of them. The fold costs
 sources x Q steps per phase, and there are at most as many phases as sources.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import materialise, table
 
 BROADCAST_SOURCES = 1_000
-RANGE_ROWS = 4_096
+RANGE_ROWS = 512
 
 
 def one_cycle(weights: Column) -> Column:
