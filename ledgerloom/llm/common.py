@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
+    """Bounds the bytes of an Arrow batch for the session: rows hold whole texts, so a bound on their
+    number (Spark's 10,000) bounds nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: this cuts lineage,
     and a lost executor costs only the tasks that it ran."""

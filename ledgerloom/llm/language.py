@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, crc_mod, materialise, table
+from ledgerloom.llm.common import bounded_sample, crc_mod, materialise, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -99,6 +99,7 @@ class LanguageModel:
 
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_words: int = 40_000, max_grams: int = 40_000) -> LanguageModel:
     """Fit on rows of text and language; the caller bounds their number."""
+    small_batches(labelled.sparkSession)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by: dict[str, Counter] = {}

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, table
+from ledgerloom.llm.common import materialise, small_batches, table
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shingles import mix, set_digest, shingle_sets
 
@@ -165,6 +165,7 @@ def near_duplicates(
     unit_shingles: int = 2_000_000, unit_docs: int = 4_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): the components of links with at least ``percent`` similarity."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, crc_mod, table
+from ledgerloom.llm.common import bounded_sample, crc_mod, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 20
@@ -242,6 +242,7 @@ def score_column(model: ToxicityModel, text_col: str = "text"):  # noqa: ANN201
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int) -> DataFrame:
     """Texts with a label of documents outside the held-out fold, about ``most`` of them."""
+    small_batches(docs.sparkSession)
     ids = labels.where(F.col(label).isNotNull() & (crc_mod("doc_id", mod) != held)).select("doc_id", F.col(label).alias("label"))
     ids = bounded_sample(ids, "doc_id", most, f"train {label}")
     return docs.select(F.col("doc_id"), F.col("text")).join(ids, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label")
