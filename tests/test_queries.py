@@ -1,6 +1,7 @@
 """Every record query against DuckDB, and the driver's contract."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     df = df[sorted(df.columns)]
-    show = lambda v: "null" if v is None or v != v or str(v) == "<NA>" else f"{v:.9g}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, r)) for r in df.itertuples(index=False))
 
 
