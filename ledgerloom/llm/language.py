@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import bounded_sample, crc_mod, materialise, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 4
+LONGEST = 4  # backoff() spells these lengths out
 
 
 def letters_in(word: str) -> bool:
@@ -53,42 +53,53 @@ class LanguageModel:
     langs: list[str]
     words: dict[str, int]
     word_logs: np.ndarray
-    grams: dict[str, np.ndarray]
+    grams: dict[str, int]
+    gram_logs: np.ndarray  # one row more than grams: the last is for unknown characters
     _rows: dict = field(default_factory=dict, repr=False)
     _logs: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_rows": {}, "_logs": None}
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Evidence of an unseen word: at every place the longest known n-gram, on average."""
-        w = f"\x02{word}\x03"
-        total = np.zeros(len(self.langs))
-        for i in range(len(w)):
-            for n in range(min(LONGEST, len(w) - i), 0, -1):
-                if (own := self.grams.get(w[i : i + n])) is not None:
-                    total += own
-                    break
-        return total / len(w) * 2
+    def backoff(self, words: list[str]) -> np.ndarray:
+        """Evidence of unseen words: at every place the longest known n-gram, on average."""
+        found, at, none = self.grams, [], len(self.grams)
+        lengths = [len(w) + 2 for w in words]
+        for word in words:
+            w = f"\x02{word}\x03"
+            for i in range(len(w)):
+                own = found.get(w[i : i + 4])
+                if own is None:
+                    own = found.get(w[i : i + 3])
+                    if own is None:
+                        own = found.get(w[i : i + 2])
+                        if own is None:
+                            own = found.get(w[i], none)
+                at.append(own)
+        sums = np.add.reduceat(self.gram_logs[at], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
+        return sums / np.array(lengths)[:, None] * 2
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if self._logs is None or len(self._rows) > len(self.words) + ROOM:
             self._rows = dict(self.words)
             self._logs = np.concatenate([self.word_logs, np.zeros((2 * ROOM, len(self.langs)))])
-        rows, counts = [], []
+        rows, counts, new = [], [], []
         for w, n in Counter(WORD.findall(text.lower())).items() if text else ():
             at = self._rows.get(w)
             if at is None:
                 if not letters_in(w):
                     continue
                 at = self._rows[w] = len(self._rows)
-                if at == len(self._logs):  # only a text with very many new words comes here
-                    self._logs = np.concatenate([self._logs, np.zeros_like(self._logs)])
-                self._logs[at] = self.backoff(w)
+                new.append(w)
             rows.append(at)
             counts.append(n)
         if not rows or not self.langs:
             return "und", 0.0
+        if new:
+            until = len(self._rows)
+            if until > len(self._logs):  # only a text with very many new words comes here
+                self._logs = np.concatenate([self._logs, np.zeros((until, len(self.langs)))])
+            self._logs[until - len(new) : until] = self.backoff(new)
         n = np.array(counts, float)
         z = n @ self._logs[rows] / n.sum() * min(n.sum(), 25)
         p = np.exp(z - z.max())
@@ -143,7 +154,8 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         langs,
         {r["gram"]: i for i, r in enumerate(kept["w"])},
         np.array([centred("w", r["by"]) for r in kept["w"]]).reshape(len(kept["w"]), len(langs)),
-        {r["gram"]: centred("g", r["by"]) for r in kept["g"]},
+        {r["gram"]: i for i, r in enumerate(kept["g"])},
+        np.array([centred("g", r["by"]) for r in kept["g"]] + [np.zeros(len(langs))]).reshape(len(kept["g"]) + 1, len(langs)),
     )
 
 
