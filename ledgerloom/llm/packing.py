@@ -94,7 +94,7 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pack(
-    docs: DataFrame, *, capacity: int = 2_048, shard_rows: int = 8_192, text_col: str = "text", source_col: str = "source", cluster_col: str | None = None
+    docs: DataFrame, *, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source", cluster_col: str | None = None
 ) -> DataFrame:
     """(bin_id, doc_id, piece, start_word, n_words): the pieces that each bin holds."""
     total = docs.count()
