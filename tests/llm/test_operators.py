@@ -258,6 +258,20 @@ def test_recall_and_exact_scores(spark):
     assert hit >= 0.9 * total
 
 
+def test_near_copies_in_large_files_are_all_read(spark):
+    """Members of a tight group share nearly one permutation: the footrule cannot rank them."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=64) * 3 + 0.01 * rng.normal(size=(1000, 64)) for _ in range(5)] + [rng.normal(size=(500, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, pivots=10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, len(x), 100):
+        dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        dist[q] = np.inf
+        assert got[q] == np.argsort(dist, kind="stable")[:10].tolist()
+
+
 # --- 8 mixing ----------------------------------------------------------------------------------
 
 
