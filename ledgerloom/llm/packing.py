@@ -9,11 +9,12 @@ found; if there is none, a new bin is opened. Longer pieces go first.
 Scale: rows are dealt by a hash of the document id to shards of about ``shard_rows``
 rows, whose number follows the row count, so a hot source or cluster is spread over all
 shards and no task grows with the input. Only ids, lengths and cluster hashes are
-shuffled, not texts. Bins belong to one shard.
+shuffled by packing itself, not texts. Bins belong to one shard.
 
 Defined results: a document longer than the capacity is cut into full pieces and a rest;
 null and texts without words are one piece of no words. A null source conflicts with
-no other null source. Clusters are copies of one text or given by ``cluster_col``.
+no other null source. Clusters are copies of one text or given by ``cluster_col``;
+``pack_apart`` takes the components of near copies.
 Repeated rows are documents of their own, and so never share a bin (equal
 clusters). An empty table gives no rows. Other columns are not read.
 """
@@ -22,10 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import table
+from ledgerloom.llm.ngram_join import near_duplicates
 
 
 class Bins:
@@ -93,30 +95,56 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out
 
 
-def pack(
-    docs: DataFrame, *, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source", cluster_col: str | None = None
-) -> DataFrame:
-    """(bin_id, doc_id, piece, start_word, n_words): the pieces that each bin holds."""
-    total = docs.count()
-    shards = max(1, -(-total // shard_rows))
+def measures(text_col: str, source_col: str, cluster_col: str | None) -> list[Column]:
+    """doc_id, source, cluster and n_words: all that packing needs of a document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards)).cast("int").alias("shard"),
+    return [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.xxhash64(text if cluster_col is None else F.col(cluster_col)).alias("cluster"),
         F.regexp_count(text, F.lit(r"\S+")).cast("int").alias("n_words"),
-    )
+    ]
+
+
+def hashed_shard(total: int, shard_rows: int) -> Column:
+    shards = max(1, -(-total // shard_rows))
+    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
+
+
+def packed(rows: DataFrame, capacity: int) -> DataFrame:
+    """Best fit over every shard of (shard, doc_id, source, cluster, n_words)."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(pdf, capacity)
 
-    packed = rows.groupBy("shard").applyInPandas(one, "shard int, doc_id long, piece int, start_word int, n_words int, bin long")
-    return packed.select(
-        F.concat_ws("-", "shard", "bin").alias("bin_id"), "doc_id", "piece", "start_word", "n_words"
-    )
+    rows = rows.select("shard", "doc_id", "source", "cluster", "n_words")
+    out = rows.groupBy("shard").applyInPandas(one, "shard int, doc_id long, piece int, start_word int, n_words int, bin long")
+    return out.select(F.concat_ws("-", "shard", "bin").alias("bin_id"), "doc_id", "piece", "start_word", "n_words")
+
+
+def pack(
+    docs: DataFrame, *, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source", cluster_col: str | None = None
+) -> DataFrame:
+    """(bin_id, doc_id, piece, start_word, n_words): the pieces that each bin holds."""
+    rows = docs.select(*measures(text_col, source_col, cluster_col))
+    return packed(rows.withColumn("shard", hashed_shard(docs.count(), shard_rows)), capacity)
+
+
+def pack_apart(
+    docs: DataFrame, *, words: int = 5, percent: int = 80, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``pack`` with the components of near copies as clusters.
+
+    Rows are named by a hash of id and text, so that repeated and null ids keep their texts apart. Texts
+    without words have no near copies; their cluster is the exact text."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
+    found = near_duplicates(docs.select(key.alias("key"), text_col), words=words, percent=percent, id_col="key", text_col=text_col)
+    found = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
+    rows = docs.select(key.alias("key"), *measures(text_col, source_col, None)).join(found, "key", "left")
+    rows = rows.withColumn("cluster", F.coalesce("component", "cluster"))
+    return packed(rows.withColumn("shard", hashed_shard(docs.count(), shard_rows)), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in bins of 2,048 words, no two of one source or of one text together."""
-    return pack(table(spark, sf_dir, "documents"))
+    """All documents in bins of 2,048 words, no two of one source or near copies (five words, 0.8) together."""
+    return pack_apart(table(spark, sf_dir, "documents"))

@@ -206,6 +206,20 @@ def test_packing_keeps_every_word_and_no_conflict(spark, docs):
         assert len({text[r["doc_id"]]["source"] for r in b}) == len(b) and len({text[r["doc_id"]]["text"] for r in b}) == len(b)
 
 
+def test_near_copies_of_different_sources_are_not_packed_together(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]]), f"s{i}") for i in range(4)] + [(4, " ".join(base).upper(), "s4"), (5, "  ".join(base), "s5")]
+    rows += [(6, "other words here", "s6"), (6, "OTHER words  here", "s7"), (None, "other words here", "s8"), (9, "", "s9"), (10, "", "s10"), (11, None, "s11")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_packing"](spark, str(tmp_path)).collect()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["bin_id"]].append(r["doc_id"])
+    assert sorted(i for b in bins.values() for i in b if i is not None) == sorted(r[0] for r in rows if r[0] is not None) and len(got) == len(rows)
+    for b in bins.values():
+        assert sum(i in range(6) for i in b) <= 1 and sum(i in (6, None) for i in b) <= 1 and sum(i in (9, 10, 11) for i in b) <= 1
+
+
 def test_best_fit_is_the_tightest_compatible_bin():
     rng = np.random.default_rng(5)
     bins, plain_bins = packing.Bins(100, 1), []
