@@ -9,7 +9,9 @@ found; if there is none, a new bin is opened. Longer pieces go first.
 Scale: rows are dealt by a hash of the document id to shards of about ``shard_rows``
 rows, whose number follows the row count, so a hot source or cluster is spread over all
 shards and no task grows with the input. Only ids, lengths and cluster hashes are
-shuffled by packing itself, not texts. Bins belong to one shard.
+shuffled by packing itself, not texts. Bins belong to one shard. ``pack_mixed`` deals by the
+mix of sources instead: a shard is ``shard_rows`` documents that follow one another in the mix, and
+shards are numbered in its order. Places are counted in slots, then in runs of about sqrt(slots) of them.
 
 Defined results: a document longer than the capacity is cut into full pieces and a rest;
 null and texts without words are one piece of no words. A null source conflicts with
@@ -21,12 +23,15 @@ clusters). An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import materialise, table
+from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.ngram_join import near_duplicates
 
 
@@ -145,6 +150,27 @@ def pack_apart(
     return packed(rows.withColumn("shard", hashed_shard(docs.count(), shard_rows)), capacity)
 
 
+def mix_places(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``place``: how many rows precede a row in the mix (``mix_position`` has gaps)."""
+    slots = materialise(mixed.groupBy("mix_slot").agg(F.count("*").alias("n"), F.min("mix_position").alias("least")), "mix-slots")
+    run = max(1, math.isqrt((slots.agg(F.max("mix_slot")).first()[0] or 0) + 1))
+    slots = slots.withColumn("run", F.floor(F.col("mix_slot") / run))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = slots.groupBy("run").agg(F.sum("n").alias("n")).select("run", before(Window.partitionBy(F.lit(1)).orderBy("run")).alias("runs_before"))
+    slots = slots.withColumn("slots_before", before(Window.partitionBy("run").orderBy("mix_slot"))).join(runs, "run")
+    starts = slots.select("mix_slot", (F.col("runs_before") + F.col("slots_before") - F.col("least")).alias("__shift"))
+    return mixed.join(starts, "mix_slot").withColumn("place", F.col("mix_position") + F.col("__shift")).drop("__shift")
+
+
+def pack_mixed(
+    docs: DataFrame, *, weights: dict[str, int] | None = None, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """``pack`` with shards that are ranges of the mix of sources, so bins follow its target weights."""
+    rows = materialise(docs.select(*measures(text_col, source_col, None)), "pack-rows")
+    mixed = materialise(mix(rows, weights=weights).select("doc_id", "source", "cluster", "n_words", "mix_slot", "mix_position"), "pack-mix")
+    return packed(mix_places(mixed).withColumn("shard", F.floor(F.col("place") / shard_rows).cast("int")), capacity)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in bins of 2,048 words, no two of one source or near copies (five words, 0.8) together."""
     return pack_apart(table(spark, sf_dir, "documents"))

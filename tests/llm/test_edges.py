@@ -128,3 +128,18 @@ def test_pipeline_stages_against_plain_python(spark):
     assert red.count() == docs.count() and red.where("n_chars <> length(text)").count() == 0
     assert red.where("text rlike 'token = \"[0-9a-f]{40}'").count() == 0
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("weights", [{"hot": 1, "cold": 1}, {"hot": 9, "cold": 1}])
+def test_bins_follow_the_mix(spark, monkeypatch, weights):
+    """Shards of the packing are ranges of the mix, whose target weights show in the first ones."""
+    monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights, raising=False)
+    rows = [(i, f"word{i} " * (1 + i % 5), "hot" if i % 3 else "cold", 1) for i in range(7_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    order = [r["doc_id"] for r in mixing.mix(docs, weights=weights).orderBy("mix_position").collect()]
+    got = {}
+    for r in dict(corpus_pipeline.STAGES)["packing"](spark, docs, "").collect():
+        got.setdefault(int(r["bin_id"].split("-")[0]), set()).add(r["doc_id"])
+    assert [got[k] for k in sorted(got)] == [set(order[at : at + 2_048]) for at in range(0, 7_000, 2_048)]
+    hot = sum(i % 3 > 0 for i in got[0]) / 2_048
+    assert abs(hot - weights["hot"] / sum(weights.values())) < 0.03
