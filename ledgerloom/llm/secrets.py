@@ -1,7 +1,8 @@
 """Operator 10: secret scan with a random forest that removes false positives.
 
-Candidates are private-key blocks and runs of 16 or more letters, digits and ``+ / _ -`` with at
-least one digit. Every occurrence is described by its length, its character transitions,
+Candidates are private-key blocks (also PGP's and those without an end line), runs of 16 or more
+letters, digits and ``+ / _ -`` with at least one digit, and values of six or more characters right after the
+assignment of a key word or in ``scheme://user:value@``; these last count only in such a place. Every occurrence is described by its length, its character transitions,
 how much of it dictionary words cover, the path (source) it stands in and the words
 beside it; a random forest trained on labelled findings decides whether it is a secret.
 
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import materialise, table
 
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:\s+[A-Za-z\-]{1,40}: [^\n]{0,200})*(?:\s+[A-Za-z0-9+/=]{16,})+(?:\s+[A-Za-z0-9+/]+={1,2})?"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 )
 # Words whose neighbourhood speaks for or against a secret, words that names are made of, and public key prefixes.
 KEY_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|apikey|access[ _-]?key|auth|bearer|credential|private[ _-]?key|client[ _-]?key"
 PLAIN_WORDS = "commit|sha-?1|sha-?256|md5|checksum|digest|revision|uuid|card|order|invoice|phone|isbn|account number|image|base64,|version|build|request|session of"
+ASSIGNMENT = "(?i)(?:" + KEY_WORDS + r")[A-Za-z0-9_]{0,12}[\"'`]?\s{0,2}(?::=|=>|=|:)\s{0,2}[\"'`]?"
+ASSIGNED = ASSIGNMENT + r"([^\s\"'`]{5,}[^\s\"'`,;])"
+IN_URL = r"(?i)[a-z][a-z0-9+.\-]{1,15}://[^\s/:@\"'`]+:([^\s/@\"'`]{6,})@"
 DICTIONARY = (
     "example|sample|test|dummy|your|here|insert|change|placeholder|token|secret|password|key|value|user|name|file|path|data|image|index|page|list|item|"
     "version|release|build|config|default|local|home|usr|lib|bin|src|main|python|java|node|module|package|service|server|client|request|response|"
@@ -46,10 +51,13 @@ NEAR = 48
 
 def occurrences(text: Column) -> Column:
     """Every occurrence of every candidate: array<struct<value, start, before, after>>."""
-    values = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    placed = F.concat(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(text, F.lit(IN_URL), F.lit(1)))
+    # A run that only a sentence's mark follows is the run.
+    placed = F.filter(F.array_distinct(placed), lambda v: ~F.array_contains(runs, v) & ~F.array_contains(runs, F.regexp_replace(v, r"[.!?:)\]}>]+\z", "")))
 
     def of(value: Column) -> Column:
-        pieces = F.split(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")))
+        pieces = F.split(text, F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
         return F.transform(
             F.array(pieces),
             lambda p: F.transform(
@@ -63,7 +71,10 @@ def occurrences(text: Column) -> Column:
             ),
         )[0]
 
-    return F.flatten(F.transform(values, of))
+    def in_place(o: Column) -> Column:
+        return o["before"].rlike(ASSIGNMENT + r"\z") | (o["before"].rlike(r"[^\s/:@\"'`]:\z") & o["after"].startswith("@"))
+
+    return F.concat(F.flatten(F.transform(runs, of)), F.filter(F.flatten(F.transform(placed, of)), in_place))
 
 
 def described(found: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -88,6 +99,8 @@ def described(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_key_word": flag(b.rlike(KEY_WORDS)), "f_key_close": flag(b.rlike("(?:" + KEY_WORDS + r")\S{0,12}\s{0,2}[=:>]{0,2}\s{0,2}[\"'`]?\z")),
         "f_plain_word": flag(b.rlike("(?:" + PLAIN_WORDS + r")\W{0,6}\z")), "f_assigned": flag(b.rlike(r"[=:]\s{0,2}[\"'`]?\z")),
         "f_quoted": flag(b.rlike(r"[\"'`]\z") & a.rlike(r"\A[\"'`]")), "f_in_address": flag(b.rlike(r"[@.]\z") | a.rlike(r"\A[@.][a-z]")),
+        "f_in_url": flag(b.rlike(r"[^\s/:@\"'`]:\z") & a.startswith("@")), "f_other_marks": rate(r"[^A-Za-z0-9+/_\-=]"), "f_vowels": rate("(?i)[aeiou]"),
+        "f_code": flag(v.rlike(r"[(\[]|\A[$<{%*]|\A[A-Za-z_]+(?:\.[A-Za-z_]+)+\z|\*{3}")), "f_word": flag(v.rlike(r"\A[A-Z]?[a-z]+[.!?:)]*\z")),
         "f_test_path": flag(path.rlike("test|example|sample|mock|fixture|doc")),
     }
     return found.withColumns(columns), list(columns)
@@ -111,6 +124,14 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
     name = F.concat_ws("_", pick("rk", "inter", "report", "module", "user", "thandes", "eauelle"), pick("rl", "national", "request", "package", "version", "ververein"), pick("rm", "service", "number", "index", "ciónes"), (F.col("rn") + 10).cast("string"))
     path = F.concat(pick("rk", "/usr/lib/", "/home/user/", "src/main/", "https/www/"), pick("rl", "python3", "java8", "node18"), pick("rm", "/site-packages/", "/modules/", "/resources/"), pick("rn", "index2", "data_2024", "page10"))
     block = F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.base64(F.unhex(F.concat("ha", "hb", "hc", "hd"))), F.lit("\n-----END RSA PRIVATE KEY-----"))
+    key_lines = F.concat(F.base64(F.unhex(F.concat("ha", "hb"))), F.lit("\n"), F.base64(F.unhex(F.concat("hc", "hd"))))
+    open_block = F.concat(pick("rk", "-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 2\n\n"), key_lines)
+    pgp_block = F.concat(F.lit("-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n"), key_lines, F.lit("\n-----END PGP PRIVATE KEY BLOCK-----"))
+    short = F.concat(pick("rk", "hunter", "dragon", "pa55w", "Summer", "kitt", "Qwe", "blue"), F.substring("hb", 1, 3), (F.pmod("rn", F.lit(90)) + 10).cast("string"), pick("rm", "", "x", "Z"))
+    marked = F.concat(F.substring(alnum, 1, 4), pick("rk", "!", "@", "#", "$", "."), F.substring(alnum, 5, 3), pick("rn", "!", "$", "", "#", "@9"), F.substring(alnum, 9, 2))
+    letters = F.translate(hex40, "0123456789ae", "ghkqzmnpxwtv")
+    common = F.concat(pick("rk", "requir", "incorrect", "pleas", "position", "enabl", "optional", "forgott", "strong", "generat", "thandes"), pick("rn", "ed", "es", "ing", "ly", "er", "ion"), pick("rm", "", ".", "", "!"))
+    code = F.concat(pick("rk", "getpass.getpass()", "os.environ", "${DB_PASSWORD}", "<password>", "********", "config.secret", "$TOKEN_VALUE", "{{token}}", "settings.auth.key", "request.get(x)"), pick("rn", "", "", ")", ""))
     stamp = F.concat(F.lit("2024-0"), (F.pmod("rk", F.lit(9)) + 1).cast("string"), F.lit("-1"), F.pmod("rl", F.lit(10)).cast("string"), F.lit("T10-"), (F.pmod("rm", F.lit(50)) + 10).cast("string"), F.lit("-00Z"))
     filler = F.concat_ws(" ", pick("rk", "of the thand", "und der enlich", "les eau", "los ción", "here is", "we use", "", "| oreat |"), pick("rn", "in", "with", "the", "erst", "queaux", ","))
     word = pick("rl", "token", "secret", "password", "api_key", "API_KEY", "access_key", "auth_token", "TOKEN", "client_secret", "Authorization", "my_token", "DB_PASSWORD")
@@ -125,9 +146,11 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
     parts = {
         "secret_hex": secret_hex, "hex40": hex40, "hex64": hex64, "b64": b64, "alnum": alnum, "digits": digits, "uuid": uuid, "name": name, "where": path, "block": block, "stamp": stamp,
         "filler": filler, "keyed": keyed, "key_after": key_after, "plain_after": plain_after, "prose": prose, "key_path": key_path, "doc_path": doc_path,
+        "open_block": open_block, "pgp_block": pgp_block, "short": short, "marked": marked, "letters": letters, "common": common, "code": code, "url": F.concat(filler, pick("rl", " postgres", " https", " amqp", " redis"), F.lit("://"), pick("rm", "bob:", "admin:", "svc_1:")), "url_after": pick("rk", "@db.host/x", "@10.0.0.1:80", "@example.org und"),
     }
     base = materialise(base.withColumns(parts), "secret-parts")
-    (secret_hex, hex40, hex64, b64, alnum, digits, uuid, name, path, block, stamp, filler, keyed, key_after, plain_after, prose, key_path, doc_path) = map(F.col, parts)
+    (secret_hex, hex40, hex64, b64, alnum, digits, uuid, name, path, block, stamp, filler, keyed, key_after, plain_after, prose, key_path, doc_path,
+     open_block, pgp_block, short, marked, letters, common, code, url, url_after) = map(F.col, parts)
     # Kinds in turn: value, before, after, path, label.
     kinds = [
         (secret_hex, keyed, key_after, key_path, 1), (F.col("ha"), keyed, key_after, key_path, 1), (hex64, keyed, key_after, key_path, 1),
@@ -140,6 +163,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
         (name, prose, plain_after, doc_path, 0), (name, keyed, key_after, doc_path, 0), (path, prose, plain_after, doc_path, 0), (stamp, prose, plain_after, doc_path, 0),
         (F.concat(pick("rk", "your_token_here_", "example_key_", "insert-your-key-", "changeme-password-"), F.lit("12345678")), keyed, key_after, doc_path, 0),
         (F.concat(F.repeat(F.lit("x"), 20), F.lit("1")), keyed, key_after, doc_path, 0), (F.concat(b64, b64), plain_before("image", "base64,"), plain_after, doc_path, 0),
+        (open_block, prose, plain_after, key_path, 1), (pgp_block, prose, plain_after, doc_path, 1), (short, keyed, key_after, key_path, 1), (marked, keyed, key_after, key_path, 1),
+        (letters, keyed, key_after, key_path, 1), (F.substring(letters, 1, 20), keyed, key_after, doc_path, 1), (short, url, url_after, key_path, 1), (marked, url, url_after, doc_path, 1),
+        (common, keyed, key_after, doc_path, 0), (common, keyed, key_after, key_path, 0), (code, keyed, key_after, key_path, 0), (code, url, url_after, doc_path, 0),
     ]
     turn = F.pmod(F.col("id"), F.lit(len(kinds)))
     made = base.select(*[
