@@ -1,4 +1,7 @@
-"""From spans to one validated record per packet: the whole extraction as one plan over many packets.
+"""From spans to one validated record per packet, as one plan over many packets.
+
+Not built yet: values that go on over several spans or rows (only the one span beside a caption is
+read) and a lower score for values that fit another field's pattern.
 
 Geometry is joined per page, choices are made per packet and field; every stage is a DataFrame, so
 Spark plans the exchanges (page, then packet and field) and nothing is looped over on the driver.
