@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all machines share.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made, and the setting is kept for the rest of the session.
+    Only where the session names none and runs on one machine (tests) is a temporary folder made, kept
+    for the rest of the session; on a cluster a missing setting is an error, as executors would
+    each write to a disk of their own.
     """
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.ledgerloom.scratch", None
-    )
+    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = known or spark.conf.get("spark.ledgerloom.scratch", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.ledgerloom.scratch", known)
     return known
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(spark: SparkSession, megabytes: int = 4) -> None:
-    """Bounds the bytes of an Arrow batch for the session: rows hold whole texts, so a bound on their
-    number (Spark's 10,000) bounds nothing."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    """Bounds the bytes of an Arrow batch: rows hold whole texts, so a bound on their number (Spark's
+    10,000) bounds nothing. Plans run after the operator has returned, so this is a setting of the
+    session; one that the user has made tighter stays."""
+    own, bound = spark.conf.get(BATCH_BYTES).lower().rstrip("b"), megabytes << 20
+    if not own.isdigit() or int(own) > bound:
+        spark.conf.set(BATCH_BYTES, str(bound))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -50,9 +57,9 @@ def crc_mod(col: str, mod: int) -> Column:
     return F.crc32(F.col(col).cast("string")) % F.lit(mod)
 
 
-def crc_fraction(key: str) -> float:
-    """A stable number in [0, 1) for a string, for sampling inside Python tasks."""
-    return zlib.crc32(key.encode()) / 2**32
+def held_out(mod: int, fold: int) -> Column:
+    """Whether a document is outside the rows to learn from; so is one without an id."""
+    return F.coalesce(crc_mod("doc_id", mod) == fold, F.lit(True)).alias("held_out")
 
 
 def bounded_sample(ids: DataFrame, key: str, most: int, seed: str) -> DataFrame:

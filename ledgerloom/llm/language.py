@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, crc_mod, materialise, small_batches, table
+from ledgerloom.llm.common import bounded_sample, crc_mod, held_out, materialise, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4  # backoff() spells these lengths out
@@ -176,6 +176,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1))
     ids = bounded_sample(fold.select("doc_id"), "doc_id", 5_000, "language")
     model = train(fold.join(ids, "doc_id", "left_semi"))
-    return docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), predict_columns(model).alias("p")).select(
+    return docs.select("doc_id", held_out(3, 1), predict_columns(model).alias("p")).select(
         "doc_id", "held_out", F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score")
     )

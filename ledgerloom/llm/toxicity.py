@@ -1,24 +1,28 @@
 """Operator 1: toxicity by a counterfactual-regularised classifier.
 
-A logistic model over words and word beginnings (log counts) is trained on
-labelled texts. Labelled texts that name a group of people are paired with the
-same text naming another group; the loss adds ``penalty`` times the squared
-change of the logit between the two, so that the mere mention of a group moves
-the score as little as possible.
+A logistic model over words and word beginnings (log counts) is trained on labelled texts. A
+labelled text that names a group of people is paired with the same text naming another group of the
+same kind. Of a text that names none, one sentence (chosen by a hash of the document's key) is
+given a mention of a group, and is paired with the sentence that names another one and
+with the sentence as it was. The loss adds ``penalty`` times the mean squared change of the
+logit over the pairs, so that the mere mention of a group moves the score as little as possible.
+A term shares its beginning with other words and would else inherit what these have learned.
 
 Features are chosen by the significance of their log odds and scaled by these
-(the naive-Bayes form of logistic regression), which learns from few examples.
+(the naive-Bayes form of logistic regression), which learns from few examples. The features of
+the identity terms always take part. Terms are a parameter; the table here covers four languages.
 
 Scale: two passes over a bounded sample of labelled rows (``max_train``, about
 10,000) choose the features with a distributed count and bring only the chosen
-ones to the driver, where the model (at most ``max_features`` weights) is fitted.
+ones to the driver, where the model (at most ``max_features`` weights and those of the terms) is fitted.
 Scoring is one map over the whole texts: no shuffle, and a model of fixed size.
 
 Defined results: null and empty texts have no features and get the score of the
-intercept alone. Rows with a null label are not learned from. Repeated labels of
-one document all count. Without positive or without negative labels the score is the
-share of positive labels (0 without any labels). Other columns of the inputs are
-not read.
+intercept alone. Rows with a null label are not learned from. Repeated rows and repeated labels of
+one document all count. Very long texts are scored whole, like any other. Without positive or
+without negative labels the score is the share of positive labels (0 without any labels); an
+empty table gives no rows. Other columns of the inputs are not read, whatever their names. A null
+``doc_id`` belongs to no fold: it is never learned from and its ``held_out`` is true.
 """
 
 from __future__ import annotations
@@ -35,24 +39,45 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import bounded_sample, crc_mod, small_batches, table
+from ledgerloom.llm.common import bounded_sample, crc_mod, held_out, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 DIMS = 1 << 20
 PREFIXES = (4, 5, 6, 7)
 
-# Terms for groups of people; terms of one line can replace each other.
+# Terms for groups of people, by language; terms of one line can replace each other.
 IDENTITY_TERMS = (
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics"),
-    ("black", "white", "asian", "african", "european", "latino", "indigenous"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("women", "men"),
-    ("woman", "man"),
-    ("girls", "boys"),
-    ("immigrants", "natives", "refugees", "foreigners"),
-    ("mexican", "chinese", "indian", "german", "french", "spanish", "american", "nigerian"),
-)
+    # English
+    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "protestant"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "protestants"),
+    ("black", "white", "asian", "african", "european", "latino", "indigenous", "arab"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender", "heterosexual"),
+    ("women", "men"), ("woman", "man"), ("girls", "boys"),
+    ("immigrants", "natives", "refugees", "foreigners", "citizens"),
+    ("mexican", "chinese", "indian", "german", "french", "spanish", "american", "nigerian", "turkish"),
+    ("elderly", "young", "disabled", "deaf", "blind"),
+    # German
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken", "protestanten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("frauen", "männer"), ("mädchen", "jungen"),
+    ("einwanderer", "einheimische", "flüchtlinge", "ausländer"),
+    ("türken", "deutsche", "franzosen", "spanier", "chinesen", "polen", "amerikaner"),
+    # French
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques", "protestants"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("gays", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("femmes", "hommes"), ("filles", "garçons"),
+    ("immigrés", "autochtones", "réfugiés", "étrangers"),
+    ("allemands", "français", "espagnols", "chinois", "mexicains", "américains"),
+    # Spanish
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos", "protestantes"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("mujeres", "hombres"), ("niñas", "niños"),
+    ("inmigrantes", "nativos", "refugiados", "extranjeros"),
+    ("alemanes", "franceses", "españoles", "chinos", "mexicanos", "americanos"),
+)
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -96,17 +121,35 @@ def swapped(text: str, groups: tuple[tuple[str, ...], ...]) -> str | None:
     return out if found else None
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+
+
+def mentions(text: str, key: str, groups: tuple[tuple[str, ...], ...]) -> tuple[str, str, str] | None:
+    """One sentence of a text, and the same with a mention of a group and of another one of its kind after the
+    first word; None where no sentence has a word. ``key`` decides on the sentence and the group."""
+    sentences = [s for s in SENTENCE_END.split(text) if WORD.search(s)]
+    if not sentences or not groups:
+        return None
+    h = zlib.crc32(key.encode())
+    own = sentences[h % len(sentences)]
+    line = groups[zlib.crc32(b"line" + key.encode()) % len(groups)]
+    one, other = (line[(h // 7 + i) % len(line)] for i in (0, 1))
+    at = WORD.search(own).end()  # type: ignore[union-attr]
+    return own, f"{own[:at]} {one}{own[at:]}", f"{own[:at]} {other}{own[at:]}"
+
+
 @dataclass
 class ToxicityModel:
-    """``index`` maps a hashed feature to its weight's place (-1: not used)."""
+    """``index`` maps a hashed feature to its weight's place (-1: not used); ``pairs`` counts the counterfactuals learned from."""
 
     features: np.ndarray
     weights: np.ndarray
     intercept: float
+    pairs: int = 0
     _index: np.ndarray | None = field(default=None, repr=False)
     _cache: dict = field(default_factory=dict, repr=False)
 
-    def score(self, text: str | None) -> float:
+    def logit(self, text: str | None) -> float:
         if self._index is None:
             self._index = np.full(DIMS, -1, np.int32)
             self._index[self.features] = np.arange(len(self.features))
@@ -114,10 +157,14 @@ class ToxicityModel:
         z = self.intercept
         for f, n in counts(Counter(WORD.findall((text or "").lower())), self._cache, self._index).items():
             z += self._w[f] * (1.0 + math.log(n))
+        return z
+
+    def score(self, text: str | None) -> float:
+        z = self.logit(text)
         return 1.0 / (1.0 + math.exp(-min(max(z, -60.0), 60.0)))
 
     def __getstate__(self) -> dict:
-        return {"features": self.features, "weights": self.weights, "intercept": self.intercept, "_index": None, "_cache": {}}
+        return {"features": self.features, "weights": self.weights, "intercept": self.intercept, "pairs": self.pairs, "_index": None, "_cache": {}}
 
 
 def fit_logistic(
@@ -190,9 +237,11 @@ def train(
     z_score = F.abs("odds") / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     most = min(max_features, max(200, 3 * min(n0, n1)))  # few examples cannot carry many weights
     chosen = {r["f"]: abs(r["odds"]) for r in stats.where(F.col("n0") + F.col("n1") >= min_docs).orderBy(z_score.desc(), "f").limit(most).collect()}
-    # The terms themselves always have weights, else the penalty would have nothing to hold down.
-    for term in (t for g in identity_terms for t in g):
-        chosen.setdefault(zlib.crc32(term.encode()) % DIMS, 0.1)
+    # The features of the terms always have weights, else the penalty would have nothing to hold down.
+    own = sorted({f for g in identity_terms for t in g for f in word_features(t)})
+    known = {r["f"]: abs(r["odds"]) for r in stats.where(F.col("f").isin(own)).collect()} if own else {}
+    for f in own:
+        chosen.setdefault(f, max(known.get(f, 0.0), 0.1))
     features = np.array(sorted(chosen), np.int64)
     scale = np.array([chosen[f] for f in features])
 
@@ -209,24 +258,30 @@ def train(
             out = []
             for k, t, y in zip(pdf["k"], pdf["t"], pdf["y"], strict=True):
                 t = t or ""
-                other = swapped(t, identity_terms)
-                out.append((k, y, *packed(t), *(packed(other) if other is not None else (None, None))))
-            yield pd.DataFrame(out, columns=["k", "y", "f", "n", "f2", "n2"])
-
-    got = data.mapInPandas(vectors, "k string, y int, f binary, n binary, f2 binary, n2 binary").orderBy("k", "y", "f").collect()
-    lists = [(r["f"], r["n"]) for r in got]
-    pairs = []
-    for i, r in enumerate(got):
-        if r["f2"] is not None:
-            pairs.append((i, len(lists)))
-            lists.append((r["f2"], r["n2"]))
+                out.append((k, y, 0, *packed(t)))
+                if (other := swapped(t, identity_terms)) is not None:
+                    out.append((k, y, 1, *packed(other)))
+                elif (three := mentions(t, k or "", identity_terms)) is not None:
+                    out += [(k, y, 2 + i, *packed(s)) for i, s in enumerate(three)]
+            yield pd.DataFrame(out, columns=["k", "y", "part", "f", "n"])
+
+    # Parts: 0 the text, 1 the text with swapped terms, 2 to 4 a sentence, with a mention, with another one.
+    got = data.mapInPandas(vectors, "k string, y int, part int, f binary, n binary").toPandas()
+    got = got.sort_values(["part", "k", "y", "f"], kind="stable", na_position="first").reset_index(drop=True)
+    place = {p: g.index.to_numpy() for p, g in got.groupby("part")}
+    none = np.zeros(0, np.int64)
+    texts, swaps = place.get(0, none), place.get(1, none)
+    named = {k: i for i, k in zip(texts, got["k"][texts], strict=True)}
+    pairs = [(named[k], i) for i, k in zip(swaps, got["k"][swaps], strict=True)]
+    pairs += [(b, c) for b, c in zip(place.get(3, none), place.get(4, none), strict=True)] + [(a, b) for a, b in zip(place.get(2, none), place.get(3, none), strict=True)]
+    lists = list(zip(got["f"], got["n"], strict=True))
     cols = np.concatenate([np.frombuffer(f, np.int32) for f, _ in lists])
     vals = 1.0 + np.log(np.concatenate([np.frombuffer(n, np.int32) for _, n in lists]).astype(float))
     vals *= scale[cols]
     rows = np.repeat(np.arange(len(lists)), [len(f) // 4 for f, _ in lists])
-    labels = np.array([r["y"] > 0 for r in got], float)
+    labels = (got["y"][texts] > 0).to_numpy().astype(float)
     w, b = fit_logistic(rows, cols, vals, labels, np.array(pairs, np.int64).reshape(-1, 2), len(lists), len(features), penalty)
-    return ToxicityModel(features, w * scale, b)
+    return ToxicityModel(features, w * scale, b, len(pairs))
 
 
 def score_column(model: ToxicityModel, text_col: str = "text"):  # noqa: ANN201
@@ -257,5 +312,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_on(docs, table(spark, sf_dir, "labels"))
     return docs.select(
-        "doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), score_column(model).alias("score")
+        "doc_id", held_out(4, 2), score_column(model).alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerloom.llm import chat, fingerprints, language, mixing, neighbours, ngram_join, packing, quality, secrets, toxicity
+from ledgerloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, node long, key string, value string, n long"
 
@@ -32,6 +33,17 @@ def test_toxicity(spark, odd, empty):
     assert empty.select(toxicity.score_column(model)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["op1_toxicity", "op5_quality", "op9_language"])
+def test_scoring_queries_on_odd_tables(spark, odd, empty, tmp_path, name):
+    """Clashing extra columns, repeated rows, null ids (held out, never learned from) and no rows at all."""
+    spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 0, 1), (8, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs, n in ((odd, 10), (empty, 0)):
+        docs.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(got) == n and all(0 <= r["score"] <= 1 and r["held_out"] is not None for r in got)
+        assert all(r["held_out"] for r in got if r["doc_id"] is None)
+
+
 def test_quality(spark, odd, empty):
     data = odd.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("doc_id"), "text", (F.col("lang") == "de").cast("int").alias("label"))
     for model in (quality.train(data), quality.train(data.limit(0))):

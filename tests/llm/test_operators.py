@@ -76,6 +76,77 @@ def test_counterfactual_penalty_calms_group_mentions(spark):
     assert swapped == "christian people" and abs(model.score("muslim people") - model.score(swapped)) < 0.05
 
 
+def test_penalty_acts_on_the_corpus(spark, docs):
+    """No document names a group here, so mentions are added: held-out neutral ones move far less, at no cost."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    data = toxicity.labelled_texts(docs, labels, "toxic", 4, 2, 10_000)
+    held = docs.join(labels.where("toxic is not null and crc32(string(doc_id)) % 4 = 2"), "doc_id").select("doc_id", "text", "toxic").collect()
+    free, bound = toxicity.train(data, penalty=0.0), toxicity.train(data)
+    assert free.pairs == bound.pairs > 0 and np.abs(free.weights - bound.weights).max() > 0.01
+
+    def gap(model):
+        three = [toxicity.mentions(r["text"], f"h{r['doc_id']}", toxicity.IDENTITY_TERMS) for r in held if r["toxic"] == 0 and r["text"]]
+        return np.mean([abs(model.logit(t[1]) - model.logit(t[2])) for t in three if t])
+
+    def right(model):
+        return sum((model.score(r["text"]) >= 0.3) == (r["toxic"] == 1) for r in held)
+
+    assert gap(bound) < gap(free) / 5 and right(bound) >= right(free) - 1
+
+
+def test_mentions_and_swaps():
+    groups = (("cats", "dogs"),)
+    own, one, other = toxicity.mentions("1. 2. The end is near.", "k", groups)
+    assert own == "The end is near." and {one, other} == {"The cats end is near.", "The dogs end is near."}
+    assert toxicity.mentions("12 !", "k", groups) is None and toxicity.swapped("Cats, dogs", groups) == "dogs, cats" and toxicity.swapped("none", groups) is None
+
+
+def test_toxicity_against_a_dense_fit(spark):
+    """The same model from plain loops and dense matrices."""
+    groups, penalty = (("cats", "dogs"),), 2.0
+    rows = [(f"{i:02d}", f"bad{i % 3} catsuit words. number{i % 4} cats" if i % 2 else f"good{i % 3} dogma words here number{i % 5}", i % 2) for i in range(30)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id string, text string, label int"), penalty=penalty, identity_terms=groups)
+
+    def feats(text):
+        out = collections.Counter()
+        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            for f in [w, *[f"{n}:{w[:n]}" for n in (4, 5, 6, 7) if len(w) > n]]:
+                out[zlib.crc32(f.encode()) % (1 << 20)] += 1
+        return out
+
+    n1, n0 = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+    have = {y: collections.Counter(f for _, t, z in rows if z == y for f in feats(t)) for y in (0, 1)}
+    odds = {f: abs(np.log((have[1][f] + 0.5) / (n1 + 1)) - np.log((have[0][f] + 0.5) / (n0 + 1))) for f in have[0] | have[1]}
+    scale = {f: o for f, o in odds.items() if have[0][f] + have[1][f] >= 3}
+    for term in ("cats", "dogs"):
+        for f in feats(term):
+            scale.setdefault(f, max(odds.get(f, 0.0), 0.1))
+    cols = sorted(scale)
+    assert cols == model.features.tolist()
+
+    def vector(text):
+        c = feats(text)
+        return [scale[f] * (1 + np.log(c[f])) if c[f] else 0.0 for f in cols]
+
+    x, y = np.array([vector(t) for _, t, _ in rows]), np.array([y for *_, y in rows], float)
+    pairs = []
+    for k, t, _ in rows:
+        if "cats" in t.split() or "dogs" in t.split():
+            pairs.append((t, " ".join({"cats": "dogs", "dogs": "cats"}.get(w, w) for w in t.split())))
+        else:
+            own, one, other = toxicity.mentions(t, k, groups)
+            pairs += [(one, other), (own, one)]
+    d = np.array([np.subtract(vector(a), vector(b)) for a, b in pairs])
+    assert model.pairs == len(d)
+    w, b, gw, gb = np.zeros(len(cols)), np.log(y.mean() / (1 - y.mean())), np.full(len(cols), 1e-12), 1e-12
+    for _ in range(200):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        g = x.T @ e + 2 * penalty * d.T @ (d @ w) / len(d) + 1e-4 * w
+        gw, gb = gw + g * g, gb + e.sum() ** 2
+        w, b = w - 0.3 * g / np.sqrt(gw), b - 0.1 * e.sum() / np.sqrt(gb)
+    assert np.allclose(w * np.array([scale[f] for f in cols]), model.weights, atol=1e-6) and abs(b - model.intercept) < 1e-6
+
+
 def test_preference_pairs_order_documents():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
@@ -272,18 +343,52 @@ def test_recall_and_exact_scores(spark):
     assert hit >= 0.9 * total
 
 
+def nearest_by_all_pairs(ids, x, q, k=10):
+    dist = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+    return [int(i) for i in ids[np.lexsort((ids, dist))] if i != q][:k]
+
+
 def test_near_copies_in_large_files_are_all_read(spark):
-    """Members of a tight group share nearly one permutation: the footrule cannot rank them."""
+    """Members of a tight group share nearly one permutation: the footrule cannot rank them, the bound can."""
     rng = np.random.default_rng(7)
     x = np.concatenate([rng.normal(size=64) * 3 + 0.01 * rng.normal(size=(1000, 64)) for _ in range(5)] + [rng.normal(size=(500, 64))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = collections.defaultdict(list)
     for r in neighbours.search(df, pivots=10).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
-    for q in range(0, len(x), 100):
-        dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
-        dist[q] = np.inf
-        assert got[q] == np.argsort(dist, kind="stable")[:10].tolist()
+    ids = np.arange(len(x))
+    assert all(got[q] == nearest_by_all_pairs(ids, x, q) for q in range(0, 5000, 100))
+    scattered = [len(set(got[q]) & set(nearest_by_all_pairs(ids, x, q))) for q in range(5000, 5500, 100)]
+    assert sum(scattered) >= 0.9 * 50
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 8, 11, 12, 30])
+def test_small_tables_find_all_candidates(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in neighbours.search(df, every=3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert all(got[q] == nearest_by_all_pairs(np.arange(n), x, q) for q in range(0, n, 3))
+
+
+def test_splitting_files_and_queries_changes_no_row(spark):
+    x = np.random.default_rng(4).normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sharp = {"every": 10, "pivots": 16, "posts": 3, "probes": 4, "keep": 0.05, "least_kept": 4}
+    whole, split = (sorted(map(tuple, neighbours.search(df, **sharp, **own).collect())) for own in ({}, {"file_rows": 50, "query_rows": 30}))
+    assert whole == split
+
+
+def test_index_reads_a_part_of_the_vectors(spark):
+    """The vectors fetched for exact distances are about the kept share."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = neighbours.build(df, posts=12)
+    asked = index.rows.where("id % 100 = 0").withColumn("block", F.lit(0))
+    pairs = neighbours.ranked(index, asked, posts=12, probes=48, keep=0.25, least_kept=256, sample=4096, blocks=1)
+    fetched = pairs.agg(F.sum(F.size("vids"))).first()[0]
+    assert fetched <= 0.3 * index.total * asked.count()
+    assert pairs.select("id", F.explode("vids").alias("v")).groupBy("id", "v").count().where("count > 1").count() == 0
 
 
 # --- 8 mixing ----------------------------------------------------------------------------------
