@@ -7,14 +7,17 @@ filled bins copy alike). Of each bin the low eight bits are stored, as hex digit
 bins a share 1 / 256 agrees by chance; ``likeness`` corrects for this.
 
 Only Spark expressions: the smallest hash of a bin is the first of its bin in the sorted
-hashes. Fingerprints need no shuffle. The query's next document needs one: ids are cut into
-ranges of some hundred rows, so no task sees more than its ranges, and only the ranges'
-first rows (one in ``RANGE_ROWS``) meet in one place.
+hashes. Fingerprints need no shuffle. The query's next document needs one: rows are cut into ranges of
+the order (id, then a hash of the text) that begin at sampled rows, so ranges hold about equally many rows
+however ids are spread, and one id with very many texts fills several ranges. A row that begins a
+range is also sent to the range before, so no range's first rows ever meet in one place and no text
+is broadcast. Only the beginnings (two numbers each, ``MOST_RANGES`` at most) pass the driver.
 
 Defined results: null texts count as empty; a text without words has the empty
 fingerprint, alike (1) to itself and unlike (0) any other; a text with fewer words than a
 shingle has its word sequence as its one shingle. Letter case and the kind of white space
-do not matter. Equal ids are ordered by text; null ids come first. Extra columns are not read.
+do not matter. Equal ids are ordered by a hash of the text, then by text; null ids come first; repeated
+rows are documents of their own. Very long texts are read whole. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from ledgerloom.llm.common import table
 
 BINS, BIN_BITS, LOW, TRIES = 128, 7, 256, 6
 RANGE_ROWS = 512
-BROADCAST_RANGES = 2_000
+MOST_RANGES = 100_000
+PER_RANGE = 4  # sampled rows for each range
+TASK_BYTES = 64 << 20
 
 
 def shingle_hashes(text: Column, words: int) -> Column:
@@ -100,37 +105,56 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col), packed(signature(F.coalesce(F.col(text_col), F.lit("")), words)).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(r, doc_id, text, sig, next_text, next_sig): every document with the next one by id, the last with the first."""
+def beginnings(keys: DataFrame, rows: int, range_rows: int) -> list[tuple[int | None, int]]:
+    """The first (id, hash) of every range: the smallest of all rows, and rows at equal steps of a hashed sample."""
+    ranges = min(MOST_RANGES, max(1, -(-rows // range_rows)))
+    first = keys.agg(F.min("key").alias("k")).first()["k"]
+    cut = min(2**31, max(1, 2**31 * PER_RANGE * ranges // max(rows, 1)))
+    some = keys.where(F.pmod(F.xxhash64("key", F.lit("range")), F.lit(2**31)) < F.lit(cut)) if cut < 2**31 else keys
+    own = some.select("key.id", "key.h").distinct().orderBy(F.col("id").asc_nulls_first(), "h").toPandas()
+    step = max(1, len(own) // ranges)
+    starts = [(None if i is None or i != i else int(i), int(h)) for i, h in zip(own["id"].astype("object")[::step], own["h"][::step], strict=True)]
+    return [(first["id"], first["h"])] + [x for x in starts if x != (first["id"], first["h"])]
+
+
+def with_next(docs: DataFrame, *, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(doc_id, text, sig, next_text, next_sig): every document with the next one by id, the last with the first."""
     spark = docs.sparkSession
-    told = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, rows = told[0] or 0, told[1] or 0, told[2]
-    width = max(1, -(-(high - low + 1) // max(1, -(-rows // RANGE_ROWS))))
-    ranged = docs.withColumn("r", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)))
-    # The first document of each range is what follows the last one of the range before.
-    heads = ranged.groupBy("r").agg(F.min("doc_id").alias("head"))
-    after = Window.partitionBy(F.lit(1)).orderBy("r")
-    first = F.first("head").over(after.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    heads = heads.withColumn("next_head", F.coalesce(F.lead("head").over(after), first))
-    few = -(-rows // RANGE_ROWS) <= BROADCAST_RANGES
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    head_ids = heads.select(F.col("next_head").alias("doc_id"), F.col("r").alias("before"))
-    texts = docs.join(small(head_ids), docs["doc_id"].eqNullSafe(head_ids["doc_id"])).groupBy("before").agg(F.min("text").alias("head_text"))
-    follow = texts.select(F.col("before").alias("r"), "head_text", signature(F.col("head_text")).alias("head_sig"))
-    w = Window.partitionBy("r").orderBy("doc_id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h")).alias("key"))
+    rows, size = keyed.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    if not rows:
+        return keyed.select("doc_id", "text", signature(F.col("text")).alias("sig"), F.col("text").alias("next_text"), signature(F.col("text")).alias("next_sig"))
+    starts = beginnings(keyed.select("key"), rows, range_rows)
+    written = ";".join(f"{'' if i is None else i},{h}" for i, h in starts)
+    known = F.transform(F.split(F.lit(written), ";"), lambda x: F.struct(F.nullif(F.split(x, ",")[0], F.lit("")).cast("long").alias("id"), F.split(x, ",")[1].cast("long").alias("h")))
+    # The last range whose beginning is not after the row, by halving (the first range begins with the smallest row).
+    halves = F.sequence(F.lit(1), F.lit(max(1, len(starts).bit_length())))
+
+    def halved(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+        below = F.get(known, mid) <= F.col("key")
+        return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid - 1).alias("hi"))
+
+    r = F.aggregate(halves, F.struct(F.lit(0).alias("lo"), F.lit(len(starts) - 1).alias("hi")), halved, lambda acc: acc["lo"])
+    before = F.when(F.col("r") == 0, len(starts) - 1).otherwise(F.col("r") - 1)
+    places = F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("tail")), F.when(F.get(known, F.col("r")) == F.col("key"), F.struct(before.alias("r"), F.lit(True).alias("tail"))))
+    dealt = keyed.withColumn("r", r).withColumn("place", F.explode(F.array_compact(places))).select("doc_id", "text", "key", "place.r", "place.tail")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
+    w = Window.partitionBy("r").orderBy("tail", F.col("key.id").asc_nulls_first(), "key.h", "text")
     return (
-        ranged.repartition(parts, "r")
-        .join(small(follow), "r", "left")
-        .withColumn("next_text", F.coalesce(F.lead("text").over(w), "head_text", "text"))
+        dealt.repartition(parts, "r")
         .withColumn("sig", signature(F.col("text")))
-        .withColumn("next_sig", F.coalesce(F.lead("sig").over(w), "head_sig", "sig"))
+        .withColumn("next_text", F.lead("text").over(w))
+        .withColumn("next_sig", F.lead("sig").over(w))
+        .where("not tail")
+        .select("doc_id", "text", "sig", "next_text", "next_sig")
     )
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how alike they and the next one's are."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
