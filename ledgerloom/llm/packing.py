@@ -6,10 +6,11 @@ A piece goes to the tightest bin whose bitmaps share no bit with its own: the su
 search starts at the first bin with enough room and goes on until a compatible one is
 found; if there is none, a new bin is opened. Longer pieces go first.
 
-Scale: rows are dealt by a hash of the document id to shards of about ``shard_rows``
-rows, whose number follows the row count, so a hot source or cluster is spread over all
-shards and no task grows with the input. Only ids, lengths and cluster hashes are
-shuffled by packing itself, not texts. Bins belong to one shard. ``pack_mixed`` deals by the
+Scale: rows are dealt by a hash to shards of about ``shard_rows`` rows, whose number follows the row
+count, so a hot source or cluster is spread over all shards and no task grows with the input. The hash is of
+all that packing knows of a row, and rows that are equal in all of it are counted first and dealt one by one:
+very many null ids or repeats of an id are spread like other rows. Only ids, lengths and cluster hashes are
+shuffled, not texts. Bins belong to one shard. ``pack_mixed`` deals by the
 mix of sources instead: a shard is ``shard_rows`` documents that follow one another in the mix, and
 shards are numbered in its order. Places are counted in slots, then in runs of about sqrt(slots) of them.
 
@@ -18,7 +19,8 @@ null and texts without words are one piece of no words. A null source conflicts
 no other null source. Clusters are copies of one text or given by ``cluster_col``;
 ``pack_apart`` takes the components of near copies.
 Repeated rows are documents of their own, and so never share a bin (equal
-clusters). An empty table gives no rows. Other columns are not read.
+clusters). An empty table gives no rows. Very long texts are cut into pieces, none is left out. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, table
 from ledgerloom.llm.mixing import mix
-from ledgerloom.llm.ngram_join import near_duplicates
+from ledgerloom.llm.ngram_join import near_duplicates, text_key
 
 
 class Bins:
@@ -111,9 +113,14 @@ def measures(text_col: str, source_col: str, cluster_col: str | None) -> list[Co
     ]
 
 
-def hashed_shard(total: int, shard_rows: int) -> Column:
+def in_shards(rows: DataFrame, shard_rows: int) -> DataFrame:
+    """Adds ``shard`` to (doc_id, source, cluster, n_words): a hash of the row and of its number among equal rows."""
+    own = ("doc_id", "source", "cluster", "n_words")
+    counted = materialise(rows.groupBy(*own).agg(F.count("*").alias("n")), "pack-rows")
+    total = counted.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_rows))
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(shards)).cast("int")
+    dealt = counted.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy"))
+    return dealt.select(*own, F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), "cluster", "n_words", F.coalesce("source", F.lit("")), "copy"), F.lit(shards)).cast("int").alias("shard"))
 
 
 def packed(rows: DataFrame, capacity: int) -> DataFrame:
@@ -132,7 +139,7 @@ def pack(
 ) -> DataFrame:
     """(bin_id, doc_id, piece, start_word, n_words): the pieces that each bin holds."""
     rows = docs.select(*measures(text_col, source_col, cluster_col))
-    return packed(rows.withColumn("shard", hashed_shard(docs.count(), shard_rows)), capacity)
+    return packed(in_shards(rows, shard_rows), capacity)
 
 
 def pack_apart(
@@ -142,12 +149,11 @@ def pack_apart(
 
     Rows are named by a hash of id and text, so that repeated and null ids keep their texts apart. Texts
     without words have no near copies; their cluster is the exact text."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
+    key = text_key("doc_id", text_col)
     found = near_duplicates(docs.select(key.alias("key"), text_col), words=words, percent=percent, id_col="key", text_col=text_col)
     found = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
     rows = docs.select(key.alias("key"), *measures(text_col, source_col, None)).join(found, "key", "left")
-    rows = rows.withColumn("cluster", F.coalesce("component", "cluster"))
-    return packed(rows.withColumn("shard", hashed_shard(docs.count(), shard_rows)), capacity)
+    return packed(in_shards(rows.withColumn("cluster", F.coalesce("component", "cluster")), shard_rows), capacity)
 
 
 def mix_places(mixed: DataFrame) -> DataFrame:
