@@ -7,14 +7,31 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise
 
+HUB_EDGES = 1_000
+MOST_HUBS = 50_000
 
-def stars(edges: DataFrame) -> DataFrame:
+
+def with_least(edges: DataFrame, name: str, hub_edges: int = HUB_EDGES) -> DataFrame:
+    """``edges`` (u, v) with m: the smallest v of its u.
+
+    The smallest neighbours are counted with partial aggregation. Hubs, the nodes with more than ``hub_edges`` edges
+    (or more than the edges' number over ``MOST_HUBS``, so there are at most ``MOST_HUBS`` of them), are joined by
+    broadcast: their edges stay where they are, and no task gathers one hub's edges."""
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-least")
+    total = least.agg(F.sum("n")).first()[0] or 0
+    bound = max(hub_edges, total // MOST_HUBS)
+    hubs = least.where(F.col("n") > bound).select(F.col("u").alias("h"), F.col("m").alias("hm"))
+    marked = edges.join(F.broadcast(hubs), F.col("u") == F.col("h"), "left")
+    there = marked.where("h is not null").select("u", "v", F.col("hm").alias("m"))
+    rest = marked.where("h is null").select("u", "v").join(least.where(F.col("n") <= bound).select("u", "m"), "u")
+    return there.unionByName(rest.select("u", "v", "m"))
+
+
+def stars(edges: DataFrame, name: str) -> DataFrame:
     """One round over distinct (u, v), u > v: every node is tied to the smallest node it sees."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    linked = large.join(least, "u")
+    large = with_least(both, name).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    linked = with_least(materialise(large, f"{name}-large"), name)
     return linked.select("u", F.col("m").alias("v")).unionAll(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
@@ -29,5 +46,5 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        e, before = materialise(stars(e), name), now
+        e, before = materialise(stars(e, name), name), now
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -15,17 +15,28 @@ of all keys (groups with more shingles first, as these are shared least by chanc
 r + 1 keys of both then have one in common, and only these are emitted: about an
 eighth as many as shingles at 0.9, a third at 0.8. Documents that share keys, directly or by
 others, form a candidate cluster (connected components of a star per key, so the number
-of edges is linear), and each cluster has its own tree. A cluster beyond ``unit_shingles`` is
-split into parts, and every pair of parts is a task with a tree of its own. Inside a task a
+of edges is linear), and each cluster has its own tree. Inside a task a
 breadth-first search compares a document only with those not yet reached, so copies are
 never expanded into all pairs; tasks return a component label per document.
 
-Equal sets (copies) are one node throughout. Nothing is dropped or capped.
+A cluster beyond ``unit_docs`` or ``unit_shingles`` is cut into parts that are linked one by one; then
+some documents of every component of every part are linked with each other. What remains to be
+compared are the documents outside the cluster's largest component: with each other, as pairs of
+parts, and with that component's parts, each of which has a tree that only they ask. Documents that are
+in one component already are not compared again, so a group of near copies that holds a fixed
+share of all documents costs about as many tasks as it has parts.
+
+A key that very many
+documents share is dealt out by a salt that grows with the input, its parts' smallest nodes being tied in
+a second step, so no task sees more than about ``KEY_ROWS`` of one key.
+
+Equal sets (copies) are one node throughout. A node is named by 64 bits of its digest; sets that share
+these but not the next 64 are told apart and renamed. Nothing is dropped or capped.
 
 Defined results: null, empty and blank texts have the empty set, no link, and are their own
 component; so has a row with a null id (its component is null). Equal texts under several
 ids share the smallest of them; repeated rows give repeated result rows. An empty table gives no
-rows. Other columns are not read.
+rows. Very long texts are read whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, small_batches, table
@@ -45,6 +56,8 @@ from ledgerloom.llm.shingles import mix, set_digest, shingle_sets
 GROUPS = 32
 LEAF = 32
 BROADCAST_ROWS = 500_000
+KEY_ROWS = 20_000
+SPOKESMEN = 32  # documents of a component of a part that are compared between parts first
 
 
 # --- dealing out -------------------------------------------------------------------------------
@@ -87,9 +100,9 @@ def join_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
 class CountTree:
     """An R-tree over count vectors, built by splitting at the coordinate that varies most."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray, percent: int, fan: int = 8) -> None:
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, percent: int, rows: np.ndarray | None = None, fan: int = 8) -> None:
         self.counts, self.sizes, self.percent, self.fan = counts, sizes, percent, fan
-        self.root = self._node(np.arange(len(sizes)))
+        self.root = self._node(np.arange(len(sizes)) if rows is None else rows)
 
     def _node(self, rows: np.ndarray) -> dict:
         node = {"hi": self.counts[rows].max(axis=0), "least": int(self.sizes[rows].min()), "most": int(self.sizes[rows].max())}
@@ -127,108 +140,179 @@ class CountTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
+class Sets:
+    """Shingle sets with their count vectors; ``linked`` verifies what a tree has found."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.percent, self.sizes = percent, np.array([len(s) for s in sets], np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        flat = np.concatenate(sets)
+        _, self.local = np.unique(flat, return_inverse=True)
+        self.counts = np.zeros((len(sets), GROUPS), np.int32)
+        np.add.at(self.counts, (np.repeat(np.arange(len(sets)), self.sizes), (flat >> np.uint64(59)).astype(np.int64)), 1)
+        self.mark = np.zeros(len(self.local) + 1, bool)
+
+    def linked(self, i: int, near: np.ndarray) -> np.ndarray:
+        """Those of ``near`` that are similar enough to set i."""
+        if not len(near):
+            return near
+        at, sizes, mine = self.at, self.sizes, self.local[self.at[i] : self.at[i + 1]]
+        self.mark[mine] = True
+        flat = np.concatenate([self.local[at[j] : at[j + 1]] for j in near.tolist()])
+        overlap = np.add.reduceat(self.mark[flat].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+        self.mark[mine] = False
+        return near[100 * overlap >= self.percent * (sizes[i] + sizes[near] - overlap)]
+
+
 def link_labels(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Component of every set under links of at least ``percent`` Jaccard similarity."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    _, local = np.unique(np.concatenate(sets), return_inverse=True)
-    counts = np.zeros((len(sets), GROUPS), np.int32)
-    groups = (np.concatenate(sets) >> np.uint64(59)).astype(np.int64)
-    np.add.at(counts, (np.repeat(np.arange(len(sets)), sizes), groups), 1)
-    tree = CountTree(counts, sizes, percent)
-    mark, open_rows, label = np.zeros(len(local) + 1, bool), np.ones(len(sets), bool), np.full(len(sets), -1)
+    own = Sets(sets, percent)
+    tree = CountTree(own.counts, own.sizes, percent)
+    open_rows, label = np.ones(len(sets), bool), np.full(len(sets), -1)
     for seed in range(len(sets)):
         if not open_rows[seed]:
             continue
         open_rows[seed], label[seed], queue = False, seed, deque([seed])
         while queue:
             i = queue.popleft()
-            near = tree.near(i, open_rows)
-            if not len(near):
-                continue
-            mine = local[at[i] : at[i + 1]]
-            mark[mine] = True
-            flat = np.concatenate([local[at[j] : at[j + 1]] for j in near.tolist()])
-            overlap = np.add.reduceat(mark[flat].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
-            mark[mine] = False
-            linked = near[100 * overlap >= percent * (sizes[i] + sizes[near] - overlap)]
+            linked = own.linked(i, tree.near(i, open_rows))
             open_rows[linked], label[linked] = False, seed
             queue.extend(linked.tolist())
     return label
 
 
+def links_into(sets: list[np.ndarray], known: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """For every set outside ``known`` (a mask of sets of one component) one link into it, if there is any."""
+    own = Sets(sets, percent)
+    tree, every, out = CountTree(own.counts, own.sizes, percent, np.flatnonzero(known)), np.ones(len(sets), bool), []
+    for i in np.flatnonzero(~known).tolist():
+        near = tree.near(i, every)
+        for some in np.array_split(near, -(-len(near) // 64) or 1):
+            linked = own.linked(i, some)
+            if len(linked):
+                out.append((i, int(linked[0])))
+                break
+    return out
+
+
 # --- the operator ------------------------------------------------------------------------------
 
 
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-    unit_shingles: int = 2_000_000, unit_docs: int = 4_000,
+    unit_shingles: int = 1_000_000, unit_docs: int = 1_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): the components of links with at least ``percent`` similarity."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # a copy within the partition adds no keys
+        seen: set[tuple[int, int]] = set()  # a copy within the partition adds no keys
         for pdf in batches:
             out = []
             for i, h in zip(pdf["id"], shingle_sets(list(pdf["t"]), words), strict=True):
-                node, keys = set_digest(h), None
-                if len(h) and not pd.isna(i) and node not in seen:
+                (node, check), keys = set_digest(h), None
+                if len(h) and not pd.isna(i) and (node, check) not in seen:
                     if len(seen) < 1_000_000:
-                        seen.add(node)
+                        seen.add((node, check))
                     with np.errstate(over="ignore"):
                         own = join_keys(h, percent)
                     keys = np.unique(np.concatenate(own)).view(np.int64) if own else None
-                out.append((i, len(h), node, keys))
-            yield pd.DataFrame(out, columns=["id", "n", "node", "keys"]).astype({"id": "Int64"})
-
-    rows = materialise(texts.mapInPandas(sketch, "id long, n long, node long, keys array<long>"), "ngram-sketch")
-    nodes = materialise(rows.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "ngram-nodes")
+                out.append((i, len(h), node, check, keys))
+            yield pd.DataFrame(out, columns=["id", "n", "node", "check", "keys"]).astype({"id": "Int64"})
+
+    rows = materialise(texts.mapInPandas(sketch, "id long, n long, node long, check long, keys array<long>"), "ngram-sketch")
+    named = lambda df: df.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"))
+    nodes = materialise(named(rows), "ngram-nodes")
+    if shared := nodes.where("check <> other").count():  # different sets of one name: some in 10^10
+        twins = nodes.where("check <> other").select(F.col("node").alias("twin"))
+        twins = F.broadcast(twins) if shared <= BROADCAST_ROWS else twins
+        renamed = F.when(F.col("twin").isNotNull(), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        rows = materialise(rows.join(twins, F.col("node") == F.col("twin"), "left").withColumn("node", renamed).drop("twin"), "ngram-sketch")
+        nodes = materialise(named(rows), "ngram-nodes")
+    nodes = nodes.drop("other")
 
     # A star per key: its smallest node is tied to the others. A node without a shared key has no edge.
+    # A key is dealt out by a salt, whose smallest nodes are tied to the smallest of them.
+    salts = max(1, -(-nodes.count() // KEY_ROWS))
     keyed = rows.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    hub = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edges = keyed.select(F.col("node").alias("u"), hub.alias("v")).where("u <> v").distinct()
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(salts)))
+    hub = lambda *by: F.first("node").over(Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = keyed.withColumn("hub", hub("key", "salt"))
+    if salts > 1:
+        tops = near.where("node = hub").select("key", "node").distinct().withColumn("hub", hub("key"))
+        near = near.select("node", "hub").unionByName(tops.select("node", "hub"))
+    edges = near.select(F.col("node").alias("u"), F.col("hub").alias("v")).where("u <> v").distinct()
     clusters = connected_components(edges, "ngram-clusters").select("node", F.col("label").alias("cluster"))
     clusters = materialise(clusters.join(nodes, "node"), "ngram-members")
 
-    # Tasks: small clusters together, large ones as pairs of parts.
-    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
-    sizes = materialise(sizes.withColumn("parts", F.greatest(F.ceil(F.col("total") / unit_shingles), F.ceil(F.col("docs") / unit_docs)).cast("int")), "ngram-sizes")
-    told = sizes.agg(F.sum("total"), F.max("parts"), F.count("*"), F.sum("docs")).first()
-    split = (told[1] or 0) > 1
-    units = max(24, -(-(told[0] or 0) // unit_shingles))
-    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int")
-    placed = clusters.join(sizes.select("cluster", "parts"), "cluster").withColumn("part", part)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("other", other).select(
-        "rep", "node", "cluster", "parts",
-        F.when(F.col("parts") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster", F.lit("unit")), F.lit(units))).alias("unit"),
-        F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"),
-    )
-    if (told[3] or 0) <= BROADCAST_ROWS:
-        placed = F.broadcast(placed)
-    members = texts.join(placed, F.col("id") == F.col("rep")).select("node", "cluster", "unit", "parts", "a", "b", "t")
-
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, own in pdf.groupby("cluster", sort=False):
             own = own.drop_duplicates(["node", "t"])
-            sets = {}
-            for node, h in zip(own["node"], shingle_sets(list(own["t"]), words), strict=True):
-                if set_digest(h) == node:  # another text may go by the same id
-                    sets[node] = h
+            sets, known = {}, {}
+            for node, check, old, h in zip(own["node"], own["check"], own["known"], shingle_sets(list(own["t"]), words), strict=True):
+                if set_digest(h)[1] == check:  # another text may go by the same id
+                    sets[node], known[node] = h, bool(old)
             names = np.array(list(sets), np.int64)
-            if len(names) > 1:
+            if len(names) > 1 and any(known.values()):
+                pairs = links_into(list(sets.values()), np.array(list(known.values())), percent)
+                out.append(pd.DataFrame({"u": [names[i] for i, _ in pairs], "v": [names[j] for _, j in pairs]}))
+            elif len(names) > 1:
                 label = link_labels(list(sets.values()), percent)
                 moved = label != np.arange(len(names))
                 out.append(pd.DataFrame({"u": names[moved], "v": names[label[moved]]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"u": [], "v": []}).astype("int64")
+        return pd.concat(out, ignore_index=True).astype("int64") if out else pd.DataFrame({"u": [], "v": []}).astype("int64")
 
-    links = materialise(members.groupBy("unit", "parts", "a", "b").applyInPandas(link, "u long, v long"), "ngram-links")
-    # Without split clusters the labels are final: v is the seed of u's component.
-    labels = connected_components(links, "ngram-labels") if split else links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    def links_of(placed: DataFrame, name: str) -> DataFrame:
+        """Links inside every group of (unit, a, b); ``known`` marks the members of a component that is whole already."""
+        placed = placed.select("rep", "node", "check", "cluster", "unit", "a", "b", "known")
+        if placed.count() <= BROADCAST_ROWS:
+            placed = F.broadcast(placed)
+        members = texts.join(placed, F.col("id") == F.col("rep")).select("node", "check", "cluster", "unit", "a", "b", "known", "t")
+        return materialise(members.groupBy("unit", "a", "b").applyInPandas(link, "u long, v long"), name)
+
+    parts = lambda n, docs: F.greatest(F.ceil(n / unit_shingles), F.ceil(docs / unit_docs)).cast("int")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    old, zero = F.lit(False).alias("known"), F.lit(0)
+
+    # Small clusters together, the parts of large ones each for itself.
+    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
+    sizes = materialise(sizes.withColumn("parts", parts(F.col("total"), F.col("docs"))), "ngram-sizes")
+    told = sizes.agg(F.sum("total"), F.max("parts")).first()
+    split = (told[1] or 0) > 1
+    units = max(24, -(-(told[0] or 0) // unit_shingles))
+    placed = clusters.join(sizes.select("cluster", "parts"), "cluster").withColumn("a", F.when(F.col("parts") > 1, dealt(F.col("parts"), "part")).otherwise(-1))
+    unit = F.when(F.col("parts") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster", F.lit("unit")), F.lit(units)))
+    placed = materialise(placed.withColumn("unit", unit), "ngram-placed")
+    links = links_of(placed.withColumn("b", zero).withColumn("known", old), "ngram-links")
+    # Without large clusters the labels are final: v is the seed of u's component.
+    labels = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    if split:
+        labelled = lambda links, name: connected_components(links, name).withColumnRenamed("node", "l_node")
+        whole = lambda df, found: df.join(found, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
+        large = placed.where("parts > 1").withColumnRenamed("a", "part").drop("unit")
+        # Some documents of every component of every part, linked with each other.
+        turn = F.row_number().over(Window.partitionBy("cluster", "part", "label").orderBy(F.xxhash64("node", F.lit("turn")), "node"))
+        some = materialise(whole(large, labelled(links, "ngram-labels")).withColumn("turn", turn).where(F.col("turn") <= SPOKESMEN), "ngram-some")
+        counts = some.groupBy("cluster").agg(parts(F.sum("n"), F.count("*")).alias("groups"))
+        some = some.join(counts, "cluster").select("rep", "node", "check", "cluster", F.col("cluster").alias("unit"), dealt(F.col("groups"), "some").alias("a"), F.lit(-2).alias("b"), old)
+        links = links.unionByName(links_of(some, "ngram-links"))
+        # What is outside the largest component of its cluster, with each other and with that component.
+        large = materialise(whole(large, labelled(links, "ngram-labels")), "ngram-large")
+        by_label = large.groupBy("cluster", "label").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+        whole_one = by_label.groupBy("cluster").agg(F.max_by(F.struct("label", "docs", "n"), F.struct("docs", "label")).alias("g"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        shape = whole_one.select("cluster", F.col("g.label").alias("top"), parts(F.col("g.n"), F.col("g.docs")).alias("g"), parts(F.col("n") - F.col("g.n"), F.col("docs") - F.col("g.docs")).alias("r"))
+        rest = large.join(shape, "cluster").where("r > 0").withColumn("known", F.col("label") == F.col("top"))
+        count = lambda n: F.sequence(zero, n - 1)
+        i, k = dealt(F.col("r"), "rest"), dealt(F.col("g"), "top")
+        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        tasks = F.when(F.col("known"), F.transform(count(F.col("r")), lambda x: pair(x, -3 - k))).otherwise(
+            F.concat(F.transform(count(F.col("g")), lambda x: pair(i, -3 - x)), F.transform(count(F.col("r")), lambda x: pair(F.least(x, i), F.greatest(x, i))))
+        )
+        rest = rest.withColumn("task", F.explode(tasks)).select("rep", "node", "check", "cluster", F.col("cluster").alias("unit"), "task.a", "task.b", "known")
+        links = links.unionByName(links_of(rest, "ngram-links"))
+        labels = connected_components(links, "ngram-labels")
     named = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     component = named.join(least, "label").select("node", "component_id")
@@ -241,15 +325,28 @@ def near_duplicates(
     )
 
 
+def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A name for a row's id and text, where ids may be null or repeated."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of every component: that with the smallest id. Ids name documents; repeated
-    rows count once, rows with a null id all stay."""
-    found = near_duplicates(docs, words=words, percent=percent)
-    told = found.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    if told["n"] > told["ids"]:
-        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of every component: that with the smallest id (rows without an id last, then by a hash of the text).
+
+    Rows are told apart by id and text, so an id that is used for several texts loses only the copies; a row that
+    repeats id and text counts once. Texts without words are linked with nothing: all stay."""
+    keyed = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = near_duplicates(keyed.select("key", "text"), words=words, percent=percent, id_col="key")
+    found = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    marks = keyed.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    ranked = materialise(marks.join(found, "key"), "ngram-ranked")
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))["key"].alias("first"))
+    gone = materialise(ranked.join(first, "component").where("key <> first").select(F.col("key").alias("__gone")), "ngram-gone")
+    if ranked.where("n > 1").limit(1).count():
+        rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        docs = docs.select(rows.alias("__row"), text_key().alias("__key")).dropDuplicates(["__key"]).select("__row.*")
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, text_key() == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,9 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def set_digest(hashes: np.ndarray) -> int:
-    """A signed 64-bit digest of a set of hashes."""
+def set_digest(hashes: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit digests of a set of hashes: 128 bits name a set."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(hashes ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
+        sums = [mix(hashes ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(hashes)) for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+        one, two = mix(np.array(sums, np.uint64)).view(np.int64).tolist()
+    return one, two

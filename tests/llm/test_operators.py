@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, fingerprints, language, mixing, neighbours, ngram_join, packing, quality, secrets, toxicity
+from ledgerloom.llm import chat, components, fingerprints, language, mixing, neighbours, ngram_join, packing, quality, secrets, toxicity
 from ledgerloom.llm.queries import ORACLE_SQL, QUERIES
 from ledgerloom.llm.shingles import shingle_sets
 
@@ -207,7 +207,7 @@ def chained_texts():
     return rows
 
 
-@pytest.mark.parametrize(("words", "percent", "unit_docs"), [(3, 90, 4000), (5, 80, 40), (1, 60, 4000)])
+@pytest.mark.parametrize(("words", "percent", "unit_docs"), [(3, 90, 4000), (5, 80, 40), (1, 60, 4000), (1, 60, 20), (1, 95, 30)])
 def test_components_against_all_pairs(spark, words, percent, unit_docs):
     rows = chained_texts()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -215,6 +215,44 @@ def test_components_against_all_pairs(spark, words, percent, unit_docs):
     assert got == brute_components(rows, words, percent)
 
 
+def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    """Names that collide (here: nearly all) are told apart by the second half of the digest."""
+    digest = ngram_join.set_digest
+    monkeypatch.setattr(ngram_join, "set_digest", lambda h: (digest(h)[0] % 7, digest(h)[1]))
+    rows = chained_texts()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=90).collect()}
+    assert got == brute_components(rows, 3, 90)
+
+
+def test_keys_that_many_share_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "KEY_ROWS", 10)
+    rows = chained_texts()
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 5, 80).items()}
+
+
+def test_hubs_of_any_degree_give_the_same_components(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    edges = [(0, i) for i in range(1, 300)] + [(int(a), int(b)) for a, b in rng.integers(300, 900, (350, 2))]
+    label = {i: i for e in edges for i in e}
+    for _ in range(60):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "u long, v long")
+    for bound in (5, 1_000):
+        monkeypatch.setattr(components.with_least, "__defaults__", (bound,))
+        got = {r["node"]: r["label"] for r in components.connected_components(df).collect()}
+        assert got == {i: c for i, c in label.items() if any(i in e and e[0] != e[1] for e in edges)}
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    same, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, same), (2, same + " x"), (2, other), (3, other), (None, same), (None, "only here"), (None, None), (4, "only here "), (5, ""), (6, "a b"), (6, "a b")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, same), (2, other), (4, "only here "), (None, None), (5, ""), (6, "a b")], key=str)
+
+
 def test_tree_finds_all_links_within_bounds():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 400, rng.integers(5, 80)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(300)]
@@ -291,6 +329,40 @@ def test_near_copies_of_different_sources_are_not_packed_together(spark, tmp_pat
         assert sum(i in range(6) for i in b) <= 1 and sum(i in (6, None) for i in b) <= 1 and sum(i in (9, 10, 11) for i in b) <= 1
 
 
+def test_null_and_repeated_ids_fill_no_shard(spark):
+    """Thousands of null ids and repeats of one row are spread over the shards like other rows."""
+    rows = [(None, f"t{i} x", "a") for i in range(3000)] + [(7, "same text", "b")] * 2000 + [(i, f"u{i} y", "c") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, capacity=64, shard_rows=500)
+    shards = [r["n"] for r in got.groupBy(F.split("bin_id", "-")[0]).agg(F.count("*").alias("n")).collect()]
+    assert sum(shards) == 6000 and len(shards) == 12 and max(shards) < 700
+
+
+def test_whole_packing_against_plain_best_fit(spark, docs):
+    """One shard, all documents: the bins of a plain best fit over a list."""
+    capacity = 300
+    got = {(r["doc_id"], r["piece"]): (r["bin_id"], r["n_words"]) for r in packing.pack(docs, capacity=capacity, shard_rows=10**6).collect()}
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    pieces = []
+    for r in docs.collect():
+        n = len(r["text"].split())
+        pieces += [(-min(capacity, n - k * capacity), hashes[r["doc_id"]], r["doc_id"], k, r["source"]) for k in range(max(1, -(-n // capacity)))]
+    bins = []
+    for need, cluster, doc, piece, source in sorted(pieces):
+        fits = [b for b in bins if b["room"] >= -need and source not in b["sources"] and cluster not in b["clusters"] and b["room"] > 0]
+        if fits:
+            best = min(b["room"] for b in fits)
+            tight = [b for b in fits if b["room"] == best]
+            own = next((b for b in tight if got[doc, piece][0] == b["name"]), None)
+            assert own is not None  # any of the equally tight ones
+        else:
+            bins.append(own := {"room": capacity, "sources": set(), "clusters": set(), "name": got[doc, piece][0]})
+        own["room"] += need
+        own["sources"].add(source)
+        own["clusters"].add(cluster)
+    assert len({b["name"] for b in bins}) == len(bins) == len({b for b, _ in got.values()})
+
+
 def test_best_fit_is_the_tightest_compatible_bin():
     rng = np.random.default_rng(5)
     bins, plain_bins = packing.Bins(100, 1), []
