@@ -5,14 +5,16 @@ its character n-grams, at every place by the longest known one of at most four
 characters and by shorter ones where that is unseen too. The words' evidence is
 averaged and turned into a probability per language.
 
-Scale: frequencies are counted with a distributed aggregation over a bounded sample
-of labelled documents (``max_train``); the model keeps at most ``max_words`` words
-and ``max_grams`` n-grams, so what goes to the executors does not grow with the
-input. Prediction is one map over whole texts without shuffle.
-
-Defined results: null text and text without a letter give ``und`` and score 0;
-so does any text if no document carries a language. Equal scores go to the
-first language by name. Rows with a null language are predicted but not learned from.
+Scale: frequencies are counted with a distributed aggregation over a bounded sample of labelled
+documents, at most about ``per_lang`` of every language, so a rare language is learned beside a hot one.
+The model keeps the ``max_words`` words and ``max_grams`` n-grams that are most frequent in each language, so
+what goes to the executors grows with the number of languages, not with the input. Prediction is one map over
+whole texts, however long, without shuffle.
+
+Defined results: null text and text without a letter give ``und`` and score 0; so does any text if no document
+carries a language. Equal scores go to the first language by name. Rows with a null language are predicted but
+not learned from; so are rows with a null id, which are held out. Repeated rows are predicted alike and learned
+from as often as they occur. An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import bounded_sample, crc_mod, held_out, materialise, small_batches, table
@@ -108,7 +110,7 @@ class LanguageModel:
         return self.langs[best], float(p[best])
 
 
-def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_words: int = 40_000, max_grams: int = 40_000) -> LanguageModel:
+def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_words: int = 10_000, max_grams: int = 10_000) -> LanguageModel:
     """Fit on rows of text and language; the caller bounds their number."""
     small_batches(labelled.sparkSession)
 
@@ -138,7 +140,12 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     stats = data.mapInPandas(partial, "kind string, lang string, gram string, n long").groupBy("kind", "lang", "gram").agg(F.sum("n").alias("n"))
     stats = materialise(stats, "language-counts")
     per = stats.groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    kept = {k: per.where(F.col("kind") == k).where("n >= 2").orderBy(F.desc("n"), "gram").limit(most).collect() for k, most in (("w", max_words), ("g", max_grams))}
+    # The most frequent of every language; at most languages x max rows come to the driver.
+    place = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "gram"))
+    most = F.when(F.col("kind") == "w", max_words).otherwise(max_grams)
+    top = stats.withColumn("place", place).where(F.col("place") <= most).select("kind", "gram").distinct()
+    best = per.where("n >= 2").join(top, ["kind", "gram"]).orderBy("kind", F.desc("n"), "gram").collect()
+    kept = {k: [r for r in best if r["kind"] == k] for k in ("w", "g")}
     sums = {(r["kind"], r["lang"]): (r["n"], r["v"]) for r in stats.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     langs = sorted({lang for _, lang in sums})
 
@@ -170,12 +177,18 @@ def predict_columns(model: LanguageModel, text_col: str = "text"):  # noqa: ANN2
     return predict(F.col(text_col))
 
 
-def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sampled(docs: DataFrame, per_lang: int, lang_col: str = "lang", key_col: str = "doc_id") -> DataFrame:
+    """About ``per_lang`` rows of every language (all, if there are fewer), by a hash of the key."""
+    counts = docs.groupBy(F.col(lang_col).alias("__lang")).agg(F.count("*").alias("__rows"))  # one row per language
+    cut = F.lit(2**31) * F.lit(per_lang) / F.col("__rows")
+    near = docs.join(F.broadcast(counts), F.col(lang_col) == F.col("__lang"))
+    return near.where(F.pmod(F.xxhash64(F.col(key_col), F.lit("language")), F.lit(2**31)) < cut).select(*[docs[c] for c in docs.columns])
+
+
+def op9_language(spark: SparkSession, sf_dir: str, per_lang: int = 1_500) -> DataFrame:
     """Every document's language; learned outside the fold crc32(doc_id) % 3 = 1."""
-    docs = table(spark, sf_dir, "documents")
-    fold = docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1))
-    ids = bounded_sample(fold.select("doc_id"), "doc_id", 5_000, "language")
-    model = train(fold.join(ids, "doc_id", "left_semi"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(sampled(docs.where(F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1)), per_lang))
     return docs.select("doc_id", held_out(3, 1), predict_columns(model).alias("p")).select(
         "doc_id", "held_out", F.col("p.lang_pred").alias("lang_pred"), F.col("p.score").alias("score")
     )

@@ -11,13 +11,16 @@ Every document is kept, once. When a source has no blocks left, a new phase
 begins, in which the sources that remain share the slots by their weights.
 
 Only DataFrame functions are used. A hot source is numbered in ranges of its hash (some
-hundred rows each), so that no task gets a whole source; the plan has one row per
+hundred rows each), so that no task gets a whole source; the hash is of the key and of the row, so
+one key (or null) on very many different rows is spread too. The plan has one row per
 source and is broadcast only up to ``BROADCAST_SOURCES`` of them. The fold costs
-sources x Q steps per phase, and there are at most as many phases as sources.
+sources x Q steps per phase, and there are at most as many phases as sources, one task each: it is
+meant for up to some hundred sources (README has figures).
 
 Defined results: a null source is a source of its own; sources without a weight get
 weight 1; ties in the hashed order go by ``key_col``; repeated rows are documents of their
-own; an empty table gives no rows. Extra columns pass through.
+own; texts, of any length, are not read; an empty table gives no rows. Extra columns pass through, whatever
+their names; columns named mix_phase, mix_slot or mix_position are replaced.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from ledgerloom.llm.common import materialise, table
 
 BROADCAST_SOURCES = 1_000
 RANGE_ROWS = 512
+MADE = ("mix_phase", "mix_slot", "mix_position")
 
 
 def one_cycle(weights: Column) -> Column:
@@ -113,41 +117,43 @@ def mixing_plan(sizes: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame, *, source_col: str = "source", key_col: str = "doc_id", weights: dict[str, int] | None = None,
-    parts: int = 1_000, block_docs: int = 32, seed: str = "mix",
+    parts: int = 1_000, block_docs: int = 32, seed: str = "mix", tie_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with mix_phase, mix_slot and mix_position (their order is the mix)."""
+    own = [c for c in docs.columns if c not in MADE]
     total = docs.count()
     bits = max(0, math.ceil(math.log2(max(1, total / RANGE_ROWS))))
-    h = F.xxhash64(F.col(key_col).cast("string"), F.lit(seed))
-    keyed = docs.withColumn("__s", F.col(source_col).cast("string")).withColumn("__h", h)
-    keyed = keyed.withColumn("__r", F.shiftrightunsigned("__h", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
-    ranges = keyed.groupBy("__s", "__r").agg(F.count("*").alias("n"))
-    ranges = materialise(ranges.select(F.col("__s").alias("s"), F.col("__r").alias("r"), "n"), "mix-ranges")
+    # The row travels as one struct, so its columns' names cannot clash with those made here.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(source_col).cast("string").alias("s"), F.col(key_col).cast("string").alias("key"))
+    keyed = keyed.withColumn("h", F.xxhash64("key", F.lit(seed), *([F.col("row")[tie_col]] if tie_col else [])))
+    keyed = keyed.withColumn("r", F.shiftrightunsigned("h", 64 - bits).cast("long") if bits else F.lit(0).cast("long"))
+    ranges = materialise(keyed.groupBy("s", "r").agg(F.count("*").alias("n")), "mix-ranges")
     before = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select(F.col("s").alias("__s2"), F.col("r").alias("__r2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    offsets = ranges.select(F.col("s").alias("s2"), F.col("r").alias("r2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     sizes = ranges.groupBy("s").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_docs))
-    plan = materialise(mixing_plan(target_weights(sizes, weights, parts)), "mix-plan")
-    plan = plan.select(F.col("s").alias("__s3"), F.col("plan").alias("__plan"))
+    plan = materialise(mixing_plan(target_weights(sizes, weights, parts)), "mix-plan").select(F.col("s").alias("s3"), "plan")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    numbered = keyed.join(offsets, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__r") == F.col("__r2"))).withColumn(
-        "__n", F.col("__offset") + F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", key_col)) - 1
+    numbered = keyed.join(offsets, F.col("s").eqNullSafe(F.col("s2")) & (F.col("r") == F.col("r2"))).withColumn(
+        "n", F.col("offset") + F.row_number().over(Window.partitionBy("s", "r").orderBy("h", "key")) - 1
     )
-    block = F.floor(F.col("__n") / block_docs)
-    own = F.get(F.filter("__plan", lambda p: (p["first"] <= F.col("__block")) & (F.col("__block") < p["end"])), F.lit(0))
-    at = F.col("__block") - F.col("__p.first")
-    slot = F.col("__p.offset") + F.floor(at / F.col("__p.a")) * F.col("__p.q") + F.get("__p.slots", F.pmod(at, F.col("__p.a")).cast("int"))
-    out = (
-        numbered.withColumn("__block", block)
-        .join(plan, F.col("__s").eqNullSafe(F.col("__s3")))
-        .withColumn("__p", own)
-        .withColumn("mix_phase", F.col("__p.phase"))
-        .withColumn("mix_slot", slot.cast("long"))
-        .withColumn("mix_position", F.col("mix_slot") * block_docs + F.pmod(F.col("__n"), F.lit(block_docs)))
-    )
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_phase", "mix_slot", "mix_position")
+    phase = F.get(F.filter("plan", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["end"])), F.lit(0))
+    at = F.col("block") - F.col("p.first")
+    slot = F.col("p.offset") + F.floor(at / F.col("p.a")) * F.col("p.q") + F.get("p.slots", F.pmod(at, F.col("p.a")).cast("int"))
+    placed = numbered.withColumn("block", F.floor(F.col("n") / block_docs)).join(plan, F.col("s").eqNullSafe(F.col("s3"))).withColumn("p", phase).withColumn("slot", slot.cast("long"))
+    return placed.select(
+        *[F.col("row")[c].alias(c) for c in own], F.col("p.phase").alias("mix_phase"), F.col("slot").alias("mix_slot"),
+        (F.col("slot") * block_docs + F.pmod(F.col("n"), F.lit(block_docs))).alias("mix_position"),
+    )
+
+
+def by_text(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
+    """``mix`` with a hash of the text between rows of one id."""
+    tied = docs.withColumn("__tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return mix(tied, weights=weights, tie_col="__tie").drop("__tie")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mix, sources weighted by the square root of their size."""
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    return mix(docs, tie_col="tie").drop("tie")

@@ -171,10 +171,14 @@ def mix_places(mixed: DataFrame) -> DataFrame:
 def pack_mixed(
     docs: DataFrame, *, weights: dict[str, int] | None = None, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """``pack`` with shards that are ranges of the mix of sources, so bins follow its target weights."""
+    """``pack`` with shards that are ranges of the mix of sources, so bins follow its target weights; ``mix_from`` is the
+    place in the mix at which a bin's shard begins.
+
+    The order is that of ``mixing.by_text``: it depends on ids, sources and texts alone, not on files or rows' order."""
     rows = materialise(docs.select(*measures(text_col, source_col, None)), "pack-rows")
-    mixed = materialise(mix(rows, weights=weights).select("doc_id", "source", "cluster", "n_words", "mix_slot", "mix_position"), "pack-mix")
-    return packed(mix_places(mixed).withColumn("shard", F.floor(F.col("place") / shard_rows).cast("int")), capacity)
+    mixed = materialise(mix(rows, weights=weights, tie_col="cluster"), "pack-mix")
+    out = packed(mix_places(mixed).withColumn("shard", F.floor(F.col("place") / shard_rows).cast("int")), capacity)
+    return out.withColumn("mix_from", F.split("bin_id", "-")[0].cast("long") * shard_rows)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns."""
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns; the pipeline's stages."""
+
+import collections
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +108,15 @@ def test_mixing(spark, odd, empty):
     got = mixing.mix(odd)
     assert got.columns == [*odd.columns, "mix_phase", "mix_slot", "mix_position"] and got.count() == 10
     assert mixing.mix(empty).collect() == []
+    again = mixing.mix(got.withColumn("row", F.lit(1)).withColumn("s", F.lit("z")).withColumn("plan", F.lit(0)))
+    assert again.columns == [*odd.columns, "row", "s", "plan", "mix_phase", "mix_slot", "mix_position"] and again.select("mix_position").distinct().count() == 10
+
+
+def test_mixing_of_many_rows_with_one_key(spark):
+    """Rows of one (or no) key are still cut into ranges, and every row keeps a place of its own."""
+    df = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'a' AS source", "id AS n_chars")
+    got = mixing.mix(df)
+    assert got.select("mix_position").distinct().count() == 3000
 
 
 def test_secrets(spark, odd, empty):
@@ -115,43 +127,106 @@ def test_secrets(spark, odd, empty):
 
 
 def test_stages_take_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Null ids, texts and sources, repeated rows, a very long text, columns that clash with those made inside."""
     labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (7, 0, 1), (8, None, None)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (odd, empty):
+    clash = odd.withColumns({c: F.lit("x") for c in ("row", "mix_slot", "__tie", "component", "first", "h", "s", "path", "score2", "cluster")})
+    for docs in (odd, clash, empty):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, str(tmp_path))
             assert out.columns == docs.columns, name
-            out.count()
-        corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
-
-
-def test_pipeline_stages_against_plain_python(spark):
-    """Whole pipeline on a small table: what each stage decides shows in the next one's rows."""
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
-    kept = stages["ngram_join"](spark, docs, sf)
-    one = {r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
-    assert {r["doc_id"] for r in kept.collect()} == one
-    mixed = stages["mixing"](spark, docs, sf).collect()
-    order = [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_position").collect()]
-    assert [r["doc_id"] for r in mixed] == order
-    red = stages["secrets"](spark, docs, sf)
-    assert red.count() == docs.count() and red.where("n_chars <> length(text)").count() == 0
-    assert red.where("text rlike 'token = \"[0-9a-f]{40}'").count() == 0
-    assert corpus_pipeline.run(spark, sf).count() > 0
+            n = out.count()
+            assert n == (0 if docs is empty else {"ngram_join": 8, "secrets": 10, "mixing": 10}.get(name, n)), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == (0 if docs is empty else 9)
+
+
+@pytest.fixture(scope="module")
+def sf():
+    return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def stage(spark, name, docs, sf):
+    return dict(corpus_pipeline.STAGES)[name](spark, docs, sf).collect()
+
+
+def test_stage_toxicity_against_plain_scores(spark, sf, docs):
+    """A document stays if a plain sum over its words with the model's weights gives less than 0.3."""
+    model = toxicity.train_on(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    want = []
+    for r in docs.collect():
+        n = collections.Counter(f for w in "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split() for f in toxicity.word_features(w))
+        z = model.intercept + sum(weight.get(f, 0.0) * (1 + math.log(k)) for f, k in n.items())
+        want += [r["doc_id"]] if 1 / (1 + math.exp(-z)) < 0.3 else []
+    assert sorted(r["doc_id"] for r in stage(spark, "toxicity", docs, sf)) == sorted(want) and 0 < len(want) < docs.count()
+
+
+def test_stage_ngram_join_against_all_pairs(spark, sf, docs):
+    """The smallest id of every component of all pairs with five-word shingles and similarity 0.8."""
+    sets = {}
+    for r in docs.collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, first = sorted(sets), {i: i for i in sets}
+    for _ in range(3):
+        for a in ids:
+            for b in ids:
+                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    first[a] = first[b] = min(first[a], first[b])
+    got = stage(spark, "ngram_join", docs, sf)
+    assert sorted(r["doc_id"] for r in got) == [i for i in ids if first[i] == i] and len(got) < len(ids)
+
+
+def test_stage_secrets_against_plain_replacement(spark, sf, docs):
+    """Texts with the found values replaced at their places, one by one; everything else as it was."""
+    found = secrets.scan(docs, secrets.train(secrets.labelled_findings(spark))).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["doc_id"]].append((r["start"] - 1, r["value"]))
+    got = {r["doc_id"]: r for r in stage(spark, "secrets", docs, sf)}
+    for r in docs.collect():
+        text = r["text"]
+        for at, value in sorted(by[r["doc_id"]], reverse=True):
+            assert text[at : at + len(value)] == value
+            text = text[:at] + "[SECRET]" + text[at + len(value) :]
+        assert got[r["doc_id"]]["text"] == text and got[r["doc_id"]]["n_chars"] == (len(text) if by[r["doc_id"]] else r["n_chars"])
+    assert len(got) == docs.count() and by
+
+
+def test_stage_mixing_against_a_sort(spark, sf, docs):
+    """All rows, in the order of their places; within a source in the order of a hash of id and text."""
+    got = stage(spark, "mixing", docs, sf)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, docs.collect()))
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"), F.xxhash64("text")).alias("h")).collect()}
+    for source in {r["source"] for r in got}:
+        own = [r["doc_id"] for r in got if r["source"] == source]
+        assert own == sorted(own, key=h.get)
+
+
+def test_run_is_the_stages_one_after_another(spark, sf, docs):
+    for name, one in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(one(spark, docs, sf).collect(), one(spark, docs, sf).schema)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, docs.collect()))
 
 
 @pytest.mark.parametrize("weights", [{"hot": 1, "cold": 1}, {"hot": 9, "cold": 1}])
 def test_bins_follow_the_mix(spark, monkeypatch, weights):
-    """Shards of the packing are ranges of the mix, whose target weights show in the first ones."""
+    """Shards of the packing are ranges of the mixing stage's order, whose target weights show in the first ones:
+    other weights, other bins."""
     monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights, raising=False)
     rows = [(i, f"word{i} " * (1 + i % 5), "hot" if i % 3 else "cold", 1) for i in range(7_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
-    order = [r["doc_id"] for r in mixing.mix(docs, weights=weights).orderBy("mix_position").collect()]
+    order = [r["doc_id"] for r in stage(spark, "mixing", docs, "")]
     got = {}
-    for r in dict(corpus_pipeline.STAGES)["packing"](spark, docs, "").collect():
-        got.setdefault(int(r["bin_id"].split("-")[0]), set()).add(r["doc_id"])
-    assert [got[k] for k in sorted(got)] == [set(order[at : at + 2_048]) for at in range(0, 7_000, 2_048)]
+    for r in stage(spark, "packing", docs, ""):
+        got.setdefault(r["mix_from"], set()).add(r["doc_id"])
+        assert int(r["bin_id"].split("-")[0]) * 2_048 == r["mix_from"]
+    assert {k: got[k] for k in sorted(got)} == {at: set(order[at : at + 2_048]) for at in range(0, 7_000, 2_048)}
     hot = sum(i % 3 > 0 for i in got[0]) / 2_048
     assert abs(hot - weights["hot"] / sum(weights.values())) < 0.03

@@ -163,6 +163,16 @@ def test_unseen_words_use_shorter_ngrams(spark):
     assert model.predict(None) == model.predict(" 12 !") == ("und", 0.0)
 
 
+def test_a_rare_language_is_learned_beside_a_hot_one(spark):
+    rows = [(i, f"the word number{i} and the other", "en") for i in range(4000)] + [(10_000 + i, f"ordet nummer{i} og det andet", "da") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = language.sampled(df, 100)
+    n = {r["lang"]: r["count"] for r in some.groupBy("lang").count().collect()}
+    assert n["da"] == 4 and 60 <= n["en"] <= 150
+    model = language.train(some, max_words=20, max_grams=200)
+    assert model.predict("det ordet")[0] == "da" and model.predict("the word")[0] == "en"
+
+
 # --- 2 n-gram join -----------------------------------------------------------------------------
 
 
@@ -503,6 +513,37 @@ def test_less_than_one_block_from_the_target(spark):
             assert all(abs(seen[x] - k * w / total) < 1 + 1e-9 for x, w in share.items())
 
 
+def plain_schedule(blocks, weights):
+    """Earliest deadline first by a plain loop, phase after phase: the sources of the slots."""
+    done, out = dict.fromkeys(blocks, 0), []
+    while any(done[s] < n for s, n in blocks.items()):
+        active = sorted(s for s, n in blocks.items() if done[s] < n)
+        q, own, before = sum(weights[s] for s in active), dict.fromkeys(active, 0), dict(done)
+        ends = min((blocks[s] - done[s]) / weights[s] for s in active)
+        t = 0
+        while True:
+            due = [(-(-(own[s] + 1) * q // weights[s]), s) for s in active if own[s] * q // weights[s] <= t]
+            s = min(due)[1]
+            own[s] += 1
+            done[s] += 1
+            out.append(s)
+            t += 1
+            if t % q == 0 and t / q >= ends:
+                break
+            if all(done[x] >= min(blocks[x], before[x] + int(ends * weights[x])) for x in active):
+                break
+    return out
+
+
+def test_mix_against_a_plain_schedule(spark):
+    """Blocks of equal phases: every slot's source is that of a plain earliest-deadline-first loop."""
+    weights = {"a": 5, "b": 3, "c": 2}
+    rows = [(i, s) for s, n in (("a", 500), ("b", 300), ("c", 200)) for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block_docs=10).select("source", "mix_slot").distinct().orderBy("mix_slot").collect()
+    want = plain_schedule({"a": 50, "b": 30, "c": 20}, weights)
+    assert [r["source"] for r in got] == want[: len(got)] and len(got) == 100
+
+
 # --- 10 secrets --------------------------------------------------------------------------------
 
 
