@@ -126,19 +126,21 @@ def with_next(docs: DataFrame, *, range_rows: int = RANGE_ROWS) -> DataFrame:
     if not rows:
         return keyed.select("doc_id", "text", signature(F.col("text")).alias("sig"), F.col("text").alias("next_text"), signature(F.col("text")).alias("next_sig"))
     starts = beginnings(keyed.select("key"), rows, range_rows)
-    written = ";".join(f"{'' if i is None else i},{h}" for i, h in starts)
-    known = F.transform(F.split(F.lit(written), ";"), lambda x: F.struct(F.nullif(F.split(x, ",")[0], F.lit("")).cast("long").alias("id"), F.split(x, ",")[1].cast("long").alias("h")))
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  a constant to Spark
+    given, ids, hashes = numbers([int(i is not None) for i, _ in starts]), numbers([i or 0 for i, _ in starts]), numbers([h for _, h in starts])
+    own = F.struct(F.col("key.id").isNotNull().cast("long").alias("g"), F.coalesce("key.id", F.lit(0).cast("long")).alias("i"), F.col("key.h").alias("h"))
+    begin = lambda at: F.struct(F.get(given, at).alias("g"), F.get(ids, at).alias("i"), F.get(hashes, at).alias("h"))
     # The last range whose beginning is not after the row, by halving (the first range begins with the smallest row).
     halves = F.sequence(F.lit(1), F.lit(max(1, len(starts).bit_length())))
 
     def halved(acc: Column, _: Column) -> Column:
         mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
-        below = F.get(known, mid) <= F.col("key")
+        below = begin(mid) <= own
         return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid - 1).alias("hi"))
 
     r = F.aggregate(halves, F.struct(F.lit(0).alias("lo"), F.lit(len(starts) - 1).alias("hi")), halved, lambda acc: acc["lo"])
     before = F.when(F.col("r") == 0, len(starts) - 1).otherwise(F.col("r") - 1)
-    places = F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("tail")), F.when(F.get(known, F.col("r")) == F.col("key"), F.struct(before.alias("r"), F.lit(True).alias("tail"))))
+    places = F.array(F.struct(F.col("r").alias("r"), F.lit(False).alias("tail")), F.when(begin(F.col("r")) == own, F.struct(before.alias("r"), F.lit(True).alias("tail"))))
     dealt = keyed.withColumn("r", r).withColumn("place", F.explode(F.array_compact(places))).select("doc_id", "text", "key", "place.r", "place.tail")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
     w = Window.partitionBy("r").orderBy("tail", F.col("key.id").asc_nulls_first(), "key.h", "text")
