@@ -151,9 +151,11 @@ def pack_apart(
     without words have no near copies; their cluster is the exact text."""
     key = text_key("doc_id", text_col)
     found = near_duplicates(docs.select(key.alias("key"), text_col), words=words, percent=percent, id_col="key", text_col=text_col)
-    found = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component"))
-    rows = docs.select(key.alias("key"), *measures(text_col, source_col, None)).join(found, "key", "left")
-    return packed(in_shards(rows.withColumn("cluster", F.coalesce("component", "cluster")), shard_rows), capacity)
+    component = F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("component")
+    found = found.groupBy(F.col("doc_id").alias("key")).agg(component, F.min("n_words").cast("int").alias("n_words"))
+    doc_id, source, cluster, _ = measures(text_col, source_col, None)
+    rows = docs.select(key.alias("key"), doc_id, source, cluster).join(found, "key").withColumn("cluster", F.coalesce("component", "cluster"))
+    return packed(in_shards(rows, shard_rows), capacity)
 
 
 def mix_places(mixed: DataFrame) -> DataFrame:
