@@ -20,15 +20,14 @@ breadth-first search compares a document only with those not yet reached, so cop
 never expanded into all pairs; tasks return a component label per document.
 
 A cluster beyond ``unit_docs`` or ``unit_shingles`` is cut into parts that are linked one by one; then
-some documents of every component of every part are linked with each other. What remains to be
+some documents of every part's components are compared with each other. What remains to be
 compared are the documents outside the cluster's largest component: with each other, as pairs of
 parts, and with that component's parts, each of which has a tree that only they ask. Documents that are
 in one component already are not compared again, so a group of near copies that holds a fixed
 share of all documents costs about as many tasks as it has parts.
 
-A key that very many
-documents share is dealt out by a salt that grows with the input, its parts' smallest nodes being tied in
-a second step, so no task sees more than about ``KEY_ROWS`` of one key.
+A key that very many documents share (more than ``KEY_ROWS``, told from a hashed sample) is dealt out by a salt, the
+salted parts' smallest nodes being tied in a second step, so no task sees much more than that of one key.
 
 Equal sets (copies) are one node throughout. A node is named by 64 bits of its digest; sets that share
 these but not the next 64 are told apart and renamed. Nothing is dropped or capped.
@@ -51,7 +50,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, small_batches, table
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.shingles import mix, set_digest, shingle_sets
+from ledgerloom.llm.shingles import mix, set_digest, shingle_sets, shingle_sets_and_words
 
 GROUPS = 32
 LEAF = 32
@@ -195,14 +194,44 @@ def links_into(sets: list[np.ndarray], known: np.ndarray, percent: int) -> list[
     return out
 
 
+def joined(seed: np.ndarray, old: list) -> np.ndarray:
+    """Seeds of components after those that share an ``old`` one (null: none) are put together."""
+    first: dict = {}
+    top = np.arange(len(seed))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    for s, o in zip(seed.tolist(), old, strict=True):
+        if not pd.isna(o):
+            a, b = find(s), find(first.setdefault(o, s))
+            top[max(a, b)] = min(a, b)
+    return np.array([find(s) for s in seed.tolist()], np.int64)
+
+
 # --- the operator ------------------------------------------------------------------------------
 
 
+MOST_HOT = 50_000
+SAMPLE = 64
+
+
+def hot_keys(rows: DataFrame) -> list[int]:
+    """Keys that more than about ``KEY_ROWS`` rows hold, told from one row in ``SAMPLE``; at most ``MOST_HOT``.
+
+    It only decides how keys are dealt out: a key that is missed or named in vain changes no link."""
+    some = rows.where("keys is not null").where(F.pmod(F.xxhash64("node", F.lit("hot")), F.lit(SAMPLE)) == 0)
+    counts = some.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > KEY_ROWS)
+    return [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()]
+
+
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
     unit_shingles: int = 1_000_000, unit_docs: int = 1_000,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the components of links with at least ``percent`` similarity."""
+    """(doc_id, n_shingles, component_id, n_words): the components of links with at least ``percent`` similarity."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
 
@@ -210,7 +239,7 @@ def near_duplicates(
         seen: set[tuple[int, int]] = set()  # a copy within the partition adds no keys
         for pdf in batches:
             out = []
-            for i, h in zip(pdf["id"], shingle_sets(list(pdf["t"]), words), strict=True):
+            for i, h, m in zip(pdf["id"], *shingle_sets_and_words(list(pdf["t"]), words), strict=True):
                 (node, check), keys = set_digest(h), None
                 if len(h) and not pd.isna(i) and (node, check) not in seen:
                     if len(seen) < 1_000_000:
@@ -218,10 +247,10 @@ def near_duplicates(
                     with np.errstate(over="ignore"):
                         own = join_keys(h, percent)
                     keys = np.unique(np.concatenate(own)).view(np.int64) if own else None
-                out.append((i, len(h), node, check, keys))
-            yield pd.DataFrame(out, columns=["id", "n", "node", "check", "keys"]).astype({"id": "Int64"})
+                out.append((i, len(h), m, node, check, keys))
+            yield pd.DataFrame(out, columns=["id", "n", "words", "node", "check", "keys"]).astype({"id": "Int64"})
 
-    rows = materialise(texts.mapInPandas(sketch, "id long, n long, node long, check long, keys array<long>"), "ngram-sketch")
+    rows = materialise(texts.mapInPandas(sketch, "id long, n long, words long, node long, check long, keys array<long>"), "ngram-sketch")
     named = lambda df: df.where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("check"), F.max("check").alias("other"))
     nodes = materialise(named(rows), "ngram-nodes")
     if shared := nodes.where("check <> other").count():  # different sets of one name: some in 10^10
@@ -233,94 +262,103 @@ def near_duplicates(
     nodes = nodes.drop("other")
 
     # A star per key: its smallest node is tied to the others. A node without a shared key has no edge.
-    # A key is dealt out by a salt, whose smallest nodes are tied to the smallest of them.
-    salts = max(1, -(-nodes.count() // KEY_ROWS))
     keyed = rows.where("keys is not null").select("node", F.explode("keys").alias("key"))
-    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(salts)))
-    hub = lambda *by: F.first("node").over(Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = keyed.withColumn("hub", hub("key", "salt"))
-    if salts > 1:
-        tops = near.where("node = hub").select("key", "node").distinct().withColumn("hub", hub("key"))
-        near = near.select("node", "hub").unionByName(tops.select("node", "hub"))
+    tied = lambda df, *by: df.withColumn("hub", F.first("node").over(Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hot = hot_keys(rows)
+    if hot:
+        known = F.array_contains(F.split(F.lit(",".join(map(str, hot))), ",").cast("array<bigint>"), F.col("key"))
+        salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(-(-nodes.count() // KEY_ROWS)))
+        salted = tied(keyed.where(known).withColumn("salt", salt), "key", "salt")
+        tops = tied(salted.select("key", F.col("hub").alias("node")).distinct(), "key")
+        near = tied(keyed.where(~known), "key").select("node", "hub").unionByName(salted.select("node", "hub")).unionByName(tops.select("node", "hub"))
+    else:
+        near = tied(keyed, "key")
     edges = near.select(F.col("node").alias("u"), F.col("hub").alias("v")).where("u <> v").distinct()
     clusters = connected_components(edges, "ngram-clusters").select("node", F.col("label").alias("cluster"))
     clusters = materialise(clusters.join(nodes, "node"), "ngram-members")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        """(u, v, turn): u belongs to the component of v. Members of an ``old`` component (of a part) keep together;
+        with ``known`` ones there, which are one component, one link into it is told of each of the others."""
         out = []
         for _, own in pdf.groupby("cluster", sort=False):
-            own = own.drop_duplicates(["node", "t"])
-            sets, known = {}, {}
-            for node, check, old, h in zip(own["node"], own["check"], own["known"], shingle_sets(list(own["t"]), words), strict=True):
+            own = own.drop_duplicates(["node", "t"]).sort_values("node")
+            sets, known, old = {}, {}, {}
+            for node, check, k, o, h in zip(own["node"], own["check"], own["known"], own["old"], shingle_sets(list(own["t"]), words), strict=True):
                 if set_digest(h)[1] == check:  # another text may go by the same id
-                    sets[node], known[node] = h, bool(old)
+                    sets[node], known[node], old[node] = h, bool(k), o
             names = np.array(list(sets), np.int64)
-            if len(names) > 1 and any(known.values()):
+            if any(known.values()):
                 pairs = links_into(list(sets.values()), np.array(list(known.values())), percent)
-                out.append(pd.DataFrame({"u": [names[i] for i, _ in pairs], "v": [names[j] for _, j in pairs]}))
-            elif len(names) > 1:
-                label = link_labels(list(sets.values()), percent)
-                moved = label != np.arange(len(names))
-                out.append(pd.DataFrame({"u": names[moved], "v": names[label[moved]]}))
-        return pd.concat(out, ignore_index=True).astype("int64") if out else pd.DataFrame({"u": [], "v": []}).astype("int64")
+                out.append(pd.DataFrame({"u": [names[i] for i, _ in pairs], "v": [names[j] for _, j in pairs], "turn": 0}))
+            elif len(names):
+                seed = joined(link_labels(list(sets.values()), percent), list(old.values()))
+                out.append(pd.DataFrame({"u": names, "v": names[seed], "turn": pd.Series(seed).groupby(seed).cumcount()}))
+        return pd.concat(out, ignore_index=True).astype("int64") if out else pd.DataFrame({"u": [], "v": [], "turn": []}).astype("int64")
 
     def links_of(placed: DataFrame, name: str) -> DataFrame:
-        """Links inside every group of (unit, a, b); ``known`` marks the members of a component that is whole already."""
-        placed = placed.select("rep", "node", "check", "cluster", "unit", "a", "b", "known")
+        """Links inside every group of (unit, a, b)."""
+        placed = placed.select("rep", "node", "check", "cluster", "unit", "a", "b", "known", "old")
         if placed.count() <= BROADCAST_ROWS:
             placed = F.broadcast(placed)
-        members = texts.join(placed, F.col("id") == F.col("rep")).select("node", "check", "cluster", "unit", "a", "b", "known", "t")
-        return materialise(members.groupBy("unit", "a", "b").applyInPandas(link, "u long, v long"), name)
+        members = texts.join(placed, F.col("id") == F.col("rep")).select("node", "check", "cluster", "unit", "a", "b", "known", "old", "t")
+        return materialise(members.groupBy("unit", "a", "b").applyInPandas(link, "u long, v long, turn long"), name)
 
     parts = lambda n, docs: F.greatest(F.ceil(n / unit_shingles), F.ceil(docs / unit_docs)).cast("int")
-    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
-    old, zero = F.lit(False).alias("known"), F.lit(0)
+    dealt = lambda n, salt, by="node": F.pmod(F.xxhash64(by, F.lit(salt)), n).cast("int")
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    none, zero = F.lit(None).cast("long").alias("old"), F.lit(0)
 
     # Small clusters together, the parts of large ones each for itself.
     sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
-    sizes = materialise(sizes.withColumn("parts", parts(F.col("total"), F.col("docs"))), "ngram-sizes")
-    told = sizes.agg(F.sum("total"), F.max("parts")).first()
-    split = (told[1] or 0) > 1
-    units = max(24, -(-(told[0] or 0) // unit_shingles))
-    placed = clusters.join(sizes.select("cluster", "parts"), "cluster").withColumn("a", F.when(F.col("parts") > 1, dealt(F.col("parts"), "part")).otherwise(-1))
-    unit = F.when(F.col("parts") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster", F.lit("unit")), F.lit(units)))
+    sizes = materialise(sizes.withColumn("parts", parts(F.col("total"), F.col("docs"))).where("parts > 1").select("cluster", "parts"), "ngram-sizes")
+    total, split = clusters.agg(F.sum("n")).first()[0] or 0, sizes.limit(1).count() > 0
+    units = max(24, -(-total // unit_shingles))
+    placed = clusters.join(few(sizes), "cluster", "left").withColumn("a", F.when(F.col("parts").isNotNull(), dealt(F.col("parts"), "part")).otherwise(-1))
+    unit = F.when(F.col("parts").isNotNull(), F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster", F.lit("unit")), F.lit(units)))
     placed = materialise(placed.withColumn("unit", unit), "ngram-placed")
-    links = links_of(placed.withColumn("b", zero).withColumn("known", old), "ngram-links")
-    # Without large clusters the labels are final: v is the seed of u's component.
+    links = links_of(placed.withColumns({"b": zero, "known": F.lit(False), "old": none}), "ngram-links")
+    # Groups are disjoint, so without large clusters the labels are final: v is the seed of u's component.
     labels = links.select(F.col("u").alias("node"), F.col("v").alias("label"))
     if split:
-        labelled = lambda links, name: connected_components(links, name).withColumnRenamed("node", "l_node")
-        whole = lambda df, found: df.join(found, F.col("node") == F.col("l_node"), "left").withColumn("label", F.coalesce("label", "node")).drop("l_node")
-        large = placed.where("parts > 1").withColumnRenamed("a", "part").drop("unit")
-        # Some documents of every component of every part, linked with each other.
-        turn = F.row_number().over(Window.partitionBy("cluster", "part", "label").orderBy(F.xxhash64("node", F.lit("turn")), "node"))
-        some = materialise(whole(large, labelled(links, "ngram-labels")).withColumn("turn", turn).where(F.col("turn") <= SPOKESMEN), "ngram-some")
-        counts = some.groupBy("cluster").agg(parts(F.sum("n"), F.count("*")).alias("groups"))
-        some = some.join(counts, "cluster").select("rep", "node", "check", "cluster", F.col("cluster").alias("unit"), dealt(F.col("groups"), "some").alias("a"), F.lit(-2).alias("b"), old)
-        links = links.unionByName(links_of(some, "ngram-links"))
+        large = placed.where("parts is not null").select("rep", "node", "check", "cluster", "n", F.col("cluster").alias("unit")).join(links.withColumnsRenamed({"u": "node", "v": "part_label"}), "node")
+        large = materialise(large, "ngram-large")
+        # Some documents of every part's components, those of one component together in one group.
+        some = large.where(F.col("turn") < SPOKESMEN)
+        groups = some.groupBy("cluster").agg(parts(F.sum("n"), F.count("*")).alias("groups"))
+        some = some.join(few(materialise(groups, "ngram-groups")), "cluster").withColumns({"a": dealt(F.col("groups"), "some", "part_label"), "b": F.lit(-2), "known": F.lit(False), "old": F.col("part_label")})
+        some = links_of(some, "ngram-links").where("u <> v").join(large.select(F.col("node").alias("u"), F.col("part_label").alias("old_label")), "u")
+        some = some.groupBy("old_label").agg(F.min("v").alias("new_label"))
+        large = large.join(some, F.col("part_label") == F.col("old_label"), "left").withColumn("label", F.coalesce("new_label", "part_label")).drop("old_label", "new_label")
+        large = materialise(large, "ngram-large")
         # What is outside the largest component of its cluster, with each other and with that component.
-        large = materialise(whole(large, labelled(links, "ngram-labels")), "ngram-large")
         by_label = large.groupBy("cluster", "label").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
-        whole_one = by_label.groupBy("cluster").agg(F.max_by(F.struct("label", "docs", "n"), F.struct("docs", "label")).alias("g"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-        shape = whole_one.select("cluster", F.col("g.label").alias("top"), parts(F.col("g.n"), F.col("g.docs")).alias("g"), parts(F.col("n") - F.col("g.n"), F.col("docs") - F.col("g.docs")).alias("r"))
-        rest = large.join(shape, "cluster").where("r > 0").withColumn("known", F.col("label") == F.col("top"))
+        shape = by_label.groupBy("cluster").agg(F.max_by(F.struct("label", "docs", "n"), F.struct("docs", "label")).alias("g"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+        shape = shape.select("cluster", F.col("g.label").alias("top"), parts(F.col("g.n"), F.col("g.docs")).alias("g"), parts(F.col("n") - F.col("g.n"), F.col("docs") - F.col("g.docs")).alias("r"))
+        rest = large.join(few(materialise(shape.where("r > 0"), "ngram-shape")), "cluster").withColumns({"known": F.col("label") == F.col("top"), "old": F.col("label")})
         count = lambda n: F.sequence(zero, n - 1)
         i, k = dealt(F.col("r"), "rest"), dealt(F.col("g"), "top")
         pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
         tasks = F.when(F.col("known"), F.transform(count(F.col("r")), lambda x: pair(x, -3 - k))).otherwise(
             F.concat(F.transform(count(F.col("g")), lambda x: pair(i, -3 - x)), F.transform(count(F.col("r")), lambda x: pair(F.least(x, i), F.greatest(x, i))))
         )
-        rest = rest.withColumn("task", F.explode(tasks)).select("rep", "node", "check", "cluster", F.col("cluster").alias("unit"), "task.a", "task.b", "known")
-        links = links.unionByName(links_of(rest, "ngram-links"))
-        labels = connected_components(links, "ngram-labels")
+        rest = rest.withColumn("task", F.explode(tasks)).select("rep", "node", "check", "cluster", "unit", "task.a", "task.b", "known", "old")
+        more = links_of(rest, "ngram-links").select("u", "v").where("u <> v")
+        of = lambda c: large.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        more = more.join(of("u"), "u").join(of("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+        last = connected_components(more, "ngram-labels").withColumnsRenamed({"node": "last_node", "label": "last_label"})
+        large = large.join(last, F.col("label") == F.col("last_node"), "left").select("node", F.coalesce("last_label", "label").alias("label"))
+        small = links.join(placed.where("parts is null").select(F.col("node").alias("u")), "u").select(F.col("u").alias("node"), F.col("v").alias("label"))
+        labels = small.unionByName(large)
     named = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     component = named.join(least, "label").select("node", "component_id")
     return (
-        rows.select("id", "n", "node").join(component, "node", "left")
+        rows.select("id", "n", "words", "node").join(component, "node", "left")
         .select(
             F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
             F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+            F.col("words").alias("n_words"),
         )
     )
 
@@ -351,7 +389,7 @@ def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' components under links of Jaccard similarity 0.9 or more on three-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 OP2_SQL = r"""

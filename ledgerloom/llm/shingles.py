@@ -53,7 +53,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its n-word shingles."""
+    return shingle_sets_and_words(texts, n)[0]
+
+
+def shingle_sets_and_words(texts: list[str | None], n: int) -> tuple[list[np.ndarray], list[int]]:
+    """The sets of ``shingle_sets`` and how many words each text has."""
     out: list[np.ndarray] = []
+    counts: list[int] = []
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
     i = 0
     with np.errstate(over="ignore"):
@@ -67,6 +73,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
             for k in range(n):
                 every = every * np.uint64(0x2545F4914F6CDD1D) + hashes[k : k + len(every)]
             every = mix(every)
+            counts += np.diff(first).tolist()
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if b - a >= n:
                     out.append(np.unique(every[a : b - n + 1]))
@@ -78,7 +85,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
                 else:
                     out.append(np.zeros(0, np.uint64))
             i = j
-    return out
+    return out, counts
 
 
 def set_digest(hashes: np.ndarray) -> tuple[int, int]:

@@ -236,12 +236,13 @@ def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
 
 def test_keys_that_many_share_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "KEY_ROWS", 10)
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
     rows = chained_texts()
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()}
     assert got == {i: c for i, (_, c) in brute_components(rows, 5, 80).items()}
 
 
-def test_hubs_of_any_degree_give_the_same_components(spark, monkeypatch):
+def test_hubs_of_any_degree_give_the_same_components(spark):
     rng = np.random.default_rng(2)
     edges = [(0, i) for i in range(1, 300)] + [(int(a), int(b)) for a, b in rng.integers(300, 900, (350, 2))]
     label = {i: i for e in edges for i in e}
@@ -250,8 +251,7 @@ def test_hubs_of_any_degree_give_the_same_components(spark, monkeypatch):
             label[a] = label[b] = min(label[a], label[b])
     df = spark.createDataFrame(edges, "u long, v long")
     for bound in (5, 1_000):
-        monkeypatch.setattr(components.with_least, "__defaults__", (bound,))
-        got = {r["node"]: r["label"] for r in components.connected_components(df).collect()}
+        got = {r["node"]: r["label"] for r in components.connected_components(df, hub_edges=bound).collect()}
         assert got == {i: c for i, c in label.items() if any(i in e and e[0] != e[1] for e in edges)}
 
 
