@@ -112,7 +112,7 @@ def review_flags(results: DataFrame, required: tuple[str, ...], agreement: DataF
     ))
     flags = results.select("packet_id", "field", F.explode(checks).alias("f")).select("packet_id", "field", "f.reason", "f.stage")
     if agreement is not None:
-        flags = flags.unionByName(agreement.where("agreement = 'mismatch'").select("packet_id", "field", F.lit("cross_document_mismatch").alias("reason"), F.lit(5).alias("stage")))
+        flags = flags.unionByName(agreement.where("agreement = 'inconsistent'").select("packet_id", "field", F.lit("cross_document_mismatch").alias("reason"), F.lit(5).alias("stage")))
     return flags
 
 
@@ -129,6 +129,6 @@ def packet_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def pattern_only(spans: DataFrame, labelled: DataFrame) -> DataFrame:
+def pattern_only(spans: DataFrame, labelled: DataFrame, keys: tuple[str, ...] = ("field", "span_id")) -> DataFrame:
     """Spans that no caption of the field has claimed: left for the pattern scan."""
-    return spans.join(labelled.select("field", "span_id").distinct(), ["field", "span_id"], "left_anti")
+    return spans.join(labelled.select(*keys).distinct(), list(keys), "left_anti")

@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.geometry import overlap
 
 PAGE = ("doc_id", "page")
+PACKET_PAGE = ("packet_id", "doc_id", "page")  # documents are numbered inside their packet
 # A4 at 200 dots per inch, margin, line and character pitch in inches.
 DPI, PAGE_H_IN, MARGIN_IN, LINE_IN, CHAR_IN = 200, 11.69, 0.75, 0.22, 0.075
 
 
-def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0) -> DataFrame:
+def key_types(df: DataFrame, keys: tuple[str, ...]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
+def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Spans beside each caption on its page: direction, same_line, distance_ratio.
 
     An equi-join on the page with the geometry as residual condition; rules apply in the order right,
     below, left, above, and one whose gap is too wide gives way to the next."""
-    a = captions.select(*PAGE, *[F.col(c).alias(f"a_{c}") for c in ("span_id", "x1", "y1", "x2", "y2", "unit")])
-    b = spans.select(*PAGE, *[F.col(c).alias(f"b_{c}") for c in ("span_id", "x1", "y1", "x2", "y2")])
+    a = captions.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("span_id", "x1", "y1", "x2", "y2", "unit")])
+    b = spans.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("span_id", "x1", "y1", "x2", "y2")])
     u = F.col("a_unit")
     v = overlap(F.col("a_y1"), F.col("a_y2"), F.col("b_y1"), F.col("b_y2"))
     h = overlap(F.col("a_x1"), F.col("a_x2"), F.col("b_x1"), F.col("b_x2"))
@@ -35,19 +40,19 @@ def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0) -> D
         F.when(holds & (F.greatest(F.lit(0.0), gap) <= max_gap * u), F.struct(F.lit(name).alias("direction"), (F.greatest(F.lit(0.0), gap) / u / max_gap).alias("ratio")))
         for name, holds, gap in rules
     ])
-    joined = a.join(b, list(PAGE)).where("a_span_id <> b_span_id").withColumn("hit", hit).where("hit is not null")
-    return joined.select(*PAGE, "a_span_id", "b_span_id", "hit.direction", F.col("hit.ratio").alias("distance_ratio"), F.col("hit.direction").isin("right", "left").alias("same_line"))
+    joined = a.join(b, list(keys)).where("a_span_id <> b_span_id").withColumn("hit", hit).where("hit is not null")
+    return joined.select(*keys, "a_span_id", "b_span_id", "hit.direction", F.col("hit.ratio").alias("distance_ratio"), F.col("hit.direction").isin("right", "left").alias("same_line"))
 
 
-def lines(spans: DataFrame) -> DataFrame:
-    """Adds line (from 0) and order per page. A span joins the first line whose running mean centre lies within 0.6
-    of the page's median height, in order of centre and x1; this depends on the order, so it is a fold per page.
-    A page's spans are few; pages are the parallel units."""
+def lines(spans: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """Adds line (from 0) and order per page. In order of the upper edge and x1 a span joins the first line whose running
+    mean centre lies within 0.6 of the page's median height (1 at least); this depends on the order, so it is a fold per
+    page. Lines are numbered by their upper edge. A page's spans are few; pages are the parallel units."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(cy=(pdf.y1 + pdf.y2) / 2).sort_values(["cy", "x1", "span_id"], kind="stable")
+        pdf = pdf.assign(cy=(pdf.y1 + pdf.y2) / 2).sort_values(["y1", "x1", "span_id"], kind="stable")
         heights = (pdf.y2 - pdf.y1)[(pdf.y2 - pdf.y1) > 0]
-        reach = 0.6 * (float(heights.median()) if len(heights) else 1.0)
+        reach = max(0.6 * (float(heights.median()) if len(heights) else 1.0), 1.0)
         centres: list[list[float]] = []
         own = []
         for cy in pdf.cy:
@@ -58,27 +63,28 @@ def lines(spans: DataFrame) -> DataFrame:
             centres[at][0] += cy
             centres[at][1] += 1
             own.append(at)
-        rank = {i: k for k, i in enumerate(sorted(range(len(centres)), key=lambda i: centres[i][0] / centres[i][1]))}
+        top = pdf.groupby(own)["y1"].min()
+        rank = {i: k for k, i in enumerate(sorted(top.index, key=lambda i: top[i]))}
         pdf = pdf.assign(line=[rank[i] for i in own]).sort_values(["line", "x1", "span_id"], kind="stable")
-        return pdf.assign(order=range(len(pdf)))[["doc_id", "page", "span_id", "line", "order"]]
+        return pdf.assign(order=range(len(pdf)))[[*keys, "span_id", "line", "order"]]
 
-    return spans.select(*PAGE, "span_id", "x1", "y1", "x2", "y2").groupBy(*PAGE).applyInPandas(fold, "doc_id long, page int, span_id long, line int, order int")
+    return spans.select(*keys, "span_id", "x1", "y1", "x2", "y2").groupBy(*keys).applyInPandas(fold, f"{key_types(spans, keys)}, span_id long, line int, order int")
 
 
-def sessions(chars: DataFrame, gap_factor: float = 2.5, default_width: float = 4.0) -> DataFrame:
+def sessions(chars: DataFrame, gap_factor: float = 2.5, default_width: float = 4.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Characters (doc_id, page, i, ch, x1, y1, x2, y2) to spans: a new one after a line break, where vertical overlap
     with the character before is below a half, or after a gap of more than gap_factor median widths."""
-    w = Window.partitionBy(*PAGE).orderBy("i")
-    page = chars.groupBy(*PAGE).agg(F.coalesce(F.percentile(F.when(F.col("x2") > F.col("x1"), F.col("x2") - F.col("x1")), 0.5), F.lit(default_width)).alias("width"))
+    w = Window.partitionBy(*keys).orderBy("i")
+    page = chars.groupBy(*keys).agg(F.coalesce(F.percentile(F.when(F.col("x2") > F.col("x1"), F.col("x2") - F.col("x1")), 0.5), F.lit(default_width)).alias("width"))
     lag = lambda c: F.lag(c).over(w)
     apart = (overlap(F.col("y1"), F.col("y2"), F.col("p_y1"), F.col("p_y2")) < 0.5) | (F.col("x1") - F.col("p_x2") > gap_factor * F.col("width"))
     marked = (
-        chars.join(page, list(PAGE)).withColumns({"p_y1": lag("y1"), "p_y2": lag("y2"), "p_x2": lag("x2"), "p_ch": lag("ch")})
+        chars.join(page, list(keys)).withColumns({"p_y1": lag("y1"), "p_y2": lag("y2"), "p_x2": lag("x2"), "p_ch": lag("ch")})
         .withColumn("new", F.coalesce((F.col("ch") == "\n") | (F.col("p_ch") == "\n") | apart, F.lit(True)).cast("int"))
         .withColumn("session", F.sum("new").over(w))
         .where("ch <> '\n'")
     )
-    return marked.groupBy(*PAGE, "session").agg(
+    return marked.groupBy(*keys, "session").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "ch"))), lambda s: s["ch"]), "").alias("text"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
     )
@@ -111,8 +117,8 @@ def row_separator(above: str, row: str) -> str:
     return ", " if above.count(",") >= 2 and bare else " "
 
 
-def continued_values(spans: DataFrame, max_gap: float = 1.2, max_row_gap: float = 1.6, indent: float = 2.0) -> DataFrame:
-    """The whole value that begins at each span marked ``start``: (doc_id, page, span_id, value).
+def continued_values(spans: DataFrame, max_gap: float = 1.2, max_row_gap: float = 1.6, indent: float = 2.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """The whole value that begins at each span marked ``start``: (doc_id, page, span_id, value), or with the keys given.
 
     ``spans`` has span_id, text, line, label_like, start and the box. A value goes on over spans to its right until a wide
     gap or a caption, then over rows below that keep its left edge and follow closely. The walk stops at the first
@@ -152,7 +158,8 @@ def continued_values(spans: DataFrame, max_gap: float = 1.2, max_row_gap: float
                 text = " ".join(walk(pd.concat([begin, g[g.x1 > begin.x1.iloc[0]]]), begin.x1.iloc[0], unit)[0])
                 value += row_separator(above, text) + text
                 above, bottom, centre = text, low, (top + low) / 2
-            out.append((s.doc_id, s.page, s.span_id, value))
-        return pd.DataFrame(out, columns=["doc_id", "page", "span_id", "value"])
+            out.append((*(getattr(s, k) for k in keys), s.span_id, value))
+        return pd.DataFrame(out, columns=[*keys, "span_id", "value"])
 
-    return spans.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, span_id long, value string")
+    own = spans.select(*keys, "span_id", "text", "line", "label_like", "start", "x1", "y1", "x2", "y2")
+    return own.groupBy(*keys).applyInPandas(page, f"{key_types(spans, keys)}, span_id long, value string")

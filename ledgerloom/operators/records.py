@@ -9,12 +9,12 @@ from ledgerloom.functions.text import ERP_WIDTHS, fit_width, strip
 
 # Record column to ERP field.
 VENDOR_ERP = {
-    "vendor_name": "Name", "address_1": "Address", "city": "City", "state": "County", "pin_code": "Post_Code", "contact_person": "Contact", "telephone_1": "Phone_No",
-    "telephone_2": "MobilePhoneNo", "email": "E_Mail", "website": "Home_Page", "pan_no": "PAN_Number", "gst_no": "GST_Number",
+    "vendor_name": "Name", "address_1": "Address", "city": "City", "state": "County", "country": "Country_Region_Code", "pin_code": "Post_Code", "telephone_1": "Phone_No",
+    "telephone_2": "MobilePhoneNo", "email": "E_Mail", "website": "Home_Page", "pan": "PAN_Number", "gst_no": "GST_Number",
 }
 CUSTOMER_ERP = {
-    "customer_name": "Name", "billing_address": "Address", "city": "City", "state": "County", "pin_code": "Post_Code", "contact_person": "Contact", "phone_number": "Phone_No",
-    "mobile_number": "MobilePhoneNo", "email": "E_Mail", "pan_number": "PAN_Number", "gst_registration_number": "GST_Number",
+    "company_name": "Name", "contact_name": "Contact", "billing_address": "Address", "city": "City", "state": "County", "country": "Country_Region_Code", "zip_code": "Post_Code",
+    "phone_number": "Phone_No", "email_id_to": "E_Mail", "pan_number": "PAN_Number", "gst_registration_number": "GST_Number",
 }
 
 
@@ -33,10 +33,13 @@ def blank_to_null(records: DataFrame, columns: list[str]) -> DataFrame:
 def duplicates(incoming: DataFrame, records: DataFrame, keys: tuple[str, ...], key: str = "id", exclude: str | None = None) -> DataFrame:
     """Adds existing_id and clash (the column): the first of ``keys`` that is taken, smallest id. Null keys clash with nothing.
 
-    One equi-join per key against the smallest id per value, so hot values do not multiply rows."""
+    One equi-join per key against the two smallest ids per value (a group limit keeps no more of a hot value), so hot
+    values do not multiply rows."""
     out = incoming
     for k in keys:
-        own = records.where(F.col(k).isNotNull()).groupBy(F.col(k).alias(f"__{k}")).agg(F.array_sort(F.slice(F.array_sort(F.collect_set(key)), 1, 2)).alias(f"__ids_{k}"))
+        place = F.row_number().over(Window.partitionBy(k).orderBy(key))
+        two = records.where(F.col(k).isNotNull()).select(k, key).distinct().withColumn("__n", place).where("__n <= 2")
+        own = two.groupBy(F.col(k).alias(f"__{k}")).agg(F.array_sort(F.collect_list(key)).alias(f"__ids_{k}"))
         out = out.join(own, F.col(k) == F.col(f"__{k}"), "left")
 
     def first(k: str) -> Column:

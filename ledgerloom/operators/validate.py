@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import full_match, similarity, strip
+from ledgerloom.functions.text import full_match, lookup_key, similarity, strip
 
 # The rules and the fields that they belong to.
 STATES = (
@@ -64,8 +64,8 @@ RULES = {
 }
 FIELD_RULES = {
     "vendor_name": ("non_empty",), "gst_number": ("gstin_format", "gstin_contains_pan", "gstin_state_code"), "pan": ("pan_format",), "tan": ("tan_format",),
-    "udyam_number": ("udyam_format",), "esic_number": ("esic_format",), "state": ("indian_state",), "country": ("country_name",),
-    "pin_code": ("pin_format", "pin_matches_state"), "telephone": ("indian_phone",), "email": ("email_format",), "ifsc": ("ifsc_format",),
+    "udyam_number": ("udyam_format",), "esic_number": ("esic_format",), "state": ("indian_state", "pin_matches_state"), "country": ("country_name",),
+    "pin_code": ("pin_format",), "telephone": ("indian_phone",), "email": ("email_format",), "ifsc": ("ifsc_format",),
     "account_number": ("account_number_format",),
 }
 
@@ -87,17 +87,19 @@ def passes(rule: Rule, value: Column, row: dict[str, Column]) -> Column:
         return F.upper(F.substring(source, rule.start + 1, rule.end - rule.start)) == F.upper(target)
     if rule.kind == "state_code":
         return F.substring(source, 1, 2).isin(*STATE_CODES)
-    known = F.lower(F.nullif(row["pin_state"], F.lit("")))
-    return F.when(source.isNotNull() & (F.coalesce(row["state"], F.lit("")) != ""), known == F.lower(row["state"]))
+    # Both sides in their canonical spelling, where one is known; without a PIN of six digits in the directory no judgement.
+    want = F.nullif(F.coalesce(row["pin_state"], F.lit("")), F.lit(""))
+    got = F.coalesce(row["canonical_state"], strip(text))
+    return F.when((strip(text) != "") & full_match(strip(source), ["[0-9]{6}"]), F.lower(want) == F.lower(got))
 
 
 def findings(packets: DataFrame, fields: list[str], key: str = "packet_id") -> DataFrame:
     """(packet, field, validator, severity, ok) of a wide table; a value-less field has no findings.
 
-    One projection and one explode; ``pin_state`` is the state that the PIN directory names, if joined."""
+    One projection and one explode; ``pin_state`` and ``canonical_state`` come from ``with_pin_state``, if joined."""
     row = {c: F.col(c) for c in packets.columns}
     row.setdefault("pin_state", F.lit(None).cast("string"))
-    row.setdefault("state", F.lit(None).cast("string"))
+    row.setdefault("canonical_state", F.lit(None).cast("string"))
     judged = F.array(*[
         F.struct(F.lit(f).alias("field"), F.lit(name).alias("validator"), F.lit(RULES[name].severity).alias("severity"), passes(RULES[name], F.col(f), row).alias("ok"))
         for f in fields
@@ -109,6 +111,22 @@ def findings(packets: DataFrame, fields: list[str], key: str = "packet_id") -> D
     return packets.select(key, *fields, F.explode(judged).alias("x")).where(has_value & F.col("x.ok").isNotNull()).select(key, "x.*")
 
 
+def with_pin_state(packets: DataFrame, pins: DataFrame, states: DataFrame) -> DataFrame:
+    """Adds pin_state, what the PIN directory (pin, state, ..) names for pin_code, and canonical_state, the spelling that
+    the table of states and aliases (key, state) gives for state; both canonical where known, null where not."""
+    spelling = states.groupBy("key").agg(F.min("state").alias("spelling"))
+    named = pins.groupBy(F.col("pin").alias("__pin")).agg(F.min("state").alias("named"))
+    named = named.join(spelling, lookup_key(F.col("named")) == F.col("key"), "left").select("__pin", F.coalesce("spelling", "named").alias("pin_state"))
+    out = packets.join(named, strip(F.col("pin_code")) == F.col("__pin"), "left").drop("__pin")
+    own = spelling.select(F.col("key").alias("__key"), F.col("spelling").alias("canonical_state"))
+    return out.join(own, lookup_key(F.col("state")) == F.col("__key"), "left").drop("__key")
+
+
+def or_missing(status: Column, value: Column) -> Column:
+    """A field without a value is missing; one that no rule judges is not validated."""
+    return F.when(F.coalesce(value, F.lit("")) == "", "missing").otherwise(F.coalesce(status, F.lit("not_validated")))
+
+
 def statuses(found: DataFrame, key: str = "packet_id") -> DataFrame:
     """One status per field: invalid if an error failed, warning if a warning did, else valid."""
     failed = lambda s: F.max((~F.col("ok") & (F.col("severity") == s)).cast("int"))
@@ -123,12 +141,12 @@ def consistency(values: DataFrame, threshold: float = 85.0, keys: tuple[str, ...
 
     ``values`` has keys, doc_id, value, score and cand_ord. Pairs stay inside one packet's field, whose
     documents are few; lengths rule most unlike pairs out before they are compared."""
-    w = Window.partitionBy(*keys, "doc_id").orderBy(F.desc("score"), "cand_ord")
-    best = values.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*keys, "doc_id", F.lower("value").alias("value"))
-    docs = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doc_id", "value"))).alias("d"))
+    w = Window.partitionBy(*keys, "doc_id").orderBy((F.coalesce("value", F.lit("")) == "").cast("int"), F.desc("score"), "cand_ord")
+    best = values.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*keys, "doc_id", F.nullif(F.lower("value"), F.lit("")).alias("value"))
+    docs = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("doc_id", "value")))).alias("d"))
     pairs = F.flatten(F.transform("d", lambda a, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda b: F.struct(a["value"].alias("a"), b["value"].alias("b")))))
     unlike = F.size(F.filter(pairs, lambda p: similarity(p["a"], p["b"], threshold) < threshold))
     return docs.select(
         *keys, F.size("d").cast("long").alias("n_docs"), unlike.cast("long").alias("n_conflicts"),
-        F.when(F.size("d") == 1, "single_source").when(unlike > 0, "mismatch").otherwise("consistent").alias("agreement"),
+        F.when(F.size("d") == 0, "not_checked").when(F.size("d") == 1, "single_source").when(unlike > 0, "inconsistent").otherwise("consistent").alias("agreement"),
     )

@@ -1,7 +1,7 @@
 """From spans to one validated record per packet, as one plan over many packets.
 
-Not built yet: values that go on over several spans or rows (only the one span beside a caption is
-read) and a lower score for values that fit another field's pattern.
+A value beside a caption goes on over further spans and rows; one that is wholly another field's value (its
+pattern fits, the own one does not) is marked as foreign and scores lower.
 
 Geometry is joined per page, choices are made per packet and field; every stage is a DataFrame, so
 Spark plans the exchanges (page, then packet and field) and nothing is looped over on the driver.
@@ -66,30 +66,55 @@ def derived(f: Field, raw: Column) -> Column:
     return F.struct(F.when(first.isNotNull(), value).otherwise(plain).alias("value"), first.isNotNull().alias("matched"))
 
 
+def foreign(dictionary: dict[str, Field]) -> Column:
+    """Whether a value fits another field's pattern and not its own."""
+    value = F.coalesce(F.col("d.value"), F.lit(""))
+
+    def of(name: str, f: Field) -> Column:
+        others = [full_match(value, list(o.patterns)) for n, o in dictionary.items() if n != name and o.patterns and o.patterns != f.patterns]
+        own = full_match(value, list(f.patterns)) if f.patterns else F.lit(False)
+        out = F.lit(False)
+        for fits in others:
+            out = out | fits
+        return out & ~own
+
+    out = F.lit(False)
+    for name, f in reversed(dictionary.items()):
+        out = F.when(F.col("field") == name, of(name, f)).otherwise(out)
+    return out
+
+
 def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
-    """All candidates of all fields. ``spans``: packet_id, doc_id (unique over packets), doc_type, page, span_id (unique),
+    """All candidates of all fields. ``spans``: packet_id, doc_id and span_id (both unique in the packet), doc_type, page,
     text, confidence and the box."""
     hits = captions.caption_hits(spans, {n: list(f.captions) for n, f in dictionary.items() if f.captions}, {n: "|".join(f.patterns) for n, f in dictionary.items() if f.patterns})
     keep = ("packet_id", "doc_id", "doc_type", "page", "span_id")
     inline = hits.where("rest <> ''").select(*keep, "confidence", "field", "similarity", F.lit(1.0).alias("proximity"), F.lit("inline").alias("kind"), F.col("rest").alias("raw"), F.lit(False).alias("label_like"))
     whole = hits.where("rest = ''")
-    units = spans.groupBy("doc_id", "page").agg(F.coalesce(F.percentile(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")), 0.5), F.lit(1.0)).alias("usual"))
-    marked = whole.select("doc_id", "page", "span_id", "x1", "y1", "x2", "y2").distinct().join(units, ["doc_id", "page"])
+    units = spans.groupBy(*layout.PACKET_PAGE).agg(F.coalesce(F.percentile(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")), 0.5), F.lit(1.0)).alias("usual"))
+    marked = whole.select(*layout.PACKET_PAGE, "span_id", "x1", "y1", "x2", "y2").distinct().join(units, list(layout.PACKET_PAGE))
     marked = marked.withColumn("unit", F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")).otherwise(F.col("usual"))).drop("usual")
-    near = layout.neighbours(marked, spans, 12.0).select("a_span_id", "b_span_id", "direction", "distance_ratio", "same_line")
-    asked = whole.select(F.col("span_id").alias("a_span_id"), "field", "similarity")
-    labels = hits.where("rest = ''").select(F.col("span_id").alias("l_span_id")).distinct()
+    near = layout.neighbours(marked, spans, 12.0, layout.PACKET_PAGE).select("packet_id", "a_span_id", "b_span_id", "direction", "distance_ratio", "same_line")
+    asked = whole.select("packet_id", F.col("span_id").alias("a_span_id"), "field", "similarity")
+    labels = hits.where("rest = ''").select("packet_id", F.col("span_id").alias("b_span_id"), F.lit(True).alias("is_label")).distinct()
+    # The whole value that begins beside a caption: over the spans to its right and the rows below that go on with it.
+    starts = near.select("packet_id", F.col("b_span_id").alias("span_id"), F.lit(True).alias("start")).distinct()
+    captions_ = hits.select("packet_id", "span_id", F.lit(True).alias("label_like")).distinct()
+    laid = spans.join(layout.lines(spans, layout.PACKET_PAGE).select("packet_id", "span_id", "line"), ["packet_id", "span_id"])
+    laid = laid.join(starts, ["packet_id", "span_id"], "left").join(captions_, ["packet_id", "span_id"], "left").na.fill(False, ["start", "label_like"])
+    values = layout.continued_values(laid, keys=layout.PACKET_PAGE).select("packet_id", "span_id", "value")
+    values = spans.join(values, ["packet_id", "span_id"])
     beside = (
-        asked.join(near, "a_span_id").where(F.coalesce(by_field(dictionary, lambda f: F.col("direction").isin(*f.directions)), F.lit(False)))
-        .join(spans, F.col("b_span_id") == F.col("span_id")).join(labels, F.col("b_span_id") == F.col("l_span_id"), "left")
+        asked.join(near, ["packet_id", "a_span_id"]).where(F.coalesce(by_field(dictionary, lambda f: F.col("direction").isin(*f.directions)), F.lit(False)))
+        .join(values.withColumnRenamed("span_id", "b_span_id"), ["packet_id", "b_span_id"]).join(labels, ["packet_id", "b_span_id"], "left").withColumnRenamed("b_span_id", "span_id")
         .select(*keep, "confidence", "field", "similarity", (1 - F.col("distance_ratio")).alias("proximity"), F.when(F.col("same_line"), "adjacent_same_line").otherwise("adjacent").alias("kind"),
-                F.col("text").alias("raw"), F.col("l_span_id").isNotNull().alias("label_like"))
+                F.col("value").alias("raw"), F.col("is_label").isNotNull().alias("label_like"))
     )
-    claimed = inline.select("field", "span_id").unionByName(beside.select("field", "span_id"))
+    claimed = inline.select("packet_id", "field", "span_id").unionByName(beside.select("packet_id", "field", "span_id"))
     scanned = spans.select(*keep, "confidence", F.explode(F.array(*[
         F.struct(F.lit(n).alias("field"), find_matches(F.col("text"), list(f.patterns)).alias("found")) for n, f in dictionary.items() if f.patterns
     ])).alias("x")).select(*keep, "confidence", "x.field", F.explode("x.found").alias("raw"))
-    loose = fields.pattern_only(scanned, claimed).select(*keep, "confidence", "field", F.lit(0.0).alias("similarity"), F.lit(0.0).alias("proximity"), F.lit("pattern_only").alias("kind"), "raw", F.lit(False).alias("label_like"))
+    loose = fields.pattern_only(scanned, claimed, ("packet_id", "field", "span_id")).select(*keep, "confidence", "field", F.lit(0.0).alias("similarity"), F.lit(0.0).alias("proximity"), F.lit("pattern_only").alias("kind"), "raw", F.lit(False).alias("label_like"))
     pooled = inline.unionByName(beside).unionByName(loose)
     pooled = pooled.withColumn("d", by_field(dictionary, lambda f: derived(f, F.col("raw"))))
     expected = by_field(dictionary, lambda f: F.col("doc_type").isin(*f.expected) if f.expected else F.lit(None).cast("boolean"))
@@ -97,7 +122,7 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     return pooled.select(
         "packet_id", "doc_id", "doc_type", "field", F.col("d.value").alias("value"), F.col("d.matched").alias("matched"), "kind", F.col("similarity").alias("label_similarity"), "proximity",
         F.col("confidence").alias("ocr_confidence"), by_field(dictionary, lambda f: F.lit(bool(f.patterns))).alias("has_pattern"), expected.alias("expected_doc"), "label_like",
-        F.lit(False).alias("foreign"), by_field(dictionary, lambda f: F.lit(f.text and not f.patterns)).alias("is_text"), order.alias("cand_ord"),
+        foreign(dictionary).alias("foreign"), by_field(dictionary, lambda f: F.lit(f.text and not f.patterns)).alias("is_text"), order.alias("cand_ord"),
     )
 
 
@@ -121,7 +146,7 @@ def extract(spans: DataFrame, dictionary: dict[str, Field]) -> dict[str, DataFra
     results = every.join(best, ["packet_id", "field"], "left")
     wide = fields.canonical(results, names)
     found = validate.statuses(validate.findings(wide, names))
-    results = results.join(found, ["packet_id", "field"], "left").withColumn("status", F.coalesce("status", F.lit("not_validated"))).withColumn("derived", F.lit(False))
+    results = results.join(found, ["packet_id", "field"], "left").withColumn("status", validate.or_missing(F.col("status"), F.col("value"))).withColumn("derived", F.lit(False))
     results = fields.with_defaults(results, {n: f.default for n, f in dictionary.items() if f.default} or {"": ""})
     agreement = validate.consistency(pool.where(F.col("score") >= fields.LEAST_ACCEPTED))
     flags = fields.review_flags(results, tuple(n for n, f in dictionary.items() if f.required), agreement)

@@ -50,7 +50,7 @@ st AS MATERIALIZED (SELECT packet_id, f, CASE WHEN bool_or(NOT ok AND s = 'error
   CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_failed FROM j WHERE ok IS NOT NULL GROUP BY packet_id, f)"""
 RULED = ["vendor_name", "gst_number", "pan", "pin_code", "state", "country", "email", "telephone", "ifsc", "account_number"]
 LONG = (
-    "lr AS MATERIALIZED (SELECT l.packet_id, l.f, l.value, coalesce(st.status, 'not_validated') AS status, CASE WHEN l.packet_id % 3 = 0 THEN 0.5 ELSE 0.9 END AS confidence, "
+    "lr AS MATERIALIZED (SELECT l.packet_id, l.f, l.value, CASE WHEN coalesce(l.value, '') = '' THEN 'missing' ELSE coalesce(st.status, 'not_validated') END AS status, CASE WHEN l.packet_id % 3 = 0 THEN 0.5 ELSE 0.9 END AS confidence, "
     "l.f = 'state' AND l.packet_id % 4 = 0 AS derived FROM (" + " UNION ALL ".join(f"SELECT packet_id, '{f}' AS f, {f} AS value FROM v" for f in RULED) + ") l LEFT JOIN st USING (packet_id, f)), "
     "ld AS MATERIALIZED (SELECT packet_id, f, derived, CASE WHEN f = 'country' AND coalesce(value, '') = '' THEN 1.0 ELSE confidence END AS confidence, "
     "CASE WHEN f = 'country' AND (coalesce(value, '') = '' OR status = 'invalid') THEN 'India' ELSE value END AS value, "
@@ -110,7 +110,7 @@ TRUTH = "t AS MATERIALIZED (" + " UNION ALL ".join(
     f"WHEN {truth_norm('v', f)} = {truth_norm('g', f)} THEN 'correct' ELSE 'wrong' END AS outcome FROM t WHERE f = '{f}'" for f in TRUTH_FIELDS
 ) + ")"
 
-ERP = {"Name": "vendor_name", "Address": "address_1", "City": "city", "County": "state", "Post_Code": "pin_code", "Phone_No": "telephone", "E_Mail": "email", "PAN_Number": "pan", "GST_Number": "gst_number"}
+ERP = {"Name": "vendor_name", "Address": "address_1", "City": "city", "County": "state", "Country_Region_Code": "country", "Post_Code": "pin_code", "Phone_No": "telephone", "E_Mail": "email", "PAN_Number": "pan", "GST_Number": "gst_number"}
 ERP_FIELDS = {k: f"nullif({strip(f'coalesce({c}, {chr(39) * 2})')}, '')" for k, c in ERP.items()} | {
     "Address_2": "nullif(array_to_string(list_filter([nullif(trim(coalesce(address_2, '')), ''), nullif(trim(coalesce(address_3, '')), '')], lambda q: q IS NOT NULL), ', '), '')"
 }
@@ -137,6 +137,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT doc_id, CASE WHEN list_max(l) >= 1 THEN ['english', 'french', 'german', 'spanish'][list_position(l, list_max(l))] ELSE 'other' END AS doc_type, CAST(CASE WHEN list_max(l) >= 1 THEN list_max(l) ELSE 0 END AS DOUBLE) AS type_score FROM k""",
     "validator_suite": f"WITH {V}, {STATUS} SELECT packet_id, f AS field_name, status, n_failed FROM st",
     "validator_counts": f"WITH {V}, {STATUS} SELECT r AS validator, count(*) AS n, count(*) FILTER (WHERE ok) AS passed FROM j WHERE ok IS NOT NULL GROUP BY r",
+    "pin_state_check": f"""WITH {V}, d AS (SELECT pin_code AS pin, CASE WHEN packet_id % 5 = 0 OR packet_id % 2 = 0 THEN 'west bengal' ELSE 'kerala' END AS s FROM v WHERE packet_id % 4 <> 3 AND packet_id % 6 <> 0)
+      SELECT packet_id, 'state' AS field_name, lower(trim(state)) = s AS ok FROM v JOIN d ON pin_code = pin WHERE regexp_full_match(pin_code, '[0-9]{{6}}')""",
     "gstin_pan_fallback": f"""WITH {V}, x AS (SELECT *, CASE WHEN regexp_full_match(coalesce(gst_number, ''), '{RULES["gstin_format"].pattern}') THEN gst_number ELSE '' END AS g, CASE WHEN regexp_full_match(pan, '{RULES["pan_format"].pattern}') THEN pan ELSE '' END AS p FROM v),
       y AS (SELECT *, p = '' AND regexp_full_match(substr(g, 3, 10), '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS fb FROM x)
       SELECT packet_id, g AS gst_registration_number, CASE WHEN fb THEN substr(g, 3, 10) ELSE p END AS pan_number, fb AS pan_from_gstin, CASE WHEN regexp_full_match(pin_code, '[1-9][0-9]{{5}}') THEN pin_code ELSE '' END AS pin_code,
@@ -182,8 +184,8 @@ ORACLE_SQL: dict[str, str] = {
     "upsert_records": f"WITH {CUSTOMERS}, i AS (SELECT * REPLACE (CASE WHEN id % 12 = 0 THEN id ELSE -id END AS id, 'UPSERTED' AS city) FROM cr WHERE id % 6 = 0) SELECT * FROM cr WHERE id NOT IN (SELECT id FROM i) UNION ALL SELECT * FROM i",
     "mark_pushed": f"""WITH {CUSTOMERS}, x AS (SELECT CASE WHEN id % 3 = 0 THEN 'pushed' ELSE 'not_pushed' END AS b, CASE WHEN id % 2 <> 0 THEN 'untouched' WHEN id % 3 = 0 THEN 'conflict' ELSE 'ok' END AS outcome FROM cr)
       SELECT CASE WHEN outcome = 'ok' THEN 'pushed' ELSE b END AS bc_status, outcome, count(*) AS n FROM x GROUP BY ALL""",
-    "erp_payload": f"WITH {V} SELECT packet_id AS id, " + ", ".join(f"{fit(ERP_FIELDS[k], ERP_WIDTHS[k])} AS {k}" for k in ("Name", "Address", "Address_2", "City", "Post_Code", "E_Mail", "PAN_Number"))
-    + ", array_to_string(list_filter([" + ", ".join(f"CASE WHEN length({ERP_FIELDS[k]}) > {ERP_WIDTHS[k]} THEN '{k}' END" for k in ("Name", "Address", "City", "County", "Post_Code", "Phone_No", "E_Mail", "PAN_Number", "GST_Number", "Address_2"))
+    "erp_payload": f"WITH {V} SELECT packet_id AS id, " + ", ".join(f"{fit(ERP_FIELDS[k], ERP_WIDTHS[k]) if k in ERP_WIDTHS else ERP_FIELDS[k]} AS {k}" for k in ("Name", "Address", "Address_2", "City", "County", "Country_Region_Code", "Post_Code", "Phone_No", "E_Mail", "PAN_Number", "GST_Number"))
+    + ", array_to_string(list_filter([" + ", ".join(f"CASE WHEN length({ERP_FIELDS[k]}) > {ERP_WIDTHS[k]} THEN '{k}' END" for k in ("Name", "Address", "City", "County", "Country_Region_Code", "Post_Code", "Phone_No", "E_Mail", "PAN_Number", "GST_Number", "Address_2") if k in ERP_WIDTHS)
     + "], lambda q: q IS NOT NULL), ',') AS truncated FROM v",
     "verify_cells": f"""WITH {V}, e AS (SELECT packet_id, 'B2' AS cell, coalesce(nullif(vendor_name, ''), '-') AS value FROM v UNION ALL SELECT packet_id, 'B3', coalesce(nullif(pan, ''), 'N/A') FROM v UNION ALL SELECT packet_id, 'C1', coalesce(nullif(account_number, ''), '') FROM v),
       a AS (SELECT *, CASE WHEN packet_id % 15 = 1 THEN NULL WHEN packet_id % 10 = 0 THEN 'tampered' WHEN cell = 'C1' THEN value || '.0' ELSE ' ' || upper(value) END AS actual FROM e),

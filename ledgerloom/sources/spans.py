@@ -18,11 +18,13 @@ def read_document_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spans(sets: DataFrame) -> DataFrame:
-    """One row per span; the geometry is flat, so column pruning and pushdown work on it."""
-    pages = sets.select("packet_id", F.posexplode("documents").alias("doc_id", "d")).select("packet_id", "doc_id", "d.path", F.explode("d.pages").alias("p"))
-    rows = pages.select("packet_id", "doc_id", "path", F.col("p.number").alias("page"), F.posexplode("p.spans").alias("at", "s"))
+    """One row per span; the geometry is flat, so column pruning and pushdown work on it. Documents are numbered inside
+    their packet, and ``span_id`` is unique inside it (up to two million pages and spans a page)."""
+    pages = sets.select("packet_id", F.posexplode("documents").alias("doc_id", "d")).select("packet_id", "doc_id", "d.path", "d.doc_type", F.explode("d.pages").alias("p"))
+    rows = pages.select("packet_id", "doc_id", "path", "doc_type", F.col("p.number").alias("page"), F.posexplode("p.spans").alias("at", "s"))
+    span_id = F.col("doc_id").cast("long") * (1 << 42) + F.col("page").cast("long") * (1 << 21) + F.col("at")
     return rows.select(
-        "packet_id", "doc_id", "path", "page", F.coalesce("s.order", "at").alias("order"), "s.text", "s.bbox.x1", "s.bbox.y1", "s.bbox.x2", "s.bbox.y2",
+        "packet_id", "doc_id", "path", "doc_type", "page", span_id.alias("span_id"), F.coalesce("s.order", "at").alias("order"), "s.text", "s.bbox.x1", "s.bbox.y1", "s.bbox.x2", "s.bbox.y2",
         F.coalesce("s.confidence", F.lit(1.0)).alias("confidence"), F.coalesce("s.source", F.lit("ocr")).alias("source"), "s.table", F.coalesce("s.synthetic_bbox", F.lit(False)).alias("synthetic_bbox"),
     )
 

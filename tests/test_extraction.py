@@ -33,3 +33,17 @@ def test_packets_to_records(spark):
 def test_dictionary_is_checked(spark, bad):
     with pytest.raises(ValueError, match="broken"):
         extract(spark.createDataFrame([], "packet_id string"), {"broken": bad})
+
+
+def test_values_over_several_spans_and_foreign_values(spark):
+    """A value goes on over spans and rows; the same document numbers in two packets do not mix; a number of another
+    field beside a caption gives way."""
+    dictionary = DICTIONARY | {"address_1": Field(("address",))}
+    rows = page("p1", 0, "gst_certificate", [("Address", 0, 0), ("Plot 3, Block C,", 60, 0), ("Sector 18", 165, 0), ("Pune City", 60, 12), ("PAN", 0, 24), ("ABCDE1234F", 60, 24)])
+    rows += page("p2", 0, "gst_certificate", [("Address", 0, 0), ("Hall 9", 60, 0), ("Legal Name", 0, 40), ("27ABCDE1234F1Z5", 80, 40), ("Legal Name: Bolt Works", 0, 90)])
+    spans = spark.createDataFrame(rows, "packet_id string, doc_id long, doc_type string, page int, span_id long, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got = {r["packet_id"]: r.asDict() for r in extract(spans, dictionary)["canonical"].collect()}
+    assert got["p1"]["address_1"] == "Plot 3, Block C, Sector 18, Pune City" and got["p1"]["pan"] == "ABCDE1234F"
+    assert got["p2"]["address_1"] == "Hall 9" and got["p2"]["vendor_name"] == "Bolt Works" and got["p2"]["gst_number"] == "27ABCDE1234F1Z5"
+    status = {(r["packet_id"], r["field"]): r["status"] for r in extract(spans, dictionary)["results"].collect()}
+    assert status["p1", "vendor_name"] == "missing" and status["p1", "pan"] == "valid" and status["p1", "address_1"] == "not_validated"

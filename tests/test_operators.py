@@ -31,7 +31,7 @@ def test_lines_against_plain_python(spark):
     df = spark.createDataFrame(rows, "doc_id long, page int, span_id long, x1 double, y1 double, x2 double, y2 double")
     got = {r["span_id"]: r["line"] for r in layout.lines(df).collect()}
     lines, own = [], {}
-    for _, _, i, x1, y1, _, y2 in sorted(rows, key=lambda r: ((r[4] + r[6]) / 2, r[3], r[2])):
+    for _, _, i, x1, y1, _, y2 in sorted(rows, key=lambda r: (r[4], r[3], r[2])):
         cy = (y1 + y2) / 2
         for k, line in enumerate(lines):
             if abs(sum(line) / len(line) - cy) <= 0.6 * 8:
@@ -41,15 +41,15 @@ def test_lines_against_plain_python(spark):
         else:
             own[i] = len(lines)
             lines.append([cy])
-    order = sorted(range(len(lines)), key=lambda k: sum(lines[k]) / len(lines[k]))
+    order = sorted(range(len(lines)), key=lambda k: min(r[4] for r in rows if own[r[2]] == k))
     assert got == {i: order.index(k) for i, k in own.items()}
 
 
 def test_consistency(spark):
-    rows = [(1, "f", 0, "Acme Ltd", 0.9, 0), (1, "f", 1, "acme ltd", 0.9, 0), (1, "f", 1, "zzz", 0.5, 1), (2, "f", 0, "Acme", 0.9, 0), (2, "f", 1, "Other", 0.9, 0), (3, "f", 0, "x", 1.0, 0)]
+    rows = [(1, "f", 0, "Acme Ltd", 0.9, 0), (1, "f", 1, "acme ltd", 0.9, 0), (1, "f", 1, "zzz", 0.5, 1), (2, "f", 0, "Acme", 0.9, 0), (2, "f", 1, "Other", 0.9, 0), (3, "f", 0, "x", 1.0, 0), (4, "f", 0, "", 1.0, 0), (4, "f", 1, None, 1.0, 0)]
     df = spark.createDataFrame(rows, "packet_id int, field string, doc_id int, value string, score double, cand_ord int")
     got = {r["packet_id"]: r["agreement"] for r in validate.consistency(df).collect()}
-    assert got == {1: "consistent", 2: "mismatch", 3: "single_source"}
+    assert got == {1: "consistent", 2: "inconsistent", 3: "single_source", 4: "not_checked"}
 
 
 def test_junk_stays_if_alone(spark):
@@ -167,3 +167,42 @@ def test_premises_are_no_city(spark):
     df = spark.createDataFrame([(1, "Hall 2, Metro Logistics Park, Punjab"), (2, "Hall 2, Barville, Punjab")], "id long, address string")
     got = {r["id"]: r["city"] for r in address.resolve(df, states, cities, tiers={"estate_zone": {"tail": ["park"]}}).collect()}
     assert got == {1: "", 2: "Barville"}
+
+
+def test_packets_with_equal_document_numbers_stay_apart(spark, tmp_path):
+    """Two packets, both with document 0 and page 1: spans, neighbours and lines of one never meet the other's."""
+    box = lambda x, y: '{"x1": %d, "y1": %d, "x2": %d, "y2": %d}' % (x, y, x + 40, y + 10)
+    for name, value, x in (("a", "ABCDE1234F", 50), ("b", "ZZZZZ9999Z", 60)):
+        both = f'[{{"text": "PAN", "bbox": {box(0, 0)}}}, {{"text": "{value}", "bbox": {box(x, 0)}}}]'
+        (tmp_path / f"{name}.json").write_text(f'{{"packet_id": "{name}", "documents": [{{"path": "x.pdf", "doc_type": "pan_card", "pages": [{{"number": 1, "spans": {both}}}]}}]}}')
+    flat = spans.spans(spans.read_document_sets(spark, str(tmp_path)))
+    assert {r["doc_type"] for r in flat.collect()} == {"pan_card"} and flat.select("packet_id", "span_id").distinct().count() == 4
+    near = layout.neighbours(flat.where("text = 'PAN'").withColumn("unit", F.lit(10.0)), flat, keys=layout.PACKET_PAGE)
+    text = {(r["packet_id"], r["span_id"]): r["text"] for r in flat.collect()}
+    assert {(r["packet_id"], text[r["packet_id"], r["b_span_id"]]) for r in near.collect()} == {("a", "ABCDE1234F"), ("b", "ZZZZZ9999Z")}
+    assert {r["line"] for r in layout.lines(flat, layout.PACKET_PAGE).collect()} == {0}
+
+
+def test_lines_have_a_least_tolerance(spark):
+    """Flat spans: centres up to 1 apart share a line; lines are numbered by their upper edge."""
+    rows = [(1, 1, 1, 0.0, 5.0, 9.0, 5.1), (1, 1, 2, 10.0, 5.9, 19.0, 6.0), (1, 1, 3, 0.0, 1.0, 9.0, 1.1)]
+    df = spark.createDataFrame(rows, "doc_id long, page int, span_id long, x1 double, y1 double, x2 double, y2 double")
+    assert {r["span_id"]: (r["line"], r["order"]) for r in layout.lines(df).collect()} == {3: (0, 0), 1: (1, 1), 2: (1, 2)}
+
+
+def test_pin_and_state_in_any_spelling(spark):
+    pins = spark.createDataFrame([("700019", "WB", "Kolkata"), ("411001", "Maharashtra", "Pune")], "pin string, state string, district string")
+    states = spark.createDataFrame([("westbengal", "West Bengal"), ("wb", "West Bengal")], "key string, state string")
+    rows = [(1, "700019", "west bengal"), (2, "700019", "W.B."), (3, "700019", "Kerala"), (4, "999999", "Kerala"), (5, "", "Kerala"), (6, "70001", "Kerala"), (7, "411001", "MAHARASHTRA"), (8, "700019", " ")]
+    df = validate.with_pin_state(spark.createDataFrame(rows, "packet_id int, pin_code string, state string"), pins, states)
+    got = {r["packet_id"]: r["ok"] for r in validate.findings(df, ["state", "pin_code"]).where("validator = 'pin_matches_state'").collect()}
+    assert got == {1: True, 2: True, 3: False, 7: True}
+
+
+def test_erp_fields_of_both_records(spark):
+    vendor = spark.createDataFrame([(1, "Acme", "India", "ABCDE1234F", "27ABCDE1234F1Z5", " ")], "id int, vendor_name string, country string, pan string, gst_no string, city string")
+    body = records.payload_json(records.erp_payload(vendor, records.VENDOR_ERP)).first()["body"]
+    assert body == '{"No":"","Name":"Acme","Country_Region_Code":"India","PAN_Number":"ABCDE1234F","GST_Number":"27ABCDE1234F1Z5"}'
+    customer = spark.createDataFrame([(1, "Acme", "Ann", "700019", "a@b.in", "India")], "id int, company_name string, contact_name string, zip_code string, email_id_to string, country string")
+    body = records.payload_json(records.erp_payload(customer, records.CUSTOMER_ERP)).first()["body"]
+    assert body == '{"No":"","Name":"Acme","Contact":"Ann","Country_Region_Code":"India","Post_Code":"700019","E_Mail":"a@b.in"}'
