@@ -72,7 +72,7 @@ def most_differing(a: int, b: int, percent: int) -> int:
 
 def join_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
     """All keys of one set, for its own size class and, if it can meet larger sets there, the next."""
-    n = len(hashes)
+    n, scrambled = len(hashes), mix(hashes)
     own = int(np.searchsorted(CLASSES, n, side="right")) - 1
     out = []
     for c in (own, own + 1):
@@ -86,7 +86,7 @@ def join_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
         m = most + 1 + most // 4
         group = (hashes % np.uint64(m)).astype(np.int64)
         digest = np.zeros(m, np.uint64)
-        np.add.at(digest, group, mix(hashes))
+        np.add.at(digest, group, scrambled)
         size = np.bincount(group, minlength=m)
         key = mix(digest ^ mix((np.arange(m, dtype=np.uint64) << np.uint64(8)) + np.uint64(c + 1)))
         out.append(key[np.lexsort((key, -size))[: r + 1]])
@@ -229,7 +229,7 @@ def hot_keys(rows: DataFrame) -> list[int]:
 
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-    unit_shingles: int = 1_000_000, unit_docs: int = 1_000,
+    unit_shingles: int = 2_000_000, unit_docs: int = 3_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_words): the components of links with at least ``percent`` similarity."""
     small_batches(docs.sparkSession)

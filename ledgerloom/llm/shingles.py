@@ -16,8 +16,7 @@ _inverse = np.ones(1, np.uint64)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of 64-bit numbers."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    x = x ^ (x >> np.uint64(30))
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
@@ -89,8 +88,9 @@ def shingle_sets_and_words(texts: list[str | None], n: int) -> tuple[list[np.nda
 
 
 def set_digest(hashes: np.ndarray) -> tuple[int, int]:
-    """Two independent signed 64-bit digests of a set of hashes: 128 bits name a set."""
+    """Two signed 64-bit digests of a set of hashes, the sum of their scramblings and of the squares: 128 bits name a set."""
     with np.errstate(over="ignore"):
-        sums = [mix(hashes ^ np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(hashes)) for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-        one, two = mix(np.array(sums, np.uint64)).view(np.int64).tolist()
+        own = mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+        sums = np.array([own.sum(dtype=np.uint64), (own * own).sum(dtype=np.uint64)], np.uint64) + np.uint64(len(hashes))
+        one, two = mix(sums).view(np.int64).tolist()
     return one, two
