@@ -378,8 +378,8 @@ def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame
     found = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
     marks = keyed.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     ranked = materialise(marks.join(found, "key"), "ngram-ranked")
-    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))["key"].alias("first"))
-    gone = materialise(ranked.join(first, "component").where("key <> first").select(F.col("key").alias("__gone")), "ngram-gone")
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))["key"].alias("first")).select("first")
+    gone = materialise(ranked.join(first, F.col("key") == F.col("first"), "left_anti").select(F.col("key").alias("__gone")), "ngram-gone")
     if ranked.where("n > 1").limit(1).count():
         rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         docs = docs.select(rows.alias("__row"), text_key().alias("__key")).dropDuplicates(["__key"]).select("__row.*")
