@@ -20,6 +20,70 @@ def fill_cells(results: DataFrame, cell_map: DataFrame) -> DataFrame:
     )
 
 
+def cell_map(rows: DataFrame) -> DataFrame:
+    """(field, sheet, cell, blank_value) with cells in upper case; a field without a cell and two fields in one cell are
+    refused by name. A bounded table of a template's fields."""
+    own = rows.withColumn("cell", F.upper(F.btrim("cell")))
+    if bad := own.where(F.coalesce("cell", F.lit("")) == "").select("field").head():
+        raise ValueError(f"{bad['field']}: no cell")
+    if bad := own.groupBy("sheet", "cell").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("field")).alias("f")).where("n > 1").head():
+        raise ValueError(f"{', '.join(bad['f'])}: all in cell {bad['cell']}")
+    return own
+
+
+def fill_sheets(results: DataFrame, cells: DataFrame, sheets: list[str], available: list[str]) -> DataFrame:
+    """What a template with several chosen sheets holds: a cell with a sheet of its own is filled there, one without in
+    every chosen sheet (the first available, if none is chosen). An unknown sheet is refused."""
+    chosen = sheets or available[:1]
+    named = [r["sheet"] for r in cells.select("sheet").distinct().where("sheet IS NOT NULL").collect()]
+    if unknown := sorted({*chosen, *named} - set(available)):
+        raise ValueError(f"sheets {unknown} not among {available}")
+    every = cells.withColumn("sheet", F.explode(F.when(F.col("sheet").isNotNull(), F.array("sheet")).otherwise(F.array(*map(F.lit, chosen)))))
+    return fill_cells(results, every)
+
+
+def checked_truth(truth: DataFrame, verified: bool, allow_unverified: bool = False) -> DataFrame:
+    """Truth rows (field, expected, absent): refused if nobody has verified them, or if a field has both a value and the
+    mark that it is absent, or neither."""
+    if not verified and not allow_unverified:
+        raise ValueError("the truth is not verified")
+    absent = F.coalesce("absent", F.lit(False))
+    if bad := truth.where(absent == F.col("expected").isNotNull()).select("field", absent.alias("absent")).head():
+        raise ValueError(f"{bad['field']}: " + ("absent, but has a value" if bad["absent"] else "neither a value nor absent"))
+    return truth
+
+
+def by_outcome(outcomes: DataFrame) -> DataFrame:
+    """Report order: the worst outcomes first, then fields."""
+    return outcomes.orderBy(F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome")), "field")
+
+
+def address_text(x: Column) -> Column:
+    """Address text as it is compared: spaces around commas, runs of spaces and outer commas do not count, nor does case."""
+    spaced = F.regexp_replace(F.replace(F.coalesce(x, F.lit("")), F.lit(","), F.lit(" , ")), r"(?U)\s+", " ")
+    return F.lower(F.btrim(spaced, F.lit(" ,")))
+
+
+def address_outcomes(rows: DataFrame) -> DataFrame:
+    """Adds ``outcome`` to rows of expected and extracted address text; an expected text that is empty means absent."""
+    want, got = F.btrim(F.coalesce("expected", F.lit(""))), F.btrim(F.coalesce("extracted", F.lit("")))
+    none, nothing = want == "", got == ""
+    return rows.withColumn(
+        "outcome",
+        F.when(none & nothing, "correctly_absent").when(none, "hallucinated").when(nothing, "missed").when(address_text(got) == address_text(want), "correct").otherwise("wrong"),
+    )
+
+
+def address_tally(outcomes: DataFrame) -> DataFrame:
+    """Cases by the resolver's confidence: how many, how many without a fault, and how many of those miscalibrated (right
+    though low with something to find, or wrong though high). ``outcomes``: id, field, expected, confidence, outcome."""
+    bad = F.count_if(F.col("outcome").isin("wrong", "missed", "hallucinated"))
+    found = F.count_if(F.col("field").isin("city", "state", "pin_code") & (F.btrim(F.coalesce("expected", F.lit(""))) != ""))
+    cases = outcomes.groupBy("id", "confidence").agg(bad.alias("bad"), found.alias("found"))
+    off = ((F.col("bad") == 0) & (F.col("confidence") == "low") & (F.col("found") > 0)) | ((F.col("bad") > 0) & (F.col("confidence") == "high"))
+    return cases.groupBy("confidence").agg(F.count("*").alias("n"), F.count_if(F.col("bad") == 0).alias("right"), F.count_if(off).alias("miscalibrated"))
+
+
 def verify_cells(expected: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("packet_id", "sheet", "cell")) -> DataFrame:
     """Every expected cell with what was read back, and PASS or FAIL."""
     read = cells.select(*keys, F.col("value").alias("actual"))

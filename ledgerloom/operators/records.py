@@ -50,6 +50,48 @@ def duplicates(incoming: DataFrame, records: DataFrame, keys: tuple[str, ...], k
     return out.withColumn("__f", found).select(*incoming.columns, F.col("__f.id").alias("existing_id"), F.col("__f.on").alias("clash"))
 
 
+def insert(
+    incoming: DataFrame, records: DataFrame, keys: tuple[str, ...], required: str, order: str, key: str = "id", owner: str | None = None, owners: DataFrame | None = None
+) -> DataFrame:
+    """Incoming rows with ``outcome``, ``clash`` (the column) and ``existing_id``.
+
+    missing_required (``required`` is null or empty), unknown_owner (``owner`` names none of ``owners``, which has the same
+    column), conflict (a key is taken in the store, or by an earlier row that is accepted), deferred (a key is shared only with
+    earlier rows that are not accepted themselves: to be sent again), accepted. Null keys clash with nothing. ``order`` is
+    unique. Earliest rows per key come from a partial aggregation, so a hot value does not gather in one task."""
+    told = duplicates(incoming, records, keys, key)
+    if owner and owners is not None:
+        known = owners.select(F.col(owner).alias("__owner")).distinct()
+        told = told.join(known, F.col(owner) == F.col("__owner"), "left").withColumn("__lost", F.col(owner).isNotNull() & F.col("__owner").isNull()).drop("__owner")
+    else:
+        told = told.withColumn("__lost", F.lit(False))
+    outcome = F.when(F.coalesce(F.col(required), F.lit("")) == "", "missing_required").when(F.col("__lost"), "unknown_owner").when(F.col("clash").isNotNull(), "conflict")
+    told = told.withColumn("outcome", outcome).drop("__lost")
+    open_ = told.where("outcome IS NULL")
+    for k in keys:
+        first = open_.where(F.col(k).isNotNull()).groupBy(F.col(k).alias(f"__{k}")).agg(F.min(order).alias(f"__first_{k}"))
+        told = told.join(first, F.col("outcome").isNull() & (F.col(k) == F.col(f"__{k}")), "left").drop(f"__{k}")
+    later = F.lit(False)
+    for k in keys:
+        later = later | F.coalesce(F.col(f"__first_{k}") < F.col(order), F.lit(False))
+    told = told.withColumn("outcome", F.coalesce("outcome", F.when(~later, "accepted")))
+    accepted = told.where("outcome = 'accepted'")
+    for k in keys:
+        own = accepted.where(F.col(k).isNotNull()).select(F.col(k).alias(f"__{k}"), F.lit(True).alias(f"__taken_{k}"))
+        told = told.join(own, F.col("outcome").isNull() & (F.col(k) == F.col(f"__{k}")), "left").drop(f"__{k}")
+    taken = F.coalesce(*[F.when(F.col(f"__taken_{k}"), F.lit(k)) for k in keys])
+    clash = F.when(F.col("outcome").isNull(), taken).when(F.col("outcome") == "conflict", F.col("clash"))
+    done = told.withColumn("__clash", clash).withColumn("outcome", F.coalesce("outcome", F.when(taken.isNotNull(), "conflict").otherwise("deferred")))
+    return done.select(*incoming.columns, "outcome", F.col("__clash").alias("clash"), F.when(F.col("outcome") == "conflict", F.col("existing_id")).alias("existing_id"))
+
+
+def stored(accepted: DataFrame, now: Column | None = None) -> DataFrame:
+    """Accepted rows with the store's defaults: created_at and updated_at now, bc_status not_pushed, each where null or absent."""
+    now = F.current_timestamp() if now is None else now
+    given = lambda c, v: F.coalesce(F.col(c), v) if c in accepted.columns else v
+    return accepted.withColumns({"created_at": given("created_at", now), "updated_at": given("updated_at", now), "bc_status": given("bc_status", F.lit("not_pushed"))})
+
+
 def violations(records: DataFrame, unique: str) -> DataFrame:
     """Values of a unique column that occur more than once."""
     return records.where(F.col(unique).isNotNull()).groupBy(unique).agg(F.count("*").alias("n")).where("n > 1")

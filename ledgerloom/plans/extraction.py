@@ -33,6 +33,9 @@ class Field:
     required: bool = False
     default: str | None = None
     text: bool = field(default=True)
+    exclude: tuple[str, ...] = ()
+    consistent: bool = True
+    priority: int = 50
 
 
 def check(dictionary: dict[str, Field]) -> None:
@@ -117,6 +120,9 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     loose = fields.pattern_only(scanned, claimed, ("packet_id", "field", "span_id")).select(*keep, "confidence", "field", F.lit(0.0).alias("similarity"), F.lit(0.0).alias("proximity"), F.lit("pattern_only").alias("kind"), "raw", F.lit(False).alias("label_like"))
     pooled = inline.unionByName(beside).unionByName(loose)
     pooled = pooled.withColumn("d", by_field(dictionary, lambda f: derived(f, F.col("raw"))))
+    refused = {n: f.exclude for n, f in dictionary.items() if f.exclude}
+    for name, patterns in refused.items():
+        pooled = pooled.where(~((F.col("field") == name) & F.col("d.value").rlike("|".join(f"(?:{p})" for p in patterns))))
     expected = by_field(dictionary, lambda f: F.col("doc_type").isin(*f.expected) if f.expected else F.lit(None).cast("boolean"))
     order = F.struct("doc_id", "page", "span_id", fields.of(fields.KIND_RANK, F.col("kind")).alias("k"), (-F.col("proximity")).alias("p"), "raw")
     return pooled.select(
@@ -148,6 +154,7 @@ def extract(spans: DataFrame, dictionary: dict[str, Field]) -> dict[str, DataFra
     found = validate.statuses(validate.findings(wide, names))
     results = results.join(found, ["packet_id", "field"], "left").withColumn("status", validate.or_missing(F.col("status"), F.col("value"))).withColumn("derived", F.lit(False))
     results = fields.with_defaults(results, {n: f.default for n, f in dictionary.items() if f.default} or {"": ""})
-    agreement = validate.consistency(pool.where(F.col("score") >= fields.LEAST_ACCEPTED))
+    compared = [n for n, f in dictionary.items() if f.consistent]
+    agreement = validate.consistency(pool.where((F.col("score") >= fields.LEAST_ACCEPTED) & F.col("field").isin(*compared)))
     flags = fields.review_flags(results, tuple(n for n, f in dictionary.items() if f.required), agreement)
     return {"results": results, "flags": flags, "agreement": agreement, "canonical": fields.canonical(results, names)}

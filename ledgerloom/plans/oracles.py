@@ -204,3 +204,56 @@ ORACLE_SQL: dict[str, str] = {
       SELECT packet_id, CAST(g AS BIGINT) AS g, count(*) AS n, CAST(min(i) AS INT) AS first_i, max(level) AS top_level FROM h GROUP BY packet_id, g""",
 }
 ORACLE_SQL["type_counts"] = f"SELECT doc_type, count(*) AS n, max(type_score) AS best FROM ({ORACLE_SQL['doc_classify']}) GROUP BY doc_type"
+
+# The kinds of the pieces are written down by hand, not computed from the key words.
+PIECE_KINDS = """VALUES (0, 'Plot 7', 'premises_unit', 1, 100), (1, '3RD FLOOR', 'premises_unit', 1, 100), (2, 'Block B', 'structural', 1, 100), (3, 'Sunrise Building', 'building_name', 2, 100),
+  (4, 'Orion Tech Park', 'estate_zone', 2, 100), (5, 'MG Road', 'thoroughfare', 3, 100), (6, 'Near Lake Road', 'landmark', 3, 50), (7, 'Gandhi Nagar', 'locality', 4, 100), (8, 'Andul', 'unknown', 4, 55),
+  (9, 'Village Rampur', 'village_po', 5, 100), (10, 'GREENFIELDTOWER', 'building_name', 2, 75), (11, '#12', 'premises_unit', 1, 80), (12, 'B-12', 'premises_unit', 1, 70), (13, 'Building D', 'structural', 1, 80)"""
+ORACLE_SQL["address_segment"] = f"""WITH cls(j, t, tier, level, conf) AS ({PIECE_KINDS}),
+  f AS (SELECT s_suppkey AS packet_id, i, t, tier, level, conf FROM supplier, (SELECT unnest(range(7)) AS i), cls
+    WHERE i < CASE WHEN s_suppkey % 5 = 0 THEN 7 ELSE 2 + s_suppkey % 6 END AND j = CASE WHEN s_suppkey % 5 = 0 AND i >= 2 THEN 7 + (s_suppkey + i) % 2 ELSE (s_suppkey * (i + 2) + 3 * i * i) % 14 END),
+  g AS (SELECT *, CASE WHEN lag(i) OVER w IS NULL THEN -1 ELSE CASE WHEN level - lag(level) OVER w = 1 THEN 50 WHEN level - lag(level) OVER w > 1 THEN 60
+      WHEN level < lag(level) OVER w THEN CASE WHEN level <= 2 AND lag(level) OVER w <= 2 THEN 20 ELSE 40 END ELSE 0 END + CASE WHEN tier <> lag(tier) OVER w THEN 20 ELSE 0 END END AS gap FROM f WINDOW w AS (PARTITION BY packet_id ORDER BY i)),
+  a AS (SELECT packet_id, count(*) AS n, sum(conf) AS total, max(CASE WHEN gap >= 50 THEN i END) AS cut, coalesce(max(CASE WHEN level < 4 THEN i END), -1) AS narrow FROM g GROUP BY packet_id),
+  b AS (SELECT *, CASE WHEN total >= 70 * n THEN 'high' WHEN total >= 45 * n THEN 'medium' ELSE 'low' END AS lv FROM a),
+  c AS (SELECT *, lv <> 'low' AND cut IS NOT NULL AND n - greatest(cut, narrow + 1) >= 4 AS peel FROM b),
+  d AS (SELECT *, CASE WHEN peel AND lv = 'high' THEN 'medium' ELSE lv END AS line_confidence FROM c),
+  k AS (SELECT g.packet_id, g.i, row_number() OVER (PARTITION BY g.packet_id ORDER BY CASE WHEN peel AND g.i = n - 1 THEN 1 ELSE 0 END DESC, gap DESC, g.i DESC) AS r, CASE line_confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS room
+    FROM g JOIN d USING (packet_id) WHERE gap >= 50 OR (peel AND g.i = n - 1)),
+  o AS (SELECT g.packet_id, g.i, g.t, (SELECT count(*) FROM k WHERE k.packet_id = g.packet_id AND k.r <= k.room AND k.i <= g.i) AS line FROM g),
+  l AS (SELECT packet_id, line, string_agg(t, ', ' ORDER BY i) AS txt FROM o GROUP BY packet_id, line)
+  SELECT packet_id, coalesce(max(CASE WHEN line = 0 THEN txt END), '') AS address_1, coalesce(max(CASE WHEN line = 1 THEN txt END), '') AS address_2, coalesce(max(CASE WHEN line = 2 THEN txt END), '') AS address_3,
+    coalesce(max(CASE WHEN line = 3 THEN txt END), '') AS address_4, any_value(line_confidence) AS line_confidence, round(any_value(total) / (100.0 * any_value(n)), 3) AS line_score FROM l JOIN d USING (packet_id) GROUP BY packet_id"""
+ORACLE_SQL["record_insert"] = f"""WITH {CUSTOMERS}, st AS (SELECT * FROM cr WHERE id % 2 = 0),
+  i AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS nm, c_custkey % 30 AS ow, CASE WHEN c_custkey % 5 = 0 THEN 'G' || (c_custkey % 1000) ELSE 'N' || (c_custkey // 3) END AS gst, CASE WHEN c_custkey % 4 <> 0 THEN 'N' || (c_custkey // 2) END AS udyam FROM customer),
+  x AS (SELECT *, (SELECT min(id) FROM st WHERE st.gst = i.gst) AS g, (SELECT min(id) FROM st WHERE st.udyam = i.udyam) AS u FROM i),
+  y AS (SELECT *, CASE WHEN coalesce(nm, '') = '' THEN 'missing_required' WHEN ow NOT IN (SELECT n_nationkey FROM nation) THEN 'unknown_owner' WHEN g IS NOT NULL OR u IS NOT NULL THEN 'conflict' END AS oc FROM x),
+  p AS (SELECT row_id, gst, udyam, EXISTS (SELECT 1 FROM y q WHERE q.oc IS NULL AND q.row_id < y.row_id AND (q.gst = y.gst OR q.udyam = y.udyam)) AS later FROM y WHERE oc IS NULL),
+  z AS (SELECT y.*, p.later, EXISTS (SELECT 1 FROM p q WHERE NOT q.later AND q.gst = y.gst AND q.row_id <> y.row_id) AS tg, EXISTS (SELECT 1 FROM p q WHERE NOT q.later AND q.udyam = y.udyam AND q.row_id <> y.row_id) AS tu FROM y LEFT JOIN p USING (row_id))
+  SELECT row_id, CASE WHEN oc IS NOT NULL THEN oc WHEN NOT later THEN 'accepted' WHEN tg OR tu THEN 'conflict' ELSE 'deferred' END AS outcome,
+    CASE WHEN oc = 'conflict' THEN CASE WHEN g IS NOT NULL THEN 'gst' ELSE 'udyam' END WHEN oc IS NULL AND later AND tg THEN 'gst' WHEN oc IS NULL AND later AND tu THEN 'udyam' END AS clash, CASE WHEN oc = 'conflict' THEN coalesce(g, u) END AS existing_id FROM z"""
+BILLING = "concat_ws(', ', nullif(address_1, ''), nullif(address_2, ''), nullif(address_3, ''))"
+ORACLE_SQL["payloads"] = f"""WITH {V} SELECT packet_id, coalesce(vendor_name, '') AS vendor_name, coalesce(address_2, '') AS address_2, '' AS address_4, coalesce(telephone, '') AS telephone_1, '' AS telephone_2, '' AS tan_no,
+  coalesce(gst_number, '') AS gst_no, coalesce(ifsc, '') AS ifsc_swift_code, coalesce(vendor_name, '') AS company_name, {BILLING} AS billing_address, coalesce(pin_code, '') AS zip_code, coalesce(pan, '') AS pan_number,
+  coalesce(telephone, '') AS phone_number, '' AS region, 'Services' AS type FROM v"""
+ORACLE_SQL["customer_form"] = f"""WITH {V}, w AS (SELECT *, regexp_full_match(coalesce(gst_number, ''), '{RULES["gstin_format"].pattern}') AS gok, regexp_full_match(coalesce(pan, ''), '{RULES["pan_format"].pattern}') AS pok,
+    CASE WHEN packet_id % 3 = 0 THEN '' ELSE city END AS c, CASE WHEN regexp_full_match(pin_code, '{RULES["pin_format"].pattern}') THEN pin_code ELSE '' END AS z FROM v),
+  y AS (SELECT *, CASE WHEN pok THEN pan WHEN gok AND regexp_full_match(substr(gst_number, 3, 10), '{RULES["pan_format"].pattern}') THEN substr(gst_number, 3, 10) ELSE '' END AS pn, NOT pok AND gok AND regexp_full_match(substr(gst_number, 3, 10), '{RULES["pan_format"].pattern}') AS der,
+    packet_id % 2 = 0 AND (c = '' OR z = '' OR coalesce(state, '') = '') AS go FROM w)
+  SELECT packet_id, vendor_name AS company_name, CASE WHEN go THEN 'Rest ' || packet_id ELSE {BILLING} END AS billing_address, CASE WHEN go AND c = '' THEN 'Found City' ELSE c END AS city, state, CASE WHEN go AND z = '' THEN '403001' ELSE z END AS zip_code,
+    pn AS pan_number, 'Services' AS type, CASE WHEN regexp_full_match(ifsc, '{RULES["ifsc_format"].pattern}') THEN ifsc ELSE '' END AS ifsc_code,
+    concat_ws(',', CASE WHEN packet_id % 4 = 0 THEN 'company_name,city' END, CASE WHEN der THEN 'pan_number' END, CASE WHEN go AND c = '' AND packet_id % 4 <> 0 THEN 'city' END, CASE WHEN go AND z = '' THEN 'zip_code' END) AS review FROM y"""
+ORACLE_SQL["back_fill"] = f"""WITH {V}, p AS (SELECT packet_id, CASE WHEN packet_id % 7 = 0 THEN 'Main Gate' ELSE address_1 END AS a1, coalesce(address_2, '') AS a2, CASE WHEN packet_id % 2 = 0 THEN '' ELSE city END AS c, CASE WHEN packet_id % 3 <> 0 THEN state ELSE '' END AS s, pin_code,
+    packet_id % 4 <> 0 AND packet_id % 9 <> 0 AS solid FROM v),
+  q AS (SELECT *, packet_id % 8 <> 5 AND packet_id % 7 <> 0 AND NOT (c <> '' AND s <> '' AND solid) AS go FROM p)
+  SELECT packet_id, CASE WHEN go THEN 'Line One' ELSE a1 END AS address_1, CASE WHEN go THEN 'Line Two ' || packet_id ELSE a2 END AS address_2, CASE WHEN go AND packet_id % 5 = 0 THEN 'Line Three' ELSE 'stale' END AS address_3,
+    CASE WHEN go AND c = '' THEN 'Pune' ELSE c END AS city, CASE WHEN go AND s = '' THEN 'Maharashtra' ELSE s END AS state, CASE WHEN go AND NOT solid AND packet_id % 10 <> 0 THEN '' ELSE pin_code END AS pin_code,
+    concat_ws(',', CASE WHEN go THEN 'address_2' END, CASE WHEN go AND packet_id % 5 = 0 THEN 'address_3' END, CASE WHEN go AND c = '' THEN 'city' END, CASE WHEN go AND s = '' THEN 'state' END) AS resolved FROM q"""
+ORACLE_SQL["address_eval"] = f"""WITH {V}, r AS (SELECT packet_id AS id, (['high', 'medium', 'low'])[packet_id % 3 + 1] AS confidence, packet_id AS k,
+    CASE WHEN packet_id % 4 <> 0 AND packet_id % 7 = 0 THEN 'missed' ELSE 'correct' END AS o1,
+    CASE WHEN coalesce(address_2, '') = '' THEN CASE WHEN packet_id % 6 = 0 THEN 'hallucinated' ELSE 'correctly_absent' END WHEN packet_id % 6 = 0 THEN 'wrong' ELSE 'correct' END AS o2, packet_id % 5 <> 0 AS has_city FROM v),
+  c AS (SELECT *, o1 = 'missed' OR o2 IN ('hallucinated', 'wrong') AS bad FROM r)
+  SELECT confidence, count(*) AS n, count(*) FILTER (WHERE NOT bad) AS right, count(*) FILTER (WHERE (NOT bad AND confidence = 'low' AND has_city) OR (bad AND confidence = 'high')) AS miscalibrated FROM c GROUP BY confidence"""
+ORACLE_SQL["sheet_fill"] = f"""WITH {V}, s AS (SELECT unnest(['Main', 'Copy']) AS sheet_name)
+  SELECT packet_id, sheet_name, 'B2' AS cell, 'vendor_name' AS field_name, coalesce(nullif(vendor_name, ''), '-') AS cell_value FROM v, s UNION ALL SELECT packet_id, sheet_name, 'B3', 'pan', coalesce(nullif(pan, ''), 'N/A') FROM v, s
+  UNION ALL SELECT packet_id, 'Bank', 'C1', 'account_number', coalesce(nullif(account_number, ''), '') FROM v"""

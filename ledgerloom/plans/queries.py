@@ -11,8 +11,10 @@ from ledgerloom.operators import captions as CA
 from ledgerloom.operators import classify as C
 from ledgerloom.operators import evaluate as E
 from ledgerloom.operators import fields as FI
+from ledgerloom.operators import forms as FO
 from ledgerloom.operators import layout as L
 from ledgerloom.operators import records as R
+from ledgerloom.operators import segments as S
 from ledgerloom.operators import validate as V
 from ledgerloom.plans.derived import candidates, vendors
 
@@ -347,3 +349,96 @@ def address_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, F.concat(F.lit(", STATE "), n)).otherwise(""), F.when(k % 7 != 0, F.concat(F.lit(" - "), F.lit(500000) + (n + k % 4) % 25)).otherwise(", India"),
     )
     return A.resolve(table(spark, sf_dir, "supplier").select(k.alias("id"), address.alias("address")), states, cities, pins)
+
+
+KEYWORDS = S.Keywords(
+    {
+        "premises_unit": S.Tier(1, ("plot", "unit"), ("floor",)), "structural": S.Tier(1, ("block",)), "building_name": S.Tier(2, (), ("building", "tower")),
+        "estate_zone": S.Tier(2, (), ("park",), ("tech park",)), "thoroughfare": S.Tier(3, (), ("road",)), "landmark": S.Tier(3, ("near",)),
+        "locality": S.Tier(4, ("sector",), ("nagar",)), "village_po": S.Tier(5, ("village",)),
+    },
+    ("village_po", "estate_zone", "premises_unit", "structural", "building_name", "landmark", "thoroughfare", "locality"),
+)
+PIECES = (
+    "Plot 7", "3RD FLOOR", "Block B", "Sunrise Building", "Orion Tech Park", "MG Road", "Near Lake Road", "Gandhi Nagar", "Andul", "Village Rampur", "GREENFIELDTOWER", "#12", "B-12", "Building D",
+)
+
+
+def address_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of two to seven pieces as up to four lines; every fifth ends in five localities."""
+    k = F.col("s_suppkey")
+    n = F.when(k % 5 == 0, F.lit(7)).otherwise(2 + k % 6).cast("int")
+    at = lambda i: F.when((k % 5 == 0) & (i >= 2), 7 + (k + i) % 2).otherwise((k * (i + 2) + 3 * i * i) % 14)
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.array(*map(F.lit, PIECES)), at(i).cast("int")))
+    found = S.address_columns(S.lines(table(spark, sf_dir, "supplier").select(k.alias("packet_id"), pieces.alias("segments")), KEYWORDS))
+    return found.select("packet_id", "address_1", "address_2", "address_3", "address_4", "line_confidence", "line_score")
+
+
+def record_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of new records against the stored ones: what is accepted and what is not, and why."""
+    k = F.col("c_custkey")
+    incoming = table(spark, sf_dir, "customer").select(
+        k.alias("row_id"), F.when(k % 11 != 0, F.col("c_name")).alias("customer_name"), (k % 30).cast("int").alias("n_nationkey"),
+        F.concat(F.when(k % 5 == 0, "G").otherwise("N"), F.when(k % 5 == 0, k % 1000).otherwise(F.floor(k / 3)).cast("string")).alias("gst"),
+        F.when(k % 4 != 0, F.concat(F.lit("N"), F.floor(k / 2).cast("string"))).alias("udyam"),
+    )
+    stored = customer_records(spark, sf_dir).where("id % 2 = 0")
+    owners = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("n_nationkey"))
+    return R.insert(incoming, stored, ("gst", "udyam"), "customer_name", "row_id", owner="n_nationkey", owners=owners).select("row_id", "outcome", "clash", "existing_id")
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vendor and the customer payload of every vendor, side by side."""
+    v = vendors(spark, sf_dir)
+    vendor = FO.vendor_payload(v).select("packet_id", "vendor_name", "address_2", "address_4", "telephone_1", "telephone_2", "tan_no", "gst_no", "ifsc_swift_code")
+    customer = FO.customer_payload(v).select("packet_id", "company_name", "billing_address", "zip_code", "pan_number", "phone_number", "region", "type")
+    return vendor.join(customer, "packet_id")
+
+
+def customer_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The onboarding form of every vendor, its location filled from what the address was resolved to."""
+    v = vendors(spark, sf_dir).withColumn("review", F.when(F.col("packet_id") % 4 == 0, F.array(F.lit("company_name"), F.lit("city"))).otherwise(F.array().cast("array<string>")))
+    v = v.withColumn("city", F.when(F.col("packet_id") % 3 == 0, "").otherwise(F.col("city")))
+    fails = lambda f, r: ~V.passes(V.RULES[r], F.col(f), {})
+    form = FO.customer_form(v, {"gst_number": fails("gst_number", "gstin_format"), "pan": fails("pan", "pan_format"), "pin_code": fails("pin_code", "pin_format"), "ifsc": fails("ifsc", "ifsc_format")})
+    resolved = v.where("packet_id % 2 = 0").select("packet_id", F.concat(F.lit("Rest "), F.col("packet_id").cast("string")).alias("address_1"), F.lit("Found City").alias("city"), F.lit("Goa").alias("state"), F.lit("403001").alias("pin_code"))
+    out = FO.with_location(form, resolved)
+    return out.select("packet_id", "company_name", "billing_address", "city", "state", "zip_code", "pan_number", "type", F.col("bank_details.ifsc_code").alias("ifsc_code"), F.array_join("review", ",").alias("review"))
+
+
+def back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets whose first address line holds the whole address, put in order by what it was resolved to."""
+    k = F.col("packet_id")
+    v = vendors(spark, sf_dir).select(
+        k, F.when(k % 7 == 0, "Main Gate").otherwise(F.col("address_1")).alias("address_1"), F.coalesce("address_2", F.lit("")).alias("address_2"), F.lit("stale").alias("address_3"), F.lit("").alias("address_4"),
+        F.when(k % 2 == 0, "").otherwise(F.col("city")).alias("city"), F.when(k % 3 != 0, F.col("state")).otherwise("").alias("state"), F.col("pin_code"),
+        F.when(k % 4 == 0, "pattern_only").otherwise("inline").alias("pin_kind"), F.when(k % 9 == 0, 0.4).otherwise(0.9).alias("pin_confidence"),
+    )
+    resolved = v.where("packet_id % 8 <> 5").select(
+        k, F.lit("Line One").alias("address_1"), F.concat(F.lit("Line Two "), k.cast("string")).alias("address_2"), F.when(k % 5 == 0, "Line Three").otherwise("").alias("address_3"), F.lit("").alias("address_4"),
+        F.lit("Pune").alias("city"), F.lit("Maharashtra").alias("state"), F.when(k % 10 == 0, "411001").otherwise("").alias("pin_code"),
+    )
+    out = S.back_fill(v, resolved)
+    return out.select("packet_id", "address_1", "address_2", "address_3", "city", "state", "pin_code", F.array_join("resolved_fields", ",").alias("resolved"))
+
+
+def address_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address text against its truth, by the resolver's confidence."""
+    v = vendors(spark, sf_dir)
+    k = F.col("packet_id")
+    rows = F.array(
+        F.struct(F.lit("address_1").alias("field"), F.col("address_1").alias("expected"), F.when(k % 4 == 0, F.concat(F.lit(" "), F.upper(F.replace("address_1", F.lit(", "), F.lit("  ,"))), F.lit(","))).when(k % 7 == 0, "").otherwise(F.col("address_1")).alias("extracted")),
+        F.struct(F.lit("address_2").alias("field"), F.col("address_2").alias("expected"), F.when(k % 6 == 0, "Extra").otherwise(F.col("address_2")).alias("extracted")),
+        F.struct(F.lit("city").alias("field"), F.when(k % 5 != 0, F.col("city")).alias("expected"), F.when(k % 5 != 0, F.col("city")).alias("extracted")),
+    )
+    confidence = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (k % 3 + 1).cast("int"))
+    long = v.select(k.alias("id"), confidence.alias("confidence"), F.explode(rows).alias("x")).select("id", "confidence", "x.*")
+    return E.address_tally(E.address_outcomes(long))
+
+
+def sheet_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template with three sheets, two of them chosen: what each cell holds."""
+    cells = spark.createDataFrame([("vendor_name", None, "b2", "-"), ("pan", None, "b3", "N/A"), ("account_number", "Bank", "c1", "")], "field string, sheet string, cell string, blank_value string")
+    results = long_results(spark, sf_dir).select("packet_id", "field", "value")
+    filled = E.fill_sheets(results, E.cell_map(cells), ["Main", "Copy"], ["Main", "Copy", "Bank"])
+    return filled.select("packet_id", F.col("sheet").alias("sheet_name"), "cell", F.col("field").alias("field_name"), F.col("value").alias("cell_value"))

@@ -14,6 +14,7 @@ NAMES = (
     "validator_counts", "pin_state_check", "gstin_pan_fallback", "synthetic_layout", "neighbours", "line_clusters", "char_sessionize", "page_trust", "candidate_score", "validation_bias", "choose_best",
     "pattern_only_anti", "canonical_pivot", "packet_summary", "review_flags", "cross_doc_consistency", "lookup_state_city", "records_page", "find_duplicates", "unique_violations",
     "patch_records", "delete_records", "upsert_records", "mark_pushed", "erp_payload", "verify_cells", "eval_outcomes", "address_block", "label_similarity", "gap_groups", "caption_match", "address_resolve",
+    "address_segment", "record_insert", "payloads", "customer_form", "back_fill", "address_eval", "sheet_fill",
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(Q, n) for n in NAMES}
 

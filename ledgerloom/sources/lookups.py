@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import lookup_key, strip
+from ledgerloom.functions.text import lookup_key, strip, titlecase
 
 
 def pin_directory(spark: SparkSession, path: str) -> DataFrame:
@@ -33,3 +33,14 @@ def states(spark: SparkSession, path: str) -> DataFrame:
 def cities(spark: SparkSession, path: str) -> DataFrame:
     """(key) of a text file of names."""
     return spark.read.text(path).where(~F.col("value").rlike(r"\A\s*(?:#|\z)")).select(lookup_key(F.col("value")).alias("key")).where("key <> ''").distinct()
+
+
+def state_spelling(raw: Column, spellings: dict[str, str]) -> Column:
+    """A state as the directory spells it: by its upper case name, by a known spelling without spaces, else in title case.
+    ``spellings`` maps upper case names to the canonical ones."""
+    own = strip(F.coalesce(raw, F.lit("")))
+    if not spellings:
+        return titlecase(own)
+    upper = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
+    squashed = F.create_map(*[F.lit(x) for name in sorted(set(spellings.values())) for x in (name.lower().replace(" ", ""), name)])
+    return F.coalesce(F.try_element_at(upper, F.upper(own)), F.try_element_at(squashed, F.replace(F.lower(own), F.lit(" "), F.lit(""))), titlecase(own))
