@@ -55,3 +55,10 @@ def list_inputs(spark: SparkSession, path: str) -> DataFrame:
 def document_stats(flat: DataFrame) -> DataFrame:
     """Pages, spans and the sorted distinct producers of every document."""
     return flat.groupBy("packet_id", "doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("spans"), F.array_sort(F.collect_set("source")).alias("sources"))
+
+
+def text_layer_share(sets: DataFrame) -> DataFrame:
+    """One row: pages, those read from a text layer, and their share (null without pages)."""
+    pages = sets.select(F.explode("documents").alias("d")).select(F.explode("d.pages").alias("p"))
+    hit = F.count_if(F.coalesce("p.extraction_method", F.lit("ocr")) == "pdf_text")
+    return pages.agg(F.count("*").alias("pages"), hit.alias("text_layer"), (hit / F.nullif(F.count("*"), F.lit(0))).alias("share"))
