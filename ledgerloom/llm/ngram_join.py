@@ -65,31 +65,45 @@ SPOKESMEN = 32  # documents of a component of a part that are compared between p
 CLASSES = 1 << np.arange(33, dtype=np.int64)  # lower bounds of the size classes
 
 
-def most_differing(a: int, b: int, percent: int) -> int:
+def most_differing(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Shingles in which sets of a and b differ at most if they are similar enough."""
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def join_keys(hashes: np.ndarray, percent: int) -> list[np.ndarray]:
-    """All keys of one set, for its own size class and, if it can meet larger sets there, the next."""
-    n, scrambled = len(hashes), mix(hashes)
-    own = int(np.searchsorted(CLASSES, n, side="right")) - 1
-    out = []
-    for c in (own, own + 1):
-        if c != own and n * 100 < int(CLASSES[c]) * percent:
-            break
-        top = int(CLASSES[c + 1]) - 1
-        r = most_differing(n, min(top, n * 100 // percent), percent)
-        if r == 0:  # only equal sets are similar enough
+def join_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray | None]:
+    """All keys of every non-empty set, for its own size class and, if it can meet larger sets there, the next.
+
+    All sets' groups lie behind one another in one array, so that a batch costs a few array operations."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out: list[np.ndarray | None] = [None] * len(sets)
+    if not len(n):
+        return out
+    flat = np.concatenate(sets)
+    scrambled = mix(flat)
+    own = np.searchsorted(CLASSES, n, side="right") - 1
+    for step in (0, 1):
+        low, top = CLASSES[own + step], CLASSES[own + step + 1] - 1
+        r = most_differing(n, np.minimum(top, n * 100 // percent), percent)
+        rows = np.flatnonzero((r > 0) & ((step == 0) | (n * 100 >= low * percent)))  # with r = 0 only equal sets are similar enough
+        if not len(rows):
             continue
-        most = most_differing(top, top, percent)
+        most = most_differing(top, top, percent)[rows]
         m = most + 1 + most // 4
-        group = (hashes % np.uint64(m)).astype(np.int64)
-        digest = np.zeros(m, np.uint64)
-        np.add.at(digest, group, scrambled)
-        size = np.bincount(group, minlength=m)
-        key = mix(digest ^ mix((np.arange(m, dtype=np.uint64) << np.uint64(8)) + np.uint64(c + 1)))
-        out.append(key[np.lexsort((key, -size))[: r + 1]])
+        begin = np.concatenate([[0], np.cumsum(m)])
+        mine = np.zeros(len(sets), bool)
+        mine[rows] = True
+        mine = np.repeat(mine, n)
+        at = np.repeat(begin[:-1], n[rows]) + (flat[mine] % np.repeat(m, n[rows]).astype(np.uint64)).astype(np.int64)
+        digest = np.zeros(begin[-1], np.uint64)
+        np.add.at(digest, at, scrambled[mine])
+        size = np.minimum(np.bincount(at, minlength=begin[-1]), 255).astype(np.uint64)
+        number = (np.arange(begin[-1]) - np.repeat(begin[:-1], m)).astype(np.uint64)
+        classes = np.repeat(own[rows] + step + 1, m).astype(np.uint64)
+        key = mix(digest ^ mix((number << np.uint64(8)) + classes))
+        order = ((np.uint64(255) - size) << np.uint64(56)) | (key >> np.uint64(8))  # large groups first
+        for i, a, b, k in zip(rows.tolist(), begin[:-1].tolist(), begin[1:].tolist(), r[rows].tolist(), strict=True):
+            first = key[a:b][np.argpartition(order[a:b], k)[: k + 1]]
+            out[i] = first if out[i] is None else np.concatenate([out[i], first])
     return out
 
 
@@ -238,16 +252,17 @@ def near_duplicates(
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()  # a copy within the partition adds no keys
         for pdf in batches:
-            out = []
-            for i, h, m in zip(pdf["id"], *shingle_sets_and_words(list(pdf["t"]), words), strict=True):
-                (node, check), keys = set_digest(h), None
+            sets, counts = shingle_sets_and_words(list(pdf["t"]), words)
+            out, new = [], []
+            for i, h, m in zip(pdf["id"], sets, counts, strict=True):
+                node, check = set_digest(h)
                 if len(h) and not pd.isna(i) and (node, check) not in seen:
                     if len(seen) < 1_000_000:
                         seen.add((node, check))
-                    with np.errstate(over="ignore"):
-                        own = join_keys(h, percent)
-                    keys = np.unique(np.concatenate(own)).view(np.int64) if own else None
-                out.append((i, len(h), m, node, check, keys))
+                    new.append(len(out))
+                out.append([i, len(h), m, node, check, None])
+            for k, keys in zip(new, join_keys([sets[k] for k in new], percent), strict=True):
+                out[k][-1] = None if keys is None else keys.view(np.int64)
             yield pd.DataFrame(out, columns=["id", "n", "words", "node", "check", "keys"]).astype({"id": "Int64"})
 
     rows = materialise(texts.mapInPandas(sketch, "id long, n long, words long, node long, check long, keys array<long>"), "ngram-sketch")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 CHUNK = 1 << 20
+WORD = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
@@ -24,6 +25,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix_one(x: int) -> int:
+    """``mix`` of one number, as a signed one."""
+    x &= WORD
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & WORD
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & WORD
+    x ^= x >> 31
+    return x - (1 << 64) if x >> 63 else x
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and its inverse modulo 2^64, for i < n at least."""
     global _powers, _inverse
@@ -50,6 +60,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate([[0], np.searchsorted(start, ends)])
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of a non-empty array."""
+    own = np.sort(hashes)
+    keep = np.empty(len(own), bool)
+    keep[0] = True
+    np.not_equal(own[1:], own[:-1], out=keep[1:])
+    return own[keep]
+
+
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its n-word shingles."""
     return shingle_sets_and_words(texts, n)[0]
@@ -75,7 +94,7 @@ def shingle_sets_and_words(texts: list[str | None], n: int) -> tuple[list[np.nda
             counts += np.diff(first).tolist()
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 if b - a >= n:
-                    out.append(np.unique(every[a : b - n + 1]))
+                    out.append(distinct(every[a : b - n + 1]))
                 elif b > a:
                     whole = np.uint64(b - a)
                     for h in hashes[a:b]:
@@ -89,8 +108,6 @@ def shingle_sets_and_words(texts: list[str | None], n: int) -> tuple[list[np.nda
 
 def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit digests of a set of hashes, the sum of their scramblings and of the squares: 128 bits name a set."""
-    with np.errstate(over="ignore"):
-        own = mix(hashes ^ np.uint64(0xA0761D6478BD642F))
-        sums = np.array([own.sum(dtype=np.uint64), (own * own).sum(dtype=np.uint64)], np.uint64) + np.uint64(len(hashes))
-        one, two = mix(sums).view(np.int64).tolist()
+    own = mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+    one, two = mix_one(int(own.sum()) + len(hashes)), mix_one(int(np.dot(own, own)) + len(hashes))
     return one, two
