@@ -40,7 +40,7 @@ rows. Very long texts are read whole. Other columns are not read, whatever their
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -295,21 +295,23 @@ def near_duplicates(
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         """(u, v, turn): u belongs to the component of v. Members of an ``old`` component (of a part) keep together;
         with ``known`` ones there, which are one component, one link into it is told of each of the others."""
-        out = []
-        for _, own in pdf.groupby("cluster", sort=False):
-            own = own.drop_duplicates(["node", "t"]).sort_values("node")
-            sets, known, old = {}, {}, {}
-            for node, check, k, o, h in zip(own["node"], own["check"], own["known"], own["old"], shingle_sets(list(own["t"]), words), strict=True):
-                if set_digest(h)[1] == check:  # another text may go by the same id
-                    sets[node], known[node], old[node] = h, bool(k), o
-            names = np.array(list(sets), np.int64)
-            if any(known.values()):
-                pairs = links_into(list(sets.values()), np.array(list(known.values())), percent)
-                out.append(pd.DataFrame({"u": [names[i] for i, _ in pairs], "v": [names[j] for _, j in pairs], "turn": 0}))
-            elif len(names):
-                seed = joined(link_labels(list(sets.values()), percent), list(old.values()))
-                out.append(pd.DataFrame({"u": names, "v": names[seed], "turn": pd.Series(seed).groupby(seed).cumcount()}))
-        return pd.concat(out, ignore_index=True).astype("int64") if out else pd.DataFrame({"u": [], "v": [], "turn": []}).astype("int64")
+        own = pdf.drop_duplicates(["cluster", "node", "t"]).sort_values(["cluster", "node"])
+        clusters: dict[int, dict[int, tuple]] = {}
+        for c, node, check, k, o, h in zip(own["cluster"], own["node"], own["check"], own["known"], own["old"], shingle_sets(list(own["t"]), words), strict=True):
+            if set_digest(h)[1] == check:  # another text may go by the same id
+                clusters.setdefault(c, {})[node] = (h, bool(k), o)
+        out: list[tuple[int, int, int]] = []
+        for members in clusters.values():
+            names = list(members)
+            sets, known, old = zip(*members.values(), strict=True)
+            if any(known):
+                out += [(names[i], names[j], 0) for i, j in links_into(list(sets), np.array(known), percent)]
+            else:
+                turns: Counter = Counter()
+                for i, seed in enumerate(joined(link_labels(list(sets), percent), list(old)).tolist()):
+                    out.append((names[i], names[seed], turns[seed]))
+                    turns[seed] += 1
+        return pd.DataFrame(out, columns=["u", "v", "turn"]).astype("int64")
 
     def links_of(placed: DataFrame, name: str) -> DataFrame:
         """Links inside every group of (unit, a, b)."""
