@@ -38,19 +38,20 @@ from ledgerloom.llm.ngram_join import near_duplicates, text_key
 
 
 class Bins:
-    """Open bins in order of residual room."""
+    """Open bins in order of residual room; a bin that changes moves within arrays that are kept."""
 
     def __init__(self, capacity: int, words: int) -> None:
-        self.capacity = capacity
-        self.room = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int64)
-        self.maps = np.zeros((0, words), np.uint64)
-        self.opened = 0
+        self.capacity, self.open, self.opened = capacity, 0, 0
+        self._room, self._ids, self._maps = np.zeros(64, np.int64), np.zeros(64, np.int64), np.zeros((64, words), np.uint64)
+
+    room = property(lambda self: self._room[: self.open])
+    ids = property(lambda self: self._ids[: self.open])
+    maps = property(lambda self: self._maps[: self.open])
 
     def successor(self, need: int, bits: np.ndarray) -> int:
         """Place of the tightest compatible bin, -1 if there is none."""
-        at, step = int(np.searchsorted(self.room, need, side="left")), 64
-        while at < len(self.room):
+        at, step = int(self.room.searchsorted(need)), 64
+        while at < self.open:
             clash = (self.maps[at : at + step] & bits).any(axis=1)
             free = int(clash.argmin())
             if not clash[free]:
@@ -62,16 +63,26 @@ class Bins:
         """The bin that the piece goes to."""
         at = self.successor(need, bits)
         if at < 0:
-            bin_id, room, maps = self.opened, self.capacity, np.zeros_like(bits)
+            bin_id, room, maps = self.opened, self.capacity - need, bits
             self.opened += 1
+            if room <= 0:
+                return bin_id
+            if self.open == len(self._room):
+                self._room, self._ids = np.resize(self._room, 2 * self.open), np.resize(self._ids, 2 * self.open)
+                self._maps = np.resize(self._maps, (2 * self.open, self._maps.shape[1]))
+            at, self.open = self.open, self.open + 1
+            to = int(self._room[:at].searchsorted(room))
         else:
-            bin_id, room, maps = int(self.ids[at]), int(self.room[at]), self.maps[at].copy()
-            self.room, self.ids, self.maps = np.delete(self.room, at), np.delete(self.ids, at), np.delete(self.maps, at, axis=0)
-        room, maps = room - need, maps | bits
-        if room > 0:  # a full bin takes nothing any more
-            to = int(np.searchsorted(self.room, room, side="left"))
-            self.room, self.ids = np.insert(self.room, to, room), np.insert(self.ids, to, bin_id)
-            self.maps = np.insert(self.maps, to, maps, axis=0)
+            bin_id, room, maps = int(self.ids[at]), int(self.room[at]) - need, self.maps[at] | bits
+            if room <= 0:  # a full bin takes nothing any more
+                for x in (self._room, self._ids, self._maps):
+                    x[at : self.open - 1] = x[at + 1 : self.open]
+                self.open -= 1
+                return bin_id
+            to = int(self.room[: at + 1].searchsorted(room))
+        for x, new in ((self._room, room), (self._ids, bin_id), (self._maps, maps)):
+            x[to + 1 : at + 1] = x[to:at]
+            x[to] = new
         return bin_id
 
 
