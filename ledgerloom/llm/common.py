@@ -52,6 +52,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files give fewer partitions; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def crc_mod(col: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``."""
     return F.crc32(F.col(col).cast("string")) % F.lit(mod)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.chat import OP3_SQL, op3_chat
+from ledgerloom.llm.filter_audit import OP12_SQL, op12_filter_audit
 from ledgerloom.llm.fingerprints import op6_fingerprints
 from ledgerloom.llm.language import op9_language
 from ledgerloom.llm.mixing import op8_mixing
@@ -14,8 +15,10 @@ from ledgerloom.llm.neighbours import op7_neighbours
 from ledgerloom.llm.ngram_join import OP2_SQL, op2_ngram_join
 from ledgerloom.llm.packing import op4_packing
 from ledgerloom.llm.quality import op5_quality
+from ledgerloom.llm.repair import op11_repair
 from ledgerloom.llm.secrets import op10_secrets
 from ledgerloom.llm.toxicity import op1_toxicity
+from ledgerloom.llm.windows import op13_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,9 +33,13 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
+    "op11_repair": op11_repair,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_windows": op13_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": OP2_SQL,
     "op3_chat": OP3_SQL,
+    "op12_filter_audit": OP12_SQL,
 }

@@ -28,7 +28,7 @@ def plain(df):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(c.execute(ORACLE_SQL[name]).df())
 

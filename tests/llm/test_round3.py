@@ -1,0 +1,242 @@
+"""Operators 11 to 13 against plain Python on the given tables and on planted rows."""
+
+import collections
+import hashlib
+import heapq
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from ledgerloom.llm import filter_audit, repair, windows
+from ledgerloom.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
+
+
+# --- 11 conversation structure repair ------------------------------------------------------------
+
+
+def damaged(rows):
+    """Rows of one conversation, (conv_id, turn, role, text), after the damage and in order."""
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        fate = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if fate == 1 else re.sub("[.!?]", "", text) if fate == 2 else text
+        role = "user" if fate == 4 else role
+        out += [(turn, role, text)] * (0 if fate == 0 else 2 if fate == 3 else 1)
+    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+
+
+def faults(rows):
+    out, said = [], set()
+    for _, role, text in rows:
+        bare = text.strip(" \t\n\x0b\x0c\r")
+        out.append("blank" if not bare else "duplicate" if (role, text) in said else "truncated" if bare[-1] not in ".!?" else "")
+        said.add((role, text))
+    return out
+
+
+def cheapest(rows, fault):
+    """The least (cost, audit) of all edit sequences, and its lines: uniform-cost search over states of the output."""
+    heap, seen = [(0, "", 0, "", ())], set()
+    while True:
+        cost, audit, i, made, lines = heapq.heappop(heap)
+        if i == len(rows) and re.fullmatch("(s?(ua)+)?", made):
+            return cost, audit, lines
+        state = (i, made[-1:])
+        if state in seen:
+            continue
+        seen.add(state)
+        steps = [(3, "I", i, r, f"{r}:") for r in ("user", "assistant")]
+        if i < len(rows):
+            _, role, text = rows[i]
+            steps.append((4, "D", i + 1, "", None))
+            if fault[i] in ("", "truncated"):
+                more = 3 * (fault[i] == "truncated")
+                steps += [(more, "K", i + 1, role or "?", f"{role}:{text}")] + [(more + 3, "R", i + 1, r, f"{r}:{text}") for r in ("user", "assistant")]
+        for price, letter, to, role, line in steps:
+            if re.fullmatch("s?(ua)*u?", made + role[:1]):
+                heapq.heappush(heap, (cost + price, audit + letter, to, made + role[:1], lines + ((line,) if line is not None else ())))
+
+
+def expected(rows):
+    out = {}
+    for conv in dict.fromkeys(r[0] for r in rows):
+        own = damaged([r for r in rows if r[0] == conv])
+        fault = faults(own)
+        cost, audit, lines = cheapest(own, fault)
+        turns = {t for t, *_ in own if t is not None}
+        pairs = [a[1][:1] + b[1][:1] for a, b in zip(own, own[1:])]
+        n = collections.Counter(fault)
+        out[conv] = (
+            max(turns) - min(turns) + 1 - len(turns) if turns else 0, n["blank"], n["duplicate"], n["truncated"],
+            sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+        )
+    return out
+
+
+COLUMNS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def told(df):
+    got = df.collect()
+    out = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in got}
+    assert len(out) == len(got)
+    return out
+
+
+def planted():
+    rnd = random.Random(3)
+    rows = []
+    for conv in [*range(60), None, 2**60 + 1]:
+        for turn in range(rnd.randrange(1, 9)):
+            role = rnd.choice(["user", "assistant", "system", "tool", "", None, "User"])
+            rows.append((conv, rnd.choice([turn, turn, turn, turn + 2, None]), role, rnd.choice(["Yes.", "no", "", " \t", None, "Why?\n", "x" * 5_000 + "!", "ça va…"])))
+    return rows + rows[:40] + [(900, t, "user" if t % 2 else "assistant", f"text {t // 3}{'.' * (t % 2)}") for t in range(150)]
+
+
+def test_repair_of_the_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert told(QUERIES["op11_repair"](spark, SF)) == expected(rows)
+
+
+@pytest.mark.parametrize("long_rows, long_bytes", [(4_096, 8 << 20), (16, 8 << 20), (4_096, 3_000), (1, 1)])
+def test_repair_of_odd_rows(spark, long_rows, long_bytes):
+    """Nulls, repeats, ties, unknown roles and a long conversation, whole and as streams."""
+    rows = planted()
+    data = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n int").repartition(3)
+    assert told(repair.repair(repair.damage(data), long_rows=long_rows, long_bytes=long_bytes)) == expected(rows)
+
+
+def test_repair_of_dropped_and_no_rows(spark):
+    gone = next(c for c in range(100) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    data = spark.createDataFrame([(gone, 0, "user", "Hello.")], "conv_id long, turn long, role string, text string")
+    assert told(repair.repair(repair.damage(data))) == {gone: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())}
+    assert repair.repair(repair.damage(data.limit(0))).count() == 0
+
+
+def test_edits_against_search():
+    """Random codes; stretches of three turns give the same edits as whole tensors."""
+    rnd, names = random.Random(1), ["", "blank", "duplicate", "truncated"]
+    cases = [[(rnd.choice(["system", "user", "assistant", "tool"]), rnd.choice([0, 0, 0, 1, 2, 3])) for _ in range(rnd.randrange(8))] for _ in range(200)]
+    codes = [np.array(["tsua".index(r[0]) + 4 * f for r, f in c], np.uint8) for c in cases]
+    for case, code, got in zip(cases, codes, repair.repair_bucket(codes)):
+        cost, audit, _ = cheapest([(None, r, "x") for r, _ in case], [names[f] for _, f in case])
+        assert (got[0], got[1].decode()) == (cost, audit) and repair.repair_long(code, 3) == got
+
+
+# --- 12 filter interaction audit ------------------------------------------------------------------
+
+
+def audit_sql(docs, labels):
+    c = duckdb.connect()
+    c.register("documents", docs)
+    c.register("labels", labels)
+    return c.execute(ORACLE_SQL["op12_filter_audit"]).to_arrow_table().to_pylist()
+
+
+def as_set(rows):
+    names = sorted(rows[0]) if rows else []
+    return collections.Counter(tuple(r[c] for c in names) for r in rows)
+
+
+def test_audit_of_odd_rows(spark):
+    """Nulls, repeats, ties, several labels and clashing columns against the SQL and by hand."""
+    texts = [None, "", " ", "ABC def " * 150, "a | b", "word " * 300, " ".join(f"w{i}" for i in range(250)), "ÀÉ AB", "a b"]
+    rows = [(i if i % 7 else None, texts[i % len(texts)], None if i % 3 == 0 else f"s{i % 2}", i, i) for i in range(90)]
+    rows += rows[:9] + [(2**60 + i, f"near {i}", "s1", 0, 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mask int, digest int")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, None, 1), (None, 1, 1), (3, 1, None), (2**60, 1, 1)], "doc_id long, quality int, toxic int")
+    got = [r.asDict() for r in filter_audit.audit(docs, labels).drop("filter").collect()]
+    assert as_set(got) == as_set(audit_sql(docs.toArrow(), labels.toArrow()))
+    one = next(r for r in got if (r["part"], r["filter_order"], r["step"]) == ("s1", "EDCBA", 1))
+    of_s1 = [(i, t) for i, t, s, *_ in rows if s == "s1"]
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    assert one["removed"] == sum(i is not None and i > least[t or ""] for i, t in of_s1) and one["kept"] + one["removed"] == len(of_s1)
+    assert filter_audit.audit(docs.limit(0), labels).count() == 0
+
+
+def test_audit_shapley_of_all_orders(spark):
+    got = QUERIES["op12_filter_audit"](spark, SMALL).collect()
+    total = collections.Counter()
+    for r in got:
+        total[r["part"], r["filter_order"][r["step"] - 1]] += r["removed"]
+    assert len(got) == 600 * len({r["part"] for r in got})
+    assert all(r["shapley"] == total[r["part"], r["filter_order"][r["step"] - 1]] for r in got)
+
+
+# --- 13 bounded-space packing ---------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def check_packing(got, texts, path, size=2_048, slack=8):
+    """Every id once and in its place, no gap in a sequence, little padding."""
+    from tokenizers import Tokenizer
+
+    code, by_doc, by_sequence = Tokenizer.from_file(path), collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    assert by_doc.keys() == texts.keys()
+    for doc, text in texts.items():
+        ids, at = [*code.encode(text or "", add_special_tokens=False).ids, 1], 0
+        for r in sorted(by_doc[doc], key=lambda r: r["start"]):
+            own = ids[r["start"] : r["start"] + r["length"]]
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(own, "<u4").tobytes()))
+            at += r["length"]
+        assert at == len(ids)
+    for rows in by_sequence.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at and r["length"] > 0
+            at += r["length"]
+        assert size - slack <= at <= size or at & (at - 1) == 0
+    return by_sequence
+
+
+def test_packing_of_the_table(spark, path):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    check_packing(QUERIES["op13_windows"](spark, SMALL).collect(), texts, path)
+
+
+@pytest.mark.parametrize("parts, fan_in, most", [(1, 64, 64), (9, 2, 3), (5, 64, 1)])
+def test_packing_of_odd_texts(spark, path, parts, fan_in, most):
+    """Null, empty, long and special texts, dealt over several partitions and merged in several rounds."""
+    rnd = random.Random(5)
+    odd = [None, "", " ", "\n\n", "a  b", "it's 3.14… x y", "<|endoftext|> ok<|endoftext|>", "\0\x1c z", "日本語 テキスト。", "é" * 50, "x" * 9_000, "ab, " * 9_000]
+    texts = dict(enumerate(odd + [" ".join(rnd.choice(["wor", "Der", "est,", "été.", "\nNew", "1a"]) * rnd.randrange(1, 3) for _ in range(rnd.randrange(900))) for _ in range(80)]))
+    docs = spark.createDataFrame([(i, t, i) for i, t in texts.items()], "doc_id long, text string, ids long").repartition(parts)
+    check_packing(windows.pack_tokens(docs, path, size=256, slack=2, open_windows=most, fan_in=fan_in).collect(), texts, path, size=256, slack=2)
+
+
+def test_packing_of_nulls_repeats_and_no_rows(spark, path):
+    docs = spark.createDataFrame([(None, "one two")] * 3 + [(2**60 + 1, "one two")] * 2, "doc_id long, text string")
+    got = windows.pack_tokens(docs, path).collect()
+    assert sum(r["length"] for r in got) == 5 * got[0]["doc_tokens"] and {r["doc_id"] for r in got} == {None, 2**60 + 1}
+    assert windows.pack_tokens(docs.limit(0), path).count() == 0
+
+
+def test_long_texts_are_encoded_as_whole_ones(path, monkeypatch):
+    rnd = random.Random(7)
+    text = "".join(rnd.choice(["ab", "C", " ", "  ", "\n", ".", "'s", " ", "é", "12", "\x1c", "!"]) for _ in range(6_000))
+    code = windows.Encoder(path)
+    whole = code.tokenizer.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(windows.Encoder, "PART", 50)
+    assert next(code.encode_texts([text])).tolist() == whole
+    monkeypatch.setattr(windows.Encoder, "MOST", 10)
+    assert [x.tolist() for x in code.encode_texts(["a b", text, "", "a b"])][1] == whole
