@@ -111,9 +111,9 @@ def beginnings(keys: DataFrame, rows: int, range_rows: int) -> list[tuple[int |
     first = keys.agg(F.min("key").alias("k")).first()["k"]
     cut = min(2**31, max(1, 2**31 * PER_RANGE * ranges // max(rows, 1)))
     some = keys.where(F.pmod(F.xxhash64("key", F.lit("range")), F.lit(2**31)) < F.lit(cut)) if cut < 2**31 else keys
-    own = some.select("key.id", "key.h").distinct().orderBy(F.col("id").asc_nulls_first(), "h").toPandas()
-    step = max(1, len(own) // ranges)
-    starts = [(None if i is None or i != i else int(i), int(h)) for i, h in zip(own["id"].astype("object")[::step], own["h"][::step], strict=True)]
+    own = some.select("key.id", "key.h").distinct().orderBy(F.col("id").asc_nulls_first(), "h").toArrow()
+    step = max(1, own.num_rows // ranges)
+    starts = list(zip(own["id"].to_pylist()[::step], own["h"].to_pylist()[::step], strict=True))
     return [(first["id"], first["h"])] + [x for x in starts if x != (first["id"], first["h"])]
 
 

@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import materialise, table
 
 RUN = r"A-Za-z0-9+/_\-"
+BEGIN = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+# Loops over groups are possessive: Java runs these without recursion, and a search for the end stops at the next beginning.
 BLOCK = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
-    r"|-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:\s+[A-Za-z\-]{1,40}: [^\n]{0,200})*(?:\s+[A-Za-z0-9+/=]{16,})+(?:\s+[A-Za-z0-9+/]+={1,2})?"
+    BEGIN + r"[^\-]*+(?:-(?!----BEGIN |----END [A-Z ]{0,40}PRIVATE KEY)[^\-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+    r"|" + BEGIN + r"(?:\s++[A-Za-z\-]{1,40}+: [^\n]{0,200}+)*+(?:\s++[A-Za-z0-9+/=]{16,}+)++(?:\s++[A-Za-z0-9+/]++={1,2})?"
 )
 # Words whose neighbourhood speaks for or against a secret, words that names are made of, and public key prefixes.
 KEY_WORDS = "token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|apikey|access[ _-]?key|auth|bearer|credential|private[ _-]?key|client[ _-]?key"
@@ -68,6 +70,12 @@ def let(value: Column, body) -> Column:  # noqa: ANN001
     return F.transform(F.array(value), body)[0]
 
 
+def running(sizes: Column) -> Column:
+    """The sum of all entries up to each, by doubling: no array grows entry by entry."""
+    more = lambda s, step: F.transform(s, lambda x, i: x + F.coalesce(F.get(s, i - step), F.lit(0)))
+    return F.aggregate(F.lit([1 << k for k in range(29)]), sizes, lambda s, step: F.when(F.size(s) > step, more(s, step)).otherwise(s))
+
+
 def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     """struct<found, rest> for one pattern: its values with their places, and the text with blanks in their stead.
 
@@ -78,11 +86,7 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
         head = lambda x: F.left(x["m"], F.length(x["m"]) - F.length(x["v"]))
         last = lambda i: F.when(i > 0, F.right(F.get(m, i - 1)["m"], F.lit(NEAR))).otherwise("")
         following = lambda i: F.coalesce(F.left(F.get(m, i + 1)["m"], F.lit(NEAR)), F.lit(""))
-        end = lambda acc, x: acc["at"] + F.length(F.get(p, F.size(acc["ends"]))) + F.length(x["m"])
-        ends = F.aggregate(
-            m, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-            lambda acc, x: F.struct(end(acc, x).alias("at"), F.array_append(acc["ends"], end(acc, x)).alias("ends")), lambda acc: acc["ends"],
-        )
+        ends = running(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x["m"])))
         found = let(ends, lambda e: F.transform(m, lambda x, i: F.struct(
             x["v"].alias("value"), (F.get(e, i) - F.length(x["v"]) + 1).alias("start"),
             F.right(F.concat(last(i), F.get(p, i), head(x)), F.lit(NEAR)).alias("before"), F.left(F.concat(F.get(p, i + 1), following(i)), F.lit(NEAR)).alias("after"),
@@ -101,7 +105,8 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
 
 def occurrences(text: Column) -> Column:
     """Every candidate in its place: array<struct<value, start, before, after>>."""
-    return let(text, lambda t: let(matches(t, BLOCK), lambda a: let(matches(a["rest"], PLACED, 3), lambda b: F.concat(a["found"], b["found"], matches(b["rest"], FREE)["found"]))))
+    blocks = lambda t: F.when(t.contains("PRIVATE KEY"), matches(t, BLOCK)).otherwise(F.struct(F.array().cast(FOUND).alias("found"), t.alias("rest")))
+    return let(text, lambda t: let(blocks(t), lambda a: let(matches(a["rest"], PLACED, 3), lambda b: F.concat(a["found"], b["found"], matches(b["rest"], FREE)["found"]))))
 
 
 def described(found: DataFrame) -> tuple[DataFrame, list[str]]:
