@@ -257,3 +257,12 @@ ORACLE_SQL["address_eval"] = f"""WITH {V}, r AS (SELECT packet_id AS id, (['high
 ORACLE_SQL["sheet_fill"] = f"""WITH {V}, s AS (SELECT unnest(['Main', 'Copy']) AS sheet_name)
   SELECT packet_id, sheet_name, 'B2' AS cell, 'vendor_name' AS field_name, coalesce(nullif(vendor_name, ''), '-') AS cell_value FROM v, s UNION ALL SELECT packet_id, sheet_name, 'B3', 'pan', coalesce(nullif(pan, ''), 'N/A') FROM v, s
   UNION ALL SELECT packet_id, 'Bank', 'C1', 'account_number', coalesce(nullif(account_number, ''), '') FROM v"""
+
+# The right spacing is made from the parts; the query has only the parts run together.
+ORACLE_SQL["word_break"] = """WITH p AS (SELECT c_custkey, c_custkey % 6 AS m, c_custkey // 6 AS q FROM customer),
+w AS (SELECT *, ['LAKESIDE', 'TALOJA', 'HOSUR', 'SERVICE', 'ELECTRON'][q % 5 + 1] AS place FROM p),
+s AS (SELECT c_custkey, CASE m WHEN 0 THEN 'FLAT NO ' || (100 + c_custkey % 900) WHEN 1 THEN 'BLOCK ' || ['A', 'B', 'C', 'D'][q % 4 + 1] || ' SECTOR ' || (10 + c_custkey % 80)
+  WHEN 2 THEN place || ' ROAD' WHEN 3 THEN ['MAHALAXMI', 'BOMMANAHALLI', 'RAMWADI', 'GANDHINAGAR'][q % 4 + 1] WHEN 4 THEN '2ND FLOOR WING ' || ['A', 'C', 'E'][q % 3 + 1]
+  ELSE 'PLOT NO ' || (10 + c_custkey % 90) || ' ' || place || ' PLAZA' END AS address FROM w)
+SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN replace(replace(address, ' ', ''), ['LAKESIDE', 'TALOJA', 'HOSUR', 'SERVICE', 'ELECTRON'][c_custkey // 6 % 5 + 1], '  ' || ['LAKESIDE', 'TALOJA', 'HOSUR', 'SERVICE', 'ELECTRON'][c_custkey // 6 % 5 + 1])
+  ELSE replace(address, ' ', '') END AS run_together, address FROM s"""

@@ -16,6 +16,7 @@ from ledgerloom.operators import layout as L
 from ledgerloom.operators import records as R
 from ledgerloom.operators import segments as S
 from ledgerloom.operators import validate as V
+from ledgerloom.operators import wordbreak as WB
 from ledgerloom.plans.derived import candidates, vendors
 
 EMAIL = V.RULES["email_format"].pattern
@@ -374,6 +375,28 @@ def address_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("packet_id", "address_1", "address_2", "address_3", "address_4", "line_confidence", "line_score")
 
 
+RUN_WORDS = S.Keywords(
+    {
+        "premises_unit": S.Tier(1, ("flat", "plot"), ("floor",)), "structural": S.Tier(1, ("block", "wing")), "building_name": S.Tier(2, (), ("plaza", "mahal", "wadi")),
+        "thoroughfare": S.Tier(3, (), ("road",)), "locality": S.Tier(4, ("sector",), ("nagar", "halli", "wadi")),
+    }
+)
+
+
+def word_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of customers that have lost their spaces, and the same with spaces put back; fused names stay whole."""
+    k = F.col("c_custkey")
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (F.floor(k / 6) % n + 1).cast("int"))
+    place = pick(5, "LAKESIDE", "TALOJA", "HOSUR", "SERVICE", "ELECTRON")
+    run = (
+        F.when(k % 6 == 0, F.concat(F.lit("FLATNO"), 100 + k % 900)).when(k % 6 == 1, F.concat(F.lit("BLOCK"), pick(4, "A", "B", "C", "D"), F.lit("SECTOR"), 10 + k % 80))
+        .when(k % 6 == 2, F.concat(place, F.lit("ROAD"))).when(k % 6 == 3, pick(4, "MAHALAXMI", "BOMMANAHALLI", "RAMWADI", "GANDHINAGAR"))
+        .when(k % 6 == 4, F.concat(F.lit("2NDFLOORWING"), pick(3, "A", "C", "E"))).otherwise(F.concat(F.lit("PLOTNO"), 10 + k % 90, F.lit("  "), place, F.lit("PLAZA")))
+    )
+    rows = table(spark, sf_dir, "customer").select("c_custkey", run.alias("run_together"))
+    return rows.select("c_custkey", "run_together", WB.respaced(F.col("run_together"), RUN_WORDS).alias("address"))
+
+
 def record_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of new records against the stored ones: what is accepted and what is not, and why."""
     k = F.col("c_custkey")
