@@ -9,71 +9,66 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import clean_label
+from ledgerloom.operators.alignment import Texts
 
 LONGEST_CAPTION = 180
+# What may stand between a caption and its value, and an abbreviation's point before a number.
 SEPARATOR = re.compile(r"\s*[:\-–—=|>]")
 ABBREVIATION = re.compile(r"\s*\.\s*[0-9]")
 PREFIX = re.compile(r"[\s:\-–—=|.,)#]+")
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence (bit-parallel; the rows of the programme are bits of one number)."""
-    at: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        at[ch] = at.get(ch, 0) | (1 << i)
-    row = full = (1 << len(a)) - 1
-    for ch in b:
-        hit = row & at.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - bin(row).count("1")
-
+def needed(caption: str, base: float) -> float:
+    return max(base, 0.97) if len(caption) <= 4 else max(base, 0.92) if len(caption) <= 6 else base
 
-def ratio(a: str, b: str) -> float:
-    return 2 * common(a, b) / (len(a) + len(b)) if a or b else 1.0
 
+Found = tuple[str, float, str]  # caption, similarity, rest
 
-def best_window(caption: str, text: str) -> tuple[float, int, int]:
-    """The window of the text most like the caption: (ratio, start, end); the first of equals. Windows have the
-    caption's length, or less at the text's edges."""
-    n, best = len(caption), (0.0, 0, 0)
-    for start in range(-n + 1, len(text)):
-        lo, hi = max(0, start), min(len(text), start + n)
-        if (score := ratio(caption, text[lo:hi])) > best[0]:
-            best = (score, lo, hi)
-    return best
 
-
-def needed(caption: str, base: float) -> float:
-    return max(base, 0.97) if len(caption) <= 4 else max(base, 0.92) if len(caption) <= 6 else base
+def set_off(text: str, end: int, pattern: re.Pattern | None) -> str:
+    """The value after a caption that ends at ``end``; empty if what follows is no value but more prose."""
+    tail = text[end:]
+    rest = PREFIX.sub("", tail, count=1).strip() if PREFIX.match(tail) else tail.strip()
+    if not rest or ABBREVIATION.match(tail):
+        return ""
+    parted = SEPARATOR.match(tail) or tail.lstrip().startswith(".") or (pattern is not None and pattern.fullmatch(rest))
+    return rest if parted else ""
 
 
-def caption_of(text: str, clean: str, captions: list[str], pattern: re.Pattern | None, base: float) -> tuple[str, float, str] | None:
+def caption_of(text: str, captions: list[str], scores: list[tuple[float, float, int, int]], pattern: re.Pattern | None, base: float) -> Found | None:
     """The field's best caption in a span: (caption, similarity, rest). A caption that is the whole span leaves no rest;
-    one at its beginning must be set off by a separator, or leave a rest of the field's own shape."""
-    best: tuple[str, float, str] | None = None
-    low = text.lower()
-    for caption in captions:
+    one at its beginning must be set off by a separator, or leave a rest of the field's own shape. ``scores`` has for each
+    caption the likeness of the whole span, and of its best window with where that begins and ends."""
+    best: Found | None = None
+    for caption, (whole, part, start, end) in zip(captions, scores, strict=True):
         least, score = needed(caption, base), best[1] if best else 0.0
-        if (whole := ratio(clean, caption)) >= least and whole > score:
+        if whole >= least and whole > score:
             best, score = (caption, whole, ""), whole
-        if len(low) > len(caption):
-            part, start, end = best_window(caption, low)
-            tail = text[end:]
-            rest = PREFIX.sub("", tail, count=1).strip() if PREFIX.match(tail) else tail.strip()
-            if part < least or start > 2 or not rest or ABBREVIATION.match(tail):
-                continue
-            if not (SEPARATOR.match(tail) or tail.lstrip().startswith(".") or (pattern is not None and pattern.fullmatch(rest))):
-                continue
+        if len(text) > len(caption) and part >= least and start <= 2 and (rest := set_off(text, end, pattern)):
             if part > score or (part >= score - 0.02 and len(caption) > len(best[0] if best else "")):
                 best = (caption, part, rest)
     return best
 
 
+def captions_of(texts: list[str], cleans: list[str], captions: list[str], pattern: re.Pattern | None, base: float) -> Iterator[tuple[int, Found]]:
+    """``caption_of`` for a batch: each caption is aligned with all texts at once, and only texts near one are looked at."""
+    low, clean = Texts([t.lower() for t in texts]), Texts(cleans)
+    told = [(clean.ratios(c, needed(c, base)), *low.partial(c, needed(c, base))) for c in captions]
+    near = np.zeros(len(texts), bool)
+    for c, (whole, part, *_) in zip(captions, told, strict=True):
+        near |= (whole >= needed(c, base)) | (part >= needed(c, base))
+    for i in np.flatnonzero(near):
+        scores = [(float(w[i]), float(p[i]), int(s[i]), int(e[i])) for w, p, s, e in told]
+        if (hit := caption_of(texts[i], captions, scores, pattern, base)) is not None:
+            yield int(i), hit
+
+
 def caption_hits(spans: DataFrame, captions: dict[str, list[str]], patterns: dict[str, str] | None = None, base: float = 0.82) -> DataFrame:
     """``spans`` (with text) and for each field whose caption it carries: field, caption, similarity, rest."""
     own = {f: [c.lower() for c in cs] for f, cs in captions.items()}
@@ -81,11 +76,8 @@ def caption_hits(spans: DataFrame, captions: dict[str, list[str]], patterns: dic
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text, clean in zip(pdf["text"], pdf["clean"], strict=True):
-                for f, cs in own.items():
-                    if (hit := caption_of(text.strip(), clean, cs, shapes.get(f), base)) is not None:
-                        out.append((text, f, *hit))
+            texts, plain, cleans = pdf["text"].tolist(), pdf["text"].str.strip().tolist(), pdf["clean"].tolist()
+            out = [(texts[i], f, *hit) for f, cs in own.items() for i, hit in captions_of(plain, cleans, cs, shapes.get(f), base)]
             yield pd.DataFrame(out, columns=["text", "field", "caption", "similarity", "rest"])
 
     texts = spans.select("text").where((F.btrim("text") != "") & (F.length(F.btrim("text")) <= LONGEST_CAPTION)).distinct()
@@ -93,6 +85,42 @@ def caption_hits(spans: DataFrame, captions: dict[str, list[str]], patterns: dic
     return spans.join(hits, "text")
 
 
+def without_captions(values: list[str], captions: list[str], pattern: re.Pattern | None, base: float = 0.82, rounds: int = 2) -> list[str]:
+    """Values without a caption of their own field that is repeated at their beginning (a sub-caption in the value's cell): in each
+    round the caption whose removal leaves the least, if what follows it is set off."""
+    values = [v.strip() for v in values]
+    for _ in range(rounds):
+        low, shorter = Texts([v.lower() for v in values]), list(values)
+        for c in captions:
+            part, start, end = low.partial(c, needed(c, base))
+            for i in np.flatnonzero((part >= needed(c, base)) & (start <= 2)):
+                rest = set_off(values[i], int(end[i]), pattern)
+                if rest and len(rest) < len(shorter[i]):
+                    shorter[i] = rest
+        if shorter == values:
+            break
+        values = shorter
+    return values
+
+
+def own_captions_removed(field: Column, value: Column, captions: dict[str, list[str]], patterns: dict[str, str] | None = None, base: float = 0.82) -> Column:
+    """``value`` without captions of ``field`` at its beginning. Null stays null; a batch's distinct values are aligned once."""
+    own = {f: [c.lower() for c in cs] for f, cs in captions.items()}
+    shapes = {f: re.compile(p) for f, p in (patterns or {}).items()}
+
+    @F.pandas_udf("string")
+    def one(fields: pd.Series, values: pd.Series) -> pd.Series:
+        out = values.copy()
+        for f, cs in own.items():
+            rows = (fields == f) & values.notna()
+            distinct = values[rows].unique().tolist()
+            if distinct:
+                out[rows] = values[rows].map(dict(zip(distinct, without_captions(distinct, cs, shapes.get(f), base), strict=True)))
+        return out
+
+    return one(field, value)
+
+
 def fragment_tier(fragment: Column, tiers: dict[str, dict[str, list[str]]], priority: list[str]) -> Column:
     """The tier of an address fragment: the first of ``priority`` whose head words begin it, whose tail words end it or whose
     phrases occur in it; unknown otherwise. ``tiers`` is the keyword table (head, tail, any)."""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import clean_label, similarity, strip
+from ledgerloom.functions.text import clean_label, strip
+from ledgerloom.operators.alignment import are_like_labels
 
 FILENAME_WEIGHT, CONTENT_WEIGHT, LEAST_SCORE, FIRST_PAGES = 1.0, 2.0, 1.0, 3
 
@@ -57,35 +58,43 @@ def band(score: Column) -> Column:
     return F.when(score >= 0.8, "good").when(score >= 0.6, "warn").otherwise("bad")
 
 
-CAPTION_SUFFIX, LEAK_WORDS, LEAK_CHARS, LEAK_RATIO = r"(?i)\bif any\b\W*\z", 8, 8, 88.0
+CAPTION_SUFFIX, LEAK_WORDS, LEAK_CHARS, LEAK_RATIO, LEAK_PART = r"(?i)\bif any\b\W*\z", 8, 8, 0.88, 0.90
+
+
+def caption_leaks(values: Column, captions: list[str], lead_words: list[str], class_words: list[str]) -> Column:
+    """For an array of values, which of them are a form's own caption: an "if any" ending, a class word, a caption's first word in a
+    short value, close likeness to a known caption, or a piece of one (the shorter side like a window of the other)."""
+    clean = F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: clean_label(F.coalesce(v, F.lit(""))))
+    like = are_like_labels(clean, captions, LEAK_RATIO, LEAK_PART, LEAK_CHARS)
+
+    def plain(value: Column, own: Column) -> Column:
+        words = F.split(own, " ")
+        lead = F.get(words, F.lit(0)).isin(*lead_words) & (F.size(words) <= LEAK_WORDS)
+        return (own != "") & (value.rlike(CAPTION_SUFFIX) | own.isin(*class_words) | lead)
+
+    return F.zip_with(F.zip_with(values, clean, lambda v, c: F.coalesce(plain(v, c), F.lit(False))), like, lambda a, b: a | F.coalesce(b, F.lit(False)))
 
 
 def caption_leak(value: Column, captions: list[str], lead_words: list[str], class_words: list[str]) -> Column:
-    """Whether a value is a form's own caption: an "if any" ending, a class word, a caption's first word in a short
-    value, or close likeness to a known caption."""
-    clean = clean_label(value)
-    words = F.split(clean, " ")
-    like = F.lit(False)
-    for c in captions:
-        if len(c) >= LEAK_CHARS:
-            like = like | (similarity(clean, F.lit(c), LEAK_RATIO) >= LEAK_RATIO) | F.contains(F.lit(c), clean)
-    lead = F.get(words, F.lit(0)).isin(*lead_words) & (F.size(words) <= LEAK_WORDS)
-    return (clean != "") & (value.rlike(CAPTION_SUFFIX) | clean.isin(*class_words) | lead | ((F.length(clean) >= LEAK_CHARS) & like))
-
-
-def best_text(value: Column, alternatives: Column, leak: Callable[[Column], Column]) -> Column:
-    """struct<value, replaced>: the first of the value and its alternatives that is no caption leak, else empty."""
+    """``caption_leaks`` of one value."""
+    return F.get(caption_leaks(F.array(value), captions, lead_words, class_words), F.lit(0))
+
+
+def best_text(value: Column, alternatives: Column, leaks: Callable[[Column], Column]) -> Column:
+    """struct<value, replaced>: the first of the value and its alternatives that is no caption leak, else empty. ``leaks`` tells it of an array of values."""
     options = F.filter(F.concat(F.array(F.coalesce(value, F.lit(""))), F.coalesce(alternatives, F.array().cast("array<string>"))), lambda v: F.coalesce(v, F.lit("")) != "")
-    good = F.filter(F.transform(options, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda o: ~leak(o["v"]))
+    good = F.filter(F.zip_with(F.transform(options, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), leaks(options), lambda o, l: F.struct(o["v"].alias("v"), o["i"].alias("i"), l.alias("leak"))), lambda o: ~o["leak"])
     first = F.get(good, F.lit(0))
     return F.struct(F.coalesce(first["v"], F.lit("")).alias("value"), F.coalesce(first["i"] > 0, F.lit(False)).alias("replaced"))
 
 
-def review_names(flags: DataFrame, names: dict[str, str]) -> DataFrame:
-    """(packet_id, needs_review): form names of flagged fields, each once, in the order of the flags; unmapped ones go."""
+def review_names(flags: DataFrame, names: dict[str, str], fields: list[str] | None = None) -> DataFrame:
+    """(packet_id, needs_review): form names of flagged fields, each once, as first seen: by stage, then in the order of ``fields`` (by
+    name without it); unmapped ones go."""
     known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     own = flags.withColumn("name", F.try_element_at(known, F.col("field"))).where("name is not null")
-    return own.groupBy("packet_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("stage", "name")))["name"]).alias("needs_review"))
+    place = F.array_position(F.lit(fields), F.col("field")) if fields else F.lit(0)
+    return own.groupBy("packet_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("stage", place.alias("place"), "name")))["name"]).alias("needs_review"))
 
 
 def compare_rows(results: DataFrame, review: DataFrame) -> DataFrame:

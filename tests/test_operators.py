@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lookup_key
-from ledgerloom.operators import address, captions, classify, evaluate, fields, layout, records, validate
+from ledgerloom.operators import alignment, address, captions, classify, evaluate, fields, layout, records, validate
 from ledgerloom.sources import lookups, spans
 from ledgerloom.streaming import landing
 
@@ -120,7 +120,7 @@ def lcs(a, b):
 
 def test_common_length_against_the_plain_programme():
     words = ["", "a", "legal name", "lega1 narne", "permanent account number", "abcabcabc" * 9, "ünïcode"]
-    assert all(captions.common(a, b) == lcs(a, b) for a in words for b in words)
+    assert all(alignment.common(a, b) == lcs(a, b) for a in words for b in words)
 
 
 def test_caption_hits(spark):
@@ -148,16 +148,18 @@ def test_continued_values(spark):
 
 
 def test_caption_leaks_give_way_to_alternatives(spark):
-    leak = lambda v: classify.caption_leak(v, ["address of principal place of business"], ["address", "legal"], ["small", "micro"])
+    leaks = lambda v: classify.caption_leaks(v, ["address of principal place of business"], ["address", "legal"], ["small", "micro"])
     rows = [("Small", ["Acme Ltd"]), ("Trade Name, if any", ["Micro", "Bolt Co"]), ("Address of Principal Place of", []), ("Acme", ["x"]), ("Address of the long lane where many people went by bus today", None), (None, None)]
     df = spark.createDataFrame(list(enumerate(rows)), "i int, r struct<v:string, a:array<string>>")
-    got = [(r[0]["value"], r[0]["replaced"]) for r in df.orderBy("i").select(classify.best_text(F.col("r.v"), F.col("r.a"), leak)).collect()]
+    got = [(r[0]["value"], r[0]["replaced"]) for r in df.orderBy("i").select(classify.best_text(F.col("r.v"), F.col("r.a"), leaks)).collect()]
     assert got == [("Acme Ltd", True), ("Bolt Co", True), ("", False), ("Acme", False), ("Address of the long lane where many people went by bus today", False), ("", False)]
 
 
 def test_review_names_and_url(spark):
     flags = spark.createDataFrame([(1, "pan", 3), (1, "email", 2), (1, "pan", 4), (1, "zz", 1)], "packet_id int, field string, stage int")
     assert classify.review_names(flags, {"pan": "pan_number", "email": "email"}).first()["needs_review"] == ["email", "pan_number"]
+    tied = spark.createDataFrame([(1, "pan", 2), (1, "email", 2), (1, "city", 2)], "packet_id int, field string, stage int")
+    assert classify.review_names(tied, {"pan": "pan_number", "email": "email", "city": "city"}, ["city", "pan", "email"]).first()["needs_review"] == ["city", "pan_number", "email"]
     assert spark.range(1).select(classify.company_url("http://h/", F.lit("O'Neil"), "VendorCard")).first()[0] == "http://h/Company('O''Neil')/VendorCard"
 
 
