@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import lookup_key
+from ledgerloom.operators import segments as S
+from ledgerloom.operators import wordbreak
 from ledgerloom.operators.captions import fragment_tier
 
 # Country words, and words that rule a segment out as a guessed city.
@@ -41,12 +43,27 @@ def city_case(x: Column) -> Column:
     return F.when((x == F.upper(x)) | (x == F.lower(x)), F.initcap(F.lower(x))).otherwise(x)
 
 
+MOST_CITY_WORDS = 3
+CITY_REST = ("unknown", "locality", "village_po")
+
+
+def city_prefixes(exploded: DataFrame, cities: DataFrame) -> DataFrame:
+    """(id, peels array<struct<i, w>>): segments whose first ``w`` words, but not all, name a known city."""
+    words = F.split("seg", r"\s+")
+    heads = F.filter(
+        F.transform(F.sequence(F.lit(1), F.lit(MOST_CITY_WORDS)), lambda w: F.struct(w.alias("w"), lookup_key(F.array_join(F.slice(words, F.lit(1), w), " ")).alias("key"))), lambda h: h["w"] < F.size(words)
+    )
+    own = exploded.where(F.col("seg").isNotNull()).select("id", "i", F.explode(heads).alias("h")).select("id", "i", "h.w", "h.key")
+    return own.join(cities.select("key").distinct(), "key").groupBy("id").agg(F.collect_set(F.struct("i", "w")).alias("peels"))
+
+
 def resolve(
     addresses: DataFrame, states: DataFrame, cities: DataFrame, pins: DataFrame | None = None, tiers: dict | None = None, priority: list[str] | None = None
 ) -> DataFrame:
     """(id, address) to (id, address_1, city, state, pin_code, confidence). ``states`` has (key, state), ``cities``
     (key), ``pins`` (pin, state, district); without PINs nothing is inferred from them. With a keyword table
-    (``tiers`` and their ``priority``) a segment of premises or a street is never guessed to be the city."""
+    (``tiers`` and their ``priority``) a segment of premises or a street is never guessed to be the city, nor is a city peeled
+    off the front of one. ``rest`` holds what address_1 joins."""
     base = addresses.select("id", without_country(segments(F.col("address"))).alias("raw"))
     hit = F.coalesce(F.array_min(F.transform("raw", lambda s, i: F.when(s.rlike(PIN), i))), F.lit(-1))
     pin = F.when(F.col("hit") >= 0, F.regexp_extract(F.get("raw", F.col("hit")), PIN, 1)).otherwise("")
@@ -68,12 +85,12 @@ def resolve(
         F.max(F.when(F.col("state1").isNotNull(), F.struct("i", "state1"))).alias("s1"), F.max(F.when(last & F.col("state2").isNotNull(), F.struct("i", "state2"))).alias("s2"),
         F.collect_set(F.when(F.col("city"), F.col("i"))).alias("city_at"),
     )
-    x = base.join(found, "id")
+    x = base.join(found, "id").join(city_prefixes(exploded, cities), "id", "left")
     x = x.withColumn("token_state", F.coalesce("s1.state1", "s2.state2")).withColumn("at", F.coalesce("s1.i", "s2.i", F.lit(-1)))
     x = x.withColumn("wide", F.when(F.col("s1").isNotNull(), 1).when(F.col("s2").isNotNull(), 2).otherwise(0)).withColumn("state", F.coalesce("token_state", "pin_state", F.lit("")))
     # What is left after the state, with the places that hold a known city.
     rest = F.filter(
-        F.transform("segs", lambda s, i: F.struct(s.alias("s"), F.array_contains("city_at", i).alias("city"), (~((i >= F.col("at")) & (i < F.col("at") + F.col("wide")))).alias("keep"))), lambda t: t["keep"]
+        F.transform("segs", lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.array_contains("city_at", i).alias("city"), (~((i >= F.col("at")) & (i < F.col("at") + F.col("wide")))).alias("keep"))), lambda t: t["keep"]
     )
     x = x.withColumn("rest", rest)
     district = F.nullif(F.col("pin_district"), F.lit(""))
@@ -86,13 +103,22 @@ def resolve(
         plain = plain & fragment_tier(end, tiers, priority or list(tiers)).isin("unknown", "locality", "village_po")
     state_city = x.join(cities.select(F.col("key").alias("state_key")), lookup_key(F.col("state")) == F.col("state_key"), "left")
     x = state_city.withColumn("chosen", F.coalesce(named, by_district))
-    state_is_city = (F.col("state") != "") & F.col("state_key").isNotNull()
-    guess = F.col("chosen").isNull() & district.isNull() & ~state_is_city & ((F.col("state") != "") | (F.col("pin") != "")) & (F.size("rest") > 0) & plain
+    # A known city at the front of a segment, the longest of the last segment that has one and goes on as a part of a city.
+    tail = lambda s, w: F.array_join(F.slice(F.split(s, r"\s+"), w + 1, F.size(F.split(s, r"\s+"))), " ")
+    part_of_city = lambda s: fragment_tier(s, tiers, priority or list(tiers)).isin(*CITY_REST) if tiers else F.lit(True)
+    own = lambda t: F.filter(F.coalesce("peels", F.array().cast("array<struct<i:int,w:int>>")), lambda p: (p["i"] == t["i"]) & part_of_city(tail(t["s"], p["w"])))
+    peels = F.transform("rest", lambda t, j: F.array_max(F.transform(own(t), lambda p: F.struct(j.alias("j"), p["w"].alias("w")))))
+    x = x.withColumn("peel", F.when(F.col("chosen").isNull() & district.isNull(), F.array_max(peels)))
+    peeled = F.get("rest", F.col("peel.j"))["s"]
+    x = x.withColumn("peeled_city", F.array_join(F.slice(F.split(peeled, r"\s+"), F.lit(1), F.col("peel.w")), " ")).withColumn("peeled_rest", tail(peeled, F.col("peel.w")))
+    state_is_city = (F.col("state") != "") & F.col("state_key").isNotNull() & F.col("peel").isNull()
+    guess = F.col("chosen").isNull() & F.col("peel").isNull() & district.isNull() & ~state_is_city & ((F.col("state") != "") | (F.col("pin") != "")) & (F.size("rest") > 0) & plain
     x = x.withColumn("chosen", F.when(guess, F.size("rest") - 1).otherwise(F.col("chosen")))
-    inferred = F.col("chosen").isNull() & (district.isNotNull() | state_is_city)
+    inferred = F.col("chosen").isNull() & F.col("peel").isNull() & (district.isNotNull() | state_is_city)
     token = F.get("rest", F.col("chosen"))["s"]
-    city = F.when(F.col("chosen").isNotNull(), city_case(token)).when(district.isNotNull(), city_case(district)).when(state_is_city, city_case(F.col("state"))).otherwise("")
-    lines = F.filter(F.transform("rest", lambda t, i: F.when(~F.coalesce(i == F.col("chosen"), F.lit(False)), t["s"])), lambda s: s.isNotNull())
+    city = F.when(F.col("chosen").isNotNull(), city_case(token)).when(F.col("peel").isNotNull(), city_case(F.col("peeled_city"))).when(district.isNotNull(), city_case(district)).when(state_is_city, city_case(F.col("state"))).otherwise("")
+    kept = lambda t, i: F.when(F.coalesce(i == F.col("peel.j"), F.lit(False)), F.col("peeled_rest")).when(~F.coalesce(i == F.col("chosen"), F.lit(False)), t["s"])
+    lines = F.filter(F.transform("rest", kept), lambda s: s.isNotNull())
     x = x.withColumn("city", city).withColumn("inferred", inferred).withColumn("lines", lines)
     # Segments at the end that only repeat the city or the district are labels, not premises.
     label = lambda s: same_place(s, F.col("city")) | F.coalesce(same_place(s, district) & district.isNotNull(), F.lit(False))
@@ -102,4 +128,21 @@ def resolve(
     confidence = (
         F.when(F.col("token_state") != F.col("pin_state"), "low").when((n == 3) & ~F.col("inferred"), "high").when(n >= 2, "medium").otherwise("low")
     )
-    return x.select("id", F.btrim(F.array_join(trimmed, ", "), F.lit(" ,")).alias("address_1"), "city", "state", F.col("pin").alias("pin_code"), confidence.alias("confidence"))
+    return x.select(
+        "id", F.btrim(F.array_join(trimmed, ", "), F.lit(" ,")).alias("address_1"), "city", "state", F.col("pin").alias("pin_code"), confidence.alias("confidence"), trimmed.alias("rest")
+    )
+
+
+CONFIDENCE = ("low", "medium", "high")
+
+
+def resolve_lines(addresses: DataFrame, states: DataFrame, cities: DataFrame, pins: DataFrame | None, kw: S.Keywords) -> DataFrame:
+    """(id, address) to (id, address_1 to address_4, city, state, pin_code, confidence): what the place leaves of an address, spaces
+    put back, as up to four lines. The lines are array work in the row that resolves the place; their joined text is the single line's.
+    The confidence is the lower of both."""
+    tiers = {name: {"head": t.head, "tail": t.tail, "any": t.phrases} for name, t in kw.tiers.items()}
+    x = resolve(addresses, states, cities, pins, tiers or None, kw.ranked)
+    x = S.address_columns(S.lines(x.withColumn("segments", wordbreak.respaced_all(F.col("rest"), kw)), kw))
+    rank = lambda c: F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.col(c))
+    worse = F.when((F.size("rest") > 0) & (rank("line_confidence") < rank("confidence")), F.col("line_confidence")).otherwise(F.col("confidence"))
+    return x.select("id", *[f"address_{i}" for i in range(1, 5)], "city", "state", "pin_code", worse.alias("confidence"))

@@ -180,15 +180,20 @@ def respace(text: str, cut: Callable[[str], list[str]]) -> str:
 
 def respaced(text: Column, kw: Keywords) -> Column:
     """``text`` with spaces put back. Null stays null; without key words nothing changes."""
+    return F.get(respaced_all(F.array(text), kw), F.lit(0))
+
+
+def respaced_all(texts: Column, kw: Keywords) -> Column:
+    """``respaced`` of every text of an array."""
     if not kw.tiers:
-        return text
+        return texts
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("array<string>")
     def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(kw)
         cut = lru_cache(maxsize=100_000)(lambda run: break_run(run, v))
-        for own in batches:
-            known = {t: respace(t, cut) for t in own.dropna().unique()}
-            yield own.map(known)
+        for rows in batches:
+            known = {t: respace(t, cut) for t in {t for r in rows if r is not None for t in r if t is not None}}
+            yield rows.map(lambda r: None if r is None else [known.get(t) for t in r])
 
-    return one(text)
+    return one(texts)

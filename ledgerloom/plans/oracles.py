@@ -266,3 +266,13 @@ s AS (SELECT c_custkey, CASE m WHEN 0 THEN 'FLAT NO ' || (100 + c_custkey % 900)
   ELSE 'PLOT NO ' || (10 + c_custkey % 90) || ' ' || place || ' PLAZA' END AS address FROM w)
 SELECT c_custkey, CASE WHEN c_custkey % 6 = 5 THEN replace(replace(address, ' ', ''), ['LAKESIDE', 'TALOJA', 'HOSUR', 'SERVICE', 'ELECTRON'][c_custkey // 6 % 5 + 1], '  ' || ['LAKESIDE', 'TALOJA', 'HOSUR', 'SERVICE', 'ELECTRON'][c_custkey // 6 % 5 + 1])
   ELSE replace(address, ' ', '') END AS run_together, address FROM s"""
+
+# The right lines and places are made from the parts, not by the resolver's rules.
+ORACLE_SQL["address_lines"] = """SELECT c_custkey AS id,
+  CASE c_custkey % 5 WHEN 0 THEN 'FLAT NO ' || (100 + c_custkey % 900) WHEN 1 THEN 'TOWN' || CASE WHEN c_nationkey > 9 THEN ' ' ELSE '' END || c_nationkey || ' ROAD'
+    WHEN 2 THEN 'Plot ' || (10 + c_custkey % 90) WHEN 3 THEN 'BLOCK B' ELSE 'POCKET 4, Old House' END AS address_1,
+  CASE c_custkey % 5 WHEN 0 THEN 'LAKESIDE ROAD' WHEN 2 THEN 'HOSUR ROAD' WHEN 3 THEN 'SUNRISE PLAZA' ELSE '' END AS address_2,
+  CASE c_custkey % 5 WHEN 0 THEN 'SECTOR ' || (10 + c_custkey % 80) WHEN 2 THEN 'GANDHINAGAR' ELSE '' END AS address_3, '' AS address_4,
+  CASE c_custkey % 5 WHEN 0 THEN 'New Port ' || c_nationkey WHEN 1 THEN '' WHEN 3 THEN 'District ' || c_nationkey ELSE 'Town' || c_nationkey END AS city,
+  CASE WHEN c_custkey % 5 = 4 THEN '' ELSE 'State ' || c_nationkey END AS state, CASE WHEN c_custkey % 5 IN (2, 3) THEN CAST(500000 + c_nationkey AS VARCHAR) ELSE '' END AS pin_code,
+  CASE c_custkey % 5 WHEN 0 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END AS confidence FROM customer"""

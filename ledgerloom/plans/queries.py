@@ -349,7 +349,7 @@ def address_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Plot "), k, F.lit(", Park Lane"), F.when(k % 3 == 0, F.concat(F.lit(", TOWN"), n)).otherwise(""), F.when(k % 5 == 0, F.concat(F.lit(", District "), n)).otherwise(""),
         F.when(k % 2 == 0, F.concat(F.lit(", STATE "), n)).otherwise(""), F.when(k % 7 != 0, F.concat(F.lit(" - "), F.lit(500000) + (n + k % 4) % 25)).otherwise(", India"),
     )
-    return A.resolve(table(spark, sf_dir, "supplier").select(k.alias("id"), address.alias("address")), states, cities, pins)
+    return A.resolve(table(spark, sf_dir, "supplier").select(k.alias("id"), address.alias("address")), states, cities, pins).drop("rest")
 
 
 KEYWORDS = S.Keywords(
@@ -378,7 +378,7 @@ def address_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_WORDS = S.Keywords(
     {
         "premises_unit": S.Tier(1, ("flat", "plot"), ("floor",)), "structural": S.Tier(1, ("block", "wing")), "building_name": S.Tier(2, (), ("plaza", "mahal", "wadi")),
-        "thoroughfare": S.Tier(3, (), ("road",)), "locality": S.Tier(4, ("sector",), ("nagar", "halli", "wadi")),
+        "thoroughfare": S.Tier(3, (), ("road",)), "locality": S.Tier(4, ("sector", "pocket"), ("nagar", "halli", "wadi")),
     }
 )
 
@@ -397,6 +397,29 @@ def word_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "run_together", WB.respaced(F.col("run_together"), RUN_WORDS).alias("address"))
 
 
+def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """States, cities and PINs named after the nations, and cities of one and two words."""
+    nation = table(spark, sf_dir, "nation")
+    state = F.concat(F.lit("State "), F.col("n_nationkey"))
+    names = nation.select(F.concat(F.lit("Town"), F.col("n_nationkey")).alias("name")).unionByName(nation.select(F.concat(F.lit("New Port "), F.col("n_nationkey")).alias("name")))
+    pins = nation.select((F.lit(500000) + F.col("n_nationkey")).cast("string").alias("pin"), state.alias("state"), F.concat(F.lit("District "), F.col("n_nationkey")).alias("district"))
+    return nation.select(T.lookup_key(state).alias("key"), state.alias("state")), names.select(T.lookup_key(F.col("name")).alias("key")), pins
+
+
+def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combined addresses of customers as up to four lines and a place: a city at the front of a segment (not of a street's name), a named
+    one, the PIN's district; run-together words get their spaces back."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    address = (
+        F.when(k % 5 == 0, F.concat(F.lit("FLATNO"), 100 + k % 900, F.lit(", LAKESIDEROAD, NEW PORT "), n, F.lit(" SECTOR "), 10 + k % 80, F.lit(", STATE "), n))
+        .when(k % 5 == 1, F.concat(F.lit("TOWN"), n, F.lit(" ROAD, STATE "), n))
+        .when(k % 5 == 2, F.concat(F.lit("Plot "), 10 + k % 90, F.lit(", HOSUR ROAD, GANDHINAGAR, Town"), n, F.lit(", "), 500000 + n))
+        .when(k % 5 == 3, F.concat(F.lit("BLOCKB, SUNRISEPLAZA, "), 500000 + n, F.lit(", India"))).otherwise(F.concat(F.lit("TOWN"), n, F.lit(" POCKET 4, Old House")))
+    )
+    states, cities, pins = places(spark, sf_dir)
+    return A.resolve_lines(table(spark, sf_dir, "customer").select(k.alias("id"), address.alias("address")), states, cities, pins, RUN_WORDS)
+
+
 def record_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of new records against the stored ones: what is accepted and what is not, and why."""
     k = F.col("c_custkey")

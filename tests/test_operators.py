@@ -208,3 +208,38 @@ def test_erp_fields_of_both_records(spark):
     customer = spark.createDataFrame([(1, "Acme", "Ann", "700019", "a@b.in", "India")], "id int, company_name string, contact_name string, zip_code string, email_id_to string, country string")
     body = records.payload_json(records.erp_payload(customer, records.CUSTOMER_ERP)).first()["body"]
     assert body == '{"No":"","Name":"Acme","Contact":"Ann","Country_Region_Code":"India","Post_Code":"700019","E_Mail":"a@b.in"}'
+
+
+def test_city_at_the_front_of_a_segment(spark):
+    """The longest known city of one to three words; not in front of a street, not where the PIN names a district or a segment is a city."""
+    states = spark.createDataFrame([("goa", "Goa")], "key string, state string")
+    cities = spark.createDataFrame([("navi",), ("navimumbai",), ("noida",), ("ghazipur",), ("fourwordcityname",)], "key string")
+    pins = spark.createDataFrame([("403001", "Goa", "North Goa")], "pin string, state string, district string")
+    tiers = {"thoroughfare": {"tail": ["road"]}, "locality": {"head": ["sector"]}}
+    rows = {
+        "Flat 2, NOIDA SECTOR 62": ("Flat 2, SECTOR 62", "Noida"),
+        "NAVI MUMBAI SECTOR 9, Old House": ("SECTOR 9, Old House", "Navi Mumbai"),
+        "GHAZIPUR ROAD, Lane 3": ("GHAZIPUR ROAD, Lane 3", ""),
+        "NAVI ROAD": ("NAVI ROAD", ""),
+        "Noida Sector 1, Navi Pocket": ("Noida Sector 1, Pocket", "Navi"),
+        "NOIDA SECTOR 62, Ghazipur": ("NOIDA SECTOR 62", "Ghazipur"),
+        "NOIDA SECTOR 62 403001": ("NOIDA SECTOR 62", "North Goa"),
+        "FOUR WORD CITY NAME x": ("FOUR WORD CITY NAME x", ""),
+        "NOIDA": ("", "Noida"),
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, address string")
+    got = {r["id"]: (r["address_1"], r["city"]) for r in address.resolve(df, states, cities, pins, tiers).collect()}
+    assert [got[i] for i in range(len(rows))] == list(rows.values())
+
+
+def test_lines_join_to_the_single_line(spark):
+    from ledgerloom.plans.queries import RUN_WORDS
+
+    states, cities = spark.createDataFrame([("goa", "Goa")], "key string, state string"), spark.createDataFrame([("pune",)], "key string")
+    texts = ["Plot 5, Lake Road, Gandhi Nagar, Pune, Goa", "Block B, Sector 9", "Pune", "", None, "x, y, z, Sector 4, a b, Pune Sector 8, Goa", "2nd Floor Wing A Lake Road Sector 5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, address string")
+    one = {r["id"]: r for r in address.resolve(df, states, cities).collect()}
+    for r in address.resolve_lines(df, states, cities, None, RUN_WORDS).collect():
+        lines = [r[f"address_{i}"] for i in range(1, 5) if r[f"address_{i}"]]
+        assert ", ".join(lines).replace(",", "").split() == one[r["id"]]["address_1"].replace(",", "").split()
+        assert (r["city"], r["state"], r["pin_code"]) == (one[r["id"]]["city"], one[r["id"]]["state"], one[r["id"]]["pin_code"])
