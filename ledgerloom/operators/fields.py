@@ -100,10 +100,13 @@ def with_defaults(results: DataFrame, defaults: dict[str, str]) -> DataFrame:
     )
 
 
-def review_flags(results: DataFrame, required: tuple[str, ...], agreement: DataFrame | None = None) -> DataFrame:
-    """(packet, field, reason, stage) in the order in which the stages raise them."""
+def review_flags(results: DataFrame, required: tuple[str, ...], agreement: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """(packet, field, reason, stage) in the order in which the stages raise them; values that an address was resolved to come
+    first, a PIN of another state (from ``findings``) last."""
     empty = F.coalesce("value", F.lit("")) == ""
+    resolved = F.coalesce(F.col("resolved"), F.lit(False)) if "resolved" in results.columns else F.lit(False)
     checks = F.array_compact(F.array(
+        F.when(resolved & ~empty, F.struct(F.lit(0).alias("stage"), F.lit("value_resolved_from_combined_address").alias("reason"))),
         F.when(F.coalesce(F.col("derived"), F.lit(False)) & ~empty, F.struct(F.lit(1).alias("stage"), F.lit("value_derived_not_printed").alias("reason"))),
         F.when(F.col("field").isin(*required) & empty, F.struct(F.lit(2).alias("stage"), F.lit("missing_required_field").alias("reason"))),
         F.when((F.col("status") == "invalid") & ~empty, F.struct(F.lit(3).alias("stage"), F.lit("failed_validation").alias("reason"))),
@@ -113,6 +116,9 @@ def review_flags(results: DataFrame, required: tuple[str, ...], agreement: DataF
     flags = results.select("packet_id", "field", F.explode(checks).alias("f")).select("packet_id", "field", "f.reason", "f.stage")
     if agreement is not None:
         flags = flags.unionByName(agreement.where("agreement = 'inconsistent'").select("packet_id", "field", F.lit("cross_document_mismatch").alias("reason"), F.lit(5).alias("stage")))
+    if findings is not None:
+        other = findings.where((F.col("validator") == "pin_matches_state") & ~F.col("ok")).select("packet_id")
+        flags = flags.unionByName(other.distinct().select("packet_id", F.lit("pin_code").alias("field"), F.lit("pin_state_mismatch").alias("reason"), F.lit(6).alias("stage")))
     return flags
 
 

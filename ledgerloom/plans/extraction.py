@@ -1,21 +1,26 @@
 """From spans to one validated record per packet, as one plan over many packets.
 
-A value beside a caption goes on over further spans and rows; one that is wholly another field's value (its
-pattern fits, the own one does not) is marked as foreign and scores lower.
+A value beside a caption goes on over further spans and rows; captions of its own field at its beginning go. One without a
+pattern that is wholly another field's value is marked as foreign and scores lower. After the choice of values a combined address is
+taken apart and put in place, fields that follow from others are derived in the order of their dependencies, and the
+record is validated, with the PIN directory where there is one. Eight reasons send a field to review.
 
 Geometry is joined per page, choices are made per packet and field; every stage is a DataFrame, so
-Spark plans the exchanges (page, then packet and field) and nothing is looped over on the driver.
+Spark plans the exchanges (page, then packet and field) and nothing is looped over on the driver. Candidates and chosen values are
+written to the shared folder, so that results, flags and agreement do not compute them again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import NORMALISERS, canonicalise, find_matches, full_match, normalise
-from ledgerloom.operators import captions, fields, layout, validate
+from ledgerloom.functions.text import NORMALISERS, canonicalise, clean_label, find_matches, full_match, normalise, website_of
+from ledgerloom.operators import address, alignment, captions, fields, layout, segments, validate
+from ledgerloom.sources.scratch import written
 
 WEIGHTS = {"label": 0.45, "pattern": 0.30, "proximity": 0.15, "confidence": 0.10}
 
@@ -36,17 +41,49 @@ class Field:
     exclude: tuple[str, ...] = ()
     consistent: bool = True
     priority: int = 50
+    derive: tuple[str, str] | None = None
+
+
+#: What a field can be derived from another one by: the rule's expression of the source value.
+DERIVATIONS = {"email_domain": website_of}
+# The confidence of derived values, and the least of values that an address was resolved to.
+DERIVED_CONFIDENCE, RESOLVED_CONFIDENCE = 0.40, 0.55
+
+
+@dataclass(frozen=True)
+class Places:
+    """What addresses are resolved by: states (key, state), cities (key), the PIN directory (pin, state, district) and the key words of lines."""
+
+    states: DataFrame
+    cities: DataFrame
+    pins: DataFrame | None = None
+    keywords: segments.Keywords = segments.Keywords({})
+
+
+def derivation_order(dictionary: dict[str, Field]) -> list[str]:
+    """The derived fields, each after what it is derived from. Unknown rules and fields and circles are refused."""
+    for name, f in dictionary.items():
+        if f.derive and f.derive[0] not in dictionary:
+            raise ValueError(f"{name}: derived from unknown field {f.derive[0]}")
+        if f.derive and f.derive[1] not in DERIVATIONS:
+            raise ValueError(f"{name}: unknown derivation {f.derive[1]}")
+    try:
+        every = TopologicalSorter({n: [f.derive[0]] if f.derive else [] for n, f in dictionary.items()}).static_order()
+        return [n for n in every if dictionary[n].derive]
+    except CycleError as e:
+        raise ValueError(f"{e.args[1][0]}: derived from itself by way of {e.args[1]}") from e
 
 
 def check(dictionary: dict[str, Field]) -> None:
     """Refuses a dictionary that cannot work, naming the field."""
     for name, f in dictionary.items():
-        if not f.captions and not f.patterns:
+        if not f.captions and not f.patterns and not f.derive and f.default is None and name not in ADDRESS:
             raise ValueError(f"{name}: neither captions nor patterns")
         if bad := [op for op in f.normalisers if op not in NORMALISERS]:
             raise ValueError(f"{name}: unknown normalisers {bad}")
         if bad := set(f.directions) - {"right", "below", "left", "above"}:
             raise ValueError(f"{name}: unknown directions {sorted(bad)}")
+    derivation_order(dictionary)
     if abs(sum(WEIGHTS.values()) - 1) > 1e-6:
         raise ValueError("weights must sum to 1")
 
@@ -70,21 +107,14 @@ def derived(f: Field, raw: Column) -> Column:
 
 
 def foreign(dictionary: dict[str, Field]) -> Column:
-    """Whether a value fits another field's pattern and not its own."""
+    """Whether a value of a field without patterns is wholly a value of another field's pattern."""
     value = F.coalesce(F.col("d.value"), F.lit(""))
-
-    def of(name: str, f: Field) -> Column:
-        others = [full_match(value, list(o.patterns)) for n, o in dictionary.items() if n != name and o.patterns and o.patterns != f.patterns]
-        own = full_match(value, list(f.patterns)) if f.patterns else F.lit(False)
-        out = F.lit(False)
-        for fits in others:
-            out = out | fits
-        return out & ~own
-
-    out = F.lit(False)
-    for name, f in reversed(dictionary.items()):
-        out = F.when(F.col("field") == name, of(name, f)).otherwise(out)
-    return out
+    fits = F.lit(False)
+    for f in dictionary.values():
+        if f.patterns:
+            fits = fits | full_match(value, list(f.patterns))
+    free = [n for n, f in dictionary.items() if not f.patterns]
+    return F.col("field").isin(*free) & fits
 
 
 def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
@@ -99,7 +129,6 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     marked = marked.withColumn("unit", F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")).otherwise(F.col("usual"))).drop("usual")
     near = layout.neighbours(marked, spans, 12.0, layout.PACKET_PAGE).select("packet_id", "a_span_id", "b_span_id", "direction", "distance_ratio", "same_line")
     asked = whole.select("packet_id", F.col("span_id").alias("a_span_id"), "field", "similarity")
-    labels = hits.where("rest = ''").select("packet_id", F.col("span_id").alias("b_span_id"), F.lit(True).alias("is_label")).distinct()
     # The whole value that begins beside a caption: over the spans to its right and the rows below that go on with it.
     starts = near.select("packet_id", F.col("b_span_id").alias("span_id"), F.lit(True).alias("start")).distinct()
     captions_ = hits.select("packet_id", "span_id", F.lit(True).alias("label_like")).distinct()
@@ -109,10 +138,14 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     values = spans.join(values, ["packet_id", "span_id"])
     beside = (
         asked.join(near, ["packet_id", "a_span_id"]).where(F.coalesce(by_field(dictionary, lambda f: F.col("direction").isin(*f.directions)), F.lit(False)))
-        .join(values.withColumnRenamed("span_id", "b_span_id"), ["packet_id", "b_span_id"]).join(labels, ["packet_id", "b_span_id"], "left").withColumnRenamed("b_span_id", "span_id")
+        .join(values.withColumnRenamed("span_id", "b_span_id"), ["packet_id", "b_span_id"]).withColumnRenamed("b_span_id", "span_id")
         .select(*keep, "confidence", "field", "similarity", (1 - F.col("distance_ratio")).alias("proximity"), F.when(F.col("same_line"), "adjacent_same_line").otherwise("adjacent").alias("kind"),
-                F.col("value").alias("raw"), F.col("is_label").isNotNull().alias("label_like"))
+                F.col("value").alias("raw"))
     )
+    known = {n: list(f.captions) for n, f in dictionary.items() if f.captions}
+    shapes = {n: "|".join(f.patterns) for n, f in dictionary.items() if f.patterns}
+    every = [c.lower() for cs in known.values() for c in cs]
+    beside = beside.withColumn("label_like", alignment.is_label_like(clean_label(F.col("raw")), every)).withColumn("raw", captions.own_captions_removed(F.col("field"), F.col("raw"), known, shapes))
     claimed = inline.select("packet_id", "field", "span_id").unionByName(beside.select("packet_id", "field", "span_id"))
     scanned = spans.select(*keep, "confidence", F.explode(F.array(*[
         F.struct(F.lit(n).alias("field"), find_matches(F.col("text"), list(f.patterns)).alias("found")) for n, f in dictionary.items() if f.patterns
@@ -132,7 +165,43 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     )
 
 
-def extract(spans: DataFrame, dictionary: dict[str, Field]) -> dict[str, DataFrame]:
+ADDRESS = ("address_1", "address_2", "address_3", "address_4", "city", "state", "pin_code")
+
+
+def with_addresses(results: DataFrame, places: Places, names: list[str]) -> DataFrame:
+    """``results`` with address_1 taken apart and put in place; ``resolved`` marks what that filled."""
+    own = results.where(F.col("field").isin(*ADDRESS))
+    pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    wide = own.groupBy("packet_id").agg(*[pick(f, "value").alias(f) for f in ADDRESS], pick("pin_code", "kind").alias("pin_kind"), pick("pin_code", "confidence").alias("pin_confidence"))
+    asked = wide.where(F.coalesce("address_1", F.lit("")) != "").select(F.col("packet_id").alias("id"), F.col("address_1").alias("address"))
+    resolved = address.resolve_lines(asked, places.states, places.cities, places.pins, places.keywords).withColumnRenamed("id", "packet_id")
+    filled = segments.back_fill(wide, resolved)
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("new"), F.array_contains("resolved_fields", f).alias("resolved")) for f in ADDRESS if f in names])
+    told = filled.select("packet_id", F.explode(rows).alias("x")).select("packet_id", "x.*").withColumn("told", F.lit(True))
+    out = results.join(told, ["packet_id", "field"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    better = F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(RESOLVED_CONFIDENCE))
+    return out.withColumn("value", F.when(F.col("told"), F.col("new")).otherwise(F.col("value"))).withColumn("confidence", F.when(F.col("resolved"), better).otherwise(F.col("confidence"))).drop("new", "told")
+
+
+def with_derived(results: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
+    """``results`` with empty fields derived from others, sources first; ``derived`` marks them."""
+    order = derivation_order(dictionary)
+    if not order:
+        return results.withColumn("derived", F.lit(False))
+    needed = sorted({n for f in order for n in (f, dictionary[f].derive[0])})
+    wide = fields.canonical(results.where(F.col("field").isin(*needed)), needed)
+    new = []
+    for f in order:
+        source, rule = dictionary[f].derive
+        made = F.nullif(DERIVATIONS[rule](F.col(source)), F.lit(""))
+        wide = wide.withColumn(f"__{f}", F.when(F.col(f).isNull(), made)).withColumn(f, F.coalesce(f, f"__{f}"))
+        new.append(F.when(F.col(f"__{f}").isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f"__{f}").alias("made"))))
+    made = wide.select("packet_id", F.explode(F.array_compact(F.array(*new))).alias("x")).select("packet_id", "x.field", "x.made")
+    out = results.join(made, ["packet_id", "field"], "left").withColumn("derived", F.col("made").isNotNull())
+    return out.withColumn("value", F.coalesce("made", "value")).withColumn("confidence", F.when(F.col("derived"), F.lit(DERIVED_CONFIDENCE)).otherwise(F.col("confidence"))).drop("made")
+
+
+def extract(spans: DataFrame, dictionary: dict[str, Field], places: Places | None = None) -> dict[str, DataFrame]:
     """results (one row per packet and field), flags, agreement and the wide canonical record."""
     check(dictionary)
     names = list(dictionary)
@@ -146,15 +215,19 @@ def extract(spans: DataFrame, dictionary: dict[str, Field]) -> dict[str, DataFra
         return out
 
     judged = F.coalesce(*[F.when(F.col("field") == n, status(n)) for n in names])
-    pool = fields.biased(fields.without_junk(pool).withColumn("status", judged))
+    pool = written(fields.biased(fields.without_junk(pool).withColumn("status", judged)), "extract-pool")
     best = fields.chosen(pool).withColumnRenamed("score", "confidence")
     every = spans.select("packet_id").distinct().select("packet_id", F.explode(F.array(*map(F.lit, names))).alias("field"))
     results = every.join(best, ["packet_id", "field"], "left")
+    results = with_addresses(results, places, names) if places and "address_1" in names else results.withColumn("resolved", F.lit(False))
+    results = written(with_derived(results, dictionary), "extract-values")
     wide = fields.canonical(results, names)
-    found = validate.statuses(validate.findings(wide, names))
-    results = results.join(found, ["packet_id", "field"], "left").withColumn("status", validate.or_missing(F.col("status"), F.col("value"))).withColumn("derived", F.lit(False))
+    if places and places.pins is not None and {"pin_code", "state"} <= set(names):
+        wide = validate.with_pin_state(wide, places.pins, places.states)
+    findings = validate.findings(wide, names)
+    results = results.join(validate.statuses(findings), ["packet_id", "field"], "left").withColumn("status", validate.or_missing(F.col("status"), F.col("value")))
     results = fields.with_defaults(results, {n: f.default for n, f in dictionary.items() if f.default} or {"": ""})
     compared = [n for n, f in dictionary.items() if f.consistent]
     agreement = validate.consistency(pool.where((F.col("score") >= fields.LEAST_ACCEPTED) & F.col("field").isin(*compared)))
-    flags = fields.review_flags(results, tuple(n for n, f in dictionary.items() if f.required), agreement)
+    flags = fields.review_flags(results, tuple(n for n, f in dictionary.items() if f.required), agreement, findings)
     return {"results": results, "flags": flags, "agreement": agreement, "canonical": fields.canonical(results, names)}

@@ -276,3 +276,19 @@ ORACLE_SQL["address_lines"] = """SELECT c_custkey AS id,
   CASE c_custkey % 5 WHEN 0 THEN 'New Port ' || c_nationkey WHEN 1 THEN '' WHEN 3 THEN 'District ' || c_nationkey ELSE 'Town' || c_nationkey END AS city,
   CASE WHEN c_custkey % 5 = 4 THEN '' ELSE 'State ' || c_nationkey END AS state, CASE WHEN c_custkey % 5 IN (2, 3) THEN CAST(500000 + c_nationkey AS VARCHAR) ELSE '' END AS pin_code,
   CASE c_custkey % 5 WHEN 0 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END AS confidence FROM customer"""
+
+# What was printed on the documents, and the reasons that each kind of packet was made to have.
+ORACLE_SQL["extract_packets"] = """WITH p AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 6 AS m, ['Kerala', 'Goa', 'Punjab', 'Bihar', 'Gujarat'] AS names FROM supplier)
+SELECT k AS packet_id, CASE WHEN m <> 5 THEN 'Acme Tools ' || k END AS vendor_name,
+  CASE WHEN m = 1 THEN '99' ELSE lpad(CAST(n + 1 AS VARCHAR), 2, '0') END || 'ABCDE' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || 'F1Z5' AS gst_number,
+  'ABCDE' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || 'F' AS pan, 'FLAT NO ' || (100 + k % 900) AS address_1, 'LAKESIDE ROAD' AS address_2, 'SECTOR ' || (10 + k % 80) AS address_3,
+  CAST(NULL AS VARCHAR) AS address_4, 'New Port ' || n AS city, names[n % 5 + 1] AS state,
+  CASE WHEN m = 0 THEN CAST(500000 + n AS VARCHAR) WHEN m = 3 THEN CAST(500000 + (n + 1) % 25 AS VARCHAR) END AS pin_code,
+  CASE WHEN m = 2 THEN 'info@gmail.com' ELSE 'info@vendor' || k || '.com' END AS email, CASE WHEN m <> 2 THEN 'www.vendor' || k || '.com' END AS website,
+  'SBIN' || CASE WHEN m = 2 THEN 'X' ELSE '0' END || lpad(CAST(k AS VARCHAR), 6, '0') AS ifsc, 'India' AS country,
+  concat_ws(' ', 'address_2:value_resolved_from_combined_address', 'address_3:value_resolved_from_combined_address', 'city:value_resolved_from_combined_address',
+    'state:value_resolved_from_combined_address', CASE WHEN m <> 2 THEN 'website:value_derived_not_printed' END, CASE WHEN m = 5 THEN 'vendor_name:missing_required_field' END,
+    CASE m WHEN 1 THEN 'gst_number:validation_warning' WHEN 2 THEN 'ifsc:failed_validation' WHEN 3 THEN 'state:validation_warning' END,
+    'address_2:low_confidence', 'address_3:low_confidence', 'city:low_confidence', CASE WHEN m = 2 THEN 'ifsc:low_confidence' END, 'state:low_confidence',
+    CASE WHEN m <> 2 THEN 'website:low_confidence' END, CASE WHEN m = 4 THEN 'vendor_name:cross_document_mismatch' END,
+    CASE WHEN m = 3 THEN 'pin_code:pin_state_mismatch' END) AS flags FROM p"""

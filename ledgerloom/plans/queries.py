@@ -17,6 +17,7 @@ from ledgerloom.operators import records as R
 from ledgerloom.operators import segments as S
 from ledgerloom.operators import validate as V
 from ledgerloom.operators import wordbreak as WB
+from ledgerloom.plans import extraction as X
 from ledgerloom.plans.derived import candidates, vendors
 
 EMAIL = V.RULES["email_format"].pattern
@@ -420,6 +421,60 @@ def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.resolve_lines(table(spark, sf_dir, "customer").select(k.alias("id"), address.alias("address")), states, cities, pins, RUN_WORDS)
 
 
+STATES = ("Kerala", "Goa", "Punjab", "Bihar", "Gujarat")
+PACKET_FIELDS = {
+    "vendor_name": X.Field(("legal name",), expected=("gst_certificate",), required=True),
+    "gst_number": X.Field(("gstin",), ("[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]",), ("uppercase", "remove_spaces"), required=True),
+    "pan": X.Field(("pan", "permanent account number"), ("[A-Z]{5}[0-9]{4}[A-Z]",), ("uppercase", "remove_spaces")),
+    "address_1": X.Field(("principal place of business", "building no"), consistent=False),
+    "address_2": X.Field((), consistent=False), "address_3": X.Field((), consistent=False), "address_4": X.Field((), consistent=False),
+    "city": X.Field((), consistent=False), "state": X.Field((), consistent=False),
+    "pin_code": X.Field(("postal code",), ("[1-9][0-9]{5}",), consistent=False),
+    "email": X.Field(("email",), (r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",), ("lowercase", "remove_spaces")),
+    "website": X.Field(("website",), derive=("email", "email_domain")),
+    "ifsc": X.Field(("ifsc",), normalisers=("uppercase", "remove_spaces")),
+    "country": X.Field(("country",), default="India"),
+}
+
+
+def packet_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents of every supplier as spans on a page: a certificate and a cheque."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    m, digits = k % 6, F.lpad((k % 10000).cast("string"), 4, "0")
+    state = F.element_at(F.array(*map(F.lit, STATES)), (n % 5 + 1).cast("int"))
+    address = F.concat(F.lit("Building No: FLATNO"), 100 + k % 900, F.lit(", LAKESIDEROAD, NEW PORT "), n, F.lit(" SECTOR "), 10 + k % 80, F.lit(", "), state)
+    span = lambda doc, kind, x, y, text: F.struct(F.lit(doc).alias("doc_id"), F.lit(kind).alias("doc_type"), F.lit(float(x)).alias("x1"), F.lit(float(y)).alias("y1"), text.alias("text"))
+    gst = lambda x, y, text: span(1, "gst_certificate", x, y, text)
+    cheque = lambda x, y, text: span(2, "cancelled_cheque", x, y, text)
+    lines = F.array(
+        F.when(m != 5, gst(0, 0, F.lit("Legal Name"))), F.when(m != 5, gst(80, 0, F.concat(F.lit("Acme Tools "), k))),
+        gst(0, 40, F.concat(F.lit("GSTIN: "), F.when(m == 1, "99").otherwise(F.lpad((n + 1).cast("string"), 2, "0")), F.lit("ABCDE"), digits, F.lit("F1Z5"))),
+        gst(0, 80, F.lit("PAN")), gst(60, 80, F.concat(F.lit("ABCDE"), digits, F.lit("F"))),
+        gst(0, 120, F.lit("Principal Place of Business")), gst(180, 120, address),
+        gst(0, 240, F.concat(F.lit("Email: Info@"), F.when(m == 2, "gmail").otherwise(F.concat(F.lit("Vendor"), k)), F.lit(".com"))),
+        F.when(m.isin(0, 3), gst(0, 320, F.concat(F.lit("Postal Code: "), 500000 + F.when(m == 3, (n + 1) % 25).otherwise(n)))),
+        F.when(m == 4, cheque(0, 0, F.concat(F.lit("Legal Name: Other House "), k))), cheque(0, 100, F.concat(F.lit("IFSC: SBIN"), F.when(m == 2, "X").otherwise("0"), F.lpad(k.cast("string"), 6, "0"))),
+    )
+    rows = table(spark, sf_dir, "supplier").select(k.alias("packet_id"), F.posexplode(F.array_compact(lines)).alias("span_id", "s")).select("packet_id", F.col("span_id").cast("long").alias("span_id"), "s.*")
+    return rows.select(
+        "packet_id", F.col("doc_id").cast("long").alias("doc_id"), "doc_type", F.lit(1).alias("page"), "span_id", "text", F.lit(0.95).alias("confidence"),
+        "x1", "y1", (F.col("x1") + 6 * F.length("text")).alias("x2"), (F.col("y1") + 10).alias("y2"),
+    )
+
+
+def extract_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan over all packets: the record, and why its fields go to review."""
+    nation = table(spark, sf_dir, "nation")
+    _, cities, _ = places(spark, sf_dir)
+    state = F.element_at(F.array(*map(F.lit, STATES)), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    pins = nation.select((F.lit(500000) + F.col("n_nationkey")).cast("string").alias("pin"), state.alias("state"), F.concat(F.lit("District "), F.col("n_nationkey")).alias("district"))
+    names = spark.createDataFrame([(s.lower(), s) for s in STATES], "key string, state string")
+    out = X.extract(packet_spans(spark, sf_dir), PACKET_FIELDS, X.Places(names, cities, pins, RUN_WORDS))
+    told = F.array_sort(F.collect_list(F.struct("stage", F.concat_ws(":", "field", "reason").alias("f"))))["f"]
+    flags = out["flags"].groupBy("packet_id").agg(F.array_join(told, " ").alias("flags"))
+    return out["canonical"].join(flags, "packet_id", "left").withColumn("flags", F.coalesce("flags", F.lit("")))
+
+
 def record_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of new records against the stored ones: what is accepted and what is not, and why."""
     k = F.col("c_custkey")

@@ -47,3 +47,46 @@ def test_values_over_several_spans_and_foreign_values(spark):
     assert got["p2"]["address_1"] == "Hall 9" and got["p2"]["vendor_name"] == "Bolt Works" and got["p2"]["gst_number"] == "27ABCDE1234F1Z5"
     status = {(r["packet_id"], r["field"]): r["status"] for r in extract(spans, dictionary)["results"].collect()}
     assert status["p1", "vendor_name"] == "missing" and status["p1", "pan"] == "valid" and status["p1", "address_1"] == "not_validated"
+
+
+def test_a_field_with_a_pattern_is_never_foreign(spark):
+    """A value whose normalised form no longer fits its own pattern, but another field's, keeps its score."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans.extraction import foreign
+
+    dictionary = {"code": Field(("code",), ("[0-9]{4}x",)), "pin": Field(("pin",), ("[0-9]{6}",)), "name": Field(("name",)), "note": Field(("note",))}
+    rows = [("code", "560001"), ("name", "560001"), ("name", "Acme"), ("pin", "560001"), ("note", "1234x"), ("note", None)]
+    df = spark.createDataFrame([(f, (v,)) for f, v in rows], "field string, d struct<value:string>")
+    assert [r[0] for r in df.select(foreign(dictionary)).collect()] == [False, True, False, False, True, False]
+
+
+def test_derived_fields_follow_their_sources(spark, monkeypatch):
+    """Sources first whatever the order of the dictionary; printed values stay; what cannot be derived stays empty."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.plans import extraction
+
+    monkeypatch.setitem(extraction.DERIVATIONS, "shout", lambda c: F.upper(c))
+    dictionary = {"banner": Field((), derive=("website", "shout")), "website": Field((), derive=("email", "email_domain")), "email": Field(("email",))}
+    assert extraction.derivation_order(dictionary) == ["website", "banner"]
+    rows = [(1, "email", "a@acme.co.in"), (1, "website", None), (1, "banner", ""), (2, "email", "a@gmail.com"), (2, "website", None), (2, "banner", None), (3, "email", None), (3, "website", "www.x.y"), (3, "banner", None)]
+    df = spark.createDataFrame([(*r, 0.9) for r in rows], "packet_id int, field string, value string, confidence double")
+    got = {(r["packet_id"], r["field"]): (r["value"], r["derived"], r["confidence"]) for r in extraction.with_derived(df, dictionary).collect()}
+    assert got[1, "website"] == ("www.acme.co.in", True, 0.4) and got[1, "banner"] == ("WWW.ACME.CO.IN", True, 0.4) and got[1, "email"] == ("a@acme.co.in", False, 0.9)
+    assert got[2, "website"][1] is False and got[2, "banner"][1] is False
+    assert got[3, "website"] == ("www.x.y", False, 0.9) and got[3, "banner"] == ("WWW.X.Y", True, 0.4)
+
+
+@pytest.mark.parametrize(
+    "bad",
+    [
+        {"a": Field((), derive=("b", "email_domain")), "b": Field((), derive=("a", "email_domain"))},
+        {"a": Field((), derive=("zz", "email_domain"))},
+        {"a": Field(("a",), derive=("a", "nope"))},
+        {"a": Field(("a",), derive=("a", "email_domain"))},
+    ],
+)
+def test_derivations_are_checked(spark, bad):
+    with pytest.raises(ValueError, match="a: |b: "):
+        extract(spark.createDataFrame([], "packet_id string"), bad)
