@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import ERP_WIDTHS, fit_width, strip
+from ledgerloom.sources.scratch import written
 
 # Record column to ERP field.
 VENDOR_ERP = {
@@ -33,32 +34,56 @@ def blank_to_null(records: DataFrame, columns: list[str]) -> DataFrame:
 def duplicates(incoming: DataFrame, records: DataFrame, keys: tuple[str, ...], key: str = "id", exclude: str | None = None) -> DataFrame:
     """Adds existing_id and clash (the column): the first of ``keys`` that is taken, smallest id. Null keys clash with nothing.
 
-    One equi-join per key against the two smallest ids per value (a group limit keeps no more of a hot value), so hot
-    values do not multiply rows."""
+    One equi-join per key against the smallest id of each value (with ``exclude`` the two smallest): partial aggregations, so
+    hot values neither gather nor multiply rows."""
     out = incoming
     for k in keys:
-        place = F.row_number().over(Window.partitionBy(k).orderBy(key))
-        two = records.where(F.col(k).isNotNull()).select(k, key).distinct().withColumn("__n", place).where("__n <= 2")
-        own = two.groupBy(F.col(k).alias(f"__{k}")).agg(F.array_sort(F.collect_list(key)).alias(f"__ids_{k}"))
-        out = out.join(own, F.col(k) == F.col(f"__{k}"), "left")
+        own = records.where(F.col(k).isNotNull()).select(F.col(k).alias(f"__{k}"), F.col(key).alias("__id"))
+        least = own.groupBy(f"__{k}").agg(F.min("__id").alias(f"__one_{k}"))
+        if exclude:
+            more = own.join(least, f"__{k}").where(F.col("__id") > F.col(f"__one_{k}")).groupBy(f"__{k}").agg(F.min("__id").alias(f"__two_{k}"))
+            least = least.join(more, f"__{k}", "left")
+        out = out.join(least, F.col(k) == F.col(f"__{k}"), "left")
 
     def first(k: str) -> Column:
-        ids = F.coalesce(F.col(f"__ids_{k}"), F.array().cast("array<bigint>"))
-        return F.get(F.filter(ids, lambda i: i != F.col(exclude)) if exclude else ids, F.lit(0))
+        one = F.col(f"__one_{k}")
+        return F.when(one.eqNullSafe(F.col(exclude)), F.col(f"__two_{k}")).otherwise(one) if exclude else one
 
     found = F.coalesce(*[F.when(first(k).isNotNull(), F.struct(first(k).alias("id"), F.lit(k).alias("on"))) for k in keys])
     return out.withColumn("__f", found).select(*incoming.columns, F.col("__f.id").alias("existing_id"), F.col("__f.on").alias("clash"))
 
 
+def accepted_in_order(claims: DataFrame) -> DataFrame:
+    """(row) of those that a store would accept if they came one by one: a row is refused if a value that it claims is taken by an
+    earlier accepted one. ``claims`` are (row, kind, value), rows numbered in their order.
+
+    Rounds until nothing is open: a row that comes first for all its values is accepted, and all others that claim one of these
+    are refused. Each round is written, and rows' other columns take no part. A row waits only for earlier rows that share a value with it,
+    so there are as many rounds as the longest such chain has accepted rows; a hot value is settled as soon as its first row is."""
+    open_, done, rounds = written(claims, "insert-claims"), claims.select("row").limit(0), 0
+    while not open_.isEmpty():
+        rounds += 1
+        least = open_.groupBy("kind", "value").agg(F.min("row").alias("first"))
+        marked = written(open_.join(least, ["kind", "value"]), "insert-marked")
+        now = marked.groupBy("row").agg(F.bool_and(F.col("row") == F.col("first")).alias("own")).where("own").select("row")
+        now = written(now, "insert-accepted")
+        taken = marked.where(F.col("row") == F.col("first")).join(now, "row").select("kind", "value")
+        out = marked.join(taken, ["kind", "value"], "left_semi").select("row").distinct()
+        open_ = written(marked.join(out, "row", "left_anti").select("row", "kind", "value"), "insert-claims")
+        done = done.unionByName(now)
+        if rounds % 16 == 0:
+            done = written(done, "insert-done")
+    return done
+
+
 def insert(
     incoming: DataFrame, records: DataFrame, keys: tuple[str, ...], required: str, order: str, key: str = "id", owner: str | None = None, owners: DataFrame | None = None
 ) -> DataFrame:
     """Incoming rows with ``outcome``, ``clash`` (the column) and ``existing_id``.
 
     missing_required (``required`` is null or empty), unknown_owner (``owner`` names none of ``owners``, which has the same
-    column), conflict (a key is taken in the store, or by an earlier row that is accepted), deferred (a key is shared only with
-    earlier rows that are not accepted themselves: to be sent again), accepted. Null keys clash with nothing. ``order`` is
-    unique. Earliest rows per key come from a partial aggregation, so a hot value does not gather in one task."""
+    column), conflict (a key is taken in the store, or by an earlier row that is accepted), accepted: what a store would answer
+    that takes the rows one by one. Null keys clash with nothing. ``order`` is unique."""
     told = duplicates(incoming, records, keys, key)
     if owner and owners is not None:
         known = owners.select(F.col(owner).alias("__owner")).distinct()
@@ -66,23 +91,19 @@ def insert(
     else:
         told = told.withColumn("__lost", F.lit(False))
     outcome = F.when(F.coalesce(F.col(required), F.lit("")) == "", "missing_required").when(F.col("__lost"), "unknown_owner").when(F.col("clash").isNotNull(), "conflict")
-    told = told.withColumn("outcome", outcome).drop("__lost")
-    open_ = told.where("outcome IS NULL")
-    for k in keys:
-        first = open_.where(F.col(k).isNotNull()).groupBy(F.col(k).alias(f"__{k}")).agg(F.min(order).alias(f"__first_{k}"))
-        told = told.join(first, F.col("outcome").isNull() & (F.col(k) == F.col(f"__{k}")), "left").drop(f"__{k}")
-    later = F.lit(False)
-    for k in keys:
-        later = later | F.coalesce(F.col(f"__first_{k}") < F.col(order), F.lit(False))
-    told = told.withColumn("outcome", F.coalesce("outcome", F.when(~later, "accepted")))
-    accepted = told.where("outcome = 'accepted'")
-    for k in keys:
-        own = accepted.where(F.col(k).isNotNull()).select(F.col(k).alias(f"__{k}"), F.lit(True).alias(f"__taken_{k}"))
-        told = told.join(own, F.col("outcome").isNull() & (F.col(k) == F.col(f"__{k}")), "left").drop(f"__{k}")
-    taken = F.coalesce(*[F.when(F.col(f"__taken_{k}"), F.lit(k)) for k in keys])
-    clash = F.when(F.col("outcome").isNull(), taken).when(F.col("outcome") == "conflict", F.col("clash"))
-    done = told.withColumn("__clash", clash).withColumn("outcome", F.coalesce("outcome", F.when(taken.isNotNull(), "conflict").otherwise("deferred")))
-    return done.select(*incoming.columns, "outcome", F.col("__clash").alias("clash"), F.when(F.col("outcome") == "conflict", F.col("existing_id")).alias("existing_id"))
+    told = written(told.withColumn("outcome", outcome).drop("__lost"), "insert-judged")
+    claimed = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(i).alias("kind"), F.col(k).cast("string").alias("value"))) for i, k in enumerate(keys)]))
+    claims = told.where("outcome IS NULL").select(F.col(order).alias("row"), F.explode(claimed).alias("c")).select("row", "c.kind", "c.value")
+    accepted = accepted_in_order(claims)
+    # The first key of a refused row that an earlier accepted row holds; rows that claim nothing are accepted.
+    holders = claims.join(accepted, "row").select(F.col("row").alias("holder"), "kind", "value")
+    held = claims.join(holders, ["kind", "value"]).where("holder < row").groupBy("row").agg(F.min("kind").alias("kind")).select(F.col("row").alias("__row"), F.col("kind").alias("__kind"))
+    out = told.join(held, F.col(order) == F.col("__row"), "left")
+    taken = F.get(F.array(*map(F.lit, keys)), F.col("__kind"))
+    return out.select(
+        *incoming.columns, F.coalesce("outcome", F.when(taken.isNotNull(), "conflict").otherwise("accepted")).alias("outcome"),
+        F.when(F.col("outcome").isNull(), taken).when(F.col("outcome") == "conflict", F.col("clash")).alias("clash"), F.when(F.col("outcome") == "conflict", F.col("existing_id")).alias("existing_id"),
+    )
 
 
 def stored(accepted: DataFrame, now: Column | None = None) -> DataFrame:

@@ -224,14 +224,18 @@ ORACLE_SQL["address_segment"] = f"""WITH cls(j, t, tier, level, conf) AS ({PIECE
   l AS (SELECT packet_id, line, string_agg(t, ', ' ORDER BY i) AS txt FROM o GROUP BY packet_id, line)
   SELECT packet_id, coalesce(max(CASE WHEN line = 0 THEN txt END), '') AS address_1, coalesce(max(CASE WHEN line = 1 THEN txt END), '') AS address_2, coalesce(max(CASE WHEN line = 2 THEN txt END), '') AS address_3,
     coalesce(max(CASE WHEN line = 3 THEN txt END), '') AS address_4, any_value(line_confidence) AS line_confidence, round(any_value(total) / (100.0 * any_value(n)), 3) AS line_score FROM l JOIN d USING (packet_id) GROUP BY packet_id"""
-ORACLE_SQL["record_insert"] = f"""WITH {CUSTOMERS}, st AS (SELECT * FROM cr WHERE id % 2 = 0),
+# Row by row, with the lists of what is taken so far.
+ORACLE_SQL["record_insert"] = f"""WITH RECURSIVE {CUSTOMERS}, st AS (SELECT * FROM cr WHERE id % 2 = 0),
   i AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS nm, c_custkey % 30 AS ow, CASE WHEN c_custkey % 5 = 0 THEN 'G' || (c_custkey % 1000) ELSE 'N' || (c_custkey // 3) END AS gst, CASE WHEN c_custkey % 4 <> 0 THEN 'N' || (c_custkey // 2) END AS udyam FROM customer),
   x AS (SELECT *, (SELECT min(id) FROM st WHERE st.gst = i.gst) AS g, (SELECT min(id) FROM st WHERE st.udyam = i.udyam) AS u FROM i),
   y AS (SELECT *, CASE WHEN coalesce(nm, '') = '' THEN 'missing_required' WHEN ow NOT IN (SELECT n_nationkey FROM nation) THEN 'unknown_owner' WHEN g IS NOT NULL OR u IS NOT NULL THEN 'conflict' END AS oc FROM x),
-  p AS (SELECT row_id, gst, udyam, EXISTS (SELECT 1 FROM y q WHERE q.oc IS NULL AND q.row_id < y.row_id AND (q.gst = y.gst OR q.udyam = y.udyam)) AS later FROM y WHERE oc IS NULL),
-  z AS (SELECT y.*, p.later, EXISTS (SELECT 1 FROM p q WHERE NOT q.later AND q.gst = y.gst AND q.row_id <> y.row_id) AS tg, EXISTS (SELECT 1 FROM p q WHERE NOT q.later AND q.udyam = y.udyam AND q.row_id <> y.row_id) AS tu FROM y LEFT JOIN p USING (row_id))
-  SELECT row_id, CASE WHEN oc IS NOT NULL THEN oc WHEN NOT later THEN 'accepted' WHEN tg OR tu THEN 'conflict' ELSE 'deferred' END AS outcome,
-    CASE WHEN oc = 'conflict' THEN CASE WHEN g IS NOT NULL THEN 'gst' ELSE 'udyam' END WHEN oc IS NULL AND later AND tg THEN 'gst' WHEN oc IS NULL AND later AND tu THEN 'udyam' END AS clash, CASE WHEN oc = 'conflict' THEN coalesce(g, u) END AS existing_id FROM z"""
+  p AS (SELECT row_number() OVER (ORDER BY row_id) AS i, row_id, gst, udyam FROM y WHERE oc IS NULL),
+  r(i, row_id, gs, us, clash) AS (SELECT 0, CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR)
+    UNION ALL SELECT p.i, p.row_id, CASE WHEN c IS NULL AND p.gst IS NOT NULL THEN list_append(gs, p.gst) ELSE gs END, CASE WHEN c IS NULL AND p.udyam IS NOT NULL THEN list_append(us, p.udyam) ELSE us END, c
+    FROM r JOIN p ON p.i = r.i + 1, LATERAL (SELECT CASE WHEN list_contains(gs, p.gst) THEN 'gst' WHEN list_contains(us, p.udyam) THEN 'udyam' END AS c) AS l)
+  SELECT y.row_id, coalesce(oc, CASE WHEN r.clash IS NULL THEN 'accepted' ELSE 'conflict' END) AS outcome,
+    CASE WHEN oc = 'conflict' THEN CASE WHEN g IS NOT NULL THEN 'gst' ELSE 'udyam' END WHEN oc IS NULL THEN r.clash END AS clash, CASE WHEN oc = 'conflict' THEN coalesce(g, u) END AS existing_id
+    FROM y LEFT JOIN r USING (row_id)"""
 BILLING = "concat_ws(', ', nullif(address_1, ''), nullif(address_2, ''), nullif(address_3, ''))"
 ORACLE_SQL["payloads"] = f"""WITH {V} SELECT packet_id, coalesce(vendor_name, '') AS vendor_name, coalesce(address_2, '') AS address_2, '' AS address_4, coalesce(telephone, '') AS telephone_1, '' AS telephone_2, '' AS tan_no,
   coalesce(gst_number, '') AS gst_no, coalesce(ifsc, '') AS ifsc_swift_code, coalesce(vendor_name, '') AS company_name, {BILLING} AS billing_address, coalesce(pin_code, '') AS zip_code, coalesce(pan, '') AS pan_number,

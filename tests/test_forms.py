@@ -1,8 +1,10 @@
 """Forms, insertion, truth and sheet checks, dictionary files and runs."""
 
 import json
+import random
 
 import pytest
+
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluate, forms, records
@@ -16,7 +18,7 @@ def test_insert(spark):
     incoming = spark.createDataFrame(rows, "n long, name string, gst string, udyam string")
     got = {r["n"]: (r["outcome"], r["clash"], r["existing_id"]) for r in records.insert(incoming, stored, ("gst", "udyam"), "name", "n").collect()}
     assert got == {
-        10: ("conflict", "gst", 1), 11: ("accepted", None, None), 12: ("conflict", "udyam", None), 13: ("deferred", None, None), 14: ("missing_required", None, None), 15: ("missing_required", None, None),
+        10: ("conflict", "gst", 1), 11: ("accepted", None, None), 12: ("conflict", "udyam", None), 13: ("accepted", None, None), 14: ("missing_required", None, None), 15: ("missing_required", None, None),
         16: ("accepted", None, None), 17: ("accepted", None, None), 18: ("conflict", "udyam", 1),
     }
     assert records.insert(incoming.limit(0), stored, ("gst",), "name", "n").count() == 0
@@ -31,6 +33,41 @@ def test_one_hot_key_in_a_batch(spark):
     assert n == {"accepted": 2001, "conflict": 999}
 
 
+def row_by_row(rows, stored):
+    taken = [{r[1] for r in stored if r[1]}, {r[2] for r in stored if r[2]}]
+    ids = [{r[1]: r[0] for r in reversed(stored)}, {r[2]: r[0] for r in reversed(stored)}]
+    own, out = [set(), set()], {}
+    for n, name, *values in sorted(rows):
+        hit = next((i for i, v in enumerate(values) if v is not None and v in taken[i]), None)
+        late = next((i for i, v in enumerate(values) if v is not None and v in own[i]), None)
+        if not name:
+            out[n] = ("missing_required", None, None)
+        elif hit is not None:
+            out[n] = ("conflict", ("gst", "udyam")[hit], ids[hit][values[hit]])
+        elif late is not None:
+            out[n] = ("conflict", ("gst", "udyam")[late], None)
+        else:
+            out[n] = ("accepted", None, None)
+            for i, v in enumerate(values):
+                own[i] |= {v} if v is not None else set()
+    return out
+
+
+def test_insertion_like_row_by_row(spark):
+    """Random batches, and a chain in which every second row is refused by the one before it."""
+    rnd = random.Random(8)
+    stored = [(i, f"s{i}", f"t{i % 5}" if i % 2 else None) for i in range(1, 9)]
+    pick = lambda kind: rnd.choice([None, f"{kind}{rnd.randrange(40)}", f"{kind}{rnd.randrange(400)}", f"hot{kind}" if rnd.random() < 0.3 else None])
+    batch = [(n, "" if rnd.random() < 0.05 else "x", rnd.choice([pick("s"), pick("g")]), rnd.choice([pick("t"), pick("u")])) for n in range(400)]
+    chain = [(1_000 + n, "x", f"c{n // 2}", f"d{(n + 1) // 2}") for n in range(12)]
+    rows = batch + chain
+    incoming = spark.createDataFrame(rows, "n long, name string, gst string, udyam string").repartition(5)
+    known = spark.createDataFrame(stored, "id long, gst string, udyam string")
+    got = {r["n"]: (r["outcome"], r["clash"], r["existing_id"]) for r in records.insert(incoming, known, ("gst", "udyam"), "name", "n").collect()}
+    assert got == row_by_row(rows, stored)
+    assert [got[1_000 + n][0] for n in range(4)] == ["accepted", "conflict", "accepted", "conflict"]
+
+
 def test_payloads_and_review(spark):
     df = spark.createDataFrame([(1, None, "Acme", "", "B"), (2, "Old", "", None, None)], "packet_id int, company_name string, vendor_name string, address_1 string, address_2 string")
     got = {r["packet_id"]: r for r in forms.customer_payload(df).collect()}
