@@ -385,23 +385,35 @@ def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.col(text_col), F.lit("")))
 
 
+def row_name(twins: list[int]) -> Column:
+    """``text_key`` of the documents' rows; of the rare keys that name two different rows a key by both hashes."""
+    check = F.xxhash64(F.lit("check"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
+    return F.when(text_key().isin(twins), F.xxhash64(text_key(), check)).otherwise(text_key()) if twins else text_key()
+
+
 def keep_one(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of every component: that with the smallest id (rows without an id last, then by a hash of the text).
 
     Rows are told apart by id and text, so an id that is used for several texts loses only the copies; a row that
-    repeats id and text counts once. Texts without words are linked with nothing: all stay."""
-    keyed = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = near_duplicates(keyed.select("key", "text"), words=words, percent=percent, id_col="key")
+    repeats id and text counts once. Texts without words are linked with nothing: all stay. A row's name is one hash, checked by another: where
+    two rows share the first (three times in 10^10 rows) both go by the two together."""
+    check = F.xxhash64(F.lit("check"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
+    named = docs.select(text_key().alias("key"), check.alias("check"), F.col("doc_id").cast("long").alias("doc_id"))
+    marks = materialise(named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("check").alias("check"), F.max("check").alias("other")), "ngram-marks")
+    twins = [r["key"] for r in marks.where("check <> other").select("key").collect()]
+    if twins:
+        named = docs.select(row_name(twins).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+        marks = materialise(named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "ngram-marks")
+    found = near_duplicates(docs.select(row_name(twins).alias("key"), "text"), words=words, percent=percent, id_col="key")
     found = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
-    marks = keyed.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    ranked = materialise(marks.join(found, "key"), "ngram-ranked")
+    ranked = materialise(marks.select("key", "doc_id", "n").join(found, "key"), "ngram-ranked")
     first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))["key"].alias("first")).select("first")
     gone = materialise(ranked.join(first, F.col("key") == F.col("first"), "left_anti").select(F.col("key").alias("__gone")), "ngram-gone")
     if ranked.where("n > 1").limit(1).count():
         rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        docs = docs.select(rows.alias("__row"), text_key().alias("__key")).dropDuplicates(["__key"]).select("__row.*")
+        docs = docs.select(rows.alias("__row"), row_name(twins).alias("__key")).dropDuplicates(["__key"]).select("__row.*")
     few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, text_key() == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(F.broadcast(gone) if few else gone, row_name(twins) == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

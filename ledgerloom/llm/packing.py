@@ -10,9 +10,9 @@ Scale: rows are dealt by a hash to shards of about ``shard_rows`` rows, whose nu
 count, so a hot source or cluster is spread over all shards and no task grows with the input. The hash is of
 all that packing knows of a row, and rows that are equal in all of it are counted first and dealt one by one:
 very many null ids or repeats of an id are spread like other rows. Only ids, lengths and cluster hashes are
-shuffled, not texts. Bins belong to one shard. ``pack_mixed`` deals by the
-mix of sources instead: a shard is ``shard_rows`` documents that follow one another in the mix, and
-shards are numbered in its order. Places are counted in slots, then in runs of about sqrt(slots) of them.
+shuffled, not texts. Bins belong to one shard. ``pack_stored`` deals by the order in which documents are
+stored instead (the mix of sources that the stage before it wrote): a shard is ``shard_rows`` documents that follow one another, and
+shards are numbered in that order. Places are counted by files, whose rows are numbered by the reader.
 
 Defined results: a document longer than the capacity is cut into full pieces and a rest;
 null and texts without words are one piece of no words. A null source conflicts with
@@ -25,15 +25,13 @@ are not read, whatever their names.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialise, table
-from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.ngram_join import near_duplicates, text_key
 
 
@@ -169,28 +167,35 @@ def pack_apart(
     return packed(in_shards(rows, shard_rows), capacity)
 
 
-def mix_places(mixed: DataFrame) -> DataFrame:
-    """``mixed`` with ``place``: how many rows precede a row in the mix (``mix_position`` has gaps)."""
-    slots = materialise(mixed.groupBy("mix_slot").agg(F.count("*").alias("n"), F.min("mix_position").alias("least")), "mix-slots")
-    run = max(1, math.isqrt((slots.agg(F.max("mix_slot")).first()[0] or 0) + 1))
-    slots = slots.withColumn("run", F.floor(F.col("mix_slot") / run))
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = slots.groupBy("run").agg(F.sum("n").alias("n")).select("run", before(Window.partitionBy(F.lit(1)).orderBy("run")).alias("runs_before"))
-    slots = slots.withColumn("slots_before", before(Window.partitionBy("run").orderBy("mix_slot"))).join(runs, "run")
-    starts = slots.select("mix_slot", (F.col("runs_before") + F.col("slots_before") - F.col("least")).alias("__shift"))
-    return mixed.join(starts, "mix_slot").withColumn("place", F.col("mix_position") + F.col("__shift")).drop("__shift")
-
-
-def pack_mixed(
-    docs: DataFrame, *, weights: dict[str, int] | None = None, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
-    """``pack`` with shards that are ranges of the mix of sources, so bins follow its target weights; ``mix_from`` is the
-    place in the mix at which a bin's shard begins.
-
-    The order is that of ``mixing.by_text``: it depends on ids, sources and texts alone, not on files or rows' order."""
-    rows = materialise(docs.select(*measures(text_col, source_col, None)), "pack-rows")
-    mixed = materialise(mix(rows, weights=weights, tie_col="cluster"), "pack-mix")
-    out = packed(mix_places(mixed).withColumn("shard", F.floor(F.col("place") / shard_rows).cast("int")), capacity)
+def places(docs: DataFrame) -> DataFrame:
+    """``docs``, read from files, with ``place``: how many rows precede a row in the order of the files and of the rows in them."""
+    name = F.col("_metadata.file_name")
+    # part-<task>-<id>.c<file of the task>: by number, as names only sort while numbers have five digits.
+    number = lambda pattern: F.coalesce(F.regexp_extract("file", pattern, 1).try_cast("long"), F.lit(-1).cast("long"))
+    rows = docs.select("*", name.alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = materialise(rows.groupBy("file").agg(F.count("*").alias("n")), "pack-files")
+    order = Window.partitionBy(F.lit(1)).orderBy(number(r"part-(\d+)"), number(r"[-.]c(\d+)\."), "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return rows.join(starts, "file").withColumn("place", F.col("before") + F.col("row")).drop("file", "row", "before")
+
+
+def pack_stored(docs: DataFrame, *, capacity: int = 2_048, shard_rows: int = 2_048, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``pack`` with shards that are ranges of the order in which documents are stored (a mix of sources, say); ``mix_from`` is the
+    place at which a bin's shard begins.
+
+    ``docs`` are read from Parquet files whose numbers and rows give the order, as a sorted table is written; other DataFrames
+    are written first, in the order of their partitions."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    stored = bool(docs.inputFiles()) and "_metadata" not in docs.columns
+    if stored:
+        try:
+            docs.select("_metadata.row_index")
+        except AnalysisException:  # files, but joined or sorted since they were read
+            stored = False
+    own = docs if stored else materialise(own, "pack-stored")
+    text, source = (text_col, source_col) if stored else ("text", "source")
+    rows = materialise(places(own).select("place", *measures(text, source, None)), "pack-rows")
+    out = packed(rows.withColumn("shard", F.floor(F.col("place") / shard_rows).cast("int")), capacity)
     return out.withColumn("mix_from", F.split("bin_id", "-")[0].cast("long") * shard_rows)
 
 

@@ -216,17 +216,36 @@ def test_run_is_the_stages_one_after_another(spark, sf, docs):
 
 
 @pytest.mark.parametrize("weights", [{"hot": 1, "cold": 1}, {"hot": 9, "cold": 1}])
-def test_bins_follow_the_mix(spark, monkeypatch, weights):
-    """Shards of the packing are ranges of the mixing stage's order, whose target weights show in the first ones:
-    other weights, other bins."""
+def test_bins_follow_the_mix(spark, monkeypatch, tmp_path, weights):
+    """Shards of the packing are ranges of what the mixing stage wrote, whose target weights show in the first ones."""
     monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights, raising=False)
     rows = [(i, f"word{i} " * (1 + i % 5), "hot" if i % 3 else "cold", 1) for i in range(7_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
-    order = [r["doc_id"] for r in stage(spark, "mixing", docs, "")]
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, "")
+    order = [r["doc_id"] for r in mixed.collect()]
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"hot": 1, "cold": 99})  # says nothing to the packing
     got = {}
-    for r in stage(spark, "packing", docs, ""):
+    for r in stage(spark, "packing", spark.read.parquet(f"{tmp_path}/mixed"), ""):
         got.setdefault(r["mix_from"], set()).add(r["doc_id"])
         assert int(r["bin_id"].split("-")[0]) * 2_048 == r["mix_from"]
     assert {k: got[k] for k in sorted(got)} == {at: set(order[at : at + 2_048]) for at in range(0, 7_000, 2_048)}
     hot = sum(i % 3 > 0 for i in got[0]) / 2_048
     assert abs(hot - weights["hot"] / sum(weights.values())) < 0.03
+
+
+def test_another_order_gives_other_bins(spark, tmp_path):
+    """The order of the stored rows alone decides: files with several parts and names beyond five digits, and rows in memory."""
+    rows = [(i, f"word{i} " * (1 + i % 5), "s", 1) for i in range(5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    shards = {}
+    for name, by in (("up", "doc_id"), ("down", -F.col("doc_id"))):
+        docs.orderBy(by).write.option("maxRecordsPerFile", 700).parquet(f"{tmp_path}/{name}")
+        for r in stage(spark, "packing", spark.read.parquet(f"{tmp_path}/{name}"), ""):
+            shards.setdefault(name, {}).setdefault(r["mix_from"], set()).add(r["doc_id"])
+    assert shards["up"] == {at: set(range(at, min(5_000, at + 2_048))) for at in range(0, 5_000, 2_048)}
+    assert shards["down"] == {at: set(range(max(0, 5_000 - at - 2_048), 5_000 - at)) for at in range(0, 5_000, 2_048)}
+    again = {}
+    for r in stage(spark, "packing", docs.orderBy("doc_id").coalesce(1), ""):
+        again.setdefault(r["mix_from"], set()).add(r["doc_id"])
+    assert again == shards["up"]
