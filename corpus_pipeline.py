@@ -17,7 +17,7 @@ from ledgerloom.llm import mixing, ngram_join, packing, secrets, toxicity
 from ledgerloom.llm.common import materialise, table
 
 
-#: Target weights of the sources, for the order of the mix and the bins; None: by square root of size.
+#: Target weights of the sources, for the order of the mix; None: by square root of size.
 WEIGHTS: dict[str, int] | None = None
 
 
@@ -47,10 +47,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the mix of sources; a null source is a source of its own.
+    """Every document, stored in the order of the mix of sources, which the packing follows; a null source is a source of its own.
 
-    The order depends on ids, sources and texts alone, so that the packing finds it again. Ties and repeated rows have
-    places of their own. Columns of documents that are named like the mix's own pass through."""
+    Ties and repeated rows have places of their own. Columns of documents that are named like the mix's own pass through."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
     return mixing.by_text(rows, WEIGHTS).orderBy("mix_position").select("row.*")
 
@@ -58,9 +57,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bins that training sequences are made of: (bin_id, doc_id, piece, start_word, n_words, mix_from).
 
-    Shards are ranges of the mix of sources and numbered in its order. Texts without words are one piece of no words; null
+    Shards are ranges of the order in which ``docs`` are stored, that is of the mix, and numbered in it. Texts without words are one piece of no words; null
     ids and repeated rows are documents of their own, and only ids are given back."""
-    return packing.pack_mixed(docs, weights=WEIGHTS)
+    return packing.pack_stored(docs)
 
 
 STAGES = [
