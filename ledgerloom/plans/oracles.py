@@ -296,3 +296,10 @@ SELECT k AS packet_id, CASE WHEN m <> 5 THEN 'Acme Tools ' || k END AS vendor_na
     'address_2:low_confidence', 'address_3:low_confidence', 'city:low_confidence', CASE WHEN m = 2 THEN 'ifsc:low_confidence' END, 'state:low_confidence',
     CASE WHEN m <> 2 THEN 'website:low_confidence' END, CASE WHEN m = 4 THEN 'vendor_name:cross_document_mismatch' END,
     CASE WHEN m = 3 THEN 'pin_code:pin_state_mismatch' END) AS flags FROM p"""
+
+RAW_PLACES = """raw AS (SELECT CASE WHEN c_custkey % 13 = 0 THEN '12345' WHEN c_custkey % 17 <> 0 THEN ' ' || (500000 + (c_custkey // 3) % 700) END AS pincode, 'District ' || (c_nationkey % 4) AS district,
+  CASE WHEN c_custkey % 19 = 0 THEN '' WHEN c_custkey % 4 IN (0, 1) THEN 'West Bengal' ELSE 'State ' || (c_nationkey % 3) END AS state, c_custkey AS seq FROM customer)"""
+ORACLE_SQL["lookup_build"] = f"""WITH {RAW_PLACES}, r AS (SELECT trim(pincode) AS pin, district, state, seq FROM raw WHERE regexp_full_match(trim(pincode), '[0-9]{{6}}') AND state <> ''),
+  f AS (SELECT *, first_value(district) OVER w AS d, first_value(state) OVER w AS s FROM r WINDOW w AS (PARTITION BY pin ORDER BY seq))
+SELECT pin, d AS district, s AS state, CAST(count(*) FILTER (WHERE district <> d OR state <> s) AS BIGINT) AS n_other FROM f GROUP BY pin, d, s"""
+ORACLE_SQL["city_build"] = f"""WITH {RAW_PLACES} SELECT lower(district) AS name FROM raw UNION SELECT lower(n_name) FROM nation"""

@@ -19,6 +19,7 @@ from ledgerloom.operators import validate as V
 from ledgerloom.operators import wordbreak as WB
 from ledgerloom.plans import extraction as X
 from ledgerloom.plans.derived import candidates, vendors
+from ledgerloom.sources import lookups as LU
 
 EMAIL = V.RULES["email_format"].pattern
 WEIGHTS = {"label": 0.45, "pattern": 0.30, "proximity": 0.15, "confidence": 0.10}
@@ -475,6 +476,24 @@ def extract_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["canonical"].join(flags, "packet_id", "left").withColumn("flags", F.coalesce("flags", F.lit("")))
 
 
+def raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a PIN directory as published: repeated, with odd PINs and spellings, and PINs that lie in two districts."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    pin = F.when(k % 13 == 0, "12345").when(k % 17 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit(" "), 500000 + F.floor(k / 3) % 700))
+    state = F.when(k % 19 == 0, "").when(k % 4 == 0, "WEST BENGAL").when(k % 4 == 1, "westbengal").otherwise(F.concat(F.lit("state "), n % 3))
+    return table(spark, sf_dir, "customer").select(pin.alias("pincode"), F.concat(F.lit("DISTRICT "), n % 4).alias("district"), state.alias("state"), k.alias("at"))
+
+
+def lookup_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PIN directory from raw rows, first rows kept and collisions counted."""
+    return LU.build_pins(raw_places(spark, sf_dir), {"WEST BENGAL": "West Bengal"})
+
+
+def city_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City names: the districts of the raw rows and the nations as aliases, each once."""
+    return LU.build_cities(raw_places(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")))
+
+
 def record_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of new records against the stored ones: what is accepted and what is not, and why."""
     k = F.col("c_custkey")

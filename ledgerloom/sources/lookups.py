@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +46,45 @@ def state_spelling(raw: Column, spellings: dict[str, str]) -> Column:
     upper = F.create_map(*[F.lit(x) for kv in spellings.items() for x in kv])
     squashed = F.create_map(*[F.lit(x) for name in sorted(set(spellings.values())) for x in (name.lower().replace(" ", ""), name)])
     return F.coalesce(F.try_element_at(upper, F.upper(own)), F.try_element_at(squashed, F.replace(F.lower(own), F.lit(" "), F.lit(""))), titlecase(own))
+
+
+def build_pins(raw: DataFrame, spellings: dict[str, str], order: str = "at") -> DataFrame:
+    """(pin, district, state, n_other) from raw rows (pincode, district, state, and their order): only six-digit PINs with a state; of
+    each the first row stays, and ``n_other`` counts its rows that say otherwise (the collision report).
+
+    Equal rows are counted first, so neither aggregation holds more of a PIN than its different places."""
+    rows = raw.select(strip(F.coalesce("pincode", F.lit(""))).alias("pin"), titlecase(strip(F.coalesce("district", F.lit("")))).alias("district"), state_spelling(F.col("state"), spellings).alias("state"), F.col(order).alias("at"))
+    rows = rows.where(F.col("pin").rlike(r"\A[0-9]{6}\z") & (F.col("state") != ""))
+    places = rows.groupBy("pin", "district", "state").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    first = F.min_by(F.struct("district", "state", "n"), "at")
+    kept = places.groupBy("pin").agg(first.alias("first"), F.sum("n").alias("n"))
+    return kept.select("pin", "first.district", "first.state", (F.col("n") - F.col("first.n")).alias("n_other"))
+
+
+def build_states(spark: SparkSession, names: list[str], aliases: dict[str, str]) -> DataFrame:
+    """(alias, state): every name without an alias, and the aliases."""
+    rows = [(None, n) for n in sorted(set(names))] + sorted(aliases.items())
+    return spark.createDataFrame(rows, "alias string, state string")
+
+
+def build_cities(raw: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(name): the districts of the raw rows, folded, of three characters or more and not numbers, and the aliases (name); each once."""
+    own = F.lower(strip(F.coalesce("district", F.lit(""))))
+    named = raw.select(own.alias("name")).where((F.length("name") > 2) & ~F.col("name").rlike(r"\A[0-9]+\z"))
+    return named.union(aliases.select(F.lower("name").alias("name"))).distinct()
+
+
+def publish(tables: dict[str, DataFrame], folder: str) -> None:
+    """Writes the tables, each as one sorted CSV file, beside ``folder`` and gives them that name at once; an existing one is refused.
+
+    Lookup tables are bounded (some twenty thousand PINs, hundreds of names), so one file each is meant."""
+    spark = next(iter(tables.values())).sparkSession
+    next_ = f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(path(folder)):
+        raise FileExistsError(folder)
+    for name, df in tables.items():
+        df.coalesce(1).sortWithinPartitions(*df.columns).write.option("header", True).csv(f"{next_}/{name}")
+    if not files.rename(path(next_), path(folder)):
+        raise OSError(f"cannot publish {folder}")

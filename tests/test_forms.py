@@ -157,3 +157,19 @@ def test_text_layer_share(spark):
     sets = spark.createDataFrame(rows, spans.DOCUMENT_SET)
     assert spans.text_layer_share(sets).first() == (3, 1, pytest.approx(1 / 3))
     assert spans.text_layer_share(sets.limit(0)).first() == (0, 0, None)
+
+
+def test_lookups_are_built_and_published(spark, tmp_path):
+    raw = [(3, "700019", "KOLKATA", "west bengal"), (1, "700019 ", "kolkata", "WEST BENGAL"), (2, "700019", "Howrah", "West Bengal"), (4, "70001", "x", "Goa"), (5, "403001", " ab ", ""), (6, "403001", "42", "goa"), (7, None, None, None)]
+    df = spark.createDataFrame(raw, "at int, pincode string, district string, state string")
+    pins = lookups.build_pins(df, {"WEST BENGAL": "West Bengal", "GOA": "Goa"})
+    assert sorted(map(tuple, pins.collect())) == [("403001", "42", "Goa", 0), ("700019", "Kolkata", "West Bengal", 1)]
+    towns = lookups.build_cities(df, spark.createDataFrame([("Pune",), ("kolkata",)], "name string"))
+    assert sorted(r[0] for r in towns.collect()) == ["howrah", "kolkata", "pune"]
+    folder = str(tmp_path / "places")
+    tables = {"pins": pins.select("pin", "state", "district"), "states": lookups.build_states(spark, ["Goa"], {"wb": "West Bengal"}), "cities": towns}
+    lookups.publish(tables, folder)
+    assert [p.name for p in tmp_path.iterdir()] == ["places"] and len(list((tmp_path / "places" / "pins").glob("*.csv"))) == 1
+    assert [tuple(r) for r in lookups.pin_directory(spark, f"{folder}/pins").orderBy("pin").collect()] == [("403001", "Goa", "42"), ("700019", "West Bengal", "Kolkata")]
+    with pytest.raises(FileExistsError):
+        lookups.publish(tables, folder)
