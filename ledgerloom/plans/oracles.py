@@ -303,3 +303,9 @@ ORACLE_SQL["lookup_build"] = f"""WITH {RAW_PLACES}, r AS (SELECT trim(pincode) A
   f AS (SELECT *, first_value(district) OVER w AS d, first_value(state) OVER w AS s FROM r WINDOW w AS (PARTITION BY pin ORDER BY seq))
 SELECT pin, d AS district, s AS state, CAST(count(*) FILTER (WHERE district <> d OR state <> s) AS BIGINT) AS n_other FROM f GROUP BY pin, d, s"""
 ORACLE_SQL["city_build"] = f"""WITH {RAW_PLACES} SELECT lower(district) AS name FROM raw UNION SELECT lower(n_name) FROM nation"""
+
+ORACLE_SQL["caption_cleanup"] = """WITH v AS (SELECT s_suppkey, s_suppkey % 4 AS m, s_suppkey % 6 AS g,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Unit ' || s_suppkey WHEN 1 THEN 'Plot ' || s_suppkey WHEN 2 THEN 'FLAT NO. ' || s_suppkey || ', BLOCK C' ELSE 'Gate ' || s_suppkey END AS cleaned FROM supplier)
+SELECT s_suppkey, CASE m WHEN 0 THEN 'Building No./Flat No.: ' WHEN 1 THEN 'Bui1ding No./Flat No - ' WHEN 2 THEN '' ELSE 'Address of Principal Place of: Building No./Flat No.: ' END || cleaned AS raw, cleaned,
+  CASE g WHEN 0 THEN 'Address of Principal Place' WHEN 1 THEN 'Legal Narne of Business' WHEN 2 THEN 'Micro' WHEN 3 THEN 'Type of Thing' WHEN 4 THEN 'Trade Name, if any' ELSE 'Acme Trading ' || s_suppkey END AS name,
+  CASE WHEN g = 5 THEN 0 ELSE 1 END AS leak FROM v"""

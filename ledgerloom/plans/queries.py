@@ -476,6 +476,26 @@ def extract_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["canonical"].join(flags, "packet_id", "left").withColumn("flags", F.coalesce("flags", F.lit("")))
 
 
+OWN_CAPTIONS = {"address_1": ["Building No./Flat No.", "Flat No", "Address of Principal Place of"]}
+LABELS = ["address of principal place of business", "legal name of business"]
+
+
+def caption_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of suppliers without the captions of their own field, some misspelt, and whether another value is only a form's caption."""
+    k = F.col("s_suppkey")
+    raw = (
+        F.when(k % 4 == 0, F.concat(F.lit("Building No./Flat No.: Unit "), k)).when(k % 4 == 1, F.concat(F.lit("Bui1ding No./Flat No - Plot "), k))
+        .when(k % 4 == 2, F.concat(F.lit("FLAT NO. "), k, F.lit(", BLOCK C"))).otherwise(F.concat(F.lit("Address of Principal Place of: Building No./Flat No.: Gate "), k))
+    )
+    name = (
+        F.when(k % 6 == 0, "Address of Principal Place").when(k % 6 == 1, "Legal Narne of Business").when(k % 6 == 2, "Micro").when(k % 6 == 3, "Type of Thing")
+        .when(k % 6 == 4, "Trade Name, if any").otherwise(F.concat(F.lit("Acme Trading "), k))
+    )
+    rows = table(spark, sf_dir, "supplier").select(k, raw.alias("raw"), name.alias("name"))
+    value = CA.own_captions_removed(F.lit("address_1"), F.col("raw"), OWN_CAPTIONS)
+    return rows.select("s_suppkey", "raw", value.alias("cleaned"), "name", C.caption_leak(F.col("name"), LABELS, ["type", "date"], ["micro", "small"]).cast("int").alias("leak"))
+
+
 def raw_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a PIN directory as published: repeated, with odd PINs and spellings, and PINs that lie in two districts."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
