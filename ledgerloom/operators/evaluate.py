@@ -13,9 +13,14 @@ ADDRESS_FIELDS = ("address_1", "address_2", "address_3", "address_4", "city", "s
 OUTCOMES = ("wrong", "hallucinated", "missed", "correct", "correctly_absent")
 
 
+MOST_CELLS = 10_000
+
+
 def fill_cells(results: DataFrame, cell_map: DataFrame) -> DataFrame:
-    """(packet, sheet, cell, value): what a filled template holds, in long form; empty values take the blank value."""
-    return results.join(F.broadcast(cell_map), "field").select(
+    """(packet, sheet, cell, value): what a filled template holds, in long form; empty values take the blank value. A map of up to
+    ``MOST_CELLS`` cells, as counted, goes to every task, since fields are too few a key to shuffle by."""
+    few = cell_map.limit(MOST_CELLS + 1).count() <= MOST_CELLS
+    return results.join(F.broadcast(cell_map) if few else cell_map, "field").select(
         "packet_id", "sheet", "cell", "field", F.coalesce(F.nullif("value", F.lit("")), "blank_value").alias("value")
     )
 
