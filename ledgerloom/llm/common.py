@@ -52,6 +52,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def marked(df: DataFrame, col: str, values: list[int], name: str) -> DataFrame:
+    """Adds ``name``: whether ``col`` is among ``values``, a list of bounded length without repeats. It becomes the build
+    side of a broadcast hash join, so a row costs one probe whatever the length."""
+    named = df.sparkSession.range(1).select(F.explode(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")).alias("__value"))
+    return df.join(F.broadcast(named), F.col(col) == F.col("__value"), "left").withColumn(name, F.col("__value").isNotNull()).drop("__value")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores where its files give fewer partitions; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

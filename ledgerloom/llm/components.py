@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise
+from ledgerloom.llm.common import marked, materialise
 
 HUB_EDGES = 1_000
 MOST_HUBS = 50_000
@@ -19,8 +19,8 @@ def with_least(edges: DataFrame, hubs: list[int]) -> DataFrame:
     least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
     if not hubs:
         return edges.join(least(edges), "u")
-    known = F.array_contains(F.split(F.lit(",".join(map(str, hubs))), ",").cast("array<bigint>"), F.col("u"))
-    of_hubs, rest = edges.where(known), edges.where(~known)
+    told_apart = marked(edges, "u", hubs, "of_hub")
+    of_hubs, rest = told_apart.where("of_hub").drop("of_hub"), told_apart.where("not of_hub").drop("of_hub")
     return of_hubs.join(F.broadcast(least(of_hubs)), "u").unionByName(rest.join(least(rest), "u"))
 
 

@@ -48,7 +48,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialise, small_batches, table
+from ledgerloom.llm.common import marked, materialise, small_batches, table
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.shingles import mix, set_digest, shingle_sets, shingle_sets_and_words
 
@@ -281,11 +281,11 @@ def near_duplicates(
     tied = lambda df, *by: df.withColumn("hub", F.first("node").over(Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     hot = hot_keys(rows)
     if hot:
-        known = F.array_contains(F.split(F.lit(",".join(map(str, hot))), ",").cast("array<bigint>"), F.col("key"))
+        keyed = marked(keyed, "key", hot, "hot")
         salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(-(-nodes.count() // KEY_ROWS)))
-        salted = tied(keyed.where(known).withColumn("salt", salt), "key", "salt")
+        salted = tied(keyed.where("hot").withColumn("salt", salt), "key", "salt")
         tops = tied(salted.select("key", F.col("hub").alias("node")).distinct(), "key")
-        near = tied(keyed.where(~known), "key").select("node", "hub").unionByName(salted.select("node", "hub")).unionByName(tops.select("node", "hub"))
+        near = tied(keyed.where("not hot"), "key").select("node", "hub").unionByName(salted.select("node", "hub")).unionByName(tops.select("node", "hub"))
     else:
         near = tied(keyed, "key")
     edges = near.select(F.col("node").alias("u"), F.col("hub").alias("v")).where("u <> v").distinct()

@@ -306,3 +306,16 @@ def test_next_document_beside_null_ids(spark):
     for r in got:
         assert r["next_text"] in texts[r["doc_id"]] | texts[after[r["doc_id"]]]
     assert {r["doc_id"]: r["next_text"] for r in got if r["doc_id"] is None} == {None: sorted(texts[ids[0]], key=lambda t: t)[0]} or len(texts[ids[0]]) > 1
+
+
+def test_rows_are_marked_by_one_broadcast_probe(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.llm.common import marked
+
+    values = list(range(-5, 60_000, 7))
+    df = marked(spark.range(1_000).withColumn("u", F.col("id") * 3), "u", values, "hub")
+    assert {r["u"] for r in df.where("hub").collect()} == {u for u in range(0, 3_000, 3) if u in set(values)}
+    assert df.count() == 1_000
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "array_contains" not in plan
