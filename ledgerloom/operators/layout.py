@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.geometry import overlap
+from ledgerloom.functions.text import strip
 
 PAGE = ("doc_id", "page")
 PACKET_PAGE = ("packet_id", "doc_id", "page")  # documents are numbered inside their packet
 # A4 at 200 dots per inch, margin, line and character pitch in inches.
-DPI, PAGE_H_IN, MARGIN_IN, LINE_IN, CHAR_IN = 200, 11.69, 0.75, 0.22, 0.075
+DPI, PAGE_W_IN, PAGE_H_IN, MARGIN_IN, LINE_IN, CHAR_IN = 200, 8.27, 11.69, 0.75, 0.22, 0.075
 
 
 def key_types(df: DataFrame, keys: tuple[str, ...]) -> str:
@@ -91,14 +92,70 @@ def sessions(chars: DataFrame, gap_factor: float = 2.5, default_width: float = 4
 
 
 def synthetic_layout(docs: DataFrame) -> DataFrame:
-    """Lines of plain text as spans on pages: all lines are equally high, so page and place have a closed form."""
+    """Lines of plain text as spans on pages: all lines are equally high, so page and place have a closed form. A line that
+    begins above the bottom margin still belongs to its page; a line is as wide as its text, up to the room."""
     margin, pitch, char = int(MARGIN_IN * DPI), int(LINE_IN * DPI), int(CHAR_IN * DPI)
-    per_page = (int(PAGE_H_IN * DPI) - 2 * margin) // pitch
-    rows = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.btrim(s) != "")).alias("row", "text"))
+    per_page = (int(PAGE_H_IN * DPI) - 2 * margin) // pitch + 1
+    stripped = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), strip)
+    rows = docs.select("doc_id", F.posexplode(F.filter(stripped, lambda s: s != "")).alias("row", "text"))
     y1 = F.lit(margin) + (F.col("row") % per_page) * pitch
+    x2 = F.lit(margin) + F.least(F.length("text") * char, F.lit(int(PAGE_W_IN * DPI) - 2 * margin))
     return rows.select(
-        "doc_id", (F.floor(F.col("row") / per_page) + 1).cast("int").alias("page"), F.col("row").alias("order"), "text",
-        F.lit(margin).alias("x1"), y1.alias("y1"), (F.lit(margin) + F.length("text") * char).alias("x2"), (y1 + pitch).alias("y2"),
+        "doc_id", (F.floor(F.col("row") / per_page) + 1).cast("int").alias("page"), F.col("row").alias("order"), "text", F.lit(margin).alias("x1"), y1.alias("y1"), x2.alias("x2"), (y1 + pitch).alias("y2"),
+    )
+
+
+def places(heights: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """Page, upper edge and number of the first span of each row of each document, from the rows' heights and numbers of
+    spans. The next page begins as soon as the edge has passed the bottom margin; how far depends on all rows before, so it
+    is a fold, linear in the rows of one document, which are one value already."""
+    bottom, out = (PAGE_H_IN - MARGIN_IN) * DPI, []
+    for hs, ns in zip(heights, spans, strict=True):
+        page, y, first, own = 1, MARGIN_IN * DPI, 0, ([], [], [])
+        for h, n in zip(hs, ns, strict=True):
+            for values, value in zip(own, (page, y, first), strict=True):
+                values.append(value)
+            y, first = y + h, first + n
+            if y > bottom:
+                page, y, first = page + 1, MARGIN_IN * DPI, 0
+        out.append(own)
+    return pd.DataFrame(out, columns=["page", "y", "first"])
+
+
+def block_layout(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Paragraphs and tables, ``blocks`` of each document in order, as spans on pages: keys, page, order, text, block, row,
+    col (null for paragraphs) and the box.
+
+    ``blocks`` is array<struct<text, cells array<array<string>>, height>>: with ``cells`` a table, else a paragraph. Every
+    row of a table moves on, also one without text; a blank paragraph does not. The cells of a row share its upper edge;
+    columns are equally wide, as many as the longest row has. ``height`` is of each row, in pixels; without one (or below
+    zero) it is a line's. Pages go on inside a table; a page without spans gives no rows but counts. Null blocks, rows and
+    cells are empty ones. All in the document's own row: no shuffle."""
+    line, room, left = LINE_IN * DPI, (PAGE_W_IN - 2 * MARGIN_IN) * DPI, MARGIN_IN * DPI
+    full = lambda x: strip(F.coalesce(x, F.lit("")))
+    nothing = F.array().cast("array<string>")
+
+    def rows_of(b: Column, i: Column) -> Column:
+        height = F.when(b["height"] >= 0, b["height"]).otherwise(line)
+        cells = lambda r: F.filter(F.transform(F.coalesce(r, nothing), lambda c, k: F.struct(k.cast("int").alias("col"), full(c).alias("text"))), lambda c: c["text"] != "")
+        wide = F.greatest(F.array_max(F.transform(b["cells"], lambda r: F.size(F.coalesce(r, nothing)))), F.lit(1))
+        table = F.transform(b["cells"], lambda r, k: F.struct(i.cast("int").alias("block"), k.cast("int").alias("row"), height.alias("height"), (F.lit(room) / wide).alias("width"), cells(r).alias("cells")))
+        alone = cells(F.array(b["text"]))
+        paragraph = F.filter(
+            F.array(F.struct(i.cast("int").alias("block"), F.lit(None).cast("int").alias("row"), height.alias("height"), F.least(F.length(full(b["text"])) * F.lit(CHAR_IN * DPI), F.lit(room)).alias("width"), alone.alias("cells"))),
+            lambda r: F.size(r["cells"]) > 0,
+        )
+        return F.when(b["cells"].isNotNull(), table).otherwise(paragraph)
+
+    rows = docs.select(*keys, F.flatten(F.transform("blocks", rows_of)).alias("rows")).where("size(rows) > 0")
+    place = F.pandas_udf(places, "struct<page:array<int>,y:array<double>,first:array<int>>")
+    placed = rows.withColumn("at", place(F.col("rows.height"), F.transform("rows", lambda r: F.size(r["cells"]))))
+    each = placed.select(*keys, F.explode(F.arrays_zip("rows", F.col("at.page").alias("page"), F.col("at.y").alias("y"), F.col("at.first").alias("first"))).alias("z"))
+    cells = each.select(*keys, "z.rows.block", "z.rows.row", "z.rows.height", "z.rows.width", "z.page", "z.y", "z.first", F.posexplode("z.rows.cells").alias("k", "c"))
+    x1 = F.lit(left) + F.col("c.col") * F.col("width")
+    return cells.select(
+        *keys, "page", (F.col("first") + F.col("k")).alias("order"), "c.text", "block", "row", F.when(F.col("row").isNotNull(), F.col("c.col")).alias("col"),
+        x1.alias("x1"), F.col("y").alias("y1"), (x1 + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"),
     )
 
 

@@ -118,6 +118,13 @@ ERP_FIELDS = {k: f"nullif({strip(f'coalesce({c}, {chr(39) * 2})')}, '')" for k,
 PHRASES = "CASE squash " + " ".join(f"WHEN '{p.replace(' ', '')}' THEN '{p}'" for p in LEGAL_PHRASES) + " ELSE x END"
 SPELLING = "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SUFFIX_SPELLING.items()) + " END"
 
+def stripped(x: str) -> str:
+    """Without white space at both ends."""
+    return f"regexp_replace({x}, '^[{WHITE}]+|[{WHITE}]+$', '', 'g')"
+
+
+WHITE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
 ORACLE_SQL: dict[str, str] = {
     "email_extract": f"WITH {EMAILS} SELECT doc_id, pos, email FROM em WHERE regexp_full_match(email, '{EMAIL}')",
     "account_number_scan": "SELECT doc_id, a AS account_number, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) AS a FROM documents) WHERE regexp_full_match(a, '[0-9]{9,18}') GROUP BY ALL",
@@ -144,8 +151,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT packet_id, g AS gst_registration_number, CASE WHEN fb THEN substr(g, 3, 10) ELSE p END AS pan_number, fb AS pan_from_gstin, CASE WHEN regexp_full_match(pin_code, '[1-9][0-9]{{5}}') THEN pin_code ELSE '' END AS pin_code,
       CASE WHEN regexp_full_match(ifsc, '{RULES["ifsc_format"].pattern}') THEN ifsc ELSE '' END AS ifsc,
       array_to_string(list_filter([nullif(trim(coalesce(address_1, '')), ''), nullif(trim(coalesce(address_2, '')), ''), nullif(trim(coalesce(address_3, '')), '')], lambda q: q IS NOT NULL), ', ') AS billing_address FROM y""",
-    "synthetic_layout": """WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: trim(s) <> '') AS l FROM documents), r AS (SELECT doc_id, i - 1 AS row, l[i] AS t FROM l, unnest(range(1, len(l) + 1)) AS u(i))
-      SELECT doc_id, CAST(row // 46 + 1 AS INT) AS page, CAST(row AS INT) AS line_no, CAST(length(t) AS INT) AS chars, 150 AS x1, CAST(150 + (row % 46) * 44 AS INT) AS y1, CAST(150 + length(t) * 15 AS INT) AS x2, CAST(194 + (row % 46) * 44 AS INT) AS y2 FROM r""",
+    "synthetic_layout": f"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: {stripped('s')}), lambda s: s <> '') AS l FROM documents), r AS (SELECT doc_id, i - 1 AS row, l[i] AS t FROM l, unnest(range(1, len(l) + 1)) AS u(i))
+      SELECT doc_id, CAST(row // 47 + 1 AS INT) AS page, CAST(row AS INT) AS line_no, CAST(length(t) AS INT) AS chars, 150 AS x1, CAST(150 + (row % 47) * 44 AS INT) AS y1, CAST(150 + least(length(t) * 15, 1354) AS INT) AS x2, CAST(194 + (row % 47) * 44 AS INT) AS y2 FROM r""",
     "neighbours": f"""WITH {GRID}, p AS (SELECT a.doc_id, b.span_id, {shared('a.y1', 'a.y2', 'b.y1', 'b.y2')} AS vo, {shared('a.x1', 'a.x2', 'b.x1', 'b.x2')} AS ho, a.u, a.x1, a.x2, a.y1, a.y2, b.x1 AS bx1, b.x2 AS bx2, b.y1 AS by1, b.y2 AS by2
         FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.page = b.page AND a.span_id <> b.span_id WHERE a.n = 0),
       h AS (SELECT *, CASE WHEN vo >= 0.3 AND bx1 >= x2 - 0.3 * u AND greatest(0.0, bx1 - x2) <= 6.0 * u THEN 'right' WHEN by1 >= y2 - 0.3 * u AND (ho >= 0.15 OR abs(x1 - bx1) <= 2 * u) AND greatest(0.0, by1 - y2) <= 6.0 * u THEN 'below'
@@ -309,3 +316,15 @@ ORACLE_SQL["caption_cleanup"] = """WITH v AS (SELECT s_suppkey, s_suppkey % 4 AS
 SELECT s_suppkey, CASE m WHEN 0 THEN 'Building No./Flat No.: ' WHEN 1 THEN 'Bui1ding No./Flat No - ' WHEN 2 THEN '' ELSE 'Address of Principal Place of: Building No./Flat No.: ' END || cleaned AS raw, cleaned,
   CASE g WHEN 0 THEN 'Address of Principal Place' WHEN 1 THEN 'Legal Narne of Business' WHEN 2 THEN 'Micro' WHEN 3 THEN 'Type of Thing' WHEN 4 THEN 'Trade Name, if any' ELSE 'Acme Trading ' || s_suppkey END AS name,
   CASE WHEN g = 5 THEN 0 ELSE 1 END AS leak FROM v"""
+
+# A row's place is told from the row before it, one step for each row.
+ORACLE_SQL["block_layout"] = f"""WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  a AS (SELECT doc_id, i - 1 AS i, l[i] AS t, (i - 1) // 4 AS g, (i - 1) // 4 % 2 = 1 AS tab FROM l, unnest(range(1, len(l) + 1)) AS u(i)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, CASE WHEN NOT tab AND i % 4 = 0 THEN 66.0::DOUBLE ELSE 44.0::DOUBLE END AS h,
+    max(len(string_split(t, ', '))) OVER (PARTITION BY doc_id, g) AS cols FROM a WHERE tab OR {stripped('t')} <> ''),
+  w AS (SELECT doc_id, n, 1 AS page, 150.0::DOUBLE AS y, h FROM r WHERE n = 1
+    UNION ALL SELECT r.doc_id, r.n, CASE WHEN w.y + w.h > 2188 THEN w.page + 1 ELSE w.page END, CASE WHEN w.y + w.h > 2188 THEN 150.0::DOUBLE ELSE w.y + w.h END, r.h FROM w JOIN r ON r.doc_id = w.doc_id AND r.n = w.n + 1),
+  c AS (SELECT doc_id, n, i % 4 AS row_no, k - 1 AS col_no, {stripped("string_split(t, ', ')[k]")} AS t, 1354.0::DOUBLE / cols AS wide FROM r, unnest(range(1, len(string_split(t, ', ')) + 1)) AS u(k) WHERE tab
+    UNION ALL SELECT doc_id, n, NULL, NULL, {stripped('t')}, least(length({stripped('t')}) * 15.0::DOUBLE, 1354.0::DOUBLE) FROM r WHERE NOT tab)
+SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY n, col_no) - 1 AS INT) AS span_no, CAST(length(t) AS INT) AS chars, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no,
+  150.0::DOUBLE + coalesce(col_no, 0) * wide AS x1, y AS y1, 150.0::DOUBLE + coalesce(col_no, 0) * wide + wide AS x2, y + h AS y2 FROM c JOIN w USING (doc_id, n) WHERE t <> ''"""

@@ -546,6 +546,23 @@ def customer_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("packet_id", "company_name", "billing_address", "city", "state", "zip_code", "pan_number", "type", F.col("bank_details.ifsc_code").alias("ifsc_code"), F.array_join("review", ",").alias("review"))
 
 
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, blocks): four lines of every document in turn as paragraphs, the first one a higher heading, and as a table."""
+    lines = F.col("lines")
+    table_of = lambda own: F.array(F.struct(F.lit(None).cast("string").alias("text"), F.transform(own, lambda s: F.split(s, ", ")).alias("cells"), F.lit(None).cast("double").alias("height")))
+    paragraphs = lambda own: F.transform(own, lambda s, j: F.struct(s.alias("text"), F.lit(None).cast("array<array<string>>").alias("cells"), F.when(j == 0, 66.0).alias("height")))
+    own = lambda g: F.slice(lines, g * 4 + 1, F.lit(4))
+    stretches = F.sequence(F.lit(0), F.expr("(size(lines) - 1) div 4").cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    return docs.select("doc_id", F.flatten(F.transform(stretches, lambda g: F.when(g % 2 == 1, table_of(own(g))).otherwise(paragraphs(own(g))))).alias("blocks"))
+
+
+def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs and tables of every document as spans on pages."""
+    out = L.block_layout(text_blocks(spark, sf_dir))
+    return out.select("doc_id", "page", F.col("order").alias("span_no"), F.length("text").alias("chars"), F.col("row").alias("row_no"), F.col("col").alias("col_no"), "x1", "y1", "x2", "y2")
+
+
 def back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets whose first address line holds the whole address, put in order by what it was resolved to."""
     k = F.col("packet_id")
