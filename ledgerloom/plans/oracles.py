@@ -326,5 +326,5 @@ ORACLE_SQL["block_layout"] = f"""WITH RECURSIVE l AS (SELECT doc_id, string_spli
     UNION ALL SELECT r.doc_id, r.n, CASE WHEN w.y + w.h > 2188 THEN w.page + 1 ELSE w.page END, CASE WHEN w.y + w.h > 2188 THEN 150.0::DOUBLE ELSE w.y + w.h END, r.h FROM w JOIN r ON r.doc_id = w.doc_id AND r.n = w.n + 1),
   c AS (SELECT doc_id, n, i % 4 AS row_no, k - 1 AS col_no, {stripped("string_split(t, ', ')[k]")} AS t, 1354.0::DOUBLE / cols AS wide FROM r, unnest(range(1, len(string_split(t, ', ')) + 1)) AS u(k) WHERE tab
     UNION ALL SELECT doc_id, n, NULL, NULL, {stripped('t')}, least(length({stripped('t')}) * 15.0::DOUBLE, 1354.0::DOUBLE) FROM r WHERE NOT tab)
-SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY n, col_no) - 1 AS INT) AS span_no, CAST(length(t) AS INT) AS chars, CAST(row_no AS INT) AS row_no, CAST(col_no AS INT) AS col_no,
+SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY n, col_no) - 1 AS INT) AS span_no, CAST(length(t) AS INT) AS chars, CAST(coalesce(row_no, -1) AS INT) AS row_no, CAST(coalesce(col_no, -1) AS INT) AS col_no,
   150.0::DOUBLE + coalesce(col_no, 0) * wide AS x1, y AS y1, 150.0::DOUBLE + coalesce(col_no, 0) * wide + wide AS x2, y + h AS y2 FROM c JOIN w USING (doc_id, n) WHERE t <> ''"""

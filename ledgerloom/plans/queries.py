@@ -560,7 +560,7 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs and tables of every document as spans on pages."""
     out = L.block_layout(text_blocks(spark, sf_dir))
-    return out.select("doc_id", "page", F.col("order").alias("span_no"), F.length("text").alias("chars"), F.col("row").alias("row_no"), F.col("col").alias("col_no"), "x1", "y1", "x2", "y2")
+    return out.select("doc_id", "page", F.col("order").alias("span_no"), F.length("text").alias("chars"), F.coalesce("row", F.lit(-1)).alias("row_no"), F.coalesce("col", F.lit(-1)).alias("col_no"), "x1", "y1", "x2", "y2")
 
 
 def back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
