@@ -133,3 +133,18 @@ def address_block(outcomes: DataFrame, by: str) -> DataFrame:
     scored = F.count("*") - F.count_if(F.col("outcome") == "correctly_absent")
     good = F.count_if(F.col("outcome") == "correct")
     return own.groupBy(by).agg(F.count("*").alias("fields"), (bad == 0).alias("exact"), F.bround(100.0 * good / F.nullif(scored, F.lit(0)), 1).alias("field_accuracy"))
+
+
+def report_json(outcomes: DataFrame, key: str = "packet_id") -> DataFrame:
+    """(packet, body): the evaluation of each packet as JSON: counts and rates, the address block (null without address fields)
+    and each field's outcome with what was expected and extracted, by field; blank texts are null."""
+    shown = lambda c: F.when(F.btrim(F.coalesce(F.col(c), F.lit(""))) != "", F.col(c)).alias(c)
+    expected = F.when(~F.coalesce("absent", F.lit(False)), F.col("expected")).alias("expected")
+    results = outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("field", "outcome", expected, shown("extracted")))).alias("results"))
+    block = address_block(outcomes, key)
+    block = block.select(key, F.struct(*[c for c in block.columns if c != key]).alias("address_block"))
+    summary = outcome_summary(outcomes, key)
+    names = [c for c in summary.columns if c != key]
+    x = results.join(summary, key).join(block, key, "left")
+    body = F.struct(F.col(key).cast("string").alias("vendor_id"), F.struct(*names, "address_block").alias("summary"), "results")
+    return x.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))

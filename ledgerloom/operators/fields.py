@@ -66,8 +66,8 @@ def without_junk(candidates: DataFrame, keys: tuple[str, ...] = ("packet_id", "f
     return candidates.withColumn("good", good).where(~junk | (F.col("good") == 0)).drop("good")
 
 
-def chosen(candidates: DataFrame, keys: tuple[str, ...] = ("packet_id", "field")) -> DataFrame:
-    """One value per field and up to five alternatives.
+def chosen(candidates: DataFrame, keys: tuple[str, ...] = ("packet_id", "field"), also: tuple[str, ...] = ()) -> DataFrame:
+    """One value per field, with the columns named by ``also`` of the same candidate, and up to five alternatives.
 
     Only expected document types count where any is there; within TIE_BAND of the best of these the
     document type's precedence decides, then the kind, then the score. Alternatives come from the first six
@@ -84,7 +84,8 @@ def chosen(candidates: DataFrame, keys: tuple[str, ...] = ("packet_id", "field")
     others = F.slice(F.array_sort(F.collect_list(F.when((F.col("rank") <= 6) & (F.col("turn") > 1), F.struct("rank", "value")))), 1, 5)
     win = lambda c: F.max(F.when(F.col("turn") == 1, F.col(c)))
     return pool.groupBy(*keys).agg(
-        win("value").alias("value"), win("score").alias("score"), win("doc_type").alias("doc_type"), win("kind").alias("kind"), others["value"].alias("alternatives")
+        win("value").alias("value"), win("score").alias("score"), win("doc_type").alias("doc_type"), win("kind").alias("kind"), others["value"].alias("alternatives"),
+        *[win(c).alias(c) for c in also],
     )
 
 

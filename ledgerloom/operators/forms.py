@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import titlecase
+from ledgerloom.operators.fields import packet_summary
 
 # Form field to extraction field, where the names differ or are tried in turn, and document names.
 VENDOR_FIELDS = {
@@ -116,3 +117,53 @@ def result_json(results: DataFrame, flags: DataFrame, key: str = "packet_id") ->
     x = values.join(review, F.col(key) == F.col("__key"), "left").withColumn("needs_review", F.coalesce("needs_review", F.array().cast("array<string>")))
     body = F.to_json(F.struct(F.col("values").alias("canonical"), "needs_review"), {"ignoreNullFields": "false"})
     return x.select(key, "values", "needs_review", body.alias("body"))
+
+
+# Reasons that only warn; all others are errors.
+WARNINGS = ("value_resolved_from_combined_address", "value_derived_not_printed", "validation_warning", "cross_document_mismatch", "pin_state_mismatch")
+
+
+def nested_result(extracted: dict[str, DataFrame], order: list[str], documents: DataFrame | None = None, key: str = "packet_id") -> DataFrame:
+    """(packet, body): everything that was found, as JSON with the flat record, each field with its source, status and
+    alternatives, the review list with confidence and severity, the documents and a summary; fields as in ``order``.
+
+    ``extracted`` has results and flags, and agreement and findings where there are any. ``documents`` (key, doc_id, path,
+    doc_type) names the sources; without it they stay numbers. A packet without results has no row; one field's rows
+    are few, so every group is one packet's."""
+    results, flags = extracted["results"], extracted["flags"]
+    text, none = F.lit("").cast("string"), F.array().cast("array<string>")
+    for c, kind in (("doc_id", "long"), ("page", "int"), ("caption", "string"), ("kind", "string"), ("alternatives", "array<string>")):
+        if c not in results.columns:
+            results = results.withColumn(c, F.lit(None).cast(kind))
+    summary = packet_summary(results).select(F.col("packet_id").alias("__key"), F.struct("total", "filled", "empty", "valid", "fill_rate").alias("summary"))
+    if extracted.get("findings") is not None:
+        told = extracted["findings"].where(~F.col("ok")).groupBy(key, "field").agg(F.array_sort(F.collect_list("validator")).alias("messages"))
+        results = results.join(told, [key, "field"], "left")
+    if extracted.get("agreement") is not None:
+        results = results.join(extracted["agreement"].select(key, "field", "agreement"), [key, "field"], "left")
+    if documents is not None:
+        name = F.element_at(F.split("path", "/"), -1)
+        results = results.join(documents.select(key, "doc_id", name.alias("source")), [key, "doc_id"], "left")
+    maybe = lambda c, other: F.coalesce(F.col(c), other) if c in results.columns else other
+    one = F.struct(
+        F.nullif("value", text).alias("value"), F.bround(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"), maybe("source", F.col("doc_id").cast("string")).alias("source_document"),
+        F.col("page").alias("source_page"), F.col("caption").alias("matched_label"), F.col("kind").alias("match_kind"), F.col("status").alias("validation_status"),
+        maybe("messages", none).alias("validation_messages"), maybe("agreement", F.lit("not_checked")).alias("consistency"), F.coalesce("alternatives", none).alias("alternatives"),
+    )
+    fields = results.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", one.alias("one")))).alias("by"))
+    sure = results.select(key, "field", F.bround(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"))
+    severity = F.when(F.col("reason").isin(*WARNINGS), "warning").otherwise("error").alias("severity")
+    flagged = flags.join(sure, [key, "field"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stage", "field", "reason", "confidence", severity))).alias("r"))
+    flagged = flagged.select(F.col(key).alias("__packet"), F.transform("r", lambda x: x.dropFields("stage")).alias("needs_review"))
+    x = fields.join(summary, F.col(key) == F.col("__key"), "left").join(flagged, F.col(key) == F.col("__packet"), "left")
+    x = x.withColumn("needs_review", F.coalesce("needs_review", F.array().cast(flagged.schema["needs_review"].dataType)))
+    if documents is not None:
+        listed = F.array_sort(F.collect_list(F.struct("doc_id", F.element_at(F.split("path", "/"), -1).alias("document"), "doc_type")))
+        own = documents.groupBy(F.col(key).alias("__of")).agg(F.transform(listed, lambda d: d.dropFields("doc_id")).alias("documents"))
+        x = x.join(own, F.col(key) == F.col("__of"), "left")
+    canonical = F.struct(*[F.col("by")[f]["value"].alias(f) for f in order], F.col("needs_review.field").alias("needs_review"))
+    of = F.struct(*[F.col("by")[f].alias(f) for f in order])
+    docs = [F.coalesce("documents", F.array().cast(x.schema["documents"].dataType)).alias("documents")] if documents is not None else []
+    whole = F.struct("summary.*", F.size("needs_review").alias("needs_review"))
+    body = F.to_json(F.struct(canonical.alias("canonical"), of.alias("fields"), "needs_review", *docs, whole.alias("summary")), {"ignoreNullFields": "false"})
+    return x.select(key, body.alias("body"))

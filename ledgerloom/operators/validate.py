@@ -93,19 +93,21 @@ def passes(rule: Rule, value: Column, row: dict[str, Column]) -> Column:
     return F.when((strip(text) != "") & full_match(strip(source), ["[0-9]{6}"]), F.lower(want) == F.lower(got))
 
 
-def findings(packets: DataFrame, fields: list[str], key: str = "packet_id") -> DataFrame:
-    """(packet, field, validator, severity, ok) of a wide table; a value-less field has no findings.
+def findings(packets: DataFrame, fields: list[str], key: str = "packet_id", rules: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(packet, field, validator, severity, ok) of a wide table; a value-less field has no findings. ``rules`` names each field's
+    validators (``FIELD_RULES`` if not given).
 
     One projection and one explode; ``pin_state`` and ``canonical_state`` come from ``with_pin_state``, if joined."""
+    rules = FIELD_RULES if rules is None else rules
     row = {c: F.col(c) for c in packets.columns}
     row.setdefault("pin_state", F.lit(None).cast("string"))
     row.setdefault("canonical_state", F.lit(None).cast("string"))
     judged = F.array(*[
         F.struct(F.lit(f).alias("field"), F.lit(name).alias("validator"), F.lit(RULES[name].severity).alias("severity"), passes(RULES[name], F.col(f), row).alias("ok"))
         for f in fields
-        for name in FIELD_RULES.get(f, ())
-        if not RULES[name].derived or RULES[name].source in row
-    ])
+        for name in rules.get(f, ())
+        if not RULES[name].derived or {RULES[name].source, RULES[name].target or RULES[name].source} <= set(row)
+    ]).cast("array<struct<field:string,validator:string,severity:string,ok:boolean>>")
     empty = {f: F.coalesce(F.col(f), F.lit("")) == "" for f in fields}
     has_value = F.coalesce(*[F.when(F.col("x.field") == f, ~empty[f]) for f in fields])
     return packets.select(key, *fields, F.explode(judged).alias("x")).where(has_value & F.col("x.ok").isNotNull()).select(key, "x.*")

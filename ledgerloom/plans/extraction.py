@@ -42,6 +42,7 @@ class Field:
     consistent: bool = True
     priority: int = 50
     derive: tuple[str, str] | None = None
+    validators: tuple[str, ...] | None = None  # None: those that FIELD_RULES gives the field's name
 
 
 #: What a field can be derived from another one by: the rule's expression of the source value.
@@ -60,6 +61,16 @@ class Places:
     keywords: segments.Keywords = segments.Keywords({})
 
 
+def rules_of(dictionary: dict[str, Field]) -> dict[str, tuple[str, ...]]:
+    """The validators of each field."""
+    return {n: validate.FIELD_RULES.get(n, ()) if f.validators is None else f.validators for n, f in dictionary.items()}
+
+
+def by_priority(dictionary: dict[str, Field]) -> list[str]:
+    """The fields, those of high priority first, equal ones in the order of the dictionary."""
+    return sorted(dictionary, key=lambda n: -dictionary[n].priority)
+
+
 def derivation_order(dictionary: dict[str, Field]) -> list[str]:
     """The derived fields, each after what it is derived from. Unknown rules and fields and circles are refused."""
     for name, f in dictionary.items():
@@ -81,6 +92,8 @@ def check(dictionary: dict[str, Field]) -> None:
             raise ValueError(f"{name}: neither captions nor patterns")
         if bad := [op for op in f.normalisers if op not in NORMALISERS]:
             raise ValueError(f"{name}: unknown normalisers {bad}")
+        if bad := [v for v in f.validators or () if v not in validate.RULES]:
+            raise ValueError(f"{name}: undefined validators {bad}")
         if bad := set(f.directions) - {"right", "below", "left", "above"}:
             raise ValueError(f"{name}: unknown directions {sorted(bad)}")
     derivation_order(dictionary)
@@ -122,13 +135,13 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     text, confidence and the box."""
     hits = captions.caption_hits(spans, {n: list(f.captions) for n, f in dictionary.items() if f.captions}, {n: "|".join(f.patterns) for n, f in dictionary.items() if f.patterns})
     keep = ("packet_id", "doc_id", "doc_type", "page", "span_id")
-    inline = hits.where("rest <> ''").select(*keep, "confidence", "field", "similarity", F.lit(1.0).alias("proximity"), F.lit("inline").alias("kind"), F.col("rest").alias("raw"), F.lit(False).alias("label_like"))
+    inline = hits.where("rest <> ''").select(*keep, "confidence", "field", "caption", "similarity", F.lit(1.0).alias("proximity"), F.lit("inline").alias("kind"), F.col("rest").alias("raw"), F.lit(False).alias("label_like"))
     whole = hits.where("rest = ''")
     units = spans.groupBy(*layout.PACKET_PAGE).agg(F.coalesce(F.percentile(F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")), 0.5), F.lit(1.0)).alias("usual"))
     marked = whole.select(*layout.PACKET_PAGE, "span_id", "x1", "y1", "x2", "y2").distinct().join(units, list(layout.PACKET_PAGE))
     marked = marked.withColumn("unit", F.when(F.col("y2") > F.col("y1"), F.col("y2") - F.col("y1")).otherwise(F.col("usual"))).drop("usual")
     near = layout.neighbours(marked, spans, 12.0, layout.PACKET_PAGE).select("packet_id", "a_span_id", "b_span_id", "direction", "distance_ratio", "same_line")
-    asked = whole.select("packet_id", F.col("span_id").alias("a_span_id"), "field", "similarity")
+    asked = whole.select("packet_id", F.col("span_id").alias("a_span_id"), "field", "caption", "similarity")
     # The whole value that begins beside a caption: over the spans to its right and the rows below that go on with it.
     starts = near.select("packet_id", F.col("b_span_id").alias("span_id"), F.lit(True).alias("start")).distinct()
     captions_ = hits.select("packet_id", "span_id", F.lit(True).alias("label_like")).distinct()
@@ -139,7 +152,7 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     beside = (
         asked.join(near, ["packet_id", "a_span_id"]).where(F.coalesce(by_field(dictionary, lambda f: F.col("direction").isin(*f.directions)), F.lit(False)))
         .join(values.withColumnRenamed("span_id", "b_span_id"), ["packet_id", "b_span_id"]).withColumnRenamed("b_span_id", "span_id")
-        .select(*keep, "confidence", "field", "similarity", (1 - F.col("distance_ratio")).alias("proximity"), F.when(F.col("same_line"), "adjacent_same_line").otherwise("adjacent").alias("kind"),
+        .select(*keep, "confidence", "field", "caption", "similarity", (1 - F.col("distance_ratio")).alias("proximity"), F.when(F.col("same_line"), "adjacent_same_line").otherwise("adjacent").alias("kind"),
                 F.col("value").alias("raw"))
     )
     known = {n: list(f.captions) for n, f in dictionary.items() if f.captions}
@@ -150,7 +163,7 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     scanned = spans.select(*keep, "confidence", F.explode(F.array(*[
         F.struct(F.lit(n).alias("field"), find_matches(F.col("text"), list(f.patterns)).alias("found")) for n, f in dictionary.items() if f.patterns
     ])).alias("x")).select(*keep, "confidence", "x.field", F.explode("x.found").alias("raw"))
-    loose = fields.pattern_only(scanned, claimed, ("packet_id", "field", "span_id")).select(*keep, "confidence", "field", F.lit(0.0).alias("similarity"), F.lit(0.0).alias("proximity"), F.lit("pattern_only").alias("kind"), "raw", F.lit(False).alias("label_like"))
+    loose = fields.pattern_only(scanned, claimed, ("packet_id", "field", "span_id")).select(*keep, "confidence", "field", F.lit(None).cast("string").alias("caption"), F.lit(0.0).alias("similarity"), F.lit(0.0).alias("proximity"), F.lit("pattern_only").alias("kind"), "raw", F.lit(False).alias("label_like"))
     pooled = inline.unionByName(beside).unionByName(loose)
     pooled = pooled.withColumn("d", by_field(dictionary, lambda f: derived(f, F.col("raw"))))
     refused = {n: f.exclude for n, f in dictionary.items() if f.exclude}
@@ -159,7 +172,7 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     expected = by_field(dictionary, lambda f: F.col("doc_type").isin(*f.expected) if f.expected else F.lit(None).cast("boolean"))
     order = F.struct("doc_id", "page", "span_id", fields.of(fields.KIND_RANK, F.col("kind")).alias("k"), (-F.col("proximity")).alias("p"), "raw")
     return pooled.select(
-        "packet_id", "doc_id", "doc_type", "field", F.col("d.value").alias("value"), F.col("d.matched").alias("matched"), "kind", F.col("similarity").alias("label_similarity"), "proximity",
+        "packet_id", "doc_id", "doc_type", "page", "caption", "field", F.col("d.value").alias("value"), F.col("d.matched").alias("matched"), "kind", F.col("similarity").alias("label_similarity"), "proximity",
         F.col("confidence").alias("ocr_confidence"), by_field(dictionary, lambda f: F.lit(bool(f.patterns))).alias("has_pattern"), expected.alias("expected_doc"), "label_like",
         foreign(dictionary).alias("foreign"), by_field(dictionary, lambda f: F.lit(f.text and not f.patterns)).alias("is_text"), order.alias("cand_ord"),
     )
@@ -202,11 +215,12 @@ def with_derived(results: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
 
 
 def extract(spans: DataFrame, dictionary: dict[str, Field], places: Places | None = None) -> dict[str, DataFrame]:
-    """results (one row per packet and field), flags, agreement and the wide canonical record."""
+    """results (one row per packet and field), flags, agreement, findings and the wide canonical record."""
     check(dictionary)
     names = list(dictionary)
     pool = fields.scored(candidates(spans, dictionary), WEIGHTS)
-    plain = {n: [validate.RULES[r] for r in validate.FIELD_RULES.get(n, ()) if not validate.RULES[r].derived] for n in names}
+    rules = rules_of(dictionary)
+    plain = {n: [validate.RULES[r] for r in rules[n] if not validate.RULES[r].derived] for n in names}
 
     def status(n: str) -> Column:
         out = F.lit("valid") if plain[n] else F.lit(None).cast("string")
@@ -216,7 +230,7 @@ def extract(spans: DataFrame, dictionary: dict[str, Field], places: Places | Non
 
     judged = F.coalesce(*[F.when(F.col("field") == n, status(n)) for n in names])
     pool = written(fields.biased(fields.without_junk(pool).withColumn("status", judged)), "extract-pool")
-    best = fields.chosen(pool).withColumnRenamed("score", "confidence")
+    best = fields.chosen(pool, also=("doc_id", "page", "caption")).withColumnRenamed("score", "confidence")
     every = spans.select("packet_id").distinct().select("packet_id", F.explode(F.array(*map(F.lit, names))).alias("field"))
     results = every.join(best, ["packet_id", "field"], "left")
     results = with_addresses(results, places, names) if places and "address_1" in names else results.withColumn("resolved", F.lit(False))
@@ -224,10 +238,10 @@ def extract(spans: DataFrame, dictionary: dict[str, Field], places: Places | Non
     wide = fields.canonical(results, names)
     if places and places.pins is not None and {"pin_code", "state"} <= set(names):
         wide = validate.with_pin_state(wide, places.pins, places.states)
-    findings = validate.findings(wide, names)
+    findings = validate.findings(wide, names, rules=rules)
     results = results.join(validate.statuses(findings), ["packet_id", "field"], "left").withColumn("status", validate.or_missing(F.col("status"), F.col("value")))
     results = fields.with_defaults(results, {n: f.default for n, f in dictionary.items() if f.default} or {"": ""})
     compared = [n for n, f in dictionary.items() if f.consistent]
     agreement = validate.consistency(pool.where((F.col("score") >= fields.LEAST_ACCEPTED) & F.col("field").isin(*compared)))
     flags = fields.review_flags(results, tuple(n for n, f in dictionary.items() if f.required), agreement, findings)
-    return {"results": results, "flags": flags, "agreement": agreement, "canonical": fields.canonical(results, names)}
+    return {"results": results, "flags": flags, "agreement": agreement, "findings": findings, "canonical": fields.canonical(results, names)}

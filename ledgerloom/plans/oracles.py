@@ -328,3 +328,10 @@ ORACLE_SQL["block_layout"] = f"""WITH RECURSIVE l AS (SELECT doc_id, string_spli
     UNION ALL SELECT doc_id, n, NULL, NULL, {stripped('t')}, least(length({stripped('t')}) * 15.0::DOUBLE, 1354.0::DOUBLE) FROM r WHERE NOT tab)
 SELECT doc_id, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY n, col_no) - 1 AS INT) AS span_no, CAST(length(t) AS INT) AS chars, CAST(coalesce(row_no, -1) AS INT) AS row_no, CAST(coalesce(col_no, -1) AS INT) AS col_no,
   150.0::DOUBLE + coalesce(col_no, 0) * wide AS x1, y AS y1, 150.0::DOUBLE + coalesce(col_no, 0) * wide + wide AS x2, y + h AS y2 FROM c JOIN w USING (doc_id, n) WHERE t <> ''"""
+
+ORACLE_SQL["eval_report"] = f"""WITH {V}, {TRUTH} SELECT packet_id, count(*) AS total, round_even(100.0 * count(*) FILTER (WHERE outcome IN ('correct', 'correctly_absent')) / count(*), 1) AS accuracy,
+  count(*) FILTER (WHERE f IN ('pin_code', 'state', 'city', 'address_1', 'address_2')) AS block_fields,
+  string_agg(f || ':' || outcome || CASE WHEN outcome IN ('hallucinated', 'correctly_absent') THEN ':-' ELSE '' END || CASE WHEN outcome IN ('missed', 'correctly_absent') THEN ':/' ELSE '' END, ',' ORDER BY f) AS told FROM o GROUP BY packet_id"""
+ORACLE_SQL["nested_result"] = f"""WITH s AS ({ORACLE_SQL['packet_summary']}), r AS ({ORACLE_SQL['review_flags']}), c AS ({ORACLE_SQL['canonical_pivot']}),
+  g AS (SELECT packet_id, count(*) AS n, string_agg(field_name, ',' ORDER BY stage, field_name, reason) AS names, string_agg(reason, ',' ORDER BY stage, field_name, reason) AS reasons FROM r GROUP BY packet_id)
+SELECT packet_id, total, filled, valid, coalesce(n, 0) AS n_review, gst_number, country, coalesce(names, '') AS review, coalesce(reasons, '') AS reasons FROM s JOIN c USING (packet_id) LEFT JOIN g USING (packet_id)"""

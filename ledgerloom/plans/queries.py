@@ -301,6 +301,29 @@ def address_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.address_block(truth_and_values(spark, sf_dir), "packet_id")
 
 
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation of every packet as JSON, and what is read back from it."""
+    body = E.report_json(truth_and_values(spark, sf_dir))
+    at = lambda p: F.get_json_object("body", f"$.{p}")
+    rows = F.from_json(at("results"), "array<struct<field:string,outcome:string,expected:string,extracted:string>>")
+    told = F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["field"], r["outcome"], F.when(r["expected"].isNull(), "-"), F.when(r["extracted"].isNull(), "/"))), ",")
+    return body.select(
+        "packet_id", at("summary.total").cast("long").alias("total"), at("summary.accuracy").cast("double").alias("accuracy"), at("summary.address_block.fields").cast("long").alias("block_fields"), told.alias("told")
+    )
+
+
+def nested_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every packet's whole result as JSON, and what is read back from it."""
+    results = FI.with_defaults(long_results(spark, sf_dir), {"country": "India"})
+    found = {"results": results, "flags": FI.review_flags(results, ("vendor_name", "gst_number", "pan")), "findings": V.findings(vendors(spark, sf_dir), RULED)}
+    at = lambda p: F.get_json_object("body", f"$.{p}")
+    reasons = F.from_json(at("needs_review"), "array<struct<reason:string>>")["reason"]
+    return FO.nested_result(found, RULED).select(
+        "packet_id", at("summary.total").cast("long").alias("total"), at("summary.filled").cast("long").alias("filled"), at("summary.valid").cast("long").alias("valid"), at("summary.needs_review").cast("long").alias("n_review"),
+        at("canonical.gst_number").alias("gst_number"), at("fields.country.value").alias("country"), F.array_join(F.from_json(at("canonical.needs_review"), "array<string>"), ",").alias("review"), F.array_join(reasons, ",").alias("reasons"),
+    )
+
+
 def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names against a few captions: the best caption by similarity, first in order on ties."""
     parts = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()

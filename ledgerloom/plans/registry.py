@@ -15,7 +15,7 @@ NAMES = (
     "pattern_only_anti", "canonical_pivot", "packet_summary", "review_flags", "cross_doc_consistency", "lookup_state_city", "records_page", "find_duplicates", "unique_violations",
     "patch_records", "delete_records", "upsert_records", "mark_pushed", "erp_payload", "verify_cells", "eval_outcomes", "address_block", "label_similarity", "gap_groups", "caption_match", "address_resolve",
     "address_segment", "record_insert", "payloads", "customer_form", "back_fill", "address_eval", "sheet_fill",
-    "word_break", "address_lines", "extract_packets", "lookup_build", "city_build", "caption_cleanup", "block_layout",
+    "word_break", "address_lines", "extract_packets", "lookup_build", "city_build", "caption_cleanup", "block_layout", "eval_report", "nested_result",
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: getattr(Q, n) for n in NAMES}
 

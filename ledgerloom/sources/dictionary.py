@@ -13,7 +13,7 @@ from ledgerloom.operators import validate
 from ledgerloom.operators.segments import Keywords, Tier
 from ledgerloom.plans.extraction import Field, check
 
-FIELD_KEYS = {f.name for f in dataclasses.fields(Field)} | {"validators"}
+FIELD_KEYS = {f.name for f in dataclasses.fields(Field)}
 
 
 def text(spark: SparkSession, path: str) -> str | None:
@@ -50,7 +50,7 @@ def fields(source: str) -> dict[str, Field]:
         for key in ("patterns", "exclude"):
             for p in own.get(key, []):
                 compiled(p, name)
-        given = {k: tuple(v) if isinstance(v, list) else v for k, v in own.items() if k != "validators"}
+        given = {k: tuple(v) if isinstance(v, list) else v for k, v in own.items()}
         aliases = own.get("aliases", {})
         given["aliases"] = tuple((compiled(p, name), canonical) for canonical, ps in aliases.items() for p in ([ps] if isinstance(ps, str) else ps))
         out[name] = Field(**({"captions": (), "consistent": False} | given))

@@ -1,6 +1,9 @@
+import json
+
 import pytest
 
-from ledgerloom.plans.extraction import Field, extract
+from ledgerloom.operators.forms import nested_result
+from ledgerloom.plans.extraction import Field, by_priority, extract
 
 DICTIONARY = {
     "vendor_name": Field(("legal name", "name of enterprise"), expected=("gst_certificate",), required=True),
@@ -27,6 +30,19 @@ def test_packets_to_records(spark):
     flags = {(r["packet_id"], r["field"], r["reason"]) for r in out["flags"].collect()}
     assert {("p2", "vendor_name", "missing_required_field"), ("p2", "gst_number", "missing_required_field"), ("p1", "vendor_name", "cross_document_mismatch")} <= flags
     assert not any(p == "p1" and reason == "missing_required_field" for p, _, reason in flags)
+    papers = spark.createDataFrame([("p1", 1, "in/a.pdf", "gst_certificate"), ("p1", 2, "b.png", "cancelled_cheque"), ("p1", 7, "c.png", "other"), ("p2", 3, "d.pdf", None)], "packet_id string, doc_id long, path string, doc_type string")
+    body = {r["packet_id"]: json.loads(r["body"]) for r in nested_result(out, list(DICTIONARY), papers).collect()}
+    one = body["p1"]
+    assert list(one["canonical"]) == [*DICTIONARY, "needs_review"] and one["canonical"]["pan"] == "ABCDE1234F" and body["p2"]["canonical"]["vendor_name"] is None
+    pan, country = one["fields"]["pan"], one["fields"]["country"]
+    assert (pan["source_document"], pan["source_page"], pan["matched_label"], pan["match_kind"], pan["validation_status"]) == ("a.pdf", 1, "pan", "adjacent_same_line", "valid")
+    assert (country["value"], country["confidence"], country["source_document"]) == ("India", 1.0, None) and one["fields"]["email"]["match_kind"] == "pattern_only"
+    assert one["fields"]["vendor_name"]["consistency"] == "inconsistent"
+    assert [d["document"] for d in one["documents"]] == ["a.pdf", "b.png", "c.png"] and one["documents"][1]["doc_type"] == "cancelled_cheque"
+    mismatch = next(x for x in one["needs_review"] if x["reason"] == "cross_document_mismatch")
+    assert mismatch["field"] == "vendor_name" and mismatch["severity"] == "warning" and 0 < mismatch["confidence"] <= 1
+    assert one["canonical"]["needs_review"] == [x["field"] for x in one["needs_review"]] and one["summary"]["needs_review"] == len(one["needs_review"])
+    assert {k: body["p2"]["summary"][k] for k in ("total", "filled", "empty", "fill_rate")} == {"total": 5, "filled": 2, "empty": 3, "fill_rate": 40.0}
 
 
 @pytest.mark.parametrize("bad", [Field((), ()), Field(("a",), normalisers=("nope",)), Field(("a",), directions=("up",))])
@@ -90,3 +106,20 @@ def test_derived_fields_follow_their_sources(spark, monkeypatch):
 def test_derivations_are_checked(spark, bad):
     with pytest.raises(ValueError, match="a: |b: "):
         extract(spark.createDataFrame([], "packet_id string"), bad)
+
+
+def test_validators_of_the_dictionary_run(spark):
+    """A field's own validators replace those of its name; none at all means that it is not validated."""
+    dictionary = {
+        "pan": Field(("pan",), ("[A-Z0-9]+",), validators=()), "code": Field(("code",), ("[0-9]+",), validators=("pin_format",), priority=90),
+        "state": Field(("state",), priority=90), "tan": Field(("tan",), ("[A-Z0-9]+",)),
+    }
+    rows = page("p", 0, "other", [("PAN: 12", 0, 0), ("Code: 12", 0, 40), ("State: Goa", 0, 80), ("TAN: 12", 0, 120)])
+    rows += page("q", 0, "other", [("Code: 560001", 0, 40), ("State: Atlantis", 0, 80)])
+    spans = spark.createDataFrame(rows, "packet_id string, doc_id long, doc_type string, page int, span_id long, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["packet_id"], r["field"]): r["status"] for r in extract(spans, dictionary)["results"].collect()}
+    assert (got["p", "pan"], got["p", "code"], got["p", "state"], got["p", "tan"]) == ("not_validated", "invalid", "valid", "invalid")
+    assert (got["q", "code"], got["q", "state"]) == ("valid", "warning")
+    assert by_priority(dictionary) == ["code", "state", "pan", "tan"]
+    with pytest.raises(ValueError, match="x: undefined validators"):
+        extract(spans, {"x": Field(("x",), validators=("nope",))})

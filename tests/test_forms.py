@@ -116,7 +116,7 @@ def test_dictionary_files(spark, tmp_path):
     path = tmp_path / "fields.json"
     path.write_text(json.dumps(FIELDS))
     got = dictionary.fields(dictionary.text(spark, str(path)))
-    assert list(got) == ["pan", "country"] and got["pan"].required and not got["pan"].consistent and got["country"].aliases == (("(?i)bharat", "India"), ("(?i)ind", "India"))
+    assert list(got) == ["pan", "country"] and got["pan"].required and not got["pan"].consistent and got["pan"].validators == ("pan_format",) and got["country"].validators is None and got["country"].aliases == (("(?i)bharat", "India"), ("(?i)ind", "India"))
     assert dictionary.text(spark, str(tmp_path / "none.json")) is None and dictionary.profiles(None) == {} and not dictionary.keywords("{broken").tiers
     kw = dictionary.keywords(json.dumps({"tiers": {"locality": {"level": 4, "tail": ["NAGAR"]}}, "priority": ["locality"]}))
     assert kw.tiers["locality"].tail == ("nagar",) and dictionary.profiles('{"a": {"content": ["x"]}}') == {"a": ((), ("x",))}
@@ -173,3 +173,38 @@ def test_lookups_are_built_and_published(spark, tmp_path):
     assert [tuple(r) for r in lookups.pin_directory(spark, f"{folder}/pins").orderBy("pin").collect()] == [("403001", "Goa", "42"), ("700019", "West Bengal", "Kolkata")]
     with pytest.raises(FileExistsError):
         lookups.publish(tables, folder)
+
+
+def test_document_sets_as_json(spark):
+    """Nothing is lost on the way to JSON and back but what is rounded; from flat tables either."""
+    span = lambda text, **kw: {"text": text, "bbox": {"x1": 1.004, "y1": 2.0, "x2": 30.126, "y2": 12.0}, "confidence": 0.91234, "source": "ocr", "order": 0, "table": None, "synthetic_bbox": False} | kw
+    page = {"number": 1, "width": 1654.004, "height": 2338.0, "extraction_method": "docx", "ocr_reason": None, "duration_s": 0.25, "spans": [span("PAN"), span("é \"x\"", order=1, table={"table_index": 0, "row": 2, "col": 1}, synthetic_bbox=True)]}
+    empty = {"number": 2, "width": 10.0, "height": 20.0, "extraction_method": "ocr", "ocr_reason": "no_text_layer", "duration_s": 1.5, "spans": []}
+    docs = [{"path": "in/a.docx", "doc_type": "docx", "metadata": {"k": "v"}, "pages": [page, empty]}, {"path": "b.pdf", "doc_type": "pdf", "metadata": {}, "pages": []}]
+    sets = spark.createDataFrame([("p", docs), ("q", []), ("r", None)], spans.DOCUMENT_SET)
+    bodies = {r["packet_id"]: json.loads(r["body"]) for r in spans.document_set_json(sets).collect()}
+    one = bodies["p"]
+    assert (one["document_count"], one["span_count"], one["duration_s"]) == (2, 2, 1.75) and bodies["q"] == bodies["r"] == {"document_count": 0, "span_count": 0, "duration_s": 0.0, "documents": []}
+    first, second = one["documents"][0]["pages"]
+    assert one["documents"][0]["document"] == "a.docx" and one["documents"][1]["metadata"] == {} and one["documents"][0]["page_count"] == 2
+    assert "ocr_reason" not in first and second["ocr_reason"] == "no_text_layer" and second["span_count"] == 0 and first["width"] == 1654.0
+    assert first["spans"][0] == {"text": "PAN", "page": 1, "bbox": [1.0, 2.0, 30.13, 12.0], "source_document": "a.docx", "confidence": 0.9123, "source": "ocr", "order": 0}
+    assert first["spans"][1]["table"] == {"table_index": 0, "row": 2, "col": 1} and first["spans"][1]["synthetic_bbox"] is True
+    back = spans.from_document_set_json(spans.document_set_json(sets))
+    assert [r["body"] for r in spans.document_set_json(back).orderBy("packet_id").collect()] == [r["body"] for r in spans.document_set_json(sets).orderBy("packet_id").collect()]
+    assert spans.from_document_set_json(spark.createDataFrame([("x", "{broken")], "packet_id string, body string")).first()["documents"] is None
+    flat = spans.to_document_sets(spans.spans(sets), spans.pages(sets), spans.documents(sets)).where("packet_id = 'p'").first()["documents"]
+    assert [(d["path"], d["doc_type"], d["metadata"], [p["number"] for p in d["pages"]]) for d in flat] == [("in/a.docx", "docx", {"k": "v"}, [1, 2]), ("b.pdf", "pdf", {}, [])]
+    assert [s["text"] for s in flat[0]["pages"][0]["spans"]] == ["PAN", "é \"x\""] and flat[0]["pages"][1]["ocr_reason"] == "no_text_layer" and flat[0]["pages"][1]["spans"] == []
+
+
+def test_evaluation_as_json(spark):
+    truth = spark.createDataFrame([("v", "pan", "ABCDE1234F", None), ("v", "city", None, True), ("v", "state", "Goa", False), ("w", "pan", None, True)], "packet_id string, field string, expected string, absent boolean")
+    got = spark.createDataFrame([("v", "pan", " abcde 1234f"), ("v", "city", "Pune"), ("v", "state", " ")], "packet_id string, field string, value string")
+    out = evaluate.evaluate(truth.withColumn("absent", F.coalesce("absent", F.lit(False))), got)
+    body = {r["packet_id"]: json.loads(r["body"]) for r in evaluate.report_json(out).collect()}
+    assert body["v"]["vendor_id"] == "v" and [(r["field"], r["outcome"], r["expected"], r["extracted"]) for r in body["v"]["results"]] == [
+        ("city", "hallucinated", None, "Pune"), ("pan", "correct", "ABCDE1234F", " abcde 1234f"), ("state", "missed", "Goa", None)]
+    s = body["v"]["summary"]
+    assert (s["total"], s["recall"], s["precision"], s["accuracy"]) == (3, 50.0, 50.0, 33.3) and s["address_block"]["exact"] is False and s["address_block"]["fields"] == 2
+    assert body["w"]["summary"]["recall"] is None and body["w"]["summary"]["address_block"] is None
