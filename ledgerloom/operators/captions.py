@@ -80,7 +80,9 @@ def caption_hits(spans: DataFrame, captions: dict[str, list[str]], patterns: dic
             out = [(texts[i], f, *hit) for f, cs in own.items() for i, hit in captions_of(plain, cleans, cs, shapes.get(f), base)]
             yield pd.DataFrame(out, columns=["text", "field", "caption", "similarity", "rest"])
 
-    texts = spans.select("text").where((F.btrim("text") != "") & (F.length(F.btrim("text")) <= LONGEST_CAPTION)).distinct()
+    # Texts are short and their alignment costly, so they are dealt out by number: Spark would join them to few tasks by their bytes.
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = spans.select("text").where((F.btrim("text") != "") & (F.length(F.btrim("text")) <= LONGEST_CAPTION)).repartition(parts, "text").distinct()
     hits = texts.withColumn("clean", clean_label(F.col("text"))).mapInPandas(match, "text string, field string, caption string, similarity double, rest string")
     return spans.join(hits, "text")
 

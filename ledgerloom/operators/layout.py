@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from math import inf
+from statistics import median
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,10 +19,6 @@ PACKET_PAGE = ("packet_id", "doc_id", "page")  # documents are numbered inside t
 DPI, PAGE_W_IN, PAGE_H_IN, MARGIN_IN, LINE_IN, CHAR_IN = 200, 8.27, 11.69, 0.75, 0.22, 0.075
 
 
-def key_types(df: DataFrame, keys: tuple[str, ...]) -> str:
-    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-
 def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Spans beside each caption on its page: direction, same_line, distance_ratio.
 
@@ -45,31 +45,65 @@ def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0, keys
     return joined.select(*keys, "a_span_id", "b_span_id", "hit.direction", F.col("hit.ratio").alias("distance_ratio"), F.col("hit.direction").isin("right", "left").alias("same_line"))
 
 
+def pages_of(spans: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """One row a page, its spans in arrays ``s``. As many partitions as a shuffle has: the bytes of a page don't tell what a
+    fold in Python over it costs, so Spark must not join small partitions to one task."""
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spans.repartition(parts, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("s"))
+
+
+def numbers(values: Iterable[float | None]) -> list[float]:
+    return [float("nan") if v is None else float(v) for v in values]
+
+
+def known(x: float) -> float:
+    """For sorting: unknown places come last."""
+    return inf if x != x else x
+
+
+def usual_height(y1: list[float], y2: list[float]) -> float:
+    """The median of the positive heights, 1 without any."""
+    heights = [low - top for top, low in zip(y1, y2, strict=True) if low - top > 0]
+    return median(heights) if heights else 1.0
+
+
+def line_numbers(ids: list[int], x1: list[float], y1: list[float], y2: list[float]) -> tuple[list[int], list[int], list[int]]:
+    """Span ids of a page in reading order, their lines and their order."""
+    reach = max(0.6 * usual_height(y1, y2), 1.0)
+    sums: list[float] = []
+    counts: list[int] = []
+    tops: list[float] = []
+    own = [0] * len(ids)
+    for i in sorted(range(len(ids)), key=lambda i: (known(y1[i]), known(x1[i]), ids[i])):
+        cy = (y1[i] + y2[i]) / 2
+        at = next((k for k, (s, n) in enumerate(zip(sums, counts, strict=True)) if abs(s / n - cy) <= reach), None)
+        if at is None:
+            at = len(sums)
+            sums.append(0.0)
+            counts.append(0)
+            tops.append(inf)
+        sums[at] += cy
+        counts[at] += 1
+        tops[at] = min(tops[at], known(y1[i]))
+        own[i] = at
+    rank = {k: r for r, k in enumerate(sorted(range(len(tops)), key=lambda k: tops[k]))}
+    read = sorted(range(len(ids)), key=lambda i: (rank[own[i]], known(x1[i]), ids[i]))
+    return [ids[i] for i in read], [rank[own[i]] for i in read], list(range(len(ids)))
+
+
 def lines(spans: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Adds line (from 0) and order per page. In order of the upper edge and x1 a span joins the first line whose running
     mean centre lies within 0.6 of the page's median height (1 at least); this depends on the order, so it is a fold per
-    page. Lines are numbered by their upper edge. A page's spans are few; pages are the parallel units."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(cy=(pdf.y1 + pdf.y2) / 2).sort_values(["y1", "x1", "span_id"], kind="stable")
-        heights = (pdf.y2 - pdf.y1)[(pdf.y2 - pdf.y1) > 0]
-        reach = max(0.6 * (float(heights.median()) if len(heights) else 1.0), 1.0)
-        centres: list[list[float]] = []
-        own = []
-        for cy in pdf.cy:
-            at = next((i for i, (s, n) in enumerate(centres) if abs(s / n - cy) <= reach), None)
-            if at is None:
-                at = len(centres)
-                centres.append([0.0, 0])
-            centres[at][0] += cy
-            centres[at][1] += 1
-            own.append(at)
-        top = pdf.groupby(own)["y1"].min()
-        rank = {i: k for k, i in enumerate(sorted(top.index, key=lambda i: top[i]))}
-        pdf = pdf.assign(line=[rank[i] for i in own]).sort_values(["line", "x1", "span_id"], kind="stable")
-        return pdf.assign(order=range(len(pdf)))[[*keys, "span_id", "line", "order"]]
-
-    return spans.select(*keys, "span_id", "x1", "y1", "x2", "y2").groupBy(*keys).applyInPandas(fold, f"{key_types(spans, keys)}, span_id long, line int, order int")
+    page. Lines are numbered by their upper edge. A page's spans are few; pages are the parallel units, and many are folded
+    in one batch."""
+
+    @F.pandas_udf("struct<span_id:array<long>,line:array<int>,order:array<int>>")
+    def fold(ids: pd.Series, x1: pd.Series, y1: pd.Series, y2: pd.Series) -> pd.DataFrame:
+        out = [line_numbers(list(map(int, i)), numbers(a), numbers(b), numbers(c)) for i, a, b, c in zip(ids, x1, y1, y2, strict=True)]
+        return pd.DataFrame(out, columns=["span_id", "line", "order"])
+
+    page = pages_of(spans, ("span_id", "x1", "y1", "y2"), keys).select(*keys, fold("s.span_id", "s.x1", "s.y1", "s.y2").alias("f"))
+    return page.select(*keys, F.explode(F.arrays_zip("f.span_id", "f.line", "f.order")).alias("z")).select(*keys, "z.span_id", "z.line", "z.order")
 
 
 def sessions(chars: DataFrame, gap_factor: float = 2.5, default_width: float = 4.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
@@ -174,49 +208,63 @@ def row_separator(above: str, row: str) -> str:
     return ", " if above.count(",") >= 2 and bare else " "
 
 
+def whole_values(lines: list[int], ids: list[int], texts: list[str | None], like: list[bool], start: list[bool], x1: list[float], y1: list[float], x2: list[float], y2: list[float],
+                 max_gap: float, max_row_gap: float, indent: float) -> tuple[list[int], list[str]]:
+    """The spans of a page that are marked ``start``, and the whole value that begins at each."""
+    usual = usual_height(y1, y2)
+    rows: dict[int, list[int]] = {}
+    for i in sorted(range(len(ids)), key=lambda i: (lines[i], known(x1[i]), ids[i])):
+        rows.setdefault(lines[i], []).append(i)
+    nothing = float("nan")
+    boxes = [(row, min((y1[i] for i in row if y1[i] == y1[i]), default=nothing), max((y2[i] for i in row if y2[i] == y2[i]), default=nothing)) for row in rows.values()]
+
+    def walk(row: list[int], first: int, unit: float) -> str:
+        """Texts of a row from one span on."""
+        parts, end = [texts[first] or ""], x2[first]
+        for i in row:
+            if not x1[i] > x1[first]:
+                continue
+            if (x1[i] - end) / unit > max_gap or like[i]:
+                break
+            parts.append(texts[i] or "")
+            end = x2[i]
+        return " ".join(parts)
+
+    found: tuple[list[int], list[str]] = ([], [])
+    for s in (i for row in rows.values() for i in row if start[i]):
+        unit = y2[s] - y1[s] if y2[s] > y1[s] else usual
+        text = walk(rows[lines[s]], s, unit)
+        value, bottom, centre = text, y2[s], (y1[s] + y2[s]) / 2
+        for row, top, low in boxes:
+            if (top + low) / 2 <= centre:
+                continue
+            begin = row[0]  # the leftmost: another one within the indent would have it to its left
+            if (top - bottom) / unit > max_row_gap or not x1[begin] <= x1[s] + indent * unit or abs(x1[begin] - x1[s]) > indent * unit or like[begin]:
+                break
+            above, text = text, walk(row, begin, unit)
+            value += row_separator(above, text) + text
+            bottom, centre = low, (top + low) / 2
+        found[0].append(ids[s])
+        found[1].append(value)
+    return found
+
+
 def continued_values(spans: DataFrame, max_gap: float = 1.2, max_row_gap: float = 1.6, indent: float = 2.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """The whole value that begins at each span marked ``start``: (doc_id, page, span_id, value), or with the keys given.
 
     ``spans`` has span_id, text, line, label_like, start and the box. A value goes on over spans to its right until a wide
     gap or a caption, then over rows below that keep its left edge and follow closely. The walk stops at the first
-    row that does not fit, so it is a fold over one page's lines; pages are the parallel units and small."""
-
-    def walk(row: pd.DataFrame, from_x: float, unit: float) -> tuple[list[str], float]:
-        """Texts of a row from its first span on, and where they end."""
-        parts, end = [row.text.iloc[0]], row.x2.iloc[0]
-        for text, x1, x2, like in zip(row.text[1:], row.x1[1:], row.x2[1:], row.label_like[1:], strict=True):
-            if x1 <= from_x:
-                continue
-            if (x1 - end) / unit > max_gap or like:
-                break
-            parts.append(text)
-            end = x2
-        return parts, end
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["line", "x1", "span_id"], kind="stable").reset_index(drop=True)
-        heights = (pdf.y2 - pdf.y1)[(pdf.y2 - pdf.y1) > 0]
-        usual = float(heights.median()) if len(heights) else 1.0
-        rows = [g.reset_index(drop=True) for _, g in pdf.groupby("line", sort=True)]
-        boxes = [(g.y1.min(), g.y2.max()) for g in rows]
-        out = []
-        for s in pdf[pdf.start].itertuples():
-            unit = (s.y2 - s.y1) if s.y2 > s.y1 else usual
-            own = rows[next(i for i, g in enumerate(rows) if s.line == g.line.iloc[0])]
-            first = own[own.span_id == s.span_id]
-            text = " ".join(walk(pd.concat([first, own[own.x1 > s.x1]]), s.x1, unit)[0])
-            value, above, bottom, centre = text, text, s.y2, (s.y1 + s.y2) / 2
-            for g, (top, low) in zip(rows, boxes, strict=True):
-                if (top + low) / 2 <= centre:
-                    continue
-                begin = g[g.x1 <= s.x1 + indent * unit].head(1)
-                if (top - bottom) / unit > max_row_gap or not len(begin) or abs(begin.x1.iloc[0] - s.x1) > indent * unit or begin.label_like.iloc[0]:
-                    break
-                text = " ".join(walk(pd.concat([begin, g[g.x1 > begin.x1.iloc[0]]]), begin.x1.iloc[0], unit)[0])
-                value += row_separator(above, text) + text
-                above, bottom, centre = text, low, (top + low) / 2
-            out.append((*(getattr(s, k) for k in keys), s.span_id, value))
-        return pd.DataFrame(out, columns=[*keys, "span_id", "value"])
-
-    own = spans.select(*keys, "span_id", "text", "line", "label_like", "start", "x1", "y1", "x2", "y2")
-    return own.groupBy(*keys).applyInPandas(page, f"{key_types(spans, keys)}, span_id long, value string")
+    row that does not fit, so it is a fold over one page's lines; pages are the parallel units and small, and many are
+    folded in one batch."""
+
+    @F.pandas_udf("struct<span_id:array<long>,value:array<string>>")
+    def fold(lines: pd.Series, ids: pd.Series, texts: pd.Series, like: pd.Series, start: pd.Series, x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.DataFrame:
+        out = [
+            whole_values(list(map(int, n)), list(map(int, i)), list(t), list(k), list(b), *map(numbers, box), max_gap, max_row_gap, indent)
+            for n, i, t, k, b, *box in zip(lines, ids, texts, like, start, x1, y1, x2, y2, strict=True)
+        ]
+        return pd.DataFrame(out, columns=["span_id", "value"])
+
+    columns = ("line", "span_id", "text", "label_like", "start", "x1", "y1", "x2", "y2")
+    page = pages_of(spans, columns, keys).where(F.exists("s.start", lambda b: b)).select(*keys, fold(*[f"s.{c}" for c in columns]).alias("f"))
+    return page.select(*keys, F.explode(F.arrays_zip("f.span_id", "f.value")).alias("z")).select(*keys, "z.span_id", "z.value")

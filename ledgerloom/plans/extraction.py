@@ -6,8 +6,8 @@ taken apart and put in place, fields that follow from others are derived in the
 record is validated, with the PIN directory where there is one. Eight reasons send a field to review.
 
 Geometry is joined per page, choices are made per packet and field; every stage is a DataFrame, so
-Spark plans the exchanges (page, then packet and field) and nothing is looped over on the driver. Candidates and chosen values are
-written to the shared folder, so that results, flags and agreement do not compute them again.
+Spark plans the exchanges (page, then packet and field) and nothing is looped over on the driver. Caption hits, values beside captions,
+candidates and chosen values are written to the shared folder, so that what reads them twice does not compute them again.
 """
 
 from __future__ import annotations
@@ -133,7 +133,9 @@ def foreign(dictionary: dict[str, Field]) -> Column:
 def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
     """All candidates of all fields. ``spans``: packet_id, doc_id and span_id (both unique in the packet), doc_type, page,
     text, confidence and the box."""
-    hits = captions.caption_hits(spans, {n: list(f.captions) for n, f in dictionary.items() if f.captions}, {n: "|".join(f.patterns) for n, f in dictionary.items() if f.patterns})
+    known = {n: list(f.captions) for n, f in dictionary.items() if f.captions}
+    shapes = {n: "|".join(f.patterns) for n, f in dictionary.items() if f.patterns}
+    hits = written(captions.caption_hits(spans, known, shapes), "extract-hits")
     keep = ("packet_id", "doc_id", "doc_type", "page", "span_id")
     inline = hits.where("rest <> ''").select(*keep, "confidence", "field", "caption", "similarity", F.lit(1.0).alias("proximity"), F.lit("inline").alias("kind"), F.col("rest").alias("raw"), F.lit(False).alias("label_like"))
     whole = hits.where("rest = ''")
@@ -155,10 +157,9 @@ def candidates(spans: DataFrame, dictionary: dict[str, Field]) -> DataFrame:
         .select(*keep, "confidence", "field", "caption", "similarity", (1 - F.col("distance_ratio")).alias("proximity"), F.when(F.col("same_line"), "adjacent_same_line").otherwise("adjacent").alias("kind"),
                 F.col("value").alias("raw"))
     )
-    known = {n: list(f.captions) for n, f in dictionary.items() if f.captions}
-    shapes = {n: "|".join(f.patterns) for n, f in dictionary.items() if f.patterns}
     every = [c.lower() for cs in known.values() for c in cs]
     beside = beside.withColumn("label_like", alignment.is_label_like(clean_label(F.col("raw")), every)).withColumn("raw", captions.own_captions_removed(F.col("field"), F.col("raw"), known, shapes))
+    beside = written(beside, "extract-beside")
     claimed = inline.select("packet_id", "field", "span_id").unionByName(beside.select("packet_id", "field", "span_id"))
     scanned = spans.select(*keep, "confidence", F.explode(F.array(*[
         F.struct(F.lit(n).alias("field"), find_matches(F.col("text"), list(f.patterns)).alias("found")) for n, f in dictionary.items() if f.patterns

@@ -123,3 +123,19 @@ def test_validators_of_the_dictionary_run(spark):
     assert by_priority(dictionary) == ["code", "state", "pan", "tan"]
     with pytest.raises(ValueError, match="x: undefined validators"):
         extract(spans, {"x": Field(("x",), validators=("nope",))})
+
+
+def test_python_steps_run_once(spark):
+    """Caption hits and values beside captions are computed once: what is pooled from them calls no Python, and pages are
+    folded many in a batch, not one by one."""
+    from ledgerloom.operators import layout
+    from ledgerloom.plans.extraction import candidates
+
+    rows = page("p1", 1, "gst_certificate", [("Legal Name", 0, 0), ("Acme Tools Ltd", 80, 0), ("GSTIN: 27ABCDE1234F1Z5", 0, 20)])
+    spans = spark.createDataFrame(rows, "packet_id string, doc_id long, doc_type string, page int, span_id long, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pool = candidates(spans, DICTIONARY)
+    assert not any(step in plan(pool) for step in ("InPandas", "EvalPython"))
+    assert {(r["field"], r["value"]) for r in pool.collect()} >= {("vendor_name", "Acme Tools Ltd"), ("gst_number", "27ABCDE1234F1Z5")}
+    lined = layout.lines(spans, layout.PACKET_PAGE)
+    assert "InPandas" not in plan(lined) and [r["line"] for r in lined.orderBy("order").collect()] == [0, 0, 1]
