@@ -19,13 +19,12 @@ PACKET_PAGE = ("packet_id", "doc_id", "page")  # documents are numbered inside t
 DPI, PAGE_W_IN, PAGE_H_IN, MARGIN_IN, LINE_IN, CHAR_IN = 200, 8.27, 11.69, 0.75, 0.22, 0.075
 
 
-def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
-    """Spans beside each caption on its page: direction, same_line, distance_ratio.
+BOX = ("x1", "y1", "x2", "y2")
 
-    An equi-join on the page with the geometry as residual condition; rules apply in the order right,
-    below, left, above, and one whose gap is too wide gives way to the next."""
-    a = captions.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("span_id", "x1", "y1", "x2", "y2", "unit")])
-    b = spans.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("span_id", "x1", "y1", "x2", "y2")])
+
+def beside(max_gap: float) -> Column:
+    """struct<direction, ratio> of a span (b_ columns) as seen from a caption (a_ columns); null if it is not beside it.
+    Rules apply in the order right, below, left, above, and one whose gap is too wide gives way to the next."""
     u = F.col("a_unit")
     v = overlap(F.col("a_y1"), F.col("a_y2"), F.col("b_y1"), F.col("b_y2"))
     h = overlap(F.col("a_x1"), F.col("a_x2"), F.col("b_x1"), F.col("b_x2"))
@@ -37,14 +36,47 @@ def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0, keys
         ("left", (v >= 0.3) & (F.col("b_x2") <= F.col("a_x1") + slack), F.col("a_x1") - F.col("b_x2")),
         ("above", (F.col("b_y2") <= F.col("a_y1") + slack) & aligned, F.col("a_y1") - F.col("b_y2")),
     )
-    hit = F.coalesce(*[
+    return F.coalesce(*[
         F.when(holds & (F.greatest(F.lit(0.0), gap) <= max_gap * u), F.struct(F.lit(name).alias("direction"), (F.greatest(F.lit(0.0), gap) / u / max_gap).alias("ratio")))
         for name, holds, gap in rules
     ])
-    joined = a.join(b, list(keys)).where("a_span_id <> b_span_id").withColumn("hit", hit).where("hit is not null")
+
+
+def sides(captions: DataFrame, spans: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The captions' and the spans' columns that ``beside`` reads, with their ids."""
+    a = captions.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("span_id", *BOX, "unit")])
+    return a, spans.select(*keys, *[F.col(c).alias(f"b_{c}") for c in ("span_id", *BOX)])
+
+
+def neighbours(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """Spans beside each caption on its page: direction, same_line, distance_ratio.
+
+    An equi-join on the page with the geometry (``beside``) as residual condition."""
+    a, b = sides(captions, spans, keys)
+    joined = a.join(b, list(keys)).where("a_span_id <> b_span_id").withColumn("hit", beside(max_gap)).where("hit is not null")
     return joined.select(*keys, "a_span_id", "b_span_id", "hit.direction", F.col("hit.ratio").alias("distance_ratio"), F.col("hit.direction").isin("right", "left").alias("same_line"))
 
 
+def neighbour_counts(captions: DataFrame, spans: DataFrame, max_gap: float = 6.0, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """``neighbours`` counted by page, direction and distance_ratio: n, and the smallest b_span_id as first_span.
+
+    Whether and where a span is beside a caption depends on the two boxes only, so equal boxes of a page are counted first
+    and each pair of different boxes is looked at once: work grows with the spans and with the pairs of boxes, not with the pairs
+    of spans. A caption that its own span would be beside (one narrower or flatter than 0.3 units) must not count that one, so
+    such captions are joined span by span."""
+    a, b = sides(captions, spans, keys)
+    own = a.join(b.withColumnRenamed("b_span_id", "a_span_id"), [*keys, "a_span_id"])
+    own = own.where(beside(max_gap).isNotNull()).select(*keys, F.col("a_span_id").alias("span_id")).distinct()
+    told = [*keys, "hit.direction", F.col("hit.ratio").alias("distance_ratio")]
+    by_box = (
+        a.where("a_span_id is not null").join(own.withColumnRenamed("span_id", "a_span_id"), [*keys, "a_span_id"], "left_anti").groupBy(*keys, *[f"a_{c}" for c in (*BOX, "unit")]).agg(F.count("*").alias("captions"))
+        .join(b.where("b_span_id is not null").groupBy(*keys, *[f"b_{c}" for c in BOX]).agg(F.count("*").alias("spans"), F.min("b_span_id").alias("first")), list(keys))
+        .withColumn("hit", beside(max_gap)).where("hit is not null").select(*told, (F.col("captions") * F.col("spans")).alias("n"), "first")
+    )
+    by_span = neighbours(captions.join(own, [*keys, "span_id"], "left_semi"), spans, max_gap, keys).select(*keys, "direction", "distance_ratio", F.lit(1).cast("long").alias("n"), F.col("b_span_id").alias("first"))
+    return by_box.unionByName(by_span).groupBy(*keys, "direction", "distance_ratio").agg(F.sum("n").alias("n"), F.min("first").alias("first_span"))
+
+
 def pages_of(spans: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
     """One row a page, its spans in arrays ``s``. As many partitions as a shuffle has: the bytes of a page don't tell what a
     fold in Python over it costs, so Spark must not join small partitions to one task."""

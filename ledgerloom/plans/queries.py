@@ -139,8 +139,8 @@ def grid_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = grid_spans(spark, sf_dir)
-    found = L.neighbours(spans.where("n = 0"), spans)
-    return found.groupBy("doc_id", "direction").agg(F.count("*").alias("n"), F.sum(F.round("distance_ratio", 6)).alias("ratios"), F.min("b_span_id").alias("first_span"))
+    found = L.neighbour_counts(spans.where("n = 0"), spans)
+    return found.groupBy("doc_id", "direction").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.round("distance_ratio", 6)).alias("ratios"), F.min("first_span").alias("first_span"))
 
 
 def line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

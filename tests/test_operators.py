@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +245,23 @@ def test_lines_join_to_the_single_line(spark):
         lines = [r[f"address_{i}"] for i in range(1, 5) if r[f"address_{i}"]]
         assert ", ".join(lines).replace(",", "").split() == one[r["id"]]["address_1"].replace(",", "").split()
         assert (r["city"], r["state"], r["pin_code"]) == (one[r["id"]]["city"], one[r["id"]]["state"], one[r["id"]]["pin_code"])
+
+
+def test_neighbours_are_counted_by_box(spark):
+    """Counts by box are those of the pairs: equal boxes, flat captions that are beside themselves, unknown edges and ids. A
+    page of equal boxes makes no pair of spans."""
+    r, rows = random.Random(5), []
+    for i in range(240):
+        x, y, w, h = r.choice([0, 10, 20, 60]), r.choice([0, 2, 10, 30]), r.choice([1, 5, 30]), r.choice([1, 10])
+        box = [float(x), float(y), float(x + w), float(y + h)]
+        if i % 40 == 7:
+            box[i % 4] = None
+        rows.append((i % 3, i % 2, None if i % 50 == 9 else i, *box, 10.0, i % 4 == 0))
+    df = spark.createDataFrame(rows, "doc_id long, page int, span_id long, x1 double, y1 double, x2 double, y2 double, unit double, caption boolean")
+    pairs = layout.neighbours(df.where("caption"), df).groupBy("doc_id", "page", "direction", "distance_ratio").agg(F.count("*").alias("n"), F.min("b_span_id").alias("first_span"))
+    want = sorted(map(tuple, pairs.collect()))
+    assert len(want) > 20 and sorted(map(tuple, layout.neighbour_counts(df.where("caption"), df).collect())) == want
+
+    many = spark.range(60_000).selectExpr("1L AS doc_id", "1 AS page", "id AS span_id", "double(id % 2 * 40) AS x1", "0d AS y1", "double(id % 2 * 40 + 30) AS x2", "8d AS y2", "8d AS unit")
+    got = {r["direction"]: (r["n"], r["first_span"]) for r in layout.neighbour_counts(many, many).collect()}
+    assert got == {"right": (900_000_000, 1), "left": (900_000_000, 0)}
