@@ -63,6 +63,7 @@ SPOKESMEN = 32  # documents of a component of a part that are compared between p
 
 
 CLASSES = 1 << np.arange(33, dtype=np.int64)  # lower bounds of the size classes
+CLASS_BITS = 63  # the lowest bits of a key hold its size class
 
 
 def most_differing(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -70,6 +71,17 @@ def most_differing(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
+def spare_keys(most: np.ndarray) -> np.ndarray:
+    """How many keys beyond the first r + 1 are emitted in a class whose sets differ in ``most`` shingles at most."""
+    return np.minimum(most // 4, np.maximum(3, most // 8))
+
+
+def shared_least(percent: int) -> list[int]:
+    """By size class: how many emitted keys two linked sets share at least."""
+    top = CLASSES - 1
+    return (1 + spare_keys(most_differing(top, top, percent))).tolist()
+
+
 def join_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray | None]:
     """All keys of every non-empty set, for its own size class and, if it can meet larger sets there, the next.
 
@@ -99,9 +111,10 @@ def join_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray | None]:
         size = np.minimum(np.bincount(at, minlength=begin[-1]), 255).astype(np.uint64)
         number = (np.arange(begin[-1]) - np.repeat(begin[:-1], m)).astype(np.uint64)
         classes = np.repeat(own[rows] + step + 1, m).astype(np.uint64)
-        key = mix(digest ^ mix((number << np.uint64(8)) + classes))
+        key = (mix(digest ^ mix((number << np.uint64(8)) + classes)) & ~np.uint64(CLASS_BITS)) | classes
         order = ((np.uint64(255) - size) << np.uint64(56)) | (key >> np.uint64(8))  # large groups first
-        for i, a, b, k in zip(rows.tolist(), begin[:-1].tolist(), begin[1:].tolist(), r[rows].tolist(), strict=True):
+        last = r[rows] + spare_keys(most)
+        for i, a, b, k in zip(rows.tolist(), begin[:-1].tolist(), begin[1:].tolist(), last.tolist(), strict=True):
             first = key[a:b][np.argpartition(order[a:b], k)[: k + 1]]
             out[i] = first if out[i] is None else np.concatenate([out[i], first])
     return out
@@ -229,6 +242,7 @@ def joined(seed: np.ndarray, old: list) -> np.ndarray:
 
 
 MOST_HOT = 50_000
+HOT = 1 << 40
 SAMPLE = 64
 
 
@@ -241,6 +255,36 @@ def hot_keys(rows: DataFrame) -> list[int]:
     return [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()]
 
 
+def held_by_two(keyed: DataFrame) -> DataFrame:
+    """The rows of (node, key, ..) whose key more than one node holds, with ``d``: how many rows have the key."""
+    every = Window.partitionBy("key")
+    counted = keyed.withColumns({"low": F.min("node").over(every), "high": F.max("node").over(every), "d": F.count("*").over(every)})
+    return counted.where("low <> high").select("node", "key", "d")
+
+
+def ties(keyed: DataFrame, hot: list[int], percent: int) -> DataFrame:
+    """(node, key, d): those of the emitted keys that linked sets can meet by.
+
+    Linked sets share ``shared_least`` keys of a class. A node with fewer keys there that others hold too has no
+    link in it, so its keys go, which may leave others with too few. Of the T and more that stay to it the T - 1 that most
+    rows have are not needed: the rarest key that linked sets share is never among them. ``d`` of hot keys is ``HOT``."""
+    least = F.element_at(F.array(*[F.lit(n) for n in shared_least(percent)]), F.col("class") + 1)
+    cold = lambda df: held_by_two(df.where(F.col("d") < HOT)).unionByName(df.where(F.col("d") >= HOT)) if hot else held_by_two(df)
+
+    def enough(df: DataFrame) -> DataFrame:
+        """By node and class the keys, rarest first, where they are enough for a link."""
+        by = df.groupBy("node", F.col("key").bitwiseAND(CLASS_BITS).cast("int").alias("class"))
+        return by.agg(F.sort_array(F.collect_set(F.struct("d", "key"))).alias("keys")).where(F.size("keys") >= least)
+
+    each = lambda df, keys: df.select("node", F.explode(keys).alias("k")).select("node", "k.key", "k.d")
+    if hot:
+        keyed = marked(keyed, "key", hot, "hot").select("node", "key", F.when(F.col("hot"), F.lit(HOT)).otherwise(0).cast("long").alias("d"))
+    found = materialise(each(enough(cold(keyed)), F.col("keys")), "ngram-shared")
+    found = each(enough(cold(found)), F.col("keys"))
+    found = each(enough(cold(found)), F.slice("keys", F.lit(1), F.size("keys") - least + 1))
+    return materialise(cold(found), "ngram-ties")
+
+
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
     unit_shingles: int = 2_000_000, unit_docs: int = 3_000,
@@ -280,8 +324,9 @@ def near_duplicates(
     keyed = rows.where("keys is not null").select("node", F.explode("keys").alias("key"))
     tied = lambda df, *by: df.withColumn("hub", F.first("node").over(Window.partitionBy(*by).orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     hot = hot_keys(rows)
+    keyed = ties(keyed, hot, percent)
     if hot:
-        keyed = marked(keyed, "key", hot, "hot")
+        keyed = keyed.withColumn("hot", F.col("d") >= HOT)
         salt = F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(-(-nodes.count() // KEY_ROWS)))
         salted = tied(keyed.where("hot").withColumn("salt", salt), "key", "salt")
         tops = tied(salted.select("key", F.col("hub").alias("node")).distinct(), "key")
