@@ -266,23 +266,17 @@ def ties(keyed: DataFrame, hot: list[int], percent: int) -> DataFrame:
     """(node, key, d): those of the emitted keys that linked sets can meet by.
 
     Linked sets share ``shared_least`` keys of a class. A node with fewer keys there that others hold too has no
-    link in it, so its keys go, which may leave others with too few. Of the T and more that stay to it the T - 1 that most
-    rows have are not needed: the rarest key that linked sets share is never among them. ``d`` of hot keys is ``HOT``."""
+    link in it, so its keys go. Of the T and more that stay to it the T - 1 that most rows have are not
+    needed: the rarest key that linked sets share is never among them. ``d`` of hot keys is ``HOT``."""
     least = F.element_at(F.array(*[F.lit(n) for n in shared_least(percent)]), F.col("class") + 1)
     cold = lambda df: held_by_two(df.where(F.col("d") < HOT)).unionByName(df.where(F.col("d") >= HOT)) if hot else held_by_two(df)
 
-    def enough(df: DataFrame) -> DataFrame:
-        """By node and class the keys, rarest first, where they are enough for a link."""
-        by = df.groupBy("node", F.col("key").bitwiseAND(CLASS_BITS).cast("int").alias("class"))
-        return by.agg(F.sort_array(F.collect_set(F.struct("d", "key"))).alias("keys")).where(F.size("keys") >= least)
-
-    each = lambda df, keys: df.select("node", F.explode(keys).alias("k")).select("node", "k.key", "k.d")
     if hot:
         keyed = marked(keyed, "key", hot, "hot").select("node", "key", F.when(F.col("hot"), F.lit(HOT)).otherwise(0).cast("long").alias("d"))
-    found = materialise(each(enough(cold(keyed)), F.col("keys")), "ngram-shared")
-    found = each(enough(cold(found)), F.col("keys"))
-    found = each(enough(cold(found)), F.slice("keys", F.lit(1), F.size("keys") - least + 1))
-    return materialise(cold(found), "ngram-ties")
+    by = cold(keyed).groupBy("node", F.col("key").bitwiseAND(CLASS_BITS).cast("int").alias("class"))
+    own = by.agg(F.sort_array(F.collect_set(F.struct("d", "key"))).alias("keys")).where(F.size("keys") >= least)
+    rare = own.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - least + 1)).alias("k"))
+    return materialise(cold(rare.select("node", "k.key", "k.d")), "ngram-ties")
 
 
 def near_duplicates(
