@@ -12,8 +12,10 @@ losing a link. Two sets of a and b shingles with the wanted similarity t differ
 r = (a + b) (1 - t) / (1 + t) shingles, so of m groups at least m - r hold the same shingles in
 both. A group's key is its size class, its number and the digest of its shingles. In a fixed order
 of all keys (groups with more shingles first, as these are shared least by chance) the first
-r + 1 keys of both then have one in common, and only these are emitted: about an
-eighth as many as shingles at 0.9, a third at 0.8. Documents that share keys, directly or by
+r + 1 keys of both then have one in common, and the first r + T have T: these are emitted, somewhat more than an
+eighth as many as shingles at 0.9, a third at 0.8. Sets that share fewer than T keys with all others are left
+alone, and of a set's shared keys the T - 1 that are most frequent are not used, so that a common line
+does not tie strangers together. Documents that share keys, directly or by
 others, form a candidate cluster (connected components of a star per key, so the number
 of edges is linear), and each cluster has its own tree. Inside a task a
 breadth-first search compares a document only with those not yet reached, so copies are
